@@ -62,7 +62,7 @@ def register(name: str, sql: str | None = None, doubles=(), ops=()):
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills REGISTRY
     from . import q_metrics  # noqa: F401
-    for mod in ("q_quality", "q_prep", "q_kernels", "q_lowrank", "q_posterior", "q_chains",
+    for mod in ("q_quality", "q_prep", "q_lowrank", "q_posterior", "q_chains",
                 "q_trials", "q_sources", "q_streaming"):
         try:
             __import__(f"{__package__}.{mod}")

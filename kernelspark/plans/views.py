@@ -112,14 +112,16 @@ N_CHAINS = 4
 
 def chain(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.select((F.col("event_id") % N_CHAINS).cast("int").alias("chain"),
-                     F.expr(f"event_id div {N_CHAINS}").alias("step"),
-                     F.col("value").alias("x"),
-                     F.col("user_id").alias("dim_src"))
+    step = F.expr(f"event_id div {N_CHAINS}")
+    return ev.select((F.col("event_id") % N_CHAINS).cast("int").alias("chain"), step.alias("step"),
+                     F.col("value").alias("x"), (F.col("event_type") != "error").alias("accepted"),
+                     (F.col("value") / F.lit(1000.0)).alias("step_time"), (step < WARMUP).alias("is_warmup"))
 
 
+WARMUP = 100
 CHAIN_SQL = (f"SELECT CAST(event_id % {N_CHAINS} AS INTEGER) AS chain, event_id // {N_CHAINS} AS step, "
-             "value AS x, user_id AS dim_src FROM events")
+             "value AS x, event_type <> 'error' AS accepted, value / 1000.0 AS step_time, "
+             f"event_id // {N_CHAINS} < {WARMUP} AS is_warmup FROM events")
 
 
 # ---- trials: orders as benchmark trials -----------------------------------------------------

@@ -23,7 +23,7 @@ from kernelspark.plans.views import TABLES  # noqa: E402
 FAMILIES = {
     "int": "int", "integer": "int", "bigint": "int", "smallint": "int", "tinyint": "int", "long": "int",
     "hugeint": "int", "double": "float", "float": "float", "decimal": "float", "string": "str",
-    "varchar": "str", "boolean": "bool", "bool": "bool", "timestamp": "ts", "date": "date",
+    "varchar": "str", "boolean": "bool", "bool": "bool", "timestamp": "ts", "timestamp_ntz": "ts", "date": "date",
 }
 
 
