@@ -139,16 +139,46 @@ TRIALS_SQL = ("SELECT o_orderpriority AS method, o_custkey % 5 AS k, o_totalpric
 
 # ---- manifest / files: labels as an image manifest, documents as the files on disk ----------
 
+def _split_col(key):
+    u = rng.u01(F.col(key), "split", 42)
+    return F.when(u < 0.2, "test").when(u < 0.4, "valid").otherwise("train")
+
+
+def _split_sql(key):
+    u = rng.u01_sql(key, "'split'", "42")
+    return f"CASE WHEN {u} < 0.2 THEN 'test' WHEN {u} < 0.4 THEN 'valid' ELSE 'train' END"
+
+
+def _ref_col():
+    """The manifest's free-form reference: empty, without extension, other folder, or canonical."""
+    u = rng.u01(F.col("doc_id"), "ref", 42)
+    d = F.col("doc_id").cast("string")
+    return (F.when(u < 0.05, F.lit("")).when(u < 0.2, F.concat(F.lit("images/"), d))
+            .when(u < 0.3, F.concat(F.lit("other/"), d, F.lit(".png")))
+            .when(u < 0.4, F.concat(F.lit("other/"), d)).otherwise(F.concat(F.lit("images/"), d, F.lit(".png"))))
+
+
+def _ref_sql():
+    u = rng.u01_sql("doc_id", "'ref'", "42")
+    d = "CAST(doc_id AS VARCHAR)"
+    return (f"CASE WHEN {u} < 0.05 THEN '' WHEN {u} < 0.2 THEN 'images/' || {d} "
+            f"WHEN {u} < 0.3 THEN 'other/' || {d} || '.png' WHEN {u} < 0.4 THEN 'other/' || {d} "
+            f"ELSE 'images/' || {d} || '.png' END")
+
+
 def manifest(spark, sf_dir) -> DataFrame:
     lb = table(spark, sf_dir, "labels")
     m = lb.select("doc_id", F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image"),
-                  F.col("quality").alias("label"), F.col("toxic").alias("toxic"))
+                  _ref_col().alias("ref"), F.col("quality").alias("label"), F.col("toxic").alias("toxic"),
+                  _split_col("doc_id").alias("split"))
     m = row_numbers(m, [], ["doc_id"], out="rn")
-    return m.select((F.col("rn") - 1).cast("long").alias("row_idx"), "doc_id", "image", "label", "toxic")
+    return m.select((F.col("rn") - 1).cast("long").alias("row_idx"), "doc_id", "image", "ref", "label", "toxic",
+                    "split")
 
 
 MANIFEST_SQL = ("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_idx, doc_id, "
-                "'images/' || CAST(doc_id AS VARCHAR) || '.png' AS image, quality AS label, toxic FROM labels")
+                f"'images/' || CAST(doc_id AS VARCHAR) || '.png' AS image, {_ref_sql()} AS ref, quality AS label, "
+                f"toxic, {_split_sql('doc_id')} AS split FROM labels")
 
 # Simulated absence: a document's image file is missing when its keyed uniform
 # is below 0.15, its embedding file when below 0.10. Every row is still read.
@@ -160,11 +190,11 @@ def files(spark, sf_dir) -> DataFrame:
     keep = rng.u01(F.col("doc_id"), "file", 42) >= FILE_MISSING
     return d.filter(keep).select(
         F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"),
-        F.col("n_chars").alias("length"), F.col("source").alias("source"))
+        F.col("n_chars").alias("length"), F.col("source").alias("source"), _split_col("doc_id").alias("split"))
 
 
-FILES_SQL = (f"SELECT 'images/' || CAST(doc_id AS VARCHAR) || '.png' AS path, n_chars AS length, source "
-             f"FROM documents WHERE {rng.u01_sql('doc_id', chr(39) + 'file' + chr(39), '42')} >= {FILE_MISSING}")
+FILES_SQL = (f"SELECT 'images/' || CAST(doc_id AS VARCHAR) || '.png' AS path, n_chars AS length, source, "
+             f"{_split_sql('doc_id')} AS split FROM documents WHERE {rng.u01_sql('doc_id', chr(39) + 'file' + chr(39), '42')} >= {FILE_MISSING}")
 
 
 def emb_files(spark, sf_dir) -> DataFrame:
