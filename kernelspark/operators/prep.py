@@ -171,3 +171,96 @@ def mask_tokens(df: DataFrame, tokens: str, key: str = "id", ratio: float = 0.5,
     kept = F.array_sort(F.transform(chosen, lambda s: s["i"]))
     return df.withColumn("kept_idx", kept).withColumn(
         "mask", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.array_contains(kept, i), 0).otherwise(1)))
+
+
+# ---- P7–P9: PCA ------------------------------------------------------------------------------
+
+def pca_fit(df: DataFrame, dim: int, features: str = "features", where=None):
+    """Exact PCA on the (train) rows: one pass of partial (n, Σx, XᵀX) per Arrow
+    batch, summed as d² + d + 1 long rows; d×d eigh on the driver.
+
+    Returns (components k×d, mean d, explained_variance_ratio k).
+    """
+    import pandas as pd
+
+    src = (df if where is None else df.filter(where)).select(F.col(features).cast("array<double>").alias("x"))
+    d = len(src.first()["x"])
+    if not 1 <= dim <= d:
+        raise ValueError(f"dim must be in [1, {d}]")
+
+    def part(batches):
+        n, s, G = 0, np.zeros(d), np.zeros((d, d))
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf["x"].to_numpy())
+            n += len(X)
+            s += X.sum(0)
+            G += X.T @ X
+        if n:
+            yield pd.DataFrame({"pos": np.arange(d * d + d + 1, dtype=np.int64),
+                                "v": np.concatenate([G.ravel(), s, [float(n)]])})
+
+    tot = src.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
+    vec = np.zeros(d * d + d + 1)
+    for r in tot:
+        vec[int(r["pos"])] = float(r["v"])
+    G, s, n = vec[:d * d].reshape(d, d), vec[d * d:d * d + d], vec[-1]
+    if n < dim:
+        raise ValueError("fewer rows than components")
+    mean = s / n
+    cov = (G - n * np.outer(mean, mean)) / max(n - 1, 1)
+    w, V = np.linalg.eigh(0.5 * (cov + cov.T))
+    order = np.argsort(w)[::-1]
+    w, V = w[order], V[:, order]
+    comps = V[:, :dim].T
+    # deterministic sign: largest-magnitude entry of each component positive
+    signs = np.sign(comps[np.arange(dim), np.argmax(np.abs(comps), axis=1)])
+    comps = comps * signs[:, None]
+    ratio = w[:dim] / w.sum() if w.sum() > 0 else np.zeros(dim)
+    return comps, mean, ratio
+
+
+def pca_transform(df: DataFrame, components: np.ndarray, mean: np.ndarray, features: str = "features",
+                  out: str = "projected") -> DataFrame:
+    """(x − mean)·componentsᵀ per row, as a Catalyst expression (k dot products)."""
+    x = F.col(features).cast("array<double>")
+    centered = F.zip_with(x, F.array(*[F.lit(float(v)) for v in mean]), lambda a, m: a - m)
+    dots = []
+    for c in components:
+        cv = F.array(*[F.lit(float(v)) for v in c])
+        dots.append(F.aggregate(F.zip_with(centered, cv, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
+    return df.withColumn(out, F.array(*dots))
+
+
+# ---- P14, P15: batch feature extraction from binary rows -------------------------------------
+
+def byte_histogram_model(bins: int = 16):
+    """A toy pluggable model: normalised histogram of byte values (fixed output dim)."""
+    def make():
+        def predict(contents: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(contents), bins), dtype=np.float32)
+            for i, c in enumerate(contents):
+                b = np.frombuffer(bytes(c), dtype=np.uint8)
+                if b.size:
+                    h = np.bincount(b // (256 // bins), minlength=bins)[:bins]
+                    out[i] = h / b.size
+            return out
+        return predict
+    return make
+
+
+def extract_features(df: DataFrame, content: str = "content", make_fn=None, dim: int = 16,
+                     batch_size: int = 256, out: str = "features"):
+    """Run a model over binary rows in Arrow batches (predict_batch_udf)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    make_fn = make_fn or byte_histogram_model(dim)
+    udf = predict_batch_udf(make_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return df.withColumn(out, udf(F.col(content)))
+
+
+def pending_rows(src: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows not yet in the output (left anti join), so a rerun redoes only those."""
+    return src.join(done.select(key), key, "left_anti")
