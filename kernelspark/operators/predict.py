@@ -53,3 +53,173 @@ def norm_cdf_col(x):
         return pd.Series(norm_cdf_np(s.to_numpy(dtype=np.float64)))
 
     return _phi(x)
+
+
+# ---- R1, R3: pivot (inducing-point) predictor ------------------------------------------
+
+def _sigmoid(z):
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
+
+
+def pivot_predict(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.ndarray, nu_draws: np.ndarray,
+                  key: str = "id", features: str = "features", noise: bool = True, seed: int = 42,
+                  var_floor: float = 1e-8) -> DataFrame:
+    """R1 (noise=True) / R3 (noise=False): predictive draws at every row.
+
+    F(x) = L⁻¹ k(P, x); latent_s = F(x)·ν_s (+ √var·ε_s with var = k(x,x) − ‖F(x)‖²
+    clipped at var_floor, ε keyed by (seed, id)); p_s = σ(latent_s).
+    Pivots (k × d), L (k × k) and the draws (S × k) are broadcast; output is
+    long ``(id, draw, latent, p)``.
+    """
+    sc = points.sparkSession.sparkContext
+    bP = sc.broadcast(np.asarray(pivot_x, dtype=np.float64))
+    bL = sc.broadcast(np.asarray(L, dtype=np.float64))
+    bV = sc.broadcast(np.asarray(nu_draws, dtype=np.float64))
+
+    def fn(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf["x"].to_numpy())
+            Fm = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
+            lat = Fm @ bV.value.T                                   # n_b × S
+            if noise:
+                kxx = np.ones(len(X))                                # stationary kernels
+                var = np.maximum(kxx - (Fm * Fm).sum(1), var_floor)
+                ids = pdf["id"].to_numpy()
+                eps = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(lat.shape[1]) for i in ids])
+                lat = lat + np.sqrt(var)[:, None] * eps
+            S = lat.shape[1]
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy().astype(np.int64), S),
+                                "draw": np.tile(np.arange(S, dtype=np.int32), len(X)),
+                                "latent": lat.ravel(), "p": _sigmoid(lat.ravel())})
+
+    src = points.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x"))
+    return src.mapInPandas(fn, "id long, draw int, latent double, p double")
+
+
+# ---- R2, R4: kernel-weighted sums over the training rows ------------------------------------
+
+def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str, key: str = "id",
+                        features: str = "features", max_test: int = 20000) -> DataFrame:
+    """f*(t) = Σ_i k(t, x_i)·w_i for every test row t.
+
+    The test side is size-checked and broadcast; each training batch adds its
+    partial n_test-vector, and the partials are summed by test position.
+    """
+    n_test = test.count()
+    if n_test > max_test:
+        raise ValueError(f"test side {n_test} rows exceeds the broadcast bound {max_test}")
+    trows = test.select(key, F.col(features).cast("array<double>").alias("x")).orderBy(key).collect()
+    T_ids = np.array([r[key] for r in trows], dtype=np.int64)
+    bT = train.sparkSession.sparkContext.broadcast(np.array([r["x"] for r in trows], dtype=np.float64))
+
+    def part(batches):
+        acc = np.zeros(len(T_ids))
+        seen = False
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            seen = True
+            X = np.stack(pdf["x"].to_numpy())
+            acc += kernel.block(bT.value, X) @ pdf["w"].to_numpy(dtype=np.float64)
+        if seen:
+            yield pd.DataFrame({"pos": np.arange(len(acc), dtype=np.int64), "v": acc})
+
+    src = train.select(F.col(features).cast("array<double>").alias("x"), F.col(weight).cast("double").alias("w"))
+    tot = src.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("f_star"))
+    ids = train.sparkSession.createDataFrame([(int(i), int(t)) for i, t in enumerate(T_ids)], "pos long, id long")
+    return tot.join(F.broadcast(ids), "pos").select("id", "f_star")
+
+
+def option_a_weights(factor: DataFrame, nu: np.ndarray, k: int) -> DataFrame:
+    """R2: α = Q R⁻ᵀ ν with F = Q R, i.e. α_i = F_i (FᵀF)⁻¹ ν, per training row."""
+    from .lowrank import gram
+    G = gram(factor, k=k)
+    c = np.linalg.solve(G, np.asarray(nu, dtype=np.float64))
+    cv = F.array(*[F.lit(float(v)) for v in c])
+    alpha = F.aggregate(F.zip_with(F.col("f"), cv, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return factor.select("id", alpha.alias("alpha"))
+
+
+# ---- R7–R10: MLlib classifiers on embeddings ----------------------------------------------------
+
+def _vec(df: DataFrame, features: str = "features"):
+    from pyspark.ml.functions import array_to_vector
+    return df.withColumn("_fv", array_to_vector(F.col(features).cast("array<double>")))
+
+
+def fit_linear_probe(train: DataFrame, label: str = "y", features: str = "features", reg: float = 0.0,
+                     max_iter: int = 100):
+    """Logistic regression on the embedding (MLlib, distributed L-BFGS)."""
+    from pyspark.ml.classification import LogisticRegression
+    lr = LogisticRegression(featuresCol="_fv", labelCol=label, regParam=reg, maxIter=max_iter,
+                            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
+    return lr.fit(_vec(train.withColumn(label, F.col(label).cast("double")), features))
+
+
+def fit_mlp(train: DataFrame, label: str = "y", features: str = "features", hidden=(32,), max_iter: int = 50,
+            seed: int = 42):
+    """Multilayer perceptron (MLlib; sigmoid hidden units, softmax output)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    d = len(train.select(features).first()[0])
+    mlp = MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=label, layers=[d, *hidden, 2],
+                                         maxIter=max_iter, seed=seed, probabilityCol="_prob",
+                                         rawPredictionCol="_raw", predictionCol="_pred")
+    return mlp.fit(_vec(train.withColumn(label, F.col(label).cast("double")), features))
+
+
+def score_model(model, df: DataFrame, key: str = "id", label: str = "y", features: str = "features") -> DataFrame:
+    """Positive-class probability per row (vector_to_array on the probability column)."""
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(_vec(df, features))
+    return out.select(key, label, vector_to_array("_prob")[1].alias("p"))
+
+
+def score_chunked(df: DataFrame, model_obj, key: str = "id", features: str = "features",
+                  batch_rows: int = 1000) -> DataFrame:
+    """Any object with ``predict_proba`` applied to Arrow batches of ≤ batch_rows rows."""
+    bc = df.sparkSession.sparkContext.broadcast(model_obj)
+
+    def fn(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), batch_rows):
+                part = pdf.iloc[s:s + batch_rows]
+                if len(part) == 0:
+                    continue
+                X = np.stack(part["x"].to_numpy())
+                P = np.asarray(bc.value.predict_proba(X))
+                yield pd.DataFrame({key: part[key].astype("int64"), "p": P[:, 1]})
+
+    return df.select(F.col(key).cast("long").alias(key), F.col(features).cast("array<double>").alias("x")) \
+        .mapInPandas(fn, f"{key} long, p double")
+
+
+class NumpyLogistic:
+    """A plain predict_proba model (weights w, bias b) for R9."""
+
+    def __init__(self, w, b):
+        self.w = np.asarray(w, dtype=np.float64)
+        self.b = float(b)
+
+    def predict_proba(self, X):
+        p = _sigmoid(X @ self.w + self.b)
+        return np.stack([1 - p, p], axis=1)
+
+
+def select_best(train: DataFrame, valid: DataFrame, grid, path: str, label: str = "y", key: str = "id"):
+    """Fit each candidate on train, keep the best validation AUROC (first wins),
+    save it, reload it; returns (loaded model, best params, table of scores)."""
+    from . import metrics as M
+    best, best_auc, best_params, scores = None, None, None, []
+    for params in grid:
+        kind = params["kind"]
+        mdl = fit_linear_probe(train, label, reg=params.get("reg", 0.0)) if kind == "linear" else \
+            fit_mlp(train, label, hidden=tuple(params.get("hidden", (16,))), max_iter=params.get("max_iter", 50))
+        auc = M.ranking(score_model(mdl, valid, key, label), label, "p").first()["auroc"]
+        scores.append((str(params), float(auc) if auc is not None else None))
+        if auc is not None and (best_auc is None or auc > best_auc):
+            best, best_auc, best_params = mdl, auc, params
+    best.write().overwrite().save(path)
+    loaded = type(best).load(path)
+    return loaded, best_params, scores
