@@ -63,7 +63,7 @@ def load_all() -> dict[str, Query]:
     # importing the plan modules fills REGISTRY
     from . import q_metrics  # noqa: F401
     for mod in ("q_quality", "q_prep", "q_lowrank", "q_posterior", "q_chains",
-                "q_trials", "q_sources", "q_streaming"):
+                "q_sources"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # module not written yet
