@@ -65,6 +65,10 @@ class KernelSpec:
         # every kernel here is stationary: k(x, x) = 1
         return F.lit(1.0)
 
+    def diag_np(self, X: np.ndarray) -> np.ndarray:
+        """k(x, x) per row (1 for the stationary kernels here)."""
+        return np.ones(len(X))
+
     # ---- NumPy block form ------------------------------------------------------
     def block(self, X: np.ndarray, Y: np.ndarray) -> np.ndarray:
         X = np.asarray(X, dtype=np.float64)

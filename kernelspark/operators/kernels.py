@@ -102,15 +102,38 @@ def trace(points: DataFrame, kernel: KernelSpec, key="id", features="features")
 # ---- K10, K11: median heuristic ------------------------------------------------------------------
 
 def pair_distances(sample: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
-                   include_self: bool = True) -> DataFrame:
-    """All ordered pairs of a bounded sample with their L2 (or L1 for laplace) distance."""
-    a = sample.select(F.col(key).alias("i"), F.col(features).cast("array<double>").alias("_a"))
-    b = sample.select(F.col(key).alias("j"), F.col(features).cast("array<double>").alias("_b"))
-    pairs = a.join(F.broadcast(b), how="inner")   # b: ≤ MAX_MEDIAN_SAMPLE rows, checked by callers
-    if not include_self:
-        pairs = pairs.filter(F.col("i") != F.col("j"))
-    dist = A.l1dist("_a", "_b") if kernel.metric == "l1" else F.sqrt(A.sqdist("_a", "_b"))
-    return pairs.select("i", "j", dist.alias("dist"))
+                   include_self: bool = True, max_rows: int = MAX_MEDIAN_SAMPLE) -> DataFrame:
+    """All ordered pairs of a bounded sample with their L2 (or L1 for laplace) distance.
+
+    The sample (≤ max_rows × d, checked) is broadcast; every Arrow batch of
+    sample rows computes its distance block by NumPy and emits it long.
+    """
+    _check_small(sample, "pair_distances", max_rows=max_rows)
+    rows = sample.select(F.col(key).cast("long").alias("k"), F.col(features).cast("array<double>").alias("x")) \
+        .orderBy("k").collect()
+    ids = np.array([r["k"] for r in rows], dtype=np.int64)
+    bX = sample.sparkSession.sparkContext.broadcast(np.array([r["x"] for r in rows], dtype=np.float64))
+    metric = kernel.metric
+
+    def fn(batches):
+        Y = bX.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf["x"].to_numpy())
+            if metric == "l1":
+                D = np.abs(X[:, None, :] - Y[None, :, :]).sum(-1)
+            else:
+                D = np.sqrt(((X[:, None, :] - Y[None, :, :]) ** 2).sum(-1))
+            ii = np.repeat(pdf["k"].to_numpy().astype(np.int64), len(Y))
+            jj = np.tile(ids, len(X))
+            out = pd.DataFrame({"i": ii, "j": jj, "dist": D.ravel()})
+            if not include_self:
+                out = out[out["i"] != out["j"]]
+            yield out
+
+    src = sample.select(F.col(key).cast("long").alias("k"), F.col(features).cast("array<double>").alias("x"))
+    return src.mapInPandas(fn, "i long, j long, dist double")
 
 
 def median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
@@ -119,8 +142,7 @@ def median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", fea
 
     Exact over all rows; refuses tables above ``max_rows`` (use K11 there).
     """
-    _check_small(points, "median_bandwidth", max_rows=max_rows)
-    d = pair_distances(points, kernel, key, features, include_self)
+    d = pair_distances(points, kernel, key, features, include_self, max_rows=max_rows)
     return d.agg(F.percentile("dist", 0.5).alias("bandwidth"), F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -186,6 +208,10 @@ class UserKernel(KernelSpec):
     def diag(self) -> Column:
         return None  # callers use point(x, x)
 
+    def diag_np(self, X):
+        X = np.asarray(X, dtype=np.float64)
+        return np.array([float(self.block(x[None, :], x[None, :])[0, 0]) for x in X])
+
     def sql(self, a, b):
         raise ValueError("user kernels have no SQL form")
 

@@ -1,25 +1,22 @@
 """Pivoted Cholesky low-rank factors and kernel regression on Spark.
 
-State is one DataFrame ``(id, x, f, d)``: features, the factor row built so
-far (``array<double>``) and the residual diagonal. A pivot with features
-x_p, factor row f_p and residual r_p appends, for every row,
-
-    g(x) = (k(x, x_p) − f(x)·f_p) / √r_p,     d ← max(d − g², 0)
-
-as Catalyst expressions: no Python on the hot path, one scan per round.
-Each round is ONE aggregate job that returns only pivot-sized data (the
-chosen row(s), the residual trace and its max). The driver keeps pivots
-(k × d) and small b×b blocks, never N-sized data. The state is persisted
-per round and reliably checkpointed every few rounds, so lineage stays short
-and a lost executor recomputes at most a few rounds.
+The only per-row state is the cached table ``(id, x)``. The driver holds
+the pivots P (k × d) and the lower-triangular L with L Lᵀ = K_PP. Each round
+is ONE single-stage job (``round_pass``): every Arrow batch recomputes
+G = L⁻¹ k(P, x) and the residual d = k(x, x) − ‖G‖² with BLAS, and each
+partition returns only its best row per draw plus (Σd, max d, n). Nothing
+N-sized moves, nothing shuffles, and lineage never grows: a lost executor
+recomputes one round. Recompute costs O(n k d) per round, which stays below
+the cost of reading x for k up to a few hundred; the accelerated variant
+divides the number of rounds by the block size.
 
 Pivot rules
 -----------
 greedy (L5)        arg-max residual, ties by lowest id
-rp (L1)            one draw ∝ residual: Gumbel-max on keyed md5 noise
+rp (L1)            one draw ∝ residual: Gumbel-max on keyed md5 noise (SQL-repeatable)
 uniform (L6)       P1 sample order, null pivots (residual < 1e-14) skipped
-accelerated (L3)   b iid draws ∝ residual (b Gumbel-max aggregates in one
-                   pass), accepted by rejection on the driver's b×b block
+accelerated (L3)   b iid draws ∝ residual (independent Gumbel-max per draw in
+                   one pass), accepted by rejection on the driver's b×b block
 block (L2)         2b iid draws, unique in draw order, first b, regularised
 """
 
@@ -39,12 +36,10 @@ from pyspark.sql import types as T
 from ..functions import arrays as A
 from ..functions import rng
 from ..functions.kernels import KernelSpec
-from ..session import ensure_checkpoint_dir
 from .kernels import kernel_diag_col
 
 # Fixed values shared with the reference's numerics.
 NULL_PIVOT = 1e-14          # residual below this is a null pivot / stop
-CKPT_EVERY = 8              # rounds between reliable checkpoints
 
 
 @dataclass
@@ -58,7 +53,7 @@ class Pivot:
 
 @dataclass
 class Factor:
-    state: DataFrame
+    points: DataFrame            # cached (id, x)
     kernel: KernelSpec
     pivots: list = field(default_factory=list)
     trace: float = 0.0
@@ -73,7 +68,9 @@ class Factor:
         return len(self.pivots)
 
     def factor_df(self) -> DataFrame:
-        return self.state.select("id", "f", F.col("d").alias("residual"))
+        """Factor rows (id, f, residual): one lazy Arrow pass F(x) = L⁻¹ k(P, x)."""
+        P = np.array([p.x for p in self.pivots], dtype=np.float64)
+        return factor_from_pivots(self.points, self.kernel, P, self.chol(), features="x")
 
     def pivots_df(self, spark: SparkSession) -> DataFrame:
         rows = [(p.rank, int(p.id), float(p.resid), float(e), float(t), [float(v) for v in p.x])
@@ -98,98 +95,140 @@ class Factor:
         return L
 
 
-# ---------------------------------------------------------------- state -------
-
-def init_state(points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features") -> DataFrame:
-    x = F.col(features).cast("array<double>")
-    return points.select(F.col(key).cast("long").alias("id"), x.alias("x"),
-                         F.array().cast("array<double>").alias("f"), kernel_diag_col(kernel, x).alias("d"))
+# ---------------------------------------------------------------- round pass ---
 
+def cache_points(points: DataFrame, key: str = "id", features: str = "features") -> DataFrame:
+    """The only per-row state: ``(id, x)``, persisted once for all rounds."""
+    return points.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
-def append_columns(state: DataFrame, kernel: KernelSpec, new: list[Pivot]) -> DataFrame:
-    """Add one factor column per pivot (chained expressions, no job)."""
-    s = state
-    for p in new:
-        kx = kernel.point(F.col("x"), A.lit_vector(p.x))
-        proj = A.dot(F.col("f"), A.lit_vector(p.fvec)) if len(p.fvec) else F.lit(0.0)
-        g = (kx - proj) / F.lit(math.sqrt(p.resid))
-        s = s.withColumn("_g", g).select(
-            "id", "x", F.concat(F.col("f"), F.array(F.col("_g"))).alias("f"),
-            F.greatest(F.col("d") - F.col("_g") * F.col("_g"), F.lit(0.0)).alias("d"))
-    return s
 
+def _mix64(a: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser on uint64 (vectorised keyed hashing)."""
+    z = a.astype(np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-class _Rounds:
-    """Persist each round; reliable checkpoint every CKPT_EVERY rounds."""
 
-    def __init__(self, spark: SparkSession, every: int = CKPT_EVERY):
-        self.prev: DataFrame | None = None
-        self.every = every
-        self.i = 0
-        ensure_checkpoint_dir(spark)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.i += 1
-        if self.every and self.i % self.every == 0:
-            df = df.checkpoint(eager=True)
-        else:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        if self.prev is not None:
-            self.prev.unpersist(blocking=False)
-        self.prev = df
-        return df
+def fast_gumbel_np(ids: np.ndarray, rnd: int, draw: int, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = _mix64(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                   + _mix64(np.full(len(ids), (seed * 1_000_003 + rnd) * 65_537 + draw, dtype=np.uint64)))
+    u = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / 4503599627370496.0
+    return -np.log(-np.log(u))
 
 
-def _row_struct() -> Column:
-    return F.struct("id", "x", "f", "d")
+def md5_gumbel_np(ids: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """Same numbers as ``rng.gumbel`` / ``rng.gumbel_sql`` (md5 keyed)."""
+    return np.array([-math.log(-math.log(rng.u01_py(int(i), draw, seed) + 0.5 / rng.TWO52)) for i in ids])
 
 
-def _round_aggs(keys: list[Column]) -> list[Column]:
-    out = [F.max_by(_row_struct(), kc).alias(f"c{i}") for i, kc in enumerate(keys)]
-    out += [F.sum("d").alias("tr"), F.max("d").alias("dmax"), F.count(F.lit(1)).alias("n")]
-    return out
+def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray, rule: str, rnd: int,
+               seed: int = 42, draws: int = 1):
+    """ONE single-stage job: every Arrow batch recomputes G = L⁻¹ k(P, x) and d = k(x,x) − ‖G‖²,
+    and each partition returns only its best row per draw plus (Σd, max d, n).
 
+    rule: 'greedy' (max d, ties by lowest id), 'rp' (max log d + md5 Gumbel), 'iid' (``draws``
+    independent Gumbel-max draws ∝ d, xxhash-style keys). Returns (candidates per draw, tr, dmax, n).
+    """
+    sc = pts.sparkSession.sparkContext
+    bP, bL = sc.broadcast(np.asarray(P, dtype=np.float64)), sc.broadcast(np.asarray(L, dtype=np.float64))
+    k = P.shape[0] if P.size else 0
 
-def _pivot_from_row(r, rank: int) -> Pivot:
-    return Pivot(rank, int(r["id"]), list(r["x"]), list(r["f"]), float(r["d"]))
+    def fn(batches):
+        best = {}
+        tr, dmax, n = 0.0, 0.0, 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            ids = pdf["id"].to_numpy().astype(np.int64)
+            X = np.stack(pdf["x"].to_numpy())
+            if k:
+                G = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
+                d = np.maximum(kernel.diag_np(X) - (G * G).sum(1), 0.0)
+            else:
+                G = np.zeros((len(X), 0))
+                d = kernel.diag_np(X)
+            tr += float(d.sum())
+            dmax = max(dmax, float(d.max()))
+            n += len(X)
+            for i in range(draws):
+                if rule == "greedy":
+                    order = np.lexsort((ids, -d))          # max d, then lowest id
+                    j = int(order[0])
+                    key = (float(d[j]), -int(ids[j]))
+                else:
+                    with np.errstate(divide="ignore"):
+                        ld = np.where(d > 0, np.log(np.where(d > 0, d, 1.0)), -np.inf)
+                    g = md5_gumbel_np(ids, rnd, seed) if rule == "rp" else fast_gumbel_np(ids, rnd, i, seed)
+                    kv = ld + g
+                    j = int(np.argmax(kv))
+                    if not np.isfinite(kv[j]):
+                        continue
+                    key = (float(kv[j]), 0)
+                if i not in best or key > best[i][0]:
+                    best[i] = (key, int(ids[j]), X[j].tolist(), G[j].tolist(), float(d[j]))
+        rows = [dict(kind="cand", draw=i, k1=b[0][0], k2=b[0][1], id=b[1], x=b[2], f=b[3], d=b[4],
+                     tr=None, dmax=None, n=None) for i, b in best.items()]
+        rows.append(dict(kind="sum", draw=-1, k1=None, k2=None, id=None, x=None, f=None, d=None, tr=tr,
+                         dmax=dmax, n=n))
+        yield pd.DataFrame(rows)
+
+    schema = ("kind string, draw int, k1 double, k2 long, id long, x array<double>, f array<double>, d double, "
+              "tr double, dmax double, n long")
+    out = pts.mapInPandas(fn, schema).collect()   # ≤ partitions × (draws + 1) rows
+    tr = sum(r["tr"] for r in out if r["kind"] == "sum")
+    dmax = max([r["dmax"] for r in out if r["kind"] == "sum"] or [0.0])
+    n = sum(r["n"] for r in out if r["kind"] == "sum")
+    cands = {}
+    for r in out:
+        if r["kind"] != "cand":
+            continue
+        key = (r["k1"], r["k2"])
+        if r["draw"] not in cands or key > cands[r["draw"]][0]:
+            cands[r["draw"]] = (key, r)
+    return [cands[i][1] for i in sorted(cands)], tr, dmax, n
+
+
+def _grow(P: np.ndarray, L: np.ndarray, x, fvec, resid: float):
+    m = L.shape[0]
+    L2 = np.zeros((m + 1, m + 1))
+    L2[:m, :m] = L
+    L2[m, :m] = fvec
+    L2[m, m] = math.sqrt(resid)
+    P2 = np.asarray(x, dtype=np.float64)[None, :] if m == 0 else np.vstack([P, np.asarray(x, dtype=np.float64)])
+    return P2, L2
 
 
 # ---------------------------------------------------------------- L1, L5 ------
 
 def pivoted_cholesky(points: DataFrame, kernel: KernelSpec, k: int, method: str = "greedy",
-                     seed: int = 42, tol: float = 0.0, key: str = "id", features: str = "features",
-                     checkpoint_every: int = CKPT_EVERY) -> Factor:
-    """L5 (greedy) / L1 (rp): one pivot per round, one aggregate job per round.
+                     seed: int = 42, tol: float = 0.0, key: str = "id", features: str = "features") -> Factor:
+    """L5 (greedy) / L1 (rp): one pivot per round, one single-stage job per round.
 
     Stops early (L7) when the max residual is ≤ 1e-14 or the residual trace
     is ≤ tol · trace.
     """
     if method not in ("greedy", "rp"):
         raise ValueError("method must be 'greedy' or 'rp'")
-    spark = points.sparkSession
-    rounds = _Rounds(spark, checkpoint_every)
-    state = rounds.keep(init_state(points, kernel, key, features))
-    fac = Factor(state, kernel, method=method)
+    pts = cache_points(points, key, features)
+    fac = Factor(pts, kernel, method=method)
+    P, L = np.zeros((0, 0)), np.zeros((0, 0))
     t0 = time.time()
     for j in range(k + 1):
-        if method == "greedy":
-            kc = F.struct(F.col("d"), -F.col("id"))
-        else:
-            kc = F.when(F.col("d") > 0, F.log(F.col("d")) + rng.gumbel(F.col("id"), j, seed))
-        r = state.agg(*_round_aggs([kc])).first()
+        cands, tr, dmax, n = round_pass(pts, kernel, P, L, method, j, seed)
         if j == 0:
-            fac.trace, fac.n = float(r["tr"] or 0.0), int(r["n"])
+            fac.trace, fac.n = tr, n
         else:
-            fac.errors.append(float(r["tr"]) / fac.trace if fac.trace > 0 else 0.0)
+            fac.errors.append(tr / fac.trace if fac.trace > 0 else 0.0)
             fac.elapsed.append(time.time() - t0)
         fac.rounds += 1
-        if j == k or r["c0"] is None or (r["dmax"] or 0.0) <= NULL_PIVOT or \
-                (tol > 0 and float(r["tr"]) <= tol * fac.trace):
+        if j == k or not cands or dmax <= NULL_PIVOT or (tol > 0 and tr <= tol * fac.trace):
             break
-        p = _pivot_from_row(r["c0"], j + 1)
-        fac.pivots.append(p)
-        state = rounds.keep(append_columns(state, kernel, [p]))
-    fac.state = state
+        c = cands[0]
+        fac.pivots.append(Pivot(j + 1, int(c["id"]), list(c["x"]), list(c["f"]), float(c["d"])))
+        P, L = _grow(P, L, c["x"], c["f"], float(c["d"]))
     return fac
 
 
@@ -199,19 +238,15 @@ def uniform_cholesky(points: DataFrame, kernel: KernelSpec, k: int, seed: int =
                      features: str = "features") -> Factor:
     """Pivots in keyed-uniform order without replacement; null pivots skipped.
 
-    Candidates are drawn in pages of k (TakeOrdered, k rows per page); the
-    Cholesky of the candidates runs on the driver, then one pass appends
-    all accepted columns.
+    Candidates come in pages of k (TakeOrdered, k rows per page); their
+    Cholesky runs on the driver; one pass then gives every prefix error.
     """
-    spark = points.sparkSession
-    state = init_state(points, kernel, key, features)
-    base = state.withColumn("_u", rng.u01(F.col("id"), "uniform", seed))
-    tr = state.agg(F.sum("d").alias("tr"), F.count(F.lit(1)).alias("n")).first()
-    fac = Factor(state, kernel, trace=float(tr["tr"]), n=int(tr["n"]), method="uniform")
+    pts = cache_points(points, key, features)
+    base = pts.withColumn("_u", rng.u01(F.col("id"), "uniform", seed))
+    fac = Factor(pts, kernel, method="uniform")
     t0 = time.time()
     accepted: list[Pivot] = []
-    P = np.zeros((0, 0))
-    L = np.zeros((0, 0))
+    P, L = np.zeros((0, 0)), np.zeros((0, 0))
     offset = None
     while len(accepted) < k:
         page = base if offset is None else base.filter(
@@ -229,18 +264,11 @@ def uniform_cholesky(points: DataFrame, kernel: KernelSpec, k: int, seed: int =
             resid = kx - float(fvec @ fvec)
             if resid < NULL_PIVOT:
                 continue
-            m = len(accepted)
-            accepted.append(Pivot(m + 1, int(r["id"]), list(map(float, x)), list(map(float, fvec)), resid))
-            P = x[None, :] if m == 0 else np.vstack([P, x[None, :]])
-            L2 = np.zeros((m + 1, m + 1))
-            L2[:m, :m] = L
-            L2[m, :m] = fvec
-            L2[m, m] = math.sqrt(resid)
-            L = L2
+            accepted.append(Pivot(len(accepted) + 1, int(r["id"]), list(map(float, x)), list(map(float, fvec)), resid))
+            P, L = _grow(P, L, x, fvec, resid)
         if len(rows) < k:
             break
     fac.pivots = accepted
-    fac.state = append_columns(state, kernel, accepted).persist(StorageLevel.MEMORY_AND_DISK)
     _fill_errors(fac, t0)
     return fac
 
@@ -255,31 +283,45 @@ def _forward(L: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _fill_errors(fac: Factor, t0: float) -> None:
-    """Per-rank errors from one pass: Σ_x f_r(x)² per rank r."""
+    """Every prefix error from ONE pass: partial Σ_x G_r(x)² per rank r, plus n and Σ k(x,x)."""
     k = fac.k
-    if k == 0:
-        return
-    sq = fac.state.select(F.posexplode("f").alias("r", "v")).groupBy("r").agg(F.sum(F.col("v") * F.col("v")).alias("s"))
-    s = {int(r["r"]): float(r["s"]) for r in sq.collect()}   # k rows
+    P = np.array([p.x for p in fac.pivots], dtype=np.float64)
+    Lc = fac.chol()
+    sc = fac.points.sparkSession.sparkContext
+    bP, bL = sc.broadcast(P), sc.broadcast(Lc)
+    kernel = fac.kernel
+
+    def part(batches):
+        acc = np.zeros(k + 2)
+        seen = False
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            seen = True
+            X = np.stack(pdf["x"].to_numpy())
+            if k:
+                G = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
+                acc[:k] += (G * G).sum(0)
+            acc[k] += len(X)
+            acc[k + 1] += float(kernel.diag_np(X).sum())
+        if seen:
+            yield pd.DataFrame({"pos": np.arange(k + 2, dtype=np.int64), "v": acc})
+
+    tot = fac.points.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
+    vec = np.zeros(k + 2)
+    for r in tot:
+        vec[int(r["pos"])] = float(r["v"])
+    fac.n, fac.trace = int(vec[k]), float(vec[k + 1])
+    fac.errors, fac.elapsed = [], []
     acc = 0.0
     for r in range(k):
-        acc += s.get(r, 0.0)
-        fac.errors.append(max(fac.trace - acc, 0.0) / fac.trace if fac.trace > 0 else 0.0)
+        acc += vec[r]
+        fac.errors.append(float(max(fac.trace - acc, 0.0) / fac.trace) if fac.trace > 0 else 0.0)
         fac.elapsed.append(time.time() - t0)
 
 
 # ---------------------------------------------------------------- L2, L3, L4, L20 ---
 
-def _draw_candidates(state: DataFrame, b: int, rnd: int, seed: int):
-    """b iid draws ∝ residual in ONE pass: b independent Gumbel-max aggregates."""
-    keys = [F.when(F.col("d") > 0, F.log(F.col("d")) + rng.fast_gumbel(F.col("id"), F.lit(rnd), F.lit(i),
-                                                                        F.lit(seed)))
-            for i in range(b)]
-    r = state.agg(*_round_aggs(keys)).first()
-    cands = [r[f"c{i}"] for i in range(b)]
-    return cands, r
-
-
 def rejection_cholesky(H: np.ndarray, dprop: np.ndarray, u: np.ndarray, limit: int):
     """L4: sequential rejection on the b×b residual block.
 
@@ -309,40 +351,34 @@ def _driver_u(seed: int, rnd: int, i: int) -> float:
 
 
 def accelerated_cholesky(points: DataFrame, kernel: KernelSpec, k: int, b: int | str = 32, seed: int = 42,
-                         tol: float = 0.0, key: str = "id", features: str = "features", mode: str = "accelerated",
-                         checkpoint_every: int = 4) -> Factor:
+                         tol: float = 0.0, key: str = "id", features: str = "features",
+                         mode: str = "accelerated") -> Factor:
     """L3 (mode='accelerated') and L2 (mode='block').
 
-    One aggregate job per round draws b (or 2b) candidates ∝ residual with
-    replacement and returns their rows; the driver works on the b×b block:
-    rejection (L3) or a regularised block Cholesky of the first b unique
-    draws in draw order (L2). ``b='auto'`` grows b while the driver step is
-    cheap relative to the job (L3).
+    One single-stage job per round draws b (or 2b) candidates ∝ residual with
+    replacement (independent Gumbel-max per draw; a partition sends only its
+    local winners) and returns their rows; the driver works on the b×b
+    block: rejection (L3) or a regularised block Cholesky of the first b
+    unique draws in draw order (L2). ``b='auto'`` grows b while the driver
+    step is cheap relative to the job (L3).
     """
-    spark = points.sparkSession
-    rounds = _Rounds(spark, checkpoint_every)
-    state = rounds.keep(init_state(points, kernel, key, features))
-    fac = Factor(state, kernel, method=mode)
+    pts = cache_points(points, key, features)
+    fac = Factor(pts, kernel, method=mode)
     auto = b == "auto"
     bb = 16 if auto else int(b)
     t0 = time.time()
     rnd = 0
+    P, L = np.zeros((0, 0)), np.zeros((0, 0))
     while True:
         draws = 2 * bb if mode == "block" else bb
         tj = time.time()
-        cands, r = _draw_candidates(state, draws, rnd, seed)
+        cands, tr, dmax, n = round_pass(pts, kernel, P, L, "iid", rnd, seed, draws)
         t_job = time.time() - tj
         if rnd == 0:
-            fac.trace, fac.n = float(r["tr"] or 0.0), int(r["n"])
-        else:
-            fac.errors.append(float(r["tr"]) / fac.trace if fac.trace > 0 else 0.0)
-            fac.elapsed.append(time.time() - t0)
+            fac.trace, fac.n = tr, n
         fac.rounds += 1
         remaining = k - fac.k
-        if remaining <= 0 or (r["dmax"] or 0.0) <= NULL_PIVOT or (tol > 0 and float(r["tr"]) <= tol * fac.trace):
-            break
-        cands = [c for c in cands if c is not None]
-        if not cands:
+        if remaining <= 0 or dmax <= NULL_PIVOT or (tol > 0 and tr <= tol * fac.trace) or not cands:
             break
         td = time.time()
         if mode == "block":
@@ -359,54 +395,36 @@ def accelerated_cholesky(points: DataFrame, kernel: KernelSpec, k: int, b: int |
         dprop = np.array([c["d"] for c in cands])
         if mode == "block":
             reg = np.finfo(float).eps * len(cands) * 2 * max(float(np.max(np.diag(H))), 0.0)
-            Hr = H + reg * np.eye(len(cands))
-            acc, res, G = rejection_cholesky(Hr, np.zeros(len(cands)), np.zeros(len(cands)), remaining)
+            acc, res, G = rejection_cholesky(H + reg * np.eye(len(cands)), np.zeros(len(cands)),
+                                             np.zeros(len(cands)), remaining)
         else:
             u = np.array([_driver_u(seed, rnd, i) for i in range(len(cands))])
             acc, res, G = rejection_cholesky(H, dprop, u, remaining)
-        new = []
         for j, (i, hii) in enumerate(zip(acc, res)):
             fvec = list(map(float, Fc[i])) + list(map(float, G[i, :j]))
-            new.append(Pivot(fac.k + j + 1, int(cands[i]["id"]), list(map(float, X[i])), fvec, float(hii)))
-        # per-pivot errors inside a round are filled at the next round's job
-        fac.pivots.extend(new)
-        if len(new) > 1:
-            fac.errors.extend([float("nan")] * (len(new) - 1))
-            fac.elapsed.extend([float("nan")] * (len(new) - 1))
-        if new:
-            state = rounds.keep(append_columns(state, kernel, new))
+            fac.pivots.append(Pivot(fac.k + 1, int(cands[i]["id"]), list(map(float, X[i])), fvec, float(hii)))
+            P, L = _grow(P, L, X[i], fvec, float(hii))
         t_drv = time.time() - td
         if auto and t_drv < 0.1 * t_job and bb < 512:
             bb *= 2
         rnd += 1
-    fac.state = state
-    _fill_errors_exact(fac)
+    _fill_errors(fac, t0)
     return fac
 
 
-def _fill_errors_exact(fac: Factor) -> None:
-    """Replace per-pivot errors with exact prefix errors from the factor."""
-    if fac.k == 0:
-        fac.errors = []
-        return
-    el = fac.elapsed[:]
-    fac.errors, fac.elapsed = [], []
-    _fill_errors(fac, 0.0)
-    fac.elapsed = [e if e == e else 0.0 for e in (el + [0.0] * fac.k)[:fac.k]]
-
-
 # ---------------------------------------------------------------- L8, L9, L21 ---
 
 def error_by_rank(fac: Factor) -> DataFrame:
     """Rank, pivot id, relative trace error and elapsed time from one factor."""
-    return fac.pivots_df(fac.state.sparkSession).drop("features")
+    return fac.pivots_df(fac.points.sparkSession).drop("features")
 
 
 def factor_stats(fac: Factor, spark: SparkSession) -> DataFrame:
     """L8 + run stats: one row (k, n, traces, relative error, kernel queries, rounds)."""
-    err = fac.errors[-1] if fac.errors else 1.0
-    row = [(fac.method, len(fac.pivots), fac.n, fac.trace, fac.trace * (1 - err), fac.trace * err, err,
-            int(fac.n * (fac.k + 1)), fac.rounds)]
+    err = float(fac.errors[-1]) if fac.errors else 1.0
+    tr = float(fac.trace)
+    row = [(fac.method, len(fac.pivots), int(fac.n), tr, tr * (1 - err), tr * err, err,
+            int(fac.n * (fac.k + 1)), int(fac.rounds))]
     return spark.createDataFrame(row, "method string, k_actual int, n long, trace_K double, trace_FFt double, "
                                       "trace_residual double, rel_trace_error double, kernel_queries long, "
                                       "rounds int")
@@ -527,7 +545,7 @@ def factor_from_pivots(points: DataFrame, kernel: KernelSpec, pivot_x: np.ndarra
         X = np.stack(pdf["x"].to_numpy())
         Kxp = kernel.block(X, bP.value)                    # n_b × k
         Fm = np.linalg.solve(bL.value, Kxp.T).T if bL.value.size else np.zeros((len(X), 0))
-        diag = np.ones(len(X))                             # stationary kernels
+        diag = kernel.diag_np(X)
         res = np.maximum(diag - (Fm * Fm).sum(1), 0.0)
         return pd.DataFrame({"id": pdf["id"].astype("int64"), "f": list(Fm), "residual": res})
 

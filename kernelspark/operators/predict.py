@@ -84,7 +84,7 @@ def pivot_predict(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.ndarray,
             Fm = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
             lat = Fm @ bV.value.T                                   # n_b × S
             if noise:
-                kxx = np.ones(len(X))                                # stationary kernels
+                kxx = kernel.diag_np(X)
                 var = np.maximum(kxx - (Fm * Fm).sum(1), var_floor)
                 ids = pdf["id"].to_numpy()
                 eps = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(lat.shape[1]) for i in ids])
