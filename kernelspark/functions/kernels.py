@@ -16,6 +16,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,8 +162,6 @@ def matern_np(r: np.ndarray, nu: float) -> np.ndarray:
 
 
 def matern_general_udf(nu: float):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def _matern(r: pd.Series) -> pd.Series:
         return pd.Series(matern_np(r.to_numpy(dtype=np.float64), nu))

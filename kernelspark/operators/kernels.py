@@ -224,3 +224,22 @@ def kernel_diag_col(kernel: KernelSpec, x: Column) -> Column:
 def point_kernel_col(kernel: KernelSpec, a, b: Sequence[float]) -> Column:
     """k(x, v) for a row column ``a`` and a driver vector ``v``."""
     return kernel.point(A.col(a), A.lit_vector(b))
+
+
+class ResidualKernel(UserKernel):
+    """k_res(z, z') = k(x, x') − F(x)·F(x') on rows z = [x (d values), F(x) (k values)].
+
+    The conditional (residual) kernel left after a low-rank factor; used to
+    factor a predictive covariance implicitly, never as a matrix (R5).
+    """
+
+    def __init__(self, base: KernelSpec, d: int):
+        def blk(Z1, Z2):
+            return base.block(Z1[:, :d], Z2[:, :d]) - Z1[:, d:] @ Z2[:, d:].T
+        super().__init__(lambda a, b: None, blk, name="residual")
+        object.__setattr__(self, "_base", base)
+        object.__setattr__(self, "_d", d)
+
+    def diag_np(self, X):
+        X = np.asarray(X, dtype=np.float64)
+        return np.maximum(self._base.diag_np(X[:, :self._d]) - (X[:, self._d:] ** 2).sum(1), 0.0)

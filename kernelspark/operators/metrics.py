@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import join_null_safe, prefix_sums, row_numbers
+from .ordered import exact_quantiles, join_null_safe, prefix_sums, row_numbers
 
 # Fixed values that must equal the reference's for equal results.
 EPS = 1e-12            # probability clip
@@ -420,8 +420,8 @@ def diagnostic_points(df: DataFrame, key="id", y="y", p="p", threshold=0.5) -> D
                                                          key, "y", "p"))
     # median-uncertainty correct: the lower median of conf among correct rows
     corr = d.filter("correct")
-    med = corr.agg(F.percentile("conf", 0.5).alias("m"))
-    mid = corr.crossJoin(med).withColumn("dist", F.abs(F.col("conf") - F.col("m"))) \
+    med = exact_quantiles(corr, [], "conf", [0.5], ["m"])       # distributed exact median, one row
+    mid = corr.crossJoin(F.broadcast(med)).withColumn("dist", F.abs(F.col("conf") - F.col("m"))) \
         .orderBy("dist", key).limit(1) \
         .select(F.lit(3).alias("rank"), F.lit("median_uncertainty_correct").alias("role"), key, "y", "p")
     parts.append(mid)

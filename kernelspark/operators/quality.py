@@ -45,10 +45,13 @@ def resolve_images(manifest: DataFrame, files: DataFrame, ref: str = "image", pa
                    ext: str | None = ".png") -> DataFrame:
     """Q1 tiers: exact path, path + ext, basename, basename + ext (first hit wins).
 
-    Adds ``resolved`` (the matched path or NULL) and ``tier`` (1–4).
+    Adds ``resolved`` (the matched path or NULL) and ``tier`` (1–4). Empty
+    references skip the joins (they would all hash to one partition).
     """
     r = F.trim(F.coalesce(F.col(ref).cast("string"), F.lit("")))
-    m = manifest.withColumn("_ref", r)
+    m_all = manifest.withColumn("_ref", r)
+    m = m_all.filter(F.col("_ref") != "")
+    empty = m_all.filter(F.col("_ref") == "")
     p = files.select(F.col(path).alias("_path")).distinct()
     by_base = p.groupBy(basename(F.col("_path")).alias("_base")).agg(F.min("_path").alias("_bpath"))
 
@@ -67,12 +70,14 @@ def resolve_images(manifest: DataFrame, files: DataFrame, ref: str = "image", pa
         m = m.join(b4, cond4, "left").drop("_k4")
     else:
         m = m.withColumn("_p4", F.lit(None).cast("string"))
-    empty = F.col("_ref") == ""
-    resolved = F.when(empty, F.lit(None)).otherwise(F.coalesce("_p1", "_p2", "_p3", "_p4"))
-    tier = F.when(empty, F.lit(None)).when(F.col("_p1").isNotNull(), 1).when(F.col("_p2").isNotNull(), 2) \
+    resolved = F.coalesce("_p1", "_p2", "_p3", "_p4")
+    tier = F.when(F.col("_p1").isNotNull(), 1).when(F.col("_p2").isNotNull(), 2) \
         .when(F.col("_p3").isNotNull(), 3).when(F.col("_p4").isNotNull(), 4)
-    return m.withColumn("resolved", resolved).withColumn("tier", tier.cast("int")) \
+    hit = m.withColumn("resolved", resolved).withColumn("tier", tier.cast("int")) \
         .drop("_ref", "_p1", "_p2", "_p3", "_p4")
+    miss = empty.drop("_ref").withColumn("resolved", F.lit(None).cast("string")) \
+        .withColumn("tier", F.lit(None).cast("int"))
+    return hit.unionByName(miss)
 
 
 def audit(manifest: DataFrame, files: DataFrame, emb_stems: DataFrame, ref: str = "image",
@@ -80,10 +85,11 @@ def audit(manifest: DataFrame, files: DataFrame, emb_stems: DataFrame, ref: str
     """Q1: status per row: OK / MISSING_IMG / MISSING_EMB (embedding = resolved path without extension)."""
     r = resolve_images(manifest, files, ref, path, ext)
     stems = emb_stems.select(F.col(stem).alias("_stem")).distinct()
-    r = r.join(stems, strip_ext(r["resolved"]) == stems["_stem"], "left")
-    status = F.when(F.col("resolved").isNull(), "MISSING_IMG").when(F.col("_stem").isNull(), "MISSING_EMB") \
-        .otherwise("OK")
-    return r.withColumn("status", status).drop("_stem")
+    found = r.filter(F.col("resolved").isNotNull())
+    found = found.join(stems, strip_ext(found["resolved"]) == stems["_stem"], "left")
+    found = found.withColumn("status", F.when(F.col("_stem").isNull(), "MISSING_EMB").otherwise("OK")).drop("_stem")
+    lost = r.filter(F.col("resolved").isNull()).withColumn("status", F.lit("MISSING_IMG"))
+    return found.unionByName(lost)
 
 
 def orphans(audited: DataFrame, files: DataFrame, path: str = "path", exts: Sequence[str] = IMAGE_EXTS) -> DataFrame:

@@ -44,9 +44,14 @@ def sweep_grid(sizes: DataFrame, methods: DataFrame, n: str = "n", method: str =
 
 def latest_results(log: DataFrame, keys: Sequence[str], ts: str = "run_timestamp_utc",
                    fields: Sequence[str] = (), tie: str | None = None) -> DataFrame:
-    """The newest row per key; blank strings → NULL, numeric fields cast to double."""
-    order = [F.col(ts).desc()] + ([F.col(tie).desc()] if tie else [])
-    w = Window.partitionBy(*keys).orderBy(*order)
-    r = log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return r.select(*keys, ts, *[F.nullif(F.trim(F.col(f).cast("string")), F.lit("")).try_cast("double")
-                                 .alias(f) for f in fields])
+    """The newest row per key; blank strings → NULL, numeric fields cast to double.
+
+    A ``max_by`` aggregate (partial aggregation per task), not a window, so a
+    key holding a third of the log is combined map-side, never sorted in one task.
+    """
+    order = F.struct(F.col(ts), *([F.col(tie)] if tie else []))
+    payload = F.struct(F.col(ts).alias("_ts"), *[F.col(f).alias(f) for f in fields])
+    r = log.groupBy(*keys).agg(F.max_by(payload, order).alias("_row"))
+    return r.select(*keys, F.col("_row._ts").alias(ts),
+                    *[F.nullif(F.trim(F.col(f"_row.{f}").cast("string")), F.lit("")).try_cast("double").alias(f)
+                      for f in fields])

@@ -230,3 +230,34 @@ def q_nystrom_factor(spark, sf):
     fr = L.factor_from_pivots(e.select("id", "features"), fac.kernel, Px, Lc)
     return fr.join(e.select("id", "split"), "id").groupBy("split").agg(
         F.avg("residual").alias("mean_residual"), F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- K4, K16 ---------
+
+@register("matern_general", None, ops=("K4",))
+def q_matern_general(spark, sf):
+    """General-ν Matérn (ν = 1) on aligned pairs through a vectorised pandas UDF,
+    next to the closed form at ν = 3⁄2 and its general-ν evaluation (they must agree)."""
+    e = _points(spark, sf)
+    j = e.select("id", F.col("features").alias("a")).join(
+        e.select((F.col("id") - 1).alias("id"), F.col("features").alias("b")), "id")
+    k1 = KernelSpec("matern", 2.0, 1.0).point("a", "b")
+    k15 = KernelSpec("matern", 2.0, 1.5).point("a", "b")
+    k15g = KernelSpec("matern", 2.0, 1.5 + 1e-9).point("a", "b")
+    return j.select("id", k1.alias("k_nu1"), k15.alias("k_nu15_closed"), k15g.alias("k_nu15_general"))
+
+
+_USER_SQL = (f"SELECT a.id AS id, {A.dot_sql('a.features', 'b.features')} AS k_linear, "
+             f"pow(1.0 + {A.dot_sql('a.features', 'b.features')}, 2) AS k_poly2 "
+             f"FROM ({V.EMB_SQL}) a JOIN ({V.EMB_SQL}) b ON b.id = a.id + 1")
+
+
+@register("user_kernel", _USER_SQL, ("k_linear", "k_poly2"), ops=("K16", "U1"))
+def q_user_kernel(spark, sf):
+    """Caller-supplied kernels (a Column function + a NumPy block): linear and degree-2 polynomial."""
+    lin = K.UserKernel(A.dot, lambda X, Y: X @ Y.T, name="linear")
+    poly = K.UserKernel(lambda a, b: F.pow(F.lit(1.0) + A.dot(a, b), 2), lambda X, Y: (1 + X @ Y.T) ** 2, "poly2")
+    e = _points(spark, sf)
+    j = e.select("id", F.col("features").alias("a")).join(
+        e.select((F.col("id") - 1).alias("id"), F.col("features").alias("b")), "id")
+    return j.select("id", lin.point("a", "b").alias("k_linear"), poly.point("a", "b").alias("k_poly2"))

@@ -315,3 +315,23 @@ def q_weighted_loss(spark, sf):
     lt = -M.log_term(F.col("y"), M.clip_p(F.col("p")))
     batches = d.groupBy("source", "grp").agg(F.avg(lt).alias("loss"), F.count(F.lit(1)).alias("n"))
     return M.weighted_loss(batches, group_by=["source"])
+
+
+# ---------------------------------------------------------------- E24 -------------
+
+_DIAG_SQL = (f"WITH d AS (SELECT id, y, p, CAST(p >= 0.5 AS INTEGER) = y AS correct, abs(p - 0.5) AS conf "
+             f"FROM ({V.PREDS2_SQL})), "
+             "a AS (SELECT 0 AS rank, 'most_confident_correct' AS role, id, y, p FROM (SELECT * FROM d WHERE correct "
+             "ORDER BY conf DESC, id LIMIT 1) "
+             "UNION ALL SELECT 1, 'most_confident_incorrect', id, y, p FROM (SELECT * FROM d WHERE NOT correct "
+             "ORDER BY conf DESC, id LIMIT 1) "
+             "UNION ALL SELECT 2, 'most_uncertain', id, y, p FROM (SELECT * FROM d ORDER BY conf ASC, id LIMIT 1) "
+             "UNION ALL SELECT 3, 'median_uncertainty_correct', id, y, p FROM (SELECT * FROM d WHERE correct ORDER BY "
+             "abs(conf - (SELECT quantile_cont(conf, 0.5) FROM d WHERE correct)), id LIMIT 1)) "
+             "SELECT CAST(rank AS INTEGER) AS rank, role, id, y, p FROM (SELECT *, row_number() OVER (PARTITION BY id "
+             "ORDER BY rank) AS r FROM a) WHERE r = 1")
+
+
+@register("diagnostic_points", _DIAG_SQL, ("p",), ops=("E24",))
+def q_diag_points(spark, sf):
+    return M.diagnostic_points(V.preds2(spark, sf), "id", "y", "p")

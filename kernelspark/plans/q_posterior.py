@@ -217,3 +217,15 @@ def q_precision(spark, sf):
     d = np.abs(a - b)
     return spark.createDataFrame([(float(d.mean()), float(d.max()), N_NU)],
                                  "mean_abs_diff double, max_abs_diff double, n_nu int")
+
+
+@register("joint_predictive", None, ops=("R5", "L3"))
+def q_joint(spark, sf):
+    """Joint draws over the test rows; summary per row plus the report of the mean probability."""
+    e = V.emb(spark, sf)
+    fr, ker, Px, Lc = _pipeline_factor(spark, sf)
+    nu, cov, _, _ = PO.laplace(fr.filter("split = 'train'"))
+    d = R.joint_predictive_draws(e.filter("split = 'test'").select("id", "features"), ker, Px, Lc, nu, cov,
+                                 n_draws=32, rank=16, b=8)
+    s = R.summarize_draws(d)
+    return M.binary_report(s.join(e.select("id", "y"), "id"), "y", "prob_mean")
