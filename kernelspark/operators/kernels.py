@@ -102,11 +102,14 @@ def trace(points: DataFrame, kernel: KernelSpec, key="id", features="features")
 # ---- K10, K11: median heuristic ------------------------------------------------------------------
 
 def pair_distances(sample: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
-                   include_self: bool = True, max_rows: int = MAX_MEDIAN_SAMPLE) -> DataFrame:
-    """All ordered pairs of a bounded sample with their L2 (or L1 for laplace) distance.
+                   include_self: bool = True, max_rows: int = MAX_MEDIAN_SAMPLE, symmetric: bool = False) -> DataFrame:
+    """Ordered pairs of a bounded sample with their L2 (or L1 for laplace) distance.
 
     The sample (≤ max_rows × d, checked) is broadcast; every Arrow batch of
-    sample rows computes its distance block by NumPy and emits it long.
+    sample rows computes its distance block by NumPy and emits it long, with
+    a ``weight`` column. ``symmetric=True`` emits each unordered pair i < j once
+    with weight 2 (and the diagonal with weight 1): the same multiset as all
+    ordered pairs, in half the rows.
     """
     _check_small(sample, "pair_distances", max_rows=max_rows)
     rows = sample.select(F.col(key).cast("long").alias("k"), F.col(features).cast("array<double>").alias("x")) \
@@ -127,13 +130,16 @@ def pair_distances(sample: DataFrame, kernel: KernelSpec, key: str = "id", featu
                 D = np.sqrt(((X[:, None, :] - Y[None, :, :]) ** 2).sum(-1))
             ii = np.repeat(pdf["k"].to_numpy().astype(np.int64), len(Y))
             jj = np.tile(ids, len(X))
-            out = pd.DataFrame({"i": ii, "j": jj, "dist": D.ravel()})
+            out = pd.DataFrame({"i": ii, "j": jj, "dist": D.ravel(), "weight": np.ones(len(ii), dtype=np.int64)})
+            if symmetric:
+                out = out[out["i"] <= out["j"]]
+                out.loc[out["i"] < out["j"], "weight"] = 2
             if not include_self:
                 out = out[out["i"] != out["j"]]
             yield out
 
     src = sample.select(F.col(key).cast("long").alias("k"), F.col(features).cast("array<double>").alias("x"))
-    return src.mapInPandas(fn, "i long, j long, dist double")
+    return src.mapInPandas(fn, "i long, j long, dist double, weight long")
 
 
 def median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
@@ -141,9 +147,11 @@ def median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", fea
     """Median of all ordered pairwise distances (diagonal included by default).
 
     Exact over all rows; refuses tables above ``max_rows`` (use K11 there).
+    Symmetry halves the work: unordered pairs carry frequency 2.
     """
-    d = pair_distances(points, kernel, key, features, include_self, max_rows=max_rows)
-    return d.agg(F.percentile("dist", 0.5).alias("bandwidth"), F.count(F.lit(1)).alias("n_pairs"))
+    d = pair_distances(points, kernel, key, features, include_self, max_rows=max_rows, symmetric=True)
+    return d.agg(F.percentile("dist", F.lit(0.5), F.col("weight")).alias("bandwidth"),
+                 F.sum("weight").alias("n_pairs"))
 
 
 def approx_median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",

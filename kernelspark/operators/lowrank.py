@@ -132,6 +132,9 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
     rule: 'greedy' (max d, ties by lowest id), 'rp' (max log d + md5 Gumbel), 'iid' (``draws``
     independent Gumbel-max draws ∝ d, xxhash-style keys). Returns (candidates per draw, tr, dmax, n).
     """
+    from .kernels import MAX_BROADCAST_CELLS
+    if P.size + L.size > MAX_BROADCAST_CELLS:
+        raise ValueError(f"pivot state {P.shape} + {L.shape} exceeds the broadcast bound {MAX_BROADCAST_CELLS}")
     sc = pts.sparkSession.sparkContext
     bP, bL = sc.broadcast(np.asarray(P, dtype=np.float64)), sc.broadcast(np.asarray(L, dtype=np.float64))
     k = P.shape[0] if P.size else 0

@@ -5,17 +5,17 @@ are the same code. Inputs are columns ``y`` (0/1) and ``p`` (probability);
 probabilities are clipped to [1e-12, 1 − 1e-12] first, as the reference does.
 Undefined metrics are SQL NULL, never NaN.
 
-Shuffle budget of ``binary_report``: one partial-aggregated shuffle for the
-counts, one for the calibration bins, one for the distinct-score table that
-feeds AUROC/AUPRC, plus bucketed windows over distinct scores (see
-``ordered.prefix_sums``). Everything after the first aggregates is
-per-group sized.
+Shuffle budget of ``binary_report``: one scan and one map-side-combined
+shuffle of the input into the distinct-score table; every metric is then a
+sum over that table, plus bucketed windows over distinct scores for the
+ranking metrics (see ``ordered.prefix_sums``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,17 +239,34 @@ def binary_report(df: DataFrame, y="y", p="p", group_by=(), threshold=DEFAULT_TH
                   n_buckets: int = 64, draws: DataFrame | None = None) -> DataFrame:
     """One row per group with E1–E7, E10, E13, E14 (and E8 when ``draws`` given).
 
+    ONE scan and ONE shuffle of the input: rows are combined map-side into the
+    distinct-score table (group, p, positives, negatives). Counts, Brier,
+    likelihood, calibration bins and the ranking metrics are all sums over
+    that table, which has one row per distinct score (11 per group for the
+    tie-heavy driver table, at most one per row for continuous scores).
+
     ``draws`` (optional): columns ``draw``, ``y``, ``p`` (+ group columns) of
     posterior predictive probability samples, for PELL.
     """
     g = _g(group_by)
     d = prepare(df, y, p, g)
-    base = d.groupBy(*g).agg(*count_aggs(threshold)).select("*", *derived_rates(zero_policy))
-    bins = calibration_bins(d, g, n_bins, edges).groupBy(*g).agg(
-        F.sum(F.abs(F.col("sum_y") - F.col("sum_p"))).alias("_ece_num"))
-    s = prefix_sums(score_table(d, g), g, "_p", ["pos", "neg"], descending=True, n_buckets=n_buckets)
-    rk = s.groupBy(*g).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("_n_neg"),
+    s = score_table(d, g).persist(StorageLevel.MEMORY_AND_DISK)
+    P_, pos, neg = F.col("_p"), F.col("pos"), F.col("neg")
+    cnt = pos + neg
+    hi = P_ >= F.lit(threshold)
+    base = s.groupBy(*g).agg(
+        F.sum(cnt).alias("n"), F.sum(pos).alias("n_pos"), F.sum(neg).alias("_n_neg"),
+        F.sum(F.when(hi, pos).otherwise(0)).alias("tp"), F.sum(F.when(hi, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hi, neg).otherwise(0)).alias("tn"), F.sum(F.when(~hi, pos).otherwise(0)).alias("fn"),
+        F.sum(pos * (P_ - 1) * (P_ - 1) + neg * P_ * P_).alias("_sq"),
+        F.sum(pos * F.log(P_) + neg * F.log(F.lit(1.0) - P_)).alias("elpd"))
+    base = base.withColumn("brier", F.col("_sq") / F.col("n")).withColumn("elpd_mean", F.col("elpd") / F.col("n"))
+    base = base.select("*", *derived_rates(zero_policy))
+    binned = (s if edges == "left" else s.filter(P_ > 0)).withColumn("bin", _bin_col(n_bins, edges))
+    bins = binned.groupBy(*g, "bin").agg(F.sum(pos).alias("sum_y"), F.sum(cnt * P_).alias("sum_p")) \
+        .groupBy(*g).agg(F.sum(F.abs(F.col("sum_y") - F.col("sum_p"))).alias("_ece_num"))
+    ps = prefix_sums(s, g, "_p", ["pos", "neg"], descending=True, n_buckets=n_buckets)
+    rk = ps.groupBy(*g).agg(
         F.sum(F.col("pos") * F.col("cum_neg")).alias("_a1"),
         F.sum(F.col("pos") * F.col("neg")).alias("_a2"),
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_ap"))
