@@ -37,6 +37,8 @@ from ..functions import arrays as A
 from ..functions import rng
 from ..functions.kernels import KernelSpec
 from .kernels import kernel_diag_col
+from .partials import SCHEMA as PARTIAL
+from .partials import emit, tree_sum
 
 # Fixed values shared with the reference's numerics.
 NULL_PIVOT = 1e-14          # residual below this is a null pivot / stop
@@ -308,12 +310,9 @@ def _fill_errors(fac: Factor, t0: float) -> None:
             acc[k] += len(X)
             acc[k + 1] += float(kernel.diag_np(X).sum())
         if seen:
-            yield pd.DataFrame({"pos": np.arange(k + 2, dtype=np.int64), "v": acc})
+            yield emit(acc)
 
-    tot = fac.points.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
-    vec = np.zeros(k + 2)
-    for r in tot:
-        vec[int(r["pos"])] = float(r["v"])
+    vec = tree_sum(fac.points.mapInPandas(part, PARTIAL), k + 2)
     fac.n, fac.trace = int(vec[k]), float(vec[k + 1])
     fac.errors, fac.elapsed = [], []
     acc = 0.0
@@ -461,14 +460,9 @@ def gram(factor: DataFrame, f: str = "f", rhs: str | None = None, k: int | None
             if "r" in pdf:
                 b += Fm.T @ pdf["r"].to_numpy(dtype=np.float64)
         if seen:
-            yield pd.DataFrame({"pos": np.arange(kk * kk + kk, dtype=np.int64),
-                                "v": np.concatenate([G.ravel(), b])})
-
-    parts = src.mapInPandas(part, "pos long, v double")
-    tot = parts.groupBy("pos").agg(F.sum("v").alias("v")).collect()   # k² + k rows
-    vec = np.zeros(kk * kk + kk)
-    for r in tot:
-        vec[int(r["pos"])] = float(r["v"])
+            yield emit(np.concatenate([G.ravel(), b]))
+
+    vec = tree_sum(src.mapInPandas(part, PARTIAL), kk * kk + kk)   # one k² + k vector per partition
     G = vec[:kk * kk].reshape(kk, kk)
     return (G, vec[kk * kk:]) if rhs is not None else G
 
@@ -604,13 +598,10 @@ def nystrom_krr_fit(train: DataFrame, kernel: KernelSpec, landmarks: np.ndarray,
             G += K.T @ K
             b += K.T @ pdf["t"].to_numpy(dtype=np.float64)
         if seen:
-            yield pd.DataFrame({"pos": np.arange(m * m + m, dtype=np.int64), "v": np.concatenate([G.ravel(), b])})
+            yield emit(np.concatenate([G.ravel(), b]))
 
     src = train.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("t"))
-    tot = src.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
-    vec = np.zeros(m * m + m)
-    for r in tot:
-        vec[int(r["pos"])] = float(r["v"])
+    vec = tree_sum(src.mapInPandas(part, PARTIAL), m * m + m)
     KtK, Kty = vec[:m * m].reshape(m, m), vec[m * m:]
     Kmm = kernel.block(Lm, Lm)
     A_ = KtK + lam * Kmm

@@ -5,9 +5,9 @@ Model: latent f = F ν over the rows of a factor table ``(id, f, y)``,
 
 The unit of work is ONE pass over the factor rows for a whole batch of ν
 vectors (all chains or walkers at once): each Arrow batch computes
-Z = F_b Vᵀ, and emits partial log-likelihood sums (C values) and gradient
-sums Fᵀ(∂ℓ/∂f) (C × k values) as long rows; a groupBy sums them. Only
-C × k numbers reach the driver. Samplers and Newton steps are driver loops
+Z = F_b Vᵀ; each partition emits ONE vector of partial log-likelihood sums
+(C values) and gradient sums Fᵀ(∂ℓ/∂f) (C × k values), folded by a tree sum
+(``partials.tree_sum``). Only C × k numbers reach the driver. Samplers and Newton steps are driver loops
 over such passes: a step is a Spark job, so these samplers are meant for
 hundreds of steps with many chains in lock step; the Laplace approximation
 (≤ ~10 passes) is the default posterior.
@@ -24,6 +24,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .partials import SCHEMA as PARTIAL
+from .partials import emit, tree_sum
+
 # Fixed values that must equal the reference's.
 SIGMOID_EPS = 1e-10
 DUAL_AVG = dict(gamma=0.05, t0=10, kappa=0.75)
@@ -134,14 +137,10 @@ class FactorModel:
                     vals.append(g_s.ravel())
                 if want_h:
                     vals.append(h_s.ravel())
-                v = np.concatenate(vals)
-                yield pd.DataFrame({"pos": np.arange(len(v), dtype=np.int64), "v": v})
+                yield emit(np.concatenate(vals))
 
-        tot = self.df.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
         size = C + (C * k if grad else 0) + (k * k if hessian else 0)
-        vec = np.zeros(size)
-        for r in tot:
-            vec[int(r["pos"])] = float(r["v"])
+        vec = tree_sum(self.df.mapInPandas(part, PARTIAL), size)
         self.n_passes += 1
         ll = vec[:C]
         logp = ll - 0.5 * np.sum(V * V, axis=1)

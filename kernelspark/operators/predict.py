@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .partials import SCHEMA as PARTIAL
+from .partials import emit, tree_sum
+
 SUMMARY_OUT = [f"{pre}_{s}" for pre in ("prob", "latent")
                for s in ("mean", "variance", "std", "q05", "q50", "q95", "central_90_width")]
 
@@ -124,12 +127,12 @@ def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str,
             X = np.stack(pdf["x"].to_numpy())
             acc += kernel.block(bT.value, X) @ pdf["w"].to_numpy(dtype=np.float64)
         if seen:
-            yield pd.DataFrame({"pos": np.arange(len(acc), dtype=np.int64), "v": acc})
+            yield emit(acc)
 
     src = train.select(F.col(features).cast("array<double>").alias("x"), F.col(weight).cast("double").alias("w"))
-    tot = src.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("f_star"))
-    ids = train.sparkSession.createDataFrame([(int(i), int(t)) for i, t in enumerate(T_ids)], "pos long, id long")
-    return tot.join(F.broadcast(ids), "pos").select("id", "f_star")
+    acc = tree_sum(src.mapInPandas(part, PARTIAL), len(T_ids))          # n_test values (bounded)
+    spark = train.sparkSession
+    return spark.createDataFrame([(int(t), float(v)) for t, v in zip(T_ids, acc)], "id long, f_star double")
 
 
 def option_a_weights(factor: DataFrame, nu: np.ndarray, k: int) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from .ordered import row_numbers
+from .partials import SCHEMA as PARTIAL
+from .partials import emit, tree_sum
 
 U = "_u"
 
@@ -198,13 +200,9 @@ def pca_fit(df: DataFrame, dim: int, features: str = "features", where=None):
             s += X.sum(0)
             G += X.T @ X
         if n:
-            yield pd.DataFrame({"pos": np.arange(d * d + d + 1, dtype=np.int64),
-                                "v": np.concatenate([G.ravel(), s, [float(n)]])})
+            yield emit(np.concatenate([G.ravel(), s, [float(n)]]))
 
-    tot = src.mapInPandas(part, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
-    vec = np.zeros(d * d + d + 1)
-    for r in tot:
-        vec[int(r["pos"])] = float(r["v"])
+    vec = tree_sum(src.mapInPandas(part, PARTIAL), d * d + d + 1)
     G, s, n = vec[:d * d].reshape(d, d), vec[d * d:d * d + d], vec[-1]
     if n < dim:
         raise ValueError("fewer rows than components")
