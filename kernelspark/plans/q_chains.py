@@ -149,7 +149,30 @@ def q_tau_q(spark, sf):
     return D.tau_quantiles(t)
 
 
-@register("verdicts", None, ops=("D11",))
+def _verdict_sql():
+    def pref(p):
+        src = f"SELECT * FROM ({_C}) WHERE step < {p}"
+        return f"(WITH {_tau_sql(src)} SELECT avg(tau) FROM tau)"
+    return (f"WITH ft AS (SELECT {pref(500)} AS first_tau, {pref(2000)} AS last_tau), "
+            f"per AS (SELECT chain, avg(x) AS m, var_samp(x) AS v, count(*) AS n FROM ({_C}) GROUP BY chain), "
+            "rh AS (SELECT max(sqrt(((n - 1) / n * W + bn) / W)) AS rhat_max FROM (SELECT min(n) AS n, avg(v) AS W, "
+            "var_samp(m) AS bn FROM per)), "
+            f"tq AS (SELECT * FROM ({_TQ_SQL})), "
+            "j AS (SELECT first_tau, last_tau, rhat_max, tau_ratio, last_tau / first_tau AS ratio FROM ft, rh, tq), "
+            "v AS (SELECT *, CASE WHEN first_tau IS NULL OR last_tau IS NULL OR first_tau <= 0 THEN 'unavailable' "
+            "WHEN ratio >= 0.8 AND ratio <= 1.2 THEN 'stable' WHEN ratio <= 1.8 THEN 'mild bias' ELSE 'strong bias' END "
+            "AS length_stability, CASE WHEN rhat_max IS NULL THEN 'unavailable' WHEN rhat_max < 1.01 THEN 'chains agree' "
+            "WHEN rhat_max <= 1.05 THEN 'borderline' ELSE 'disagree' END AS chain_agreement, CASE WHEN tau_ratio IS NULL "
+            "THEN 'unavailable' WHEN tau_ratio <= 3.0 THEN 'no slow direction' WHEN tau_ratio <= 5.0 THEN 'mild' "
+            "ELSE 'hidden slow direction' END AS slow_direction FROM j) "
+            "SELECT first_tau, last_tau, rhat_max, tau_ratio, length_stability, chain_agreement, slow_direction, "
+            "CASE WHEN length_stability IN ('strong bias') OR chain_agreement IN ('disagree') OR slow_direction IN "
+            "('hidden slow direction') THEN 'sampling has problems' WHEN length_stability IN ('mild bias') OR "
+            "chain_agreement IN ('borderline') OR slow_direction IN ('mild') THEN 'tau may be biased' "
+            "ELSE 'tau values are reliable' END AS overall FROM v")
+
+
+@register("verdicts", _verdict_sql(), ("first_tau", "last_tau", "rhat_max", "tau_ratio"), ops=("D11",))
 def q_verdicts(spark, sf):
     ch = V.chain(spark, sf).select("chain", "step", "x")
     pre = D.tau_by_prefix(ch, "chain", prefixes=(500, 2000))

@@ -133,7 +133,8 @@ def q_extract(spark, sf):
                                                                              lambda a, v: a + v).alias("mass"))
 
 
-@register("pending_rows", None, ops=("P15",))
+@register("pending_rows", "SELECT page_id, url FROM pages WHERE " + rng.u01_sql("page_id", "'done'", "42") + " >= 0.5",
+          ops=("P15",))
 def q_pending(spark, sf):
     """Rows of pages whose features are not yet in the output (half marked done)."""
     pages = V.table(spark, sf, "pages").select("page_id", "url")
