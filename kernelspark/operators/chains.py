@@ -123,10 +123,11 @@ def integrated_time(df: DataFrame, keys, step: str = "step", x: str = "x", c: fl
     L = max(1, min(start_lag, n_max - 1))
     while True:
         a = acf(df, keys, step, x, L, norm="n", segment=segment)
-        r = _tau_from_acf(a, keys, c)
+        r = _tau_from_acf(a, keys, c).cache()        # one row per key
         missing = r.filter(F.col("_w").isNull()).count()
         if missing == 0 or L >= n_max - 1:
             break
+        r.unpersist()
         L = min(2 * L, n_max - 1)
     chosen = F.coalesce(F.col("_w"), F.col("_l"))
     out = r.join(mom, keys).select(

@@ -41,55 +41,54 @@ def strip_ext(c: Column) -> Column:
 
 # ---- Q1–Q4 --------------------------------------------------------------------------------
 
+def _salt() -> Column:
+    """A per-row key that matches nothing (paths never start with NUL): rows without a
+    usable key keep a spread-out join key instead of one hot NULL key."""
+    return F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+
+
 def resolve_images(manifest: DataFrame, files: DataFrame, ref: str = "image", path: str = "path",
                    ext: str | None = ".png") -> DataFrame:
     """Q1 tiers: exact path, path + ext, basename, basename + ext (first hit wins).
 
     Adds ``resolved`` (the matched path or NULL) and ``tier`` (1–4). Empty
-    references skip the joins (they would all hash to one partition).
+    references get salted keys, so they stay in the same single pass without
+    sharing one partition.
     """
     r = F.trim(F.coalesce(F.col(ref).cast("string"), F.lit("")))
-    m_all = manifest.withColumn("_ref", r)
-    m = m_all.filter(F.col("_ref") != "")
-    empty = m_all.filter(F.col("_ref") == "")
+    m = manifest.withColumn("_ref", r).withColumn("_salt", _salt())
+    empty = F.col("_ref") == ""
     p = files.select(F.col(path).alias("_path")).distinct()
     by_base = p.groupBy(basename(F.col("_path")).alias("_base")).agg(F.min("_path").alias("_bpath"))
-
-    t1 = p.select(F.col("_path").alias("_k1"), F.col("_path").alias("_p1"))
-    m = m.join(t1, m["_ref"] == t1["_k1"], "left").drop("_k1")
-    if ext:
-        t2 = p.select(F.col("_path").alias("_k2"), F.col("_path").alias("_p2"))
-        m = m.join(t2, F.concat(m["_ref"], F.lit(ext)) == t2["_k2"], "left").drop("_k2")
-    else:
-        m = m.withColumn("_p2", F.lit(None).cast("string"))
-    b3 = by_base.select(F.col("_base").alias("_k3"), F.col("_bpath").alias("_p3"))
-    m = m.join(b3, basename(m["_ref"]) == b3["_k3"], "left").drop("_k3")
-    if ext:
-        b4 = by_base.select(F.col("_base").alias("_k4"), F.col("_bpath").alias("_p4"))
-        cond4 = (F.concat(basename(m["_ref"]), F.lit(ext)) == b4["_k4"]) & ~basename(m["_ref"]).endswith(ext)
-        m = m.join(b4, cond4, "left").drop("_k4")
-    else:
-        m = m.withColumn("_p4", F.lit(None).cast("string"))
-    resolved = F.coalesce("_p1", "_p2", "_p3", "_p4")
-    tier = F.when(F.col("_p1").isNotNull(), 1).when(F.col("_p2").isNotNull(), 2) \
+    base_ref = basename(F.col("_ref"))
+    keys = {
+        "_k1": F.when(empty, F.col("_salt")).otherwise(F.col("_ref")),
+        "_k2": F.when(empty | F.lit(not ext), F.col("_salt")).otherwise(F.concat(F.col("_ref"), F.lit(ext or ""))),
+        "_k3": F.when(empty, F.col("_salt")).otherwise(base_ref),
+        "_k4": F.when(empty | F.lit(not ext) | base_ref.endswith(ext or "\u0000"), F.col("_salt"))
+                .otherwise(F.concat(base_ref, F.lit(ext or ""))),
+    }
+    m = m.select("*", *[v.alias(k) for k, v in keys.items()])
+    m = m.join(p.select(F.col("_path").alias("_k1"), F.col("_path").alias("_p1")), "_k1", "left")
+    m = m.join(p.select(F.col("_path").alias("_k2"), F.col("_path").alias("_p2")), "_k2", "left")
+    m = m.join(by_base.select(F.col("_base").alias("_k3"), F.col("_bpath").alias("_p3")), "_k3", "left")
+    m = m.join(by_base.select(F.col("_base").alias("_k4"), F.col("_bpath").alias("_p4")), "_k4", "left")
+    resolved = F.when(empty, F.lit(None).cast("string")).otherwise(F.coalesce("_p1", "_p2", "_p3", "_p4"))
+    tier = F.when(empty, F.lit(None)).when(F.col("_p1").isNotNull(), 1).when(F.col("_p2").isNotNull(), 2) \
         .when(F.col("_p3").isNotNull(), 3).when(F.col("_p4").isNotNull(), 4)
-    hit = m.withColumn("resolved", resolved).withColumn("tier", tier.cast("int")) \
-        .drop("_ref", "_p1", "_p2", "_p3", "_p4")
-    miss = empty.drop("_ref").withColumn("resolved", F.lit(None).cast("string")) \
-        .withColumn("tier", F.lit(None).cast("int"))
-    return hit.unionByName(miss)
+    return m.select(*manifest.columns, resolved.alias("resolved"), tier.cast("int").alias("tier"))
 
 
 def audit(manifest: DataFrame, files: DataFrame, emb_stems: DataFrame, ref: str = "image",
           path: str = "path", stem: str = "stem", ext: str | None = ".png") -> DataFrame:
     """Q1: status per row: OK / MISSING_IMG / MISSING_EMB (embedding = resolved path without extension)."""
     r = resolve_images(manifest, files, ref, path, ext)
-    stems = emb_stems.select(F.col(stem).alias("_stem")).distinct()
-    found = r.filter(F.col("resolved").isNotNull())
-    found = found.join(stems, strip_ext(found["resolved"]) == stems["_stem"], "left")
-    found = found.withColumn("status", F.when(F.col("_stem").isNull(), "MISSING_EMB").otherwise("OK")).drop("_stem")
-    lost = r.filter(F.col("resolved").isNull()).withColumn("status", F.lit("MISSING_IMG"))
-    return found.unionByName(lost)
+    stems = emb_stems.select(F.col(stem).alias("_k5")).distinct().withColumn("_hit", F.lit(True))
+    k5 = F.when(F.col("resolved").isNull(), _salt()).otherwise(strip_ext(F.col("resolved")))
+    j = r.withColumn("_k5", k5).join(stems, "_k5", "left")
+    status = F.when(F.col("resolved").isNull(), "MISSING_IMG").when(F.col("_hit").isNull(), "MISSING_EMB") \
+        .otherwise("OK")
+    return j.select(*r.columns, status.alias("status"))
 
 
 def orphans(audited: DataFrame, files: DataFrame, path: str = "path", exts: Sequence[str] = IMAGE_EXTS) -> DataFrame:
@@ -111,7 +110,14 @@ def clean_manifest(audited: DataFrame) -> DataFrame:
 
 def audit_summary(audited: DataFrame, files: DataFrame, split: str = "split", path: str = "path") -> DataFrame:
     """Q4: per split: rows_total, rows_ok, rows_missing_image, rows_missing_embedding,
-    images_on_disk, orphan_images."""
+    images_on_disk, orphan_images.
+
+    The audited manifest feeds three branches, so it is persisted once
+    (manifest-sized) instead of re-running its joins per branch.
+    """
+    from pyspark import StorageLevel
+
+    audited = audited.persist(StorageLevel.MEMORY_AND_DISK)
     a = audited.groupBy(split).agg(
         F.count(F.lit(1)).alias("rows_total"), F.count_if(F.col("status") == "OK").alias("rows_ok"),
         F.count_if(F.col("status") == "MISSING_IMG").alias("rows_missing_image"),
