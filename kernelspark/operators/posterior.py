@@ -201,7 +201,7 @@ def laplace_draws(nu: np.ndarray, cov: np.ndarray, n_draws: int, seed: int = 42)
 
 def run_sampler(factor: DataFrame, kind: str = "rwm", n_steps: int = 100, n_warmup: int = 50, n_chains: int = 4,
                 step_size: float = 0.1, n_leapfrog: int = 5, link: str = "sigmoid", seed: int = 42,
-                target_accept: float = 0.8, adapt: bool = True, **kw):
+                target_accept: float = 0.8, adapt: bool = True, proposal=None, **kw):
     """RWM (M4), MALA (M5), HMC with dual averaging (M6), many walkers (M7 = kind 'ensemble'),
     independent chains (M9 = the chain axis). One Spark pass scores every chain at once.
 
@@ -228,7 +228,8 @@ def run_sampler(factor: DataFrame, kind: str = "rwm", n_steps: int = 100, n_warm
     for i in range(n_steps + n_warmup):
         t0 = time.perf_counter()
         if base == "rwm":
-            prop = nu + eps[:, None] * rng.standard_normal((C, k))
+            # A caller-supplied symmetric proposal (driver callable on C × k arrays)
+            prop = proposal(nu, eps, rng) if proposal is not None else nu + eps[:, None] * rng.standard_normal((C, k))
             lp_prop, _, _ = m.score(prop, grad=False)
             log_a = lp_prop - logp
             g_prop = None

@@ -335,3 +335,18 @@ _DIAG_SQL = (f"WITH d AS (SELECT id, y, p, CAST(p >= 0.5 AS INTEGER) = y AS corr
 @register("diagnostic_points", _DIAG_SQL, ("p",), ops=("E24",))
 def q_diag_points(spark, sf):
     return M.diagnostic_points(V.preds2(spark, sf), "id", "y", "p")
+
+
+# ---------------------------------------------------------------- E2 (alternative policy) --
+
+_MAX1_SQL = (f"WITH d AS ({S.prepared(V.PREDS2_SQL, ['grp'])}), c AS ({S.counts_cte(['grp'], 0.5)}) "
+             "SELECT grp, tp, fp, tn, fn, CAST(tp AS DOUBLE) / greatest(tp + fn, 1) AS tpr, "
+             "1.0 - CAST(tp AS DOUBLE) / greatest(tp + fn, 1) AS fnr, CAST(tn AS DOUBLE) / greatest(tn + fp, 1) AS tnr, "
+             "1.0 - CAST(tn AS DOUBLE) / greatest(tn + fp, 1) AS fpr FROM c")
+
+
+@register("rates_zero_policy_max1", _MAX1_SQL, ("tpr", "fnr", "tnr", "fpr"), ops=("E2",))
+def q_rates_max1(spark, sf):
+    """The alternative zero-denominator policy: divide by max(·, 1) (per user, some one-class)."""
+    c = M.confusion(V.preds2(spark, sf), group_by=["grp"], zero_policy="max1")
+    return c.select("grp", "tp", "fp", "tn", "fn", "tpr", "fnr", "tnr", "fpr")

@@ -229,3 +229,20 @@ def q_joint(spark, sf):
                                  n_draws=32, rank=16, b=8)
     s = R.summarize_draws(d)
     return M.binary_report(s.join(e.select("id", "y"), "id"), "y", "prob_mean")
+
+
+@register("log_posterior_probit", None, ops=("M1", "M2", "M3"))
+def q_probit(spark, sf):
+    """Probit-link log posterior and gradient norm for 3 ν vectors (stable log Φ, no scipy)."""
+    e = V.emb(spark, sf).select(F.col("features").alias("f"), "y")
+    lp = PO.log_posterior(e, _nus(_DIM), link="probit")
+    return lp.groupBy("chain").agg(F.first("logp").alias("logp"), F.sqrt(F.sum(F.col("grad") * F.col("grad")))
+                                   .alias("grad_norm"))
+
+
+@register("sampler_custom_proposal", None, ops=("U1", "M4"))
+def q_custom_proposal(spark, sf):
+    """Random-walk Metropolis with a caller-supplied symmetric proposal (uniform box)."""
+    def box(nu, eps, rng):
+        return nu + eps[:, None] * rng.uniform(-1.0, 1.0, size=nu.shape)
+    return _sampler("rwm", spark, sf, n_steps=20, n_warmup=10, n_chains=4, step_size=0.3, proposal=box)

@@ -336,3 +336,31 @@ def q_log_stream(spark, sf):
     INC.run_results_log(spark, f"{src}/*", schema, log, ck, to_rows, {"experiment": "per_user"})
     back = SK.read_results(spark, log)
     return back.select("record_id", F.col("n_test").try_cast("bigint").alias("n_test"))
+
+
+# ---- S4 --------------------------------------------------------------------------------------------
+
+_S4_SQL = ("SELECT layout, image_column, n, n_distinct FROM (VALUES ('A', 'Image_Path'), ('B', 'patch'), "
+           "('C', 'ref_name')) t(layout, image_column), "
+           "(SELECT count(*) AS n, count(DISTINCT doc_id) AS n_distinct FROM labels)")
+
+
+@register("image_column_detection", _S4_SQL, ops=("S4",))
+def q_detect(spark, sf):
+    """Manifests written with three headers; the image column is detected from each header."""
+    from ..operators import quality as Q
+    path = scratch(spark, "detect")
+    lb = V.table(spark, sf, "labels")
+    img = F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    layouts = {"A": lb.select(img.alias("Image_Path"), F.col("quality").alias("label")),
+               "B": lb.select(F.col("doc_id").alias("id"), img.alias("patch"), F.col("quality").alias("label")),
+               "C": lb.select(img.alias("ref_name"), F.col("quality").alias("label"))}
+    out = None
+    for name, df in layouts.items():
+        df.write.option("header", True).csv(f"{path}/{name}")
+        raw = spark.read.option("header", True).csv(f"{path}/{name}")
+        col = Q.detect_image_column(raw.columns)
+        r = raw.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.col(col)).alias("n_distinct")) \
+            .select(F.lit(name).alias("layout"), F.lit(col).alias("image_column"), "n", "n_distinct")
+        out = r if out is None else out.unionByName(r)
+    return out
