@@ -262,3 +262,30 @@ def test_rp_first_pivot_frequency(spark):
     expected = 200 * np.array(vals) / sum(vals)
     chi2 = ((counts - expected) ** 2 / expected).sum()
     assert chi2 < 16.27   # 3 dof, p = 0.001
+
+
+def numpy_roc(y, p):
+    """Reference algorithm: distinct thresholds descending, collinear middle points dropped, origin added."""
+    order = np.argsort(-p, kind="mergesort")
+    ps, ys = p[order], y[order]
+    idx = np.r_[np.where(np.diff(ps))[0], len(ps) - 1]
+    tps = np.cumsum(ys)[idx]
+    fps = (1 + idx) - tps
+    thr = ps[idx]
+    if len(fps) > 2:
+        keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+        fps, tps, thr = fps[keep], tps[keep], thr[keep]
+    return sorted([(None, 0.0, 0.0)] + [(float(t), f / fps[-1], s / tps[-1]) for t, f, s in zip(thr, fps, tps)],
+                  key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_roc_curve_matches_numpy(spark, seed):
+    df, y, p = random_preds(spark, 250, seed)
+    got = sorted([(r.threshold, r.fpr, r.tpr) for r in M.roc_curve(df, n_buckets=8).collect()],
+                 key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0))
+    want = numpy_roc(np.asarray(y), np.asarray(p, dtype=float))
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] or a[0] == pytest.approx(b[0])
+        assert a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
