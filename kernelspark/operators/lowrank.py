@@ -183,6 +183,8 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
     schema = ("kind string, draw int, k1 double, k2 long, id long, x array<double>, f array<double>, d double, "
               "tr double, dmax double, n long")
     out = pts.mapInPandas(fn, schema).collect()   # ≤ partitions × (draws + 1) rows
+    bP.destroy()
+    bL.destroy()
     tr = sum(r["tr"] for r in out if r["kind"] == "sum")
     dmax = max([r["dmax"] for r in out if r["kind"] == "sum"] or [0.0])
     n = sum(r["n"] for r in out if r["kind"] == "sum")
@@ -313,6 +315,8 @@ def _fill_errors(fac: Factor, t0: float) -> None:
             yield emit(acc)
 
     vec = tree_sum(fac.points.mapInPandas(part, PARTIAL), k + 2)
+    bP.destroy()
+    bL.destroy()
     fac.n, fac.trace = int(vec[k]), float(vec[k + 1])
     fac.errors, fac.elapsed = [], []
     acc = 0.0
@@ -602,6 +606,7 @@ def nystrom_krr_fit(train: DataFrame, kernel: KernelSpec, landmarks: np.ndarray,
 
     src = train.select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("t"))
     vec = tree_sum(src.mapInPandas(part, PARTIAL), m * m + m)
+    bc.destroy()
     KtK, Kty = vec[:m * m].reshape(m, m), vec[m * m:]
     Kmm = kernel.block(Lm, Lm)
     A_ = KtK + lam * Kmm

@@ -141,6 +141,7 @@ class FactorModel:
 
         size = C + (C * k if grad else 0) + (k * k if hessian else 0)
         vec = tree_sum(self.df.mapInPandas(part, PARTIAL), size)
+        bc.destroy()      # one broadcast per step: release it, samplers run thousands
         self.n_passes += 1
         ll = vec[:C]
         logp = ll - 0.5 * np.sum(V * V, axis=1)
