@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 # Fixed values that must equal the reference's.
 TAU_WINDOW_C = 5.0                 # auto-window constant
-EMCEE_FACTOR = 50.0                # warn when n < 50 τ
+SHORT_CHAIN_FACTOR = 50.0                # warn when n < 50 τ
 VAR_FLOOR = 1e-12                  # ACF of a flat chain is 0
 RHAT_PASS, RHAT_MARGINAL = 1.01, 1.05
 ACCEPT_BANDS = {"rwm": (0.15, 0.35), "mala": (0.45, 0.70), "hmc": (0.70, 0.90)}
@@ -133,7 +133,7 @@ def integrated_time(df: DataFrame, keys, step: str = "step", x: str = "x", c: fl
     out = r.join(mom, keys).select(
         *keys, F.greatest(chosen["taus"], F.lit(1.0)).alias("tau"), chosen["lag"].alias("win_lag"), "n")
     mom.unpersist()
-    return out.withColumn("warn", F.col("n") < F.lit(EMCEE_FACTOR) * F.col("tau"))
+    return out.withColumn("warn", F.col("n") < F.lit(SHORT_CHAIN_FACTOR) * F.col("tau"))
 
 
 def tau_summary(tau: DataFrame, group=()) -> DataFrame:
@@ -157,7 +157,7 @@ def tau_by_prefix(df: DataFrame, dim: str, step: str = "step", x: str = "x",
         out = s if out is None else out.unionByName(s)
     if out is None:
         raise ValueError("no prefix length fits the chain")
-    return out.withColumn("emcee_warning", F.col("any_warn") | ~(F.col("chain_length") >= F.lit(EMCEE_FACTOR)
+    return out.withColumn("short_chain_warning", F.col("any_warn") | ~(F.col("chain_length") >= F.lit(SHORT_CHAIN_FACTOR)
                                                                   * F.col("tau_mean")))
 
 

@@ -91,7 +91,7 @@ def _prefix_sql():
                      "SELECT avg(tau) AS tau_mean, max(tau) AS tau_max, quantile_cont(tau, 0.5) AS tau_median, "
                      "bool_or(warn) AS any_warn, count(*) AS n_dims FROM tau)")
     u = " UNION ALL ".join(parts)
-    return f"SELECT *, any_warn OR NOT (chain_length >= 50.0 * tau_mean) AS emcee_warning FROM ({u})"
+    return f"SELECT *, any_warn OR NOT (chain_length >= 50.0 * tau_mean) AS short_chain_warning FROM ({u})"
 
 
 @register("tau_by_prefix", _prefix_sql(), ("tau_mean", "tau_max", "tau_median"), ops=("D5",))

@@ -43,9 +43,9 @@ def q_layouts(spark, sf):
     e = V.emb(spark, sf)
     for sp in ("train", "valid", "test"):
         part = e.filter(F.col("split") == sp)
-        part.select("id", "features").write.parquet(f"{root}/camelyon-hg/{sp}/embeddings/projected_512")
-        part.select("id", F.col("y").alias("label")).write.parquet(f"{root}/camelyon-hg/{sp}/embeddings/y_embeddings")
-    got = RD.load_embeddings(spark, root, "camelyon", "val")
+        part.select("id", "features").write.parquet(f"{root}/patches-hg/{sp}/embeddings/projected_512")
+        part.select("id", F.col("y").alias("label")).write.parquet(f"{root}/patches-hg/{sp}/embeddings/y_embeddings")
+    got = RD.load_embeddings(spark, root, "patches", "val")
     return got.select("id", "label", F.size("features").alias("dim"))
 
 
