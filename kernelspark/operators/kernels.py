@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.kernels import KernelSpec
 from . import prep
+from .partials import bounded_broadcast
 
 # A broadcast side is allowed only below this many rows × dims (doubles).
-MAX_BROADCAST_CELLS = 8_000_000      # 64 MB of doubles
+from .partials import MAX_BROADCAST_CELLS  # noqa: E402  (one shared bound)
 MAX_MEDIAN_SAMPLE = 2000             # sample rows for the median heuristic
 
 
@@ -56,7 +57,7 @@ def kernel_block(points: DataFrame, centers: DataFrame, kernel: KernelSpec, key:
     _check_small(centers, "kernel_block centers", dim=dim)
     crow = centers.select(center_key, F.col(features).cast("array<double>").alias("f")).orderBy(center_key).collect()
     C = np.array([r["f"] for r in crow], dtype=np.float64)
-    bc = points.sparkSession.sparkContext.broadcast(C)
+    bc = bounded_broadcast(points.sparkSession, C, "kernel_block centers")
     schema = f"{key} long, {out} array<double>"
 
     def fn(batches):
@@ -115,7 +116,7 @@ def pair_distances(sample: DataFrame, kernel: KernelSpec, key: str = "id", featu
     rows = sample.select(F.col(key).cast("long").alias("k"), F.col(features).cast("array<double>").alias("x")) \
         .orderBy("k").collect()
     ids = np.array([r["k"] for r in rows], dtype=np.int64)
-    bX = sample.sparkSession.sparkContext.broadcast(np.array([r["x"] for r in rows], dtype=np.float64))
+    bX = bounded_broadcast(sample.sparkSession, np.array([r["x"] for r in rows], dtype=np.float64), "median sample")
     metric = kernel.metric
 
     def fn(batches):

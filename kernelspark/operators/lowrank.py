@@ -38,7 +38,7 @@ from ..functions import rng
 from ..functions.kernels import KernelSpec
 from .kernels import kernel_diag_col
 from .partials import SCHEMA as PARTIAL
-from .partials import emit, tree_sum
+from .partials import bounded_broadcast, emit, tree_sum
 
 # Fixed values shared with the reference's numerics.
 NULL_PIVOT = 1e-14          # residual below this is a null pivot / stop
@@ -138,7 +138,7 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
     if P.size + L.size > MAX_BROADCAST_CELLS:
         raise ValueError(f"pivot state {P.shape} + {L.shape} exceeds the broadcast bound {MAX_BROADCAST_CELLS}")
     sc = pts.sparkSession.sparkContext
-    bP, bL = sc.broadcast(np.asarray(P, dtype=np.float64)), sc.broadcast(np.asarray(L, dtype=np.float64))
+    bP, bL = bounded_broadcast(sc, P, "pivots"), bounded_broadcast(sc, L, "pivot Cholesky")
     k = P.shape[0] if P.size else 0
 
     def fn(batches):
@@ -295,7 +295,7 @@ def _fill_errors(fac: Factor, t0: float) -> None:
     P = np.array([p.x for p in fac.pivots], dtype=np.float64)
     Lc = fac.chol()
     sc = fac.points.sparkSession.sparkContext
-    bP, bL = sc.broadcast(P), sc.broadcast(Lc)
+    bP, bL = bounded_broadcast(sc, P, "pivots"), bounded_broadcast(sc, Lc, "pivot Cholesky")
     kernel = fac.kernel
 
     def part(batches):
@@ -494,7 +494,7 @@ def eig_factor(factor: DataFrame, k: int | None = None, rel_tol: float = 1e-12):
     keep = s > rel_tol * max(float(s[0]) if len(s) else 0.0, 0.0)
     s, U = s[keep], U[:, keep]
     W = U / np.sqrt(s)[None, :]
-    bc = factor.sparkSession.sparkContext.broadcast(W)
+    bc = bounded_broadcast(factor.sparkSession, W, "eigenvector map")
 
     def fn(pdf):
         Fm = np.stack(pdf["f"].to_numpy())
@@ -540,7 +540,7 @@ def factor_from_pivots(points: DataFrame, kernel: KernelSpec, pivot_x: np.ndarra
     kernel block and one triangular solve by BLAS.
     """
     sc = points.sparkSession.sparkContext
-    bP, bL = sc.broadcast(np.asarray(pivot_x, dtype=np.float64)), sc.broadcast(np.asarray(L, dtype=np.float64))
+    bP, bL = bounded_broadcast(sc, pivot_x, "pivots"), bounded_broadcast(sc, L, "pivot Cholesky")
 
     def fn(pdf):
         X = np.stack(pdf["x"].to_numpy())
@@ -587,7 +587,7 @@ def nystrom_krr_fit(train: DataFrame, kernel: KernelSpec, landmarks: np.ndarray,
     """
     Lm = np.asarray(landmarks, dtype=np.float64)
     m = Lm.shape[0]
-    bc = train.sparkSession.sparkContext.broadcast(Lm)
+    bc = bounded_broadcast(train.sparkSession, Lm, "landmarks")
 
     def part(batches):
         G = np.zeros((m, m))
@@ -623,7 +623,7 @@ def nystrom_krr_predict(test: DataFrame, kernel: KernelSpec, landmarks: np.ndarr
                         key: str = "id", features: str = "features") -> DataFrame:
     """Prediction K(x, landmarks)·β per row (Arrow batches)."""
     sc = test.sparkSession.sparkContext
-    bL, bB = sc.broadcast(np.asarray(landmarks, dtype=np.float64)), sc.broadcast(np.asarray(beta))
+    bL, bB = bounded_broadcast(sc, landmarks, "landmarks"), bounded_broadcast(sc, beta, "KRR weights")
 
     def fn(pdf):
         X = np.stack(pdf["x"].to_numpy())

@@ -45,3 +45,17 @@ def tree_sum(partials: DataFrame, size: int, direct_cells: int = 4_000_000) -> n
     for r in rows:
         out += np.asarray(r["v"], dtype=np.float64)
     return out
+
+
+# Every NumPy array shipped to executors goes through this check: pivots, Cholesky
+# factors, draw batches, samples and landmarks are sized by run parameters
+# (k, b, S, m), never by the data, and the bound below makes that explicit.
+MAX_BROADCAST_CELLS = 8_000_000      # 64 MB of doubles per broadcast
+
+
+def bounded_broadcast(spark_or_sc, arr, what: str, max_cells: int = MAX_BROADCAST_CELLS):
+    a = np.asarray(arr, dtype=np.float64)
+    if a.size > max_cells:
+        raise ValueError(f"{what}: {a.shape} ({a.size} cells) exceeds the broadcast bound of {max_cells} cells")
+    sc = getattr(spark_or_sc, "sparkContext", spark_or_sc)
+    return sc.broadcast(a)

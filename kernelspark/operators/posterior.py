@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .partials import SCHEMA as PARTIAL
 from .partials import emit, tree_sum
+from .partials import MAX_BROADCAST_CELLS
+from .partials import bounded_broadcast
 
 # Fixed values that must equal the reference's.
 SIGMOID_EPS = 1e-10
@@ -88,6 +90,13 @@ def loglik_and_dz(Z: np.ndarray, y: np.ndarray, link: str):
     return ll, dz
 
 
+def bounded_broadcast_check(a, what: str) -> np.ndarray:
+    a = np.asarray(a, dtype=np.float64)
+    if a.size > MAX_BROADCAST_CELLS:
+        raise ValueError(f"{what}: {a.shape} exceeds the broadcast bound of {MAX_BROADCAST_CELLS} cells")
+    return a
+
+
 # ---- M1, M2: one pass for a batch of ν -----------------------------------------------------
 
 class FactorModel:
@@ -107,7 +116,8 @@ class FactorModel:
         """Return (logp C, grad C×k or None, FᵀWF k×k for the first ν if hessian)."""
         V = np.atleast_2d(np.asarray(V, dtype=np.float64))
         C, k = V.shape
-        bc = self.spark.sparkContext.broadcast(V.astype(self.dtype))
+        bc = self.spark.sparkContext.broadcast(
+            bounded_broadcast_check(V, "nu batch").astype(self.dtype))
         link, want_g, want_h, dt = self.link, grad, hessian, self.dtype
 
         def part(batches):
@@ -302,7 +312,7 @@ def posterior_mean_probability(factor: DataFrame, draws: np.ndarray, max_draws:
     if S > max_draws:
         idx = np.sort(np.random.default_rng(seed).choice(S, max_draws, replace=False))
         draws = draws[idx]
-    bc = factor.sparkSession.sparkContext.broadcast(np.asarray(draws, dtype=np.float64))
+    bc = bounded_broadcast(factor.sparkSession, draws, "posterior draws")
 
     def fn(batches):
         for pdf in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .partials import SCHEMA as PARTIAL
-from .partials import emit, tree_sum
+from .partials import bounded_broadcast, emit, tree_sum
 
 SUMMARY_OUT = [f"{pre}_{s}" for pre in ("prob", "latent")
                for s in ("mean", "variance", "std", "q05", "q50", "q95", "central_90_width")]
@@ -75,9 +75,9 @@ def pivot_predict(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.ndarray,
     long ``(id, draw, latent, p)``.
     """
     sc = points.sparkSession.sparkContext
-    bP = sc.broadcast(np.asarray(pivot_x, dtype=np.float64))
-    bL = sc.broadcast(np.asarray(L, dtype=np.float64))
-    bV = sc.broadcast(np.asarray(nu_draws, dtype=np.float64))
+    bP = bounded_broadcast(sc, pivot_x, "pivots")
+    bL = bounded_broadcast(sc, L, "pivot Cholesky")
+    bV = bounded_broadcast(sc, nu_draws, "posterior draws")
 
     def fn(batches):
         for pdf in batches:
@@ -115,7 +115,7 @@ def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str,
         raise ValueError(f"test side {n_test} rows exceeds the broadcast bound {max_test}")
     trows = test.select(key, F.col(features).cast("array<double>").alias("x")).orderBy(key).collect()
     T_ids = np.array([r[key] for r in trows], dtype=np.int64)
-    bT = train.sparkSession.sparkContext.broadcast(np.array([r["x"] for r in trows], dtype=np.float64))
+    bT = bounded_broadcast(train.sparkSession, np.array([r["x"] for r in trows], dtype=np.float64), "test rows")
 
     def part(batches):
         acc = np.zeros(len(T_ids))
@@ -259,7 +259,7 @@ def joint_predictive_draws(test: DataFrame, kernel, pivot_x: np.ndarray, L: np.n
     A = (rng.standard_normal((n_draws, k)) @ Lsig.T) + np.asarray(nu_mean)[None, :]   # S × k
     B = rng.standard_normal((n_draws, res.k))                                          # S × r
     sc = test.sparkSession.sparkContext
-    bA, bB = sc.broadcast(A), sc.broadcast(B)
+    bA, bB = bounded_broadcast(sc, A, "latent draws"), bounded_broadcast(sc, B, "residual draws")
     r_k = res.k
 
     def fn(batches):
