@@ -81,6 +81,10 @@ class Factor:
                  "features array<double>"
         return spark.createDataFrame(rows, schema)   # k rows: bounded by the rank
 
+    def close(self) -> None:
+        """Release the cached (id, x) table (factor_df() then recomputes from the source)."""
+        self.points.unpersist()
+
     def kpp(self) -> np.ndarray:
         """K12 on the driver: K_PP from the k pivot rows, symmetrised."""
         X = np.array([p.x for p in self.pivots], dtype=np.float64)

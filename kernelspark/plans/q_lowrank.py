@@ -128,6 +128,7 @@ def q_kernel_trace(spark, sf):
 def q_greedy_pivots(spark, sf):
     """Flagship: greedy pivoted Cholesky, rank 8, approximate-median bandwidth."""
     fac = _factor(spark, sf, FLAGSHIP_K, "greedy")
+    fac.close()
     return L.error_by_rank(fac).select("rank", "pivot_id", "rel_trace_error")
 
 
@@ -135,12 +136,14 @@ def q_greedy_pivots(spark, sf):
 def q_rp_pivots(spark, sf):
     """Randomly pivoted Cholesky: one Gumbel-max draw ∝ residual per round."""
     fac = _factor(spark, sf, SQLK, "rp")
+    fac.close()
     return L.error_by_rank(fac).select("rank", "pivot_id", "rel_trace_error")
 
 
 @register("uniform_pivots", SL.error_by_rank_sql(V.EMB_SQL, SQLK, "uniform"), ("rel_trace_error",), ops=("L6",))
 def q_uniform_pivots(spark, sf):
     fac = _factor(spark, sf, SQLK, "uniform")
+    fac.close()
     return L.error_by_rank(fac).select("rank", "pivot_id", "rel_trace_error")
 
 
@@ -166,18 +169,21 @@ def q_pivot_kpp(spark, sf):
 @register("accelerated_pivots", None, ops=("L3", "L4", "L20", "L7"))
 def q_accelerated(spark, sf):
     fac = _factor(spark, sf, 32, "accelerated")
+    fac.close()
     return L.error_by_rank(fac).select("rank", "pivot_id", "rel_trace_error")
 
 
 @register("block_pivots", None, ops=("L2",))
 def q_block(spark, sf):
     fac = _factor(spark, sf, 32, "block")
+    fac.close()
     return L.error_by_rank(fac).select("rank", "pivot_id", "rel_trace_error")
 
 
 @register("factor_stats", None, ops=("L8", "K15", "L21"))
 def q_factor_stats(spark, sf):
     fac = _factor(spark, sf, 16, "accelerated")
+    fac.close()
     return L.factor_stats(fac, spark)
 
 
