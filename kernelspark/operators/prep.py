@@ -262,3 +262,27 @@ def extract_features(df: DataFrame, content: str = "content", make_fn=None, dim:
 def pending_rows(src: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows not yet in the output (left anti join), so a rerun redoes only those."""
     return src.join(done.select(key), key, "left_anti")
+
+
+# ---- L20: weighted draws --------------------------------------------------------------------
+
+def weighted_sample(df: DataFrame, weight: str, k: int, key: str = "id", seed: int = 42,
+                    replace: bool = False) -> DataFrame:
+    """k draws with probability ∝ ``weight`` (rows with weight ≤ 0 never drawn).
+
+    Without replacement: Gumbel top-k, i.e. ``orderBy(ln w + G(id)).limit(k)``
+    (TakeOrdered: k rows per task move). With replacement: k independent
+    Gumbel-max draws as k ``max_by`` aggregates in ONE pass (partial
+    aggregation per task). Keys are md5-keyed, so the draw is repeatable and
+    partition-independent.
+    """
+    w = F.col(weight).cast("double")
+    src = df.filter(w > 0)
+    if not replace:
+        g = F.log(w) + rng.gumbel(F.col(key), "wor", seed)
+        return src.select(key, weight, g.alias("_g")).orderBy(F.col("_g").desc(), F.col(key)).limit(int(k)) \
+            .drop("_g")
+    aggs = [F.max_by(F.col(key), F.log(w) + rng.gumbel(F.col(key), j, seed)).alias(f"d{j}") for j in range(int(k))]
+    row = src.agg(*aggs)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(j).alias("draw"), F.col(f"d{j}").alias(key))
+                                          for j in range(int(k))])).alias("_d")).select("_d.draw", f"_d.{key}")

@@ -140,3 +140,29 @@ def q_pending(spark, sf):
     pages = V.table(spark, sf, "pages").select("page_id", "url")
     done = pages.filter(rng.u01(F.col("page_id"), "done", 42) < 0.5).select("page_id")
     return P.pending_rows(pages, done, "page_id")
+
+
+def _wsample_sql(replace: bool, k: int = 20):
+    if not replace:
+        g = rng.gumbel_sql("o_orderkey", "'wor'", "42")
+        return (f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 "
+                f"ORDER BY ln(o_totalprice) + {g} DESC, o_orderkey LIMIT {k}")
+    parts = [f"SELECT CAST({j} AS INTEGER) AS draw, arg_max(o_orderkey, ln(o_totalprice) + "
+             f"{rng.gumbel_sql('o_orderkey', str(j), '42')}) AS o_orderkey FROM orders WHERE o_totalprice > 0"
+             for j in range(k)]
+    return " UNION ALL ".join(parts)
+
+
+@register("weighted_sample_without_replacement", _wsample_sql(False), ("o_totalprice",), ops=("L20", "P1"))
+def q_wor(spark, sf):
+    """20 orders drawn ∝ total price without replacement (Gumbel top-k)."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return P.weighted_sample(o, "o_totalprice", 20, key="o_orderkey")
+
+
+@register("weighted_sample_with_replacement", _wsample_sql(True), ops=("L20",))
+def q_wr(spark, sf):
+    """20 independent draws ∝ total price (with replacement), one pass of 20 max_by aggregates."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return P.weighted_sample(o, "o_totalprice", 20, key="o_orderkey", replace=True) \
+        .select(F.col("draw").cast("int").alias("draw"), "o_orderkey")
