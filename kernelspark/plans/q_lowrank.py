@@ -96,14 +96,14 @@ _BLOCK_SQL = (f"SELECT e.id AS id, c.id AS center_id, exp(-0.5 * {A.sqdist_sql('
               f"FROM ({V.EMB_SQL}) e, ({_centers_sql()}) c")
 
 
-@register("kernel_block", _BLOCK_SQL, ("k",), ops=("K6", "K7", "K8", "P1"))
+@register("kernel_block", _BLOCK_SQL, ("k",), ops=("K6", "K8", "P1"))
 def q_kernel_block(spark, sf):
     """Every row against 8 keyed-random centers (broadcast, Arrow BLAS), exploded to long form."""
     from ..operators import prep
     pts = _points(spark, sf)
-    centers = prep.subsample(pts, 8)
-    ids = [r["id"] for r in centers.select("id").orderBy("id").collect()]   # 8 ids
-    blk = K.kernel_block(pts, centers, KernelSpec("gaussian", 1.5))
+    chosen = prep.subsample(pts, 8).select("id")
+    ids = [r["id"] for r in chosen.orderBy("id").collect()]   # 8 ids
+    blk = K.out_of_sample(pts, pts, chosen, KernelSpec("gaussian", 1.5))   # K8 → K6 block
     ex = blk.select("id", F.posexplode("k").alias("j", "k"))
     id_arr = F.array(*[F.lit(int(i)) for i in ids])
     return ex.select("id", F.element_at(id_arr, F.col("j") + 1).cast("long").alias("center_id"), "k")
@@ -267,3 +267,40 @@ def q_user_kernel(spark, sf):
     j = e.select("id", F.col("features").alias("a")).join(
         e.select((F.col("id") - 1).alias("id"), F.col("features").alias("b")), "id")
     return j.select("id", lin.point("a", "b").alias("k_linear"), poly.point("a", "b").alias("k_poly2"))
+
+
+_CROSS_SQL = (f"SELECT e.id AS i, c.id AS j, exp(-0.5 * {A.sqdist_sql('e.features', 'c.features')} / (1.5 * 1.5)) AS k "
+              f"FROM (SELECT * FROM ({V.EMB_SQL}) WHERE split = 'test') e, ({_centers_sql()}) c")
+
+
+@register("cross_kernel_long", _CROSS_SQL, ("k",), ops=("K7",))
+def q_cross_long(spark, sf):
+    """Test rows × 8 keyed-random centers in long form (the centers side is size-checked, broadcast)."""
+    from ..operators import prep
+    e = V.emb(spark, sf)
+    centers = prep.subsample(e.select("id", "features"), 8)
+    return K.cross_kernel_long(e.filter("split = 'test'").select("id", "features"), centers,
+                               KernelSpec("gaussian", 1.5))
+
+
+@register("lowrank_matvec", None, ops=("L11",))
+def q_matvec(spark, sf):
+    """(F Fᵀ) y with one Fᵀy aggregate and a per-row dot; summed per split."""
+    fac = _factor(spark, sf, 16, "greedy")
+    e = V.emb(spark, sf)
+    av = L.lowrank_matvec(fac.factor_df(), e.select("id", F.col("y").cast("double").alias("v")))
+    return av.join(e.select("id", "split"), "id").groupBy("split").agg(F.sum("Av").alias("sum_Av"),
+                                                                      F.count(F.lit(1)).alias("n"))
+
+
+@register("scaled_factor", None, ops=("L13",))
+def q_scaled(spark, sf):
+    """Row scaling of a factor by s = (1 + class) / 10 (low-rank form G·s and Nyström form √s)."""
+    fac = _factor(spark, sf, 12, "greedy")
+    e = V.emb(spark, sf)
+    sc = e.select("id", ((F.col("klass") + 1) / 10.0).alias("s"))
+    norm = F.aggregate("f", F.lit(0.0), lambda a, v: a + v * v)
+    lr = L.scale_factor(fac.factor_df(), sc, mode="lowrank").select("id", norm.alias("n_lowrank"))
+    ny = L.scale_factor(fac.factor_df(), sc, mode="nystrom").select("id", norm.alias("n_nystrom"))
+    return lr.join(ny, "id").join(e.select("id", "split"), "id").groupBy("split").agg(
+        F.avg("n_lowrank").alias("mean_sq_norm_lowrank"), F.avg("n_nystrom").alias("mean_sq_norm_nystrom"))
