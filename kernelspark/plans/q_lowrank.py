@@ -264,9 +264,10 @@ def q_user_kernel(spark, sf):
     lin = K.UserKernel(A.dot, lambda X, Y: X @ Y.T, name="linear")
     poly = K.UserKernel(lambda a, b: F.pow(F.lit(1.0) + A.dot(a, b), 2), lambda X, Y: (1 + X @ Y.T) ** 2, "poly2")
     e = _points(spark, sf)
-    j = e.select("id", F.col("features").alias("a")).join(
-        e.select((F.col("id") - 1).alias("id"), F.col("features").alias("b")), "id")
-    return j.select("id", lin.point("a", "b").alias("k_linear"), poly.point("a", "b").alias("k_poly2"))
+    nxt = e.select((F.col("id") - 1).alias("id"), "features")     # row i paired with row i + 1 (K5)
+    a = K.aligned_kernel(e, nxt, lin).withColumnRenamed("k", "k_linear")
+    b = K.aligned_kernel(e, nxt, poly).withColumnRenamed("k", "k_poly2")
+    return a.join(b, "id")
 
 
 _CROSS_SQL = (f"SELECT e.id AS i, c.id AS j, exp(-0.5 * {A.sqdist_sql('e.features', 'c.features')} / (1.5 * 1.5)) AS k "

@@ -246,3 +246,13 @@ def q_custom_proposal(spark, sf):
     def box(nu, eps, rng):
         return nu + eps[:, None] * rng.uniform(-1.0, 1.0, size=nu.shape)
     return _sampler("rwm", spark, sf, n_steps=20, n_warmup=10, n_chains=4, step_size=0.3, proposal=box)
+
+
+@register("link_functions", None, ops=("M3",))
+def q_links(spark, sf):
+    """Sigmoid (JVM expression) and probit Φ (vectorised pandas UDF) on every latent draw."""
+    d = V.draws(spark, sf)
+    lat = F.col("latent")
+    sig = F.lit(1.0) / (F.lit(1.0) + F.exp(-lat))
+    return d.groupBy("draw").agg(F.avg(sig).alias("mean_sigmoid"), F.avg(R.norm_cdf_col(lat)).alias("mean_probit"),
+                                 F.max(F.abs(sig - F.col("p"))).alias("max_sigmoid_err"))
