@@ -104,9 +104,15 @@ class Factor:
 # ---------------------------------------------------------------- round pass ---
 
 def cache_points(points: DataFrame, key: str = "id", features: str = "features") -> DataFrame:
-    """The only per-row state: ``(id, x)``, persisted once for all rounds."""
-    return points.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    """The only per-row state: ``(id, x)``, persisted once for all rounds.
+
+    The element type is kept (float32 embeddings stay float32 at rest, half
+    the cache and Arrow volume); batches widen to float64 for the BLAS step.
+    """
+    dt = points.schema[features].dataType
+    elem = getattr(dt, "elementType", None)
+    x = F.col(features) if isinstance(elem, (T.FloatType, T.DoubleType)) else F.col(features).cast("array<double>")
+    return points.select(F.col(key).cast("long").alias("id"), x.alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _mix64(a: np.ndarray) -> np.ndarray:
@@ -152,7 +158,7 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
             if len(pdf) == 0:
                 continue
             ids = pdf["id"].to_numpy().astype(np.int64)
-            X = np.stack(pdf["x"].to_numpy())
+            X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
             if k:
                 G = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
                 d = np.maximum(kernel.diag_np(X) - (G * G).sum(1), 0.0)
@@ -170,7 +176,7 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
                 else:
                     with np.errstate(divide="ignore"):
                         ld = np.where(d > 0, np.log(np.where(d > 0, d, 1.0)), -np.inf)
-                    g = md5_gumbel_np(ids, rnd, seed) if rule == "rp" else fast_gumbel_np(ids, rnd, i, seed)
+                    g = pdf["_g"].to_numpy() if rule == "rp" else fast_gumbel_np(ids, rnd, i, seed)
                     kv = ld + g
                     j = int(np.argmax(kv))
                     if not np.isfinite(kv[j]):
@@ -186,7 +192,9 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
 
     schema = ("kind string, draw int, k1 double, k2 long, id long, x array<double>, f array<double>, d double, "
               "tr double, dmax double, n long")
-    out = pts.mapInPandas(fn, schema).collect()   # ≤ partitions × (draws + 1) rows
+    # rp: the md5 Gumbel key is a JVM (codegen) column, identical to the SQL oracle's
+    src = pts.withColumn("_g", rng.gumbel(F.col("id"), rnd, seed)) if rule == "rp" else pts
+    out = src.mapInPandas(fn, schema).collect()   # ≤ partitions × (draws + 1) rows
     bP.destroy()
     bL.destroy()
     tr = sum(r["tr"] for r in out if r["kind"] == "sum")
