@@ -16,9 +16,20 @@ from pyspark.sql import SparkSession
 _CKPT_KEY = "spark.checkpoint.dir"
 
 
+def _default_driver_memory() -> str:
+    """60 % of physical memory, at most 16g (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        gb = max(1, min(16, int(total * 0.6 / 2**30)))
+    except (ValueError, OSError, AttributeError):
+        gb = 4
+    return f"{gb}g"
+
+
 def build_session(master: str | None = None, app: str = "kernelspark",
                   shuffle_partitions: int | None = None,
-                  driver_memory: str = "16g") -> SparkSession:
+                  driver_memory: str | None = None) -> SparkSession:
+    driver_memory = driver_memory or _default_driver_memory()
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     parts = shuffle_partitions or int(cpus) * 2
