@@ -187,6 +187,12 @@ def resume_point(label_rows: DataFrame, image_numbers: DataFrame, col: str) -> D
 
 # ---- Q8–Q10 --------------------------------------------------------------------------------------
 
+def trim_manifest(manifest: DataFrame, completed: DataFrame, row_idx: str = "row_idx") -> DataFrame:
+    """Q11: keep the first ``completed`` rows (a one-row scalar, broadcast)."""
+    c = completed.select(F.col("completed").alias("_c"))
+    return manifest.crossJoin(F.broadcast(c)).filter(F.col(row_idx) < F.col("_c")).drop("_c")
+
+
 def align(features: DataFrame, labels: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
     """Q8: pair rows by explicit id; strict mode asserts both sides cover the same ids."""
     if strict:

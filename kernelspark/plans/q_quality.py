@@ -139,13 +139,17 @@ _RESUME_SQL = (f"WITH f AS (SELECT DISTINCT CAST(regexp_extract(path, '([0-9]+)\
                "r AS (SELECT v, row_number() OVER (ORDER BY v) AS rn FROM f WHERE v >= 1), "
                "c AS (SELECT coalesce(min(CASE WHEN v <> rn THEN rn END) - 1, count(*)) AS contiguous_images FROM r) "
                "SELECT (SELECT count(*) FROM labels) AS label_rows, CAST(contiguous_images AS BIGINT) AS contiguous_images, "
-               "least((SELECT count(*) FROM labels), CAST(contiguous_images AS BIGINT)) AS completed FROM c")
+               "least((SELECT count(*) FROM labels), CAST(contiguous_images AS BIGINT)) AS completed, "
+               f"(SELECT count(*) FROM ({_M}) WHERE row_idx < least((SELECT count(*) FROM labels), "
+               "CAST(contiguous_images AS BIGINT))) AS kept_rows FROM c")
 
 
 @register("resume_point", _RESUME_SQL, ops=("Q11",))
 def q_resume(spark, sf):
     nums = V.files(spark, sf).select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long").alias("v"))
-    return Q.resume_point(V.table(spark, sf, "labels"), nums, "v")
+    rp = Q.resume_point(V.table(spark, sf, "labels"), nums, "v")
+    kept = Q.trim_manifest(V.manifest(spark, sf), rp).agg(F.count(F.lit(1)).alias("kept_rows"))
+    return rp.crossJoin(kept)   # one-row tables
 
 
 _TOTALS_SQL = (f"WITH {_audit_sql()}, g AS (SELECT split, count(*) AS expected, count(resolved) AS on_disk FROM a "
