@@ -289,3 +289,24 @@ def test_roc_curve_matches_numpy(spark, seed):
     for a, b in zip(got, want):
         assert a[0] == b[0] or a[0] == pytest.approx(b[0])
         assert a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_greedy_lookahead_equals_sequential(spark, direct, monkeypatch):
+    """Exact lookahead (both the direct and the bounded large-P path) picks the sequential pivots."""
+    if not direct:
+        monkeypatch.setattr(L, "TOP_DIRECT_CELLS", 0)
+    rng = np.random.default_rng(4)
+    X = rng.standard_normal((160, 5))
+    X[7] = X[3]                                   # a duplicate: zero residual after its twin
+    pts = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(X)],
+                                "id long, features array<double>").repartition(3)
+    ker = KernelSpec("gaussian", 2.0)
+    seq = L.pivoted_cholesky(pts, ker, 25, "greedy", lookahead=0)
+    look = L.pivoted_cholesky(pts, ker, 25, "greedy", lookahead=8)
+    assert [p.id for p in look.pivots] == [p.id for p in seq.pivots]
+    assert look.errors == pytest.approx(seq.errors, abs=1e-12)
+    assert look.rounds < seq.rounds
+    tol = seq.errors[10]
+    cut = L.pivoted_cholesky(pts, ker, 25, "greedy", lookahead=8, tol=tol)
+    assert len(cut.pivots) == 11
