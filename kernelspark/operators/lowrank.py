@@ -196,16 +196,35 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
               "tr double, dmax double, n long")
     # rp: the md5 Gumbel key is a JVM (codegen) column, identical to the SQL oracle's
     src = pts.withColumn("_g", rng.gumbel(F.col("id"), rnd, seed)) if rule == "rp" else pts
-    out = src.mapInPandas(fn, schema).collect()   # ≤ partitions × (draws + 1) rows
+    part = src.mapInPandas(fn, schema)
+    dim = len(pts.select("x").first()["x"])
+    n_parts = pts.rdd.getNumPartitions()
+    if n_parts * (draws + 1) * (dim + k + 4) <= TOP_DIRECT_CELLS:
+        out = part.collect()   # ≤ partitions × (draws + 1) rows, within the driver bound
+        sm = [r for r in out if r["kind"] == "sum"]
+        cand_rows = [r for r in out if r["kind"] == "cand"]
+    else:
+        # large: per-draw winners chosen by (key, id) only; then ≤ draws full rows are fetched
+        part = part.persist(StorageLevel.MEMORY_AND_DISK)   # ≤ P × (draws + 1) rows, on executors
+        win = part.filter("kind = 'cand'").groupBy("draw").agg(
+            F.max_by(F.col("id"), F.struct("k1", "k2")).alias("id")).collect()
+        ids = sorted({int(r["id"]) for r in win})
+        full = {int(r["id"]): r for r in part.filter((F.col("kind") == "cand") & F.col("id").isin(ids))
+                .dropDuplicates(["id"]).collect()} if ids else {}
+        cand_rows = []
+        for r in win:
+            row = full[int(r["id"])].asDict()
+            row["draw"] = r["draw"]
+            cand_rows.append(row)
+        sm = [r for r in part.filter("kind = 'sum'").collect()]   # P small rows
+        part.unpersist()
     bP.destroy()
     bL.destroy()
-    tr = sum(r["tr"] for r in out if r["kind"] == "sum")
-    dmax = max([r["dmax"] for r in out if r["kind"] == "sum"] or [0.0])
-    n = sum(r["n"] for r in out if r["kind"] == "sum")
+    tr = sum(r["tr"] for r in sm)
+    dmax = max([r["dmax"] for r in sm] or [0.0])
+    n = sum(r["n"] for r in sm)
     cands = {}
-    for r in out:
-        if r["kind"] != "cand":
-            continue
+    for r in cand_rows:
         key = (r["k1"], r["k2"])
         if r["draw"] not in cands or key > cands[r["draw"]][0]:
             cands[r["draw"]] = (key, r)

@@ -310,3 +310,24 @@ def test_greedy_lookahead_equals_sequential(spark, direct, monkeypatch):
     tol = seq.errors[10]
     cut = L.pivoted_cholesky(pts, ker, 25, "greedy", lookahead=8, tol=tol)
     assert len(cut.pivots) == 11
+
+
+@pytest.mark.parametrize("method", ["greedy", "rp", "accelerated", "block"])
+def test_round_pass_bounded_path(spark, method, monkeypatch):
+    """The large-P path (winners by key, then ≤ draws rows fetched) equals the direct path."""
+    rng = np.random.default_rng(6)
+    X = rng.standard_normal((120, 4))
+    pts = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(X)],
+                                "id long, features array<double>").repartition(4)
+    ker = KernelSpec("gaussian", 1.5)
+
+    def run():
+        if method in ("greedy", "rp"):
+            return L.pivoted_cholesky(pts, ker, 12, method, lookahead=0)
+        return L.accelerated_cholesky(pts, ker, 12, b=6, mode=method)
+
+    direct = run()
+    monkeypatch.setattr(L, "TOP_DIRECT_CELLS", 0)
+    bounded = run()
+    assert [p.id for p in bounded.pivots] == [p.id for p in direct.pivots]
+    assert bounded.errors == pytest.approx(direct.errors, abs=1e-12)
