@@ -41,16 +41,40 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def quantile_boundaries(df: DataFrame, order: str, n_buckets: int) -> list[float]:
-    """Strictly increasing inner cut points (≤ n_buckets − 1 values)."""
+TARGET_BUCKET_ROWS = 2_000_000     # rows per (group, bucket) window task, at most about this
+MAX_BUCKETS = 1 << 17
+
+
+def quantile_boundaries(df: DataFrame, order: str, n_buckets: int,
+                        target_rows: int | None = None) -> list[float]:
+    """Strictly increasing inner cut points.
+
+    One aggregate returns the row count and ``n_buckets`` approximate
+    quantiles. When that would leave more than ``target_rows`` rows per
+    bucket, the bucket count grows with the data: finer cut points come from
+    a bounded keyed sample (≈ 20 values per bucket), the same way a range
+    partitioner picks its bounds. Cut points only steer layout, never results.
+    """
     if n_buckets <= 1:
         return []
+    target_rows = target_rows or TARGET_BUCKET_ROWS
     fr = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.select(F.percentile_approx(F.col(order).cast("double"), fr, 10 * n_buckets + 100)
-                    .alias("q")).first()
-    qs = row["q"] if row is not None else None
-    if not qs:
+    col = F.col(order).cast("double")
+    row = df.select(col.alias("_o")).agg(F.count("_o").alias("n"),
+                                         F.percentile_approx("_o", fr, 10 * n_buckets + 100).alias("q")).first()
+    if row is None or not row["n"]:
         return []
+    n = int(row["n"])
+    if n > n_buckets * target_rows:
+        import numpy as np
+
+        want = min(MAX_BUCKETS, -(-n // target_rows))
+        frac = min(1.0, 20.0 * want / n)
+        vals = np.array([r[0] for r in df.select(col.alias("_o")).filter(F.col("_o").isNotNull())
+                         .sample(False, frac, seed=17).collect()], dtype=np.float64)   # ≈ 20·want values
+        qs = list(np.quantile(vals, np.arange(1, want) / want)) if len(vals) else []
+    else:
+        qs = row["q"] or []
     out: list[float] = []
     for q in qs:
         if q is not None and (not out or q > out[-1]):

@@ -78,3 +78,20 @@ def test_exact_quantiles_and_row_numbers(spark):
         order = sorted(((float(v[i]), i) for i in range(n) if g[i] == k))
         assert [i for _, i in mine] == [i for _, i in order]
         assert [r for r, _ in mine] == list(range(1, len(order) + 1))
+
+
+def test_adaptive_buckets_keep_results(spark, monkeypatch):
+    """Forcing the data-sized bucket path (tiny target) changes layout, not results."""
+    from kernelspark.operators import metrics as M
+    from kernelspark.operators import ordered as O
+    rng = np.random.default_rng(3)
+    n = 400
+    y = rng.integers(0, 2, n)
+    p = np.round(rng.random(n), 3)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double")
+    base = M.ranking(df).first()
+    monkeypatch.setattr(O, "TARGET_BUCKET_ROWS", 3)
+    assert len(O.quantile_boundaries(df, "p", 4)) > 10
+    again = M.ranking(df, n_buckets=4).first()
+    assert again.auroc == pytest.approx(base.auroc, abs=1e-12)
+    assert again.auprc == pytest.approx(base.auprc, abs=1e-12)
