@@ -48,7 +48,8 @@ def lag_sums(df: DataFrame, keys, step: str = "step", x: str = "x", max_lag: int
     Output ``(keys…, lag, s, pairs)``.
     """
     keys = _k(keys)
-    B, L = int(segment), int(max_lag)
+    L = int(max_lag)
+    B = max(int(segment), L)          # a halo reaches one segment back, so segments hold ≥ max_lag steps
     mom = moments(df, keys, x).select(*keys, "mean")
     c = df.join(mom, keys).select(*keys, F.col(step).cast("long").alias("_t"),
                                    (F.col(x) - F.col("mean")).cast("double").alias("_xc"))

@@ -95,3 +95,10 @@ def test_adaptive_buckets_keep_results(spark, monkeypatch):
     again = M.ranking(df, n_buckets=4).first()
     assert again.auroc == pytest.approx(base.auroc, abs=1e-12)
     assert again.auprc == pytest.approx(base.auprc, abs=1e-12)
+
+
+def test_acf_lag_longer_than_segment(spark):
+    rng = np.random.default_rng(8)
+    xs = ar1(rng, 90, 0.5)
+    got = {r.lag: r.acf for r in D.acf(chain_df(spark, [xs]), "chain", max_lag=30, norm="n", segment=8).collect()}
+    assert [got[k] for k in range(31)] == pytest.approx(list(np_acf(xs, 30, "n")), abs=1e-12)
