@@ -92,3 +92,36 @@ def std_normal_py(key_id, draw=0, seed=42) -> float:
     u1 = u01_py(key_id, 2 * draw, seed) + 0.5 / TWO52
     u2 = u01_py(key_id, 2 * draw + 1, seed)
     return math.sqrt(-2.0 * math.log(u1)) * math.cos(2 * math.pi * u2)
+
+
+# --- vectorised keyed numbers for Arrow batches (rows-only operators) ----------------
+
+def _mix64_np(z):
+    import numpy as np
+
+    z = z.astype(np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def keyed_uniform_np(ids, n_draws: int, seed: int, stream: int = 0):
+    """(len(ids) × n_draws) uniforms in (0, 1), a pure function of (seed, stream, id, draw)."""
+    import numpy as np
+
+    ids = np.asarray(ids, dtype=np.int64).astype(np.uint64)
+    draws = np.arange(n_draws, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        base = _mix64_np(np.array([(seed * 1_000_003 + stream) & 0xFFFFFFFFFFFF], dtype=np.uint64))[0]
+        h = _mix64_np(_mix64_np(ids[:, None] * np.uint64(0x9E3779B97F4A7C15) + base)
+                      + draws[None, :] * np.uint64(0xD1B54A32D192ED03))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
+
+
+def keyed_normal_np(ids, n_draws: int, seed: int):
+    """Standard normals by Box–Muller on two keyed uniform streams."""
+    import numpy as np
+
+    u1 = keyed_uniform_np(ids, n_draws, seed, 1)
+    u2 = keyed_uniform_np(ids, n_draws, seed, 2)
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)

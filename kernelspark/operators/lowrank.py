@@ -117,18 +117,11 @@ def cache_points(points: DataFrame, key: str = "id", features: str = "features")
     return points.select(F.col(key).cast("long").alias("id"), x.alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _mix64(a: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser on uint64 (vectorised keyed hashing)."""
-    z = a.astype(np.uint64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def fast_gumbel_np(ids: np.ndarray, rnd: int, draw: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = _mix64(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                   + _mix64(np.full(len(ids), (seed * 1_000_003 + rnd) * 65_537 + draw, dtype=np.uint64)))
+        h = rng._mix64_np(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                          + rng._mix64_np(np.full(len(ids), (seed * 1_000_003 + rnd) * 65_537 + draw,
+                                                  dtype=np.uint64)))
     u = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / 4503599627370496.0
     return -np.log(-np.log(u))
 

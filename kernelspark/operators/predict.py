@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rng import keyed_normal_np
 from .partials import SCHEMA as PARTIAL
 from .partials import bounded_broadcast, emit, tree_sum
 
@@ -89,8 +90,7 @@ def pivot_predict(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.ndarray,
             if noise:
                 kxx = kernel.diag_np(X)
                 var = np.maximum(kxx - (Fm * Fm).sum(1), var_floor)
-                ids = pdf["id"].to_numpy()
-                eps = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(lat.shape[1]) for i in ids])
+                eps = keyed_normal_np(pdf["id"].to_numpy(), lat.shape[1], seed)   # keyed by (seed, id, draw)
                 lat = lat + np.sqrt(var)[:, None] * eps
             S = lat.shape[1]
             yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy().astype(np.int64), S),
