@@ -416,37 +416,45 @@ def wasserstein_draws(draws_a: DataFrame, draws_b: DataFrame, key="id", value="p
     return per.agg(F.avg("w1").alias("mean_w1"), F.max("w1").alias("max_w1"), F.count(F.lit(1)).alias("n"))
 
 
-def diagnostic_points(df: DataFrame, key="id", y="y", p="p", threshold=0.5) -> DataFrame:
-    """Up to four illustrative rows.
+# Fixed values that must equal the reference's: the diagnostic roles, in order.
+DIAGNOSTIC_ROLES = ["highest-confidence correct", "highest-confidence incorrect", "most uncertain",
+                    "median-uncertainty correct"]
 
-    most confident correct, most confident incorrect, most uncertain, and the
-    median-uncertainty correct row; ties broken by key; a row picked twice
-    appears once (first role wins).
+
+def diagnostic_points(df: DataFrame, key="id", y="y", p="p", threshold=0.5, n_points: int = 4) -> DataFrame:
+    """Up to four illustrative rows (a report, hence the limits).
+
+    Highest-confidence correct and incorrect rows, the most uncertain row, the
+    correct row at position ⌊n/2⌋ of the correct rows sorted by confidence, then
+    fallback rows in ascending confidence until four are chosen. Ties go to the
+    lowest key. ``pos`` is the 1-based position in the chosen list.
     """
     d = df.select(key, F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p"))
     d = d.withColumn("correct", (F.col("p") >= threshold).cast("int") == F.col("y")) \
          .withColumn("conf", F.abs(F.col("p") - F.lit(0.5)))
-    picks = [
-        ("most_confident_correct", d.filter("correct"), [F.col("conf").desc(), F.col(key)]),
-        ("most_confident_incorrect", d.filter(~F.col("correct")), [F.col("conf").desc(), F.col(key)]),
-        ("most_uncertain", d, [F.col("conf").asc(), F.col(key)]),
-    ]
-    parts = []
-    for i, (role, src, order) in enumerate(picks):
-        parts.append(src.orderBy(*order).limit(1).select(F.lit(i).alias("rank"), F.lit(role).alias("role"),
-                                                         key, "y", "p"))
-    # median-uncertainty correct: the lower median of conf among correct rows
     corr = d.filter("correct")
-    med = exact_quantiles(corr, [], "conf", [0.5], ["m"])       # distributed exact median, one row
-    mid = corr.crossJoin(F.broadcast(med)).withColumn("dist", F.abs(F.col("conf") - F.col("m"))) \
-        .orderBy("dist", key).limit(1) \
-        .select(F.lit(3).alias("rank"), F.lit("median_uncertainty_correct").alias("role"), key, "y", "p")
-    parts.append(mid)
-    allp = parts[0]
-    for x in parts[1:]:
-        allp = allp.unionByName(x)
-    first = Window.partitionBy(key).orderBy("rank")
-    return allp.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    picks = [(0, d.filter("correct").orderBy(F.col("conf").desc(), F.col(key)).limit(1)),
+             (1, d.filter(~F.col("correct")).orderBy(F.col("conf").desc(), F.col(key)).limit(1)),
+             (2, d.orderBy(F.col("conf").asc(), F.col(key)).limit(1))]
+    ranked = row_numbers(corr, [], ["conf", key], out="_rk")          # distributed, no single-task window
+    n_corr = corr.agg(F.count(F.lit(1)).alias("_n"))
+    mid = ranked.crossJoin(F.broadcast(n_corr)).filter(F.col("_rk") == F.floor(F.col("_n") / 2) + 1).drop("_rk", "_n")
+    picks.append((3, mid))
+    chosen = None
+    for slot, src in picks:
+        part = src.select(F.lit(slot).alias("_slot"), F.lit(DIAGNOSTIC_ROLES[slot]).alias("role"), key, "y", "p", "conf")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    rows = chosen.orderBy("_slot").collect()                          # ≤ 4 rows
+    spark = df.sparkSession
+    out = [(i + 1, r["role"], r[key], r["y"], r["p"]) for i, r in enumerate(rows)]
+    need = n_points - len(out)
+    if need > 0:
+        used = [r[key] for r in rows]
+        rest = d.filter(~F.col(key).isin(used)) if used else d
+        for r in rest.orderBy(F.col("conf").asc(), F.col(key)).limit(need).collect():
+            out.append((len(out) + 1, f"fallback point {len(out) + 1}", r[key], r["y"], r["p"]))
+    key_type = df.schema[key].dataType.simpleString()
+    return spark.createDataFrame(out[:n_points], f"pos int, role string, {key} {key_type}, y int, p double")
 
 
 # ---------------------------------------------------------------- E25–E27 -----

@@ -321,15 +321,18 @@ def q_weighted_loss(spark, sf):
 
 _DIAG_SQL = (f"WITH d AS (SELECT id, y, p, CAST(p >= 0.5 AS INTEGER) = y AS correct, abs(p - 0.5) AS conf "
              f"FROM ({V.PREDS2_SQL})), "
-             "a AS (SELECT 0 AS rank, 'most_confident_correct' AS role, id, y, p FROM (SELECT * FROM d WHERE correct "
+             "c AS (SELECT *, row_number() OVER (ORDER BY conf, id) AS rk, count(*) OVER () AS nc FROM d WHERE correct), "
+             "a AS (SELECT 0 AS slot, 'highest-confidence correct' AS role, id, y, p, conf FROM (SELECT * FROM d "
+             "WHERE correct ORDER BY conf DESC, id LIMIT 1) "
+             "UNION ALL SELECT 1, 'highest-confidence incorrect', id, y, p, conf FROM (SELECT * FROM d WHERE NOT correct "
              "ORDER BY conf DESC, id LIMIT 1) "
-             "UNION ALL SELECT 1, 'most_confident_incorrect', id, y, p FROM (SELECT * FROM d WHERE NOT correct "
-             "ORDER BY conf DESC, id LIMIT 1) "
-             "UNION ALL SELECT 2, 'most_uncertain', id, y, p FROM (SELECT * FROM d ORDER BY conf ASC, id LIMIT 1) "
-             "UNION ALL SELECT 3, 'median_uncertainty_correct', id, y, p FROM (SELECT * FROM d WHERE correct ORDER BY "
-             "abs(conf - (SELECT quantile_cont(conf, 0.5) FROM d WHERE correct)), id LIMIT 1)) "
-             "SELECT CAST(rank AS INTEGER) AS rank, role, id, y, p FROM (SELECT *, row_number() OVER (PARTITION BY id "
-             "ORDER BY rank) AS r FROM a) WHERE r = 1")
+             "UNION ALL SELECT 2, 'most uncertain', id, y, p, conf FROM (SELECT * FROM d ORDER BY conf ASC, id LIMIT 1) "
+             "UNION ALL SELECT 3, 'median-uncertainty correct', id, y, p, conf FROM c WHERE rk = nc // 2 + 1), "
+             "ch AS (SELECT CAST(row_number() OVER (ORDER BY slot) AS INTEGER) AS pos, role, id, y, p FROM a), "
+             "fb AS (SELECT id, y, p, row_number() OVER (ORDER BY conf, id) AS fr FROM d WHERE id NOT IN (SELECT id FROM a)) "
+             "SELECT * FROM ch UNION ALL SELECT CAST((SELECT count(*) FROM ch) + fr AS INTEGER) AS pos, "
+             "'fallback point ' || CAST((SELECT count(*) FROM ch) + fr AS VARCHAR) AS role, id, y, p FROM fb "
+             "WHERE fr <= 4 - (SELECT count(*) FROM ch)")
 
 
 @register("diagnostic_points", _DIAG_SQL, ("p",), ops=("E24",))
