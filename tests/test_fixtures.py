@@ -335,9 +335,9 @@ def test_round_pass_bounded_path(spark, method, monkeypatch):
 
 def test_diagnostic_points_fallback(spark):
     # every prediction correct: no incorrect slot, so a fallback fills the fourth place
-    df = spark.createDataFrame([(i, 1 if p >= .5 else 0, p) for i, p in enumerate((.9, .6, .55, .2, .45))],
+    df = spark.createDataFrame([(i, 1 if p >= .5 else 0, p) for i, p in enumerate((.9, .6, .58, .2, .45))],
                                "id long, y int, p double")
     got = [(r.pos, r.role, r.id) for r in M.diagnostic_points(df).collect()]
-    # conf = .4, .1, .05, .3, .05 ; correct sorted by (conf, id): 2, 4, 1, 3, 0 → position 5 // 2 = 2 → id 1
-    assert got == [(1, "highest-confidence correct", 0), (2, "most uncertain", 2),
-                   (3, "median-uncertainty correct", 1), (4, "fallback point 4", 4)]
+    # conf = .4, .1, .08, .3, .05; correct rows by conf: 4, 2, 1, 3, 0 → position 5 // 2 = 2 → id 1
+    assert got == [(1, "highest-confidence correct", 0), (2, "most uncertain", 4),
+                   (3, "median-uncertainty correct", 1), (4, "fallback point 4", 2)]
