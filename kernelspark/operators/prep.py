@@ -160,19 +160,21 @@ def pool_tokens(tokens, mode: str = "cls"):
 
 
 def mask_tokens(df: DataFrame, tokens: str, key: str = "id", ratio: float = 0.5, seed: int = 42) -> DataFrame:
-    """Keep max(1, round(n·(1 − ratio))) tokens chosen by keyed scores; also the mask.
+    """Keep max(1, round_half_even(n·(1 − ratio))) tokens with the smallest keyed scores.
 
-    Output: ``kept_idx`` (sorted 0-based positions kept) and ``mask`` (1 where dropped).
+    Output: ``kept_idx`` (0-based positions in score order), ``kept`` (those
+    tokens, same order) and ``dropped`` (boolean per position, true where dropped).
     """
     n = F.size(tokens)
-    n_keep = F.greatest(F.lit(1), F.round(n * F.lit(1.0 - ratio)).cast("int"))
+    n_keep = F.greatest(F.lit(1), F.bround(n * F.lit(1.0 - ratio)).cast("int"))
     scored = F.transform(F.sequence(F.lit(0), n - 1),
                          lambda i: F.struct(rng.u01(F.col(key), F.concat(F.lit("tok"), i.cast("string")), seed)
                                             .alias("u"), i.alias("i")))
     chosen = F.slice(F.array_sort(scored), 1, n_keep)
-    kept = F.array_sort(F.transform(chosen, lambda s: s["i"]))
-    return df.withColumn("kept_idx", kept).withColumn(
-        "mask", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.array_contains(kept, i), 0).otherwise(1)))
+    kept = F.transform(chosen, lambda s: s["i"])
+    return df.withColumn("kept_idx", kept) \
+        .withColumn("kept", F.transform(F.col("kept_idx"), lambda i: F.element_at(F.col(tokens), i + 1))) \
+        .withColumn("dropped", F.transform(F.sequence(F.lit(0), n - 1), lambda i: ~F.array_contains(F.col("kept_idx"), i)))
 
 
 # ---- P7–P9: PCA ------------------------------------------------------------------------------

@@ -100,7 +100,7 @@ def q_pool(spark, sf):
 
 _MASK_SQL = (f"WITH p AS (SELECT id, unnest(range(0, 8)) AS i FROM ({_E})), "
              f"s AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY {rng.u01_sql('id', chr(39) + 'tok' + chr(39) + ' || CAST(i AS VARCHAR)', '42')}, i) AS rk FROM p) "
-             "SELECT id, CAST(i AS INTEGER) AS kept_pos FROM s WHERE rk <= greatest(1, CAST(round(8 * (1 - 0.5)) AS INTEGER))")
+             "SELECT id, CAST(i AS INTEGER) AS kept_pos FROM s WHERE rk <= greatest(1, CAST(round_even(8 * (1 - 0.5), 0) AS INTEGER))")
 
 
 @register("token_masking", _MASK_SQL, ops=("P13",))
