@@ -775,6 +775,15 @@ def nystrom_krr_fit(train: DataFrame, kernel: KernelSpec, landmarks: np.ndarray,
     return beta
 
 
+def landmark_trace_error(points: DataFrame, kernel: KernelSpec, landmarks: np.ndarray,
+                         key: str = "id", features: str = "features") -> float:
+    """L17 trace error of the landmarks: Σ (k(x,x) − k_xmᵀ K_mm⁻¹ k_xm) / Σ k(x,x), one pass."""
+    Lm = nystrom_chol(kernel.block(landmarks, landmarks))
+    r = factor_from_pivots(points, kernel, landmarks, Lm, key, features) \
+        .agg(F.sum("residual").alias("res"), F.count(F.lit(1)).alias("n")).first()
+    return float(r["res"]) / float(r["n"]) if r["n"] else 0.0   # stationary kernels: Σ k(x,x) = n
+
+
 def nystrom_krr_predict(test: DataFrame, kernel: KernelSpec, landmarks: np.ndarray, beta: np.ndarray,
                         key: str = "id", features: str = "features") -> DataFrame:
     """Prediction K(x, landmarks)·β per row (Arrow batches)."""

@@ -223,7 +223,8 @@ def q_nystrom_krr(spark, sf):
     pred = L.nystrom_krr_predict(e.filter("split = 'test'"), ker, lm, beta)
     from ..operators import metrics as M
     j = pred.join(e.select("id", F.col("klass").cast("double").alias("target")), "id")
-    return M.regression_metrics(j, "target", "prediction")
+    terr = L.landmark_trace_error(train.select("id", "features"), ker, lm)
+    return M.regression_metrics(j, "target", "prediction").withColumn("trace_error", F.lit(terr))
 
 
 @register("nystrom_factor", None, ops=("L12", "L13"))
