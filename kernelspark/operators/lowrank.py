@@ -190,7 +190,7 @@ def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray,
     # rp: the md5 Gumbel key is a JVM (codegen) column, identical to the SQL oracle's
     src = pts.withColumn("_g", rng.gumbel(F.col("id"), rnd, seed)) if rule == "rp" else pts
     part = src.mapInPandas(fn, schema)
-    dim = len(pts.select("x").first()["x"])
+    dim = P.shape[1] if P.size else len(pts.select("x").first()["x"])   # one job only before the first pivot
     n_parts = pts.rdd.getNumPartitions()
     if n_parts * (draws + 1) * (dim + k + 4) <= TOP_DIRECT_CELLS:
         out = part.collect()   # ≤ partitions × (draws + 1) rows, within the driver bound
@@ -262,7 +262,7 @@ def top_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray, m
         yield pd.DataFrame(rows)
 
     schema = "kind string, k1 double, k2 long, x array<double>, tr double, dmax double, n long"
-    dim = len(pts.select("x").first()["x"])
+    dim = P.shape[1] if P.size else len(pts.select("x").first()["x"])   # one job only before the first pivot
     n_parts = pts.rdd.getNumPartitions()
     part = pts.mapInPandas(fn, schema)
     if n_parts * (keep + 1) * dim <= TOP_DIRECT_CELLS:
