@@ -50,6 +50,7 @@ def build_session(master: str | None = None, app: str = "kernelspark",
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -78,3 +79,35 @@ def checkpoint_table(df, spark: SparkSession, name: str):
     path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kernelspark`` importable in every Python worker (once per application).
+
+    Arrow functions (mapInPandas, applyInPandas, pandas UDFs) are unpickled in
+    the workers, which import this package. A zip of it is added with
+    ``SparkContext.addPyFile``, which distributes it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = spark.conf.get(_CKPT_KEY, None) or ""
+    if base.startswith("file:"):
+        base = base[5:]
+    folder = base if base.startswith("/") and os.path.isdir(base) else tempfile.mkdtemp(prefix="kernelspark-py-")
+    path = os.path.join(folder, f"kernelspark-{app}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(root, fn)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
