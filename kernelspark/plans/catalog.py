@@ -61,12 +61,6 @@ def register(name: str, sql: str | None = None, doubles=(), ops=()):
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills REGISTRY
-    from . import q_metrics  # noqa: F401
-    for mod in ("q_quality", "q_prep", "q_lowrank", "q_posterior", "q_chains",
-                "q_sources"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import q_chains, q_lowrank, q_metrics, q_posterior, q_prep, q_quality, q_sources  # noqa: F401
+
     return REGISTRY

@@ -62,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{_CKPT_KEY} must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="kernelspark-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
     sc.setCheckpointDir(path)
