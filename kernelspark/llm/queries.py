@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import OP2_SQL, op2_decontamination
+from .language import op7_language
+from .packing import op6_packing
 from .sharding import op1_sharding
+from .simhash import op5_simhash
+from .suffix_dedup import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_sharding,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_suffix_dedup, op5_simhash, op6_packing, op7_language)}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
