@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint_table, components, fresh, parts_of, read, texts
+from .common import checkpoint_table, components, parts_of, read, texts
 
 #: Rows of a cell; a larger key is split into pairs of blocks of about this size.
 CELL_ROWS = 4_096
@@ -222,25 +222,27 @@ def star_components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 4, k: int = 4, cell: int = CELL_ROWS) -> DataFrame:
-    """(id, fp long, component): one row per document, its component the smallest id reachable.
+    """docs without the text, with fp (long), root (the smallest fingerprint linked) and component (the smallest id reachable).
 
-    A null text is an empty one: fingerprint zero, linked like any other. Null ids never
-    name a component that has another id. Repeated rows stay; an empty table gives none.
+    One row per row of docs. A null text is an empty one: fingerprint zero, linked like any
+    other. Null ids never name a component that has another id. Repeated rows stay; an
+    empty table gives none. Columns of docs with the three names raise ValueError.
     """
+    if clash := {"fp", "root", "component"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = docs.sparkSession
-    fp = fresh([id_col], "fp")
-    each = checkpoint_table(fingerprints(docs.select(id_col, text), text, fp, k), spark, "simhash-fp")
-    nodes = checkpoint_table(each.groupBy(fp).agg(F.min(id_col).alias("low")), spark, "simhash-nodes")
-    pairs = links(nodes, fp, budget, nodes.count(), cell)
-    roots = star_components(spark, pairs)
-    roots = nodes.join(roots.withColumnRenamed("node", fp), fp, "left").select(fp, "low", F.coalesce("root", fp).alias("root"))
+    each = checkpoint_table(fingerprints(docs, text, "fp", k), spark, "simhash-fp")
+    nodes = checkpoint_table(each.groupBy("fp").agg(F.min(id_col).alias("low")), spark, "simhash-nodes")
+    pairs = links(nodes, "fp", budget, nodes.count(), cell)
+    roots = star_components(spark, pairs).withColumnRenamed("node", "fp")
+    roots = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component"))
-    named = roots.join(lows, "root").select(fp, "component")
-    return each.join(named, fp, "left").select(id_col, fp, "component")
+    named = roots.join(lows, "root").select("fp", "root", "component")
+    return each.join(named, "fp", "left").select(*[c for c in docs.columns if c != text], "fp", "root", "component")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: 4-word shingles, links at 4 or fewer differing bits."""
-    found = group(read(spark, sf_dir, "documents"), "doc_id", "text", budget=4, k=4)
+    found = group(read(spark, sf_dir, "documents").select("doc_id", "text"), budget=4, k=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
