@@ -1,7 +1,12 @@
 """Weak supervision: accuracies of voters that may abstain, by expectation-maximisation.
 
-Rows with equal votes are one pattern, so the model sees at most 3 ** voters counted
-patterns however many rows there are; the counts are exact over all rows.
+A row is good or bad, and a bad row is bad in the way that one of the voters looks for.
+For each of these classes every voter has its accuracies: how often it votes bad, nothing
+or good there. A voter that says "good" of everything thereby weighs nothing, one that
+rarely speaks but is then right weighs much, and one kind of bad rows can't pass for good
+because other kinds are more frequent. Rows with equal votes are one pattern, so the model
+sees at most 3 ** voters counted patterns however many rows there are; the counts are
+exact over all rows.
 """
 
 from __future__ import annotations
@@ -10,40 +15,64 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 3 ** MAX_VOTERS bounds what is gathered (59,049 patterns).
+from .common import fresh
+
+#: 3 ** MAX_VOTERS bounds what is gathered and sent back (59,049 patterns).
 MAX_VOTERS = 10
-#: Pseudo-votes of each voter, at the starting accuracy.
-PRIOR_VOTES = 20.0
-START_ACCURACY, LEAST, MOST = 0.8, 0.55, 0.98
+#: Where estimation starts: shares of votes bad, none, good on good rows, on bad rows of
+#: another voter's kind, and on those of the voter's own kind; and the share of good rows.
+ON_GOOD, ON_OTHER, ON_OWN = (0.02, 0.18, 0.80), (0.10, 0.20, 0.70), (0.70, 0.15, 0.15)
+START_SHARE = 0.85
+#: Weight of the start: it counts as so many rows for each row of a class.
+PULL = 0.5
+
+
+def start(voters: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vote shares by class, voter and vote; shares of the classes); class 0 is good."""
+    shares = np.empty((voters + 1, voters, 3))
+    shares[:] = ON_OTHER
+    shares[0] = ON_GOOD
+    for j in range(voters):
+        shares[j + 1, j] = ON_OWN
+    return shares, np.array([START_SHARE] + [(1 - START_SHARE) / voters] * voters)
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """(accuracy of each voter, share of good rows) from pattern votes (-1, 0, 1) and counts.
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The same arrays as ``start``, estimated from pattern votes (-1, 0, 1) and counts.
 
-    A voter is right with its accuracy whenever it votes, whatever the class. Accuracies
-    stay between LEAST and MOST, so no voter is turned round and none decides alone.
     Without rows the starting values are returned.
     """
-    accuracy, share = np.full(votes.shape[1], START_ACCURACY), 0.5
-    if not counts.sum():
-        return accuracy, share
-    voted = (votes != 0) * counts[:, None]
+    first, share = start(votes.shape[1])
+    shares, total = first, counts.sum()
+    if not total:
+        return shares, share
+    base = PULL * total * share
+    cast = np.stack([votes == v for v in (-1, 0, 1)], 2) * counts[:, None, None]
     for _ in range(rounds):
-        good = posterior(votes, accuracy, share)
-        right = np.where(votes > 0, good[:, None], 1 - good[:, None]) * voted
-        new = (right.sum(0) + PRIOR_VOTES * START_ACCURACY) / (voted.sum(0) + PRIOR_VOTES)
-        new = np.clip(new, LEAST, MOST)
-        now = float(np.clip((good * counts).sum() / counts.sum(), 0.05, 0.95))
-        if np.abs(new - accuracy).max() < 1e-9 and abs(now - share) < 1e-9:
+        of = classes(votes, shares, share)
+        new = np.einsum("pk,pjv->kjv", of, cast) + base[:, None, None] * first
+        new /= new.sum(2, keepdims=True)
+        now = (of * counts[:, None]).sum(0) + base
+        now /= now.sum()
+        done = max(np.abs(new - shares).max(), np.abs(now - share).max()) < 1e-10
+        shares, share = new, now
+        if done:
             break
-        accuracy, share = new, now
-    return accuracy, share
+    return shares, share
+
+
+def classes(votes: np.ndarray, shares: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Probability of each class for each pattern."""
+    odds = np.repeat(np.log(share)[None], len(votes), 0)
+    for j in range(votes.shape[1]):
+        odds = odds + np.log(shares[:, j]).T[votes[:, j].astype(int) + 1]
+    odds = np.exp(odds - odds.max(1, keepdims=True)) if len(votes) else odds
+    return odds / odds.sum(1, keepdims=True)
 
 
-def posterior(votes: np.ndarray, accuracy: np.ndarray, share: float) -> np.ndarray:
+def posterior(votes: np.ndarray, shares: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Probability that a row with these votes is good."""
-    odds = votes @ np.log(accuracy / (1 - accuracy)) + np.log(share / (1 - share))
-    return 1 / (1 + np.exp(-odds))
+    return classes(votes, shares, share)[:, 0]
 
 
 def vote(good: Column, bad: Column) -> Column:
@@ -53,12 +82,13 @@ def vote(good: Column, bad: Column) -> Column:
 
 def weigh(rows: DataFrame, voters: dict[str, Column], out: str) -> DataFrame:
     """rows with column ``out``: the posterior probability of being good by all voters."""
-    if len(voters) > MAX_VOTERS:
-        raise ValueError(f"at most {MAX_VOTERS} voters")
-    cast = {k: v.cast("int") for k, v in voters.items()}
-    seen = rows.select(*(v.alias(k) for k, v in cast.items())).groupBy(*cast).count().orderBy(*cast).collect()  # at most 3 ** voters rows
-    votes = np.array([[r[k] for k in cast] for r in seen], float).reshape(len(seen), len(cast))
-    accuracy, share = fit(votes, np.array([r["count"] for r in seen], float))
-    weight = np.log(accuracy / (1 - accuracy))
-    odds = sum((v * float(w) for v, w in zip(cast.values(), weight, strict=True)), F.lit(float(np.log(share / (1 - share)))))
-    return rows.withColumn(out, 1 / (1 + F.exp(-odds)))
+    if not 0 < len(voters) <= MAX_VOTERS:
+        raise ValueError(f"1 to {MAX_VOTERS} voters")
+    names = [fresh([*rows.columns, out], f"__vote{i}") for i in range(len(voters))]
+    cast = rows.withColumns({n: v.cast("int") for n, v in zip(names, voters.values(), strict=True)})
+    seen = cast.groupBy(*names).count().orderBy(*names).collect()      # at most 3 ** voters rows
+    votes = np.array([[r[n] for n in names] for r in seen], float).reshape(len(seen), len(names))
+    good = posterior(votes, *fit(votes, np.array([r["count"] for r in seen], float)))
+    schema = ", ".join(f"`{n}` int" for n in names) + f", `{out}` double"
+    table = rows.sparkSession.createDataFrame([(*map(int, v), float(g)) for v, g in zip(votes, good)], schema)
+    return cast.join(F.broadcast(table), names).select(*rows.columns, out)

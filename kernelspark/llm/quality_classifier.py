@@ -42,6 +42,7 @@ def labellers() -> dict[str, Column]:
         "capitals": vote(F.col("n_upper") * 6 <= chars, F.col("n_upper") * 2 > chars),
         "digits": vote(F.col("n_digits") * 25 <= chars, F.col("n_digits") * 5 > chars),
         "ends": vote(F.col("n_ends") * 50 >= words, F.col("n_ends") * 200 < words),
+        "plain": vote(F.col("n_plain_words") * 10 >= words * 7, F.col("n_plain_words") * 2 < words),
         "long_word": vote(F.col("longest_word") <= 40, F.col("longest_word") > 100),
     }
 

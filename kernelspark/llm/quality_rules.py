@@ -31,6 +31,7 @@ def rules() -> dict[str, Column]:
         "variety": vote(5 * F.col("n_distinct_words") >= words, 12 * F.col("n_distinct_words") < words),
         "capitals": vote(5 * F.col("n_upper") <= chars, 2 * F.col("n_upper") > chars),
         "digits": vote(20 * F.col("n_digits") <= chars, 5 * F.col("n_digits") > chars),
+        "plain_words": vote(10 * F.col("n_plain_words") >= 7 * words, 2 * F.col("n_plain_words") < words),
         "sentences": vote((F.col("n_ends") * 60 >= words) & (F.col("n_ends") * 2 <= words), F.col("n_ends") * 300 < words),
     }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,8 +13,10 @@ from .common import texts
 
 WINDOW = 8
 _SYMBOLS = b"#*$%&|<>"
+#: A word of letters (any byte outside ASCII counts as one), perhaps with a closing mark.
+_PLAIN = re.compile(rb"(?<![^ \t-\r])[A-Za-z\x80-\xff]+[.,;:!?]?(?![^ \t-\r])")
 _UPPER, _DIGITS, _ENDS = (bytes(range(65, 91)), bytes(range(48, 58)), b".!?")
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_digits", "n_ends", "longest_word"]
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_digits", "n_ends", "longest_word", "n_plain_words"]
 
 
 def repeats(words: list[bytes], window: int = WINDOW) -> int:
@@ -45,7 +49,7 @@ def stats(raw: bytes) -> list[int]:
     distinct = len(set(words))
     return [len(words), len(joined.decode("utf-8", "replace")), without(_SYMBOLS), len(lines) - len(set(lines)),
             repeats(words) if distinct < len(words) else 0, len(lines), distinct,
-            without(_UPPER), without(_DIGITS), without(_ENDS), max(map(len, words), default=0)]
+            without(_UPPER), without(_DIGITS), without(_ENDS), max(map(len, words), default=0), len(_PLAIN.findall(raw))]
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -48,39 +48,47 @@ def test_rules_against_brute_force(docs, rows):
     votes = {k: [x[k] for x in R.judge(docs.select("doc_id", "text")).select(*(v.alias(k) for k, v in R.rules().items())).collect()] for k in R.rules()}
     v = np.array(list(votes.values()), float).T
     patterns, counts = np.unique(v, axis=0, return_counts=True)
-    accuracy, share = plain_em(v)
-    assert np.allclose(M.fit(patterns, counts.astype(float))[0], accuracy, atol=1e-6)
-    assert np.allclose(sorted(r.quality for r in got), sorted(M.posterior(v, accuracy, share)), atol=1e-6)
+    shares, share = plain_em(v.astype(int).tolist())
+    found = M.fit(patterns, counts.astype(float))
+    assert np.allclose(found[0], shares, atol=1e-6) and np.allclose(found[1], share, atol=1e-6)
+    assert np.allclose(sorted(r.quality for r in got), sorted(M.posterior(v, np.array(shares), np.array(share))), atol=1e-6)
 
 
 def plain_em(votes):
     """The same model row by row, without patterns."""
-    acc, share = [M.START_ACCURACY] * votes.shape[1], 0.5
-    for _ in range(100):
-        good = []
+    m, n = len(votes[0]), len(votes)
+    first = [[list(M.ON_GOOD if k == 0 else M.ON_OWN if k == j + 1 else M.ON_OTHER) for j in range(m)] for k in range(m + 1)]
+    begin = [M.START_SHARE] + [(1 - M.START_SHARE) / m] * m
+    shares, share = first, begin
+    for _ in range(200):
+        of = []
         for row in votes:
-            p, q = share, 1 - share
-            for a, v in zip(acc, row):
-                p *= a if v > 0 else 1 - a if v < 0 else 1
-                q *= 1 - a if v > 0 else a if v < 0 else 1
-            good.append(p / (p + q))
-        new = []
-        for j in range(votes.shape[1]):
-            right = sum(g if v > 0 else 1 - g for g, v in zip(good, votes[:, j]) if v)
-            new.append(min(M.MOST, max(M.LEAST, (right + M.PRIOR_VOTES * M.START_ACCURACY) / ((votes[:, j] != 0).sum() + M.PRIOR_VOTES))))
-        acc, share = new, min(0.95, max(0.05, sum(good) / len(good)))
-    return np.array(acc), share
+            p = [share[k] * np.prod([shares[k][j][v + 1] for j, v in enumerate(row)]) for k in range(m + 1)]
+            of.append([x / sum(p) for x in p])
+        now = []
+        for k in range(m + 1):
+            per = []
+            for j in range(m):
+                mass = [sum(o[k] for o, row in zip(of, votes) if row[j] == v) + M.PULL * n * begin[k] * first[k][j][v + 1] for v in (-1, 0, 1)]
+                per.append([x / sum(mass) for x in mass])
+            now.append(per)
+        shares = now
+        share = [(sum(o[k] for o in of) + M.PULL * n * begin[k]) / (n * (1 + M.PULL)) for k in range(m + 1)]
+    return shares, share
 
 
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
-    truth = rng.random(20000) < 0.7
-    true = np.array([0.9, 0.85, 0.7, 0.6, 0.95])
-    right = rng.random((20000, 5)) < true
-    votes = np.where(right == truth[:, None], 1, -1) * (rng.random((20000, 5)) < 0.8)
+    true = np.array([[[0.01, 0.29, 0.70], [0.0, 0.0, 1.0], [0.03, 0.17, 0.80]],      # good rows
+                     [[0.80, 0.10, 0.10], [0.0, 0.0, 1.0], [0.30, 0.20, 0.50]]])     # bad by voter 0
+    kind = (rng.random(20000) < 0.3).astype(int)
+    votes = (rng.random((20000, 3))[:, :, None] > np.cumsum(true, 2)[kind]).sum(2) - 1
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    accuracy, share = M.fit(patterns.astype(float), counts.astype(float))
-    assert np.abs(accuracy - true).max() < 0.03 and abs(share - 0.7) < 0.03
+    shares, share = M.fit(patterns.astype(float), counts.astype(float))
+    assert abs(share[0] - 0.7) < 0.08 and np.abs(shares[0] - true[0]).max() < 0.12
+    good = M.posterior(votes, shares, share) >= 0.5
+    assert good[kind == 0].mean() > 0.95 and good[kind == 1].mean() < 0.3
+    assert M.fit(np.zeros((0, 3)), np.zeros(0))[1][0] == M.START_SHARE
 
 
 def test_classifier_against_hand_labels(spark):
