@@ -75,10 +75,9 @@ class KernelSpec:
         X = np.asarray(X, dtype=np.float64)
         Y = np.asarray(Y, dtype=np.float64)
         if self.metric == "l1":
-            D = np.abs(X[:, None, :] - Y[None, :, :]).sum(-1)
-            return np.exp(-D / self.bandwidth)
-        if self.stable and X.shape[0] * Y.shape[0] * X.shape[1] <= 50_000_000:
-            sq = ((X[:, None, :] - Y[None, :, :]) ** 2).sum(-1)
+            return np.exp(-difference_sums(X, Y, np.abs) / self.bandwidth)
+        if self.stable:
+            sq = difference_sums(X, Y, np.square)
         else:
             sq = (X * X).sum(1)[:, None] + (Y * Y).sum(1)[None, :] - 2.0 * X @ Y.T
             np.maximum(sq, 0.0, out=sq)
@@ -103,6 +102,25 @@ class KernelSpec:
         raise ValueError("general-nu Matérn has no SQL form")
 
 
+#: Cells of a difference block held at once.
+BLOCK_CELLS = 1 << 18
+
+
+def difference_sums(X: np.ndarray, Y: np.ndarray, size) -> np.ndarray:
+    """Σ_j size(x_j − y_j) for all row pairs, one dimension at a time over blocks of rows.
+
+    Each cell adds its dimensions in order, so the value does not depend on the number of
+    rows, of pivots or of rows in a block.
+    """
+    out = np.zeros((len(X), len(Y)))
+    step = max(1, BLOCK_CELLS // max(1, len(Y)))
+    for a in range(0, len(X), step):
+        block = out[a:a + step]
+        for j in range(X.shape[1]):
+            block += size(X[a:a + step, j, None] - Y[None, :, j])
+    return out
+
+
 def _matern_col(r: Column, nu: float) -> Column:
     if nu == 0.5:
         return F.exp(-r)

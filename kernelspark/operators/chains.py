@@ -2,10 +2,9 @@
 
 Chains are long tables ``(keys…, step, x)``: one row per (chain, dimension,
 step). Lag sums never put a whole chain in one task: steps are cut into
-segments of ``segment`` rows; every segment also receives the first
-``max_lag`` rows of the next one (a halo), so each (key, segment) group is
-bounded by segment + max_lag rows and computes its lag products with NumPy.
-Per-lag partial sums are then added across segments.
+segments of ``segment`` rows and lags into blocks as wide, and each (key,
+segment, lag block) group holds three segments and computes its lag products
+with NumPy. Per-lag partial sums are then added across segments.
 
 The integrated time (D3) needs the autocorrelation only up to its window
 (m ≥ c·τ(m)); lags are computed in doubling ranges until every key's
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_table
+
 # Fixed values that must equal the reference's.
 TAU_WINDOW_C = 5.0                 # auto-window constant
 SHORT_CHAIN_FACTOR = 50.0                # warn when n < 50 τ
@@ -45,71 +46,96 @@ def lag_sums(df: DataFrame, keys, step: str = "step", x: str = "x", max_lag: int
              segment: int = 4096, lag_from: int = 0) -> DataFrame:
     """Σ_t xc_t·xc_{t+lag} and pair counts for lag in [lag_from, max_lag], xc = x − mean.
 
-    Output ``(keys…, lag, s, pairs)``.
+    Output ``(keys…, lag, s, pairs)`` for the lags that have a pair. Lags are cut into
+    blocks of ``segment``: for block j a segment's steps meet those of the segments j and
+    j + 1 further on, so a task holds three segments whatever the chain's length or lag.
     """
     keys = _k(keys)
-    L = int(max_lag)
-    B = max(int(segment), L)          # a halo reaches one segment back, so segments hold ≥ max_lag steps
+    B, lo, hi = int(segment), int(lag_from), int(max_lag)
     mom = moments(df, keys, x).select(*keys, "mean")
     c = df.join(mom, keys).select(*keys, F.col(step).cast("long").alias("_t"),
                                    (F.col(x) - F.col("mean")).cast("double").alias("_xc"))
     seg = F.floor(F.col("_t") / B).cast("long")
-    halo = (F.col("_t") % B < L) & (F.col("_t") >= B)
-    tgt = F.when(halo, F.array(seg, seg - 1)).otherwise(F.array(seg))
-    e = c.select(*keys, "_t", "_xc", F.explode(tgt).alias("_seg"))
+    blocks = F.sequence(F.lit(lo // B), F.lit(hi // B)).cast("array<bigint>")
+
+    def places(j):
+        return F.array(F.struct(seg.alias("_seg"), j.alias("_blk"), F.lit(True).alias("_own")),
+                       F.struct((seg - j).alias("_seg"), j.alias("_blk"), F.lit(False).alias("_own")),
+                       F.struct((seg - j - 1).alias("_seg"), j.alias("_blk"), F.lit(False).alias("_own")))
+
+    e = c.select(*keys, "_t", "_xc", F.explode(F.flatten(F.transform(blocks, places))).alias("_p")) \
+         .select(*keys, "_t", "_xc", "_p.*")
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("lag", T.LongType()), T.StructField("s", T.DoubleType()),
                                         T.StructField("pairs", T.LongType())])
-    lo = int(lag_from)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        sg = int(pdf["_seg"].iloc[0])
-        base = sg * B
-        pos = pdf["_t"].to_numpy() - base
-        arr = np.zeros(B + L + 1)
-        msk = np.zeros(B + L + 1)
-        ok = (pos >= 0) & (pos < B + L + 1)
-        arr[pos[ok]] = pdf["_xc"].to_numpy()[ok]
-        msk[pos[ok]] = 1.0
-        lags = np.arange(lo, L + 1)
-        s = np.array([arr[:B] @ arr[g:g + B] for g in lags])
-        p = np.array([msk[:B] @ msk[g:g + B] for g in lags]).astype(np.int64)
-        out = pd.DataFrame({"lag": lags.astype(np.int64), "s": s, "pairs": p})
+        sg, blk = int(pdf["_seg"].iloc[0]), int(pdf["_blk"].iloc[0])
+        width = min(B, hi - blk * B + 1)                     # lags of this block
+        own = pdf["_own"].to_numpy()
+        t, v = pdf["_t"].to_numpy(), pdf["_xc"].to_numpy()
+        base, bm = np.zeros(B), np.zeros(B)
+        ahead, am = np.zeros(B + width - 1), np.zeros(B + width - 1)
+        base[t[own] - sg * B], bm[t[own] - sg * B] = v[own], 1.0
+        far = t[~own] - (sg + blk) * B
+        in_ = far < len(ahead)
+        ahead[far[in_]], am[far[in_]] = v[~own][in_], 1.0
+        lags = np.arange(blk * B, blk * B + width)
+        out = pd.DataFrame({"lag": lags, "s": np.correlate(ahead, base, "valid"),
+                            "pairs": np.rint(np.correlate(am, bm, "valid")).astype(np.int64)})
+        out = out[(out["pairs"] > 0) & (out["lag"] >= lo)]
         for k_ in keys:
             out[k_] = pdf[k_].iloc[0]
         return out[[f.name for f in schema.fields]]
 
-    parts = e.groupBy(*keys, "_seg").applyInPandas(fn, schema)
+    parts = e.groupBy(*keys, "_seg", "_blk").applyInPandas(fn, schema)
     return parts.groupBy(*keys, "lag").agg(F.sum("s").alias("s"), F.sum("pairs").alias("pairs"))
 
 
 def acf(df: DataFrame, keys, step: str = "step", x: str = "x", max_lag: int = 200, norm: str = "n-lag",
-        segment: int = 4096) -> DataFrame:
+        segment: int = 4096, lag_from: int = 0) -> DataFrame:
     """D1 (norm='n-lag'): mean lagged product / population variance; zeros when var < 1e-12.
-    D2 (norm='n'): Σ lagged products / Σ xc², i.e. normalised at lag 0."""
+    D2 (norm='n'): Σ lagged products / Σ xc², i.e. normalised at lag 0. Lags without a pair
+    (a chain shorter than the lag) have no row."""
     keys = _k(keys)
-    ls = lag_sums(df, keys, step, x, max_lag, segment)
-    mom = moments(df, keys, x)
-    j = ls.join(mom, keys)
+    if norm not in ("n-lag", "n"):
+        raise ValueError("norm must be 'n-lag' or 'n'")
+    ls = lag_sums(df, keys, step, x, max_lag, segment, lag_from)
+    j = ls.join(moments(df, keys, x), keys)
     if norm == "n-lag":
-        val = F.when(F.col("var") < VAR_FLOOR, F.lit(0.0)).otherwise(
-            (F.col("s") / F.col("pairs")) / F.col("var"))
-    elif norm == "n":
-        s0 = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy(*keys))
-        val = F.when(s0 <= 0, F.lit(1.0)).otherwise(F.col("s") / s0)
+        val = F.when(F.col("var") < VAR_FLOOR, F.lit(0.0)).otherwise((F.col("s") / F.col("pairs")) / F.col("var"))
     else:
-        raise ValueError("norm must be 'n-lag' or 'n'")
+        s0 = F.col("var") * F.col("n")
+        val = F.when(s0 <= 0, F.lit(1.0)).otherwise(F.col("s") / s0)
     return j.select(*keys, "lag", val.alias("acf"))
 
 
+def _lag_ranges(df: DataFrame, keys: list[str], step: str, x: str, norm: str, segment: int, start_lag: int, judge):
+    """Autocorrelation in doubling lag ranges, each only for the keys that ``judge`` leaves open.
+
+    ``judge(acf so far)`` returns one row per key with a boolean ``done``; the loop also
+    ends for a key when its lags run out. Ranges and verdicts are stored tables.
+    """
+    spark = df.sparkSession
+    n = checkpoint_table(moments(df, keys, x).select(*keys, "n"), spark, "chain-lengths")
+    open_, lo, hi, so_far = n, 0, max(1, int(start_lag)), None
+    while True:
+        a = checkpoint_table(acf(df.join(open_.select(*keys), keys, "left_semi"), keys, step, x, hi, norm, segment, lo), spark, "chain-acf")
+        so_far = a if so_far is None else so_far.unionByName(a)
+        found = checkpoint_table(n.join(judge(so_far), keys, "left"), spark, "chain-found")
+        open_ = found.filter(~F.coalesce("done", F.lit(False)) & (F.col("n") - 1 > hi))
+        if open_.isEmpty():
+            return found
+        lo, hi = hi + 1, 2 * hi
+
+
 def _tau_from_acf(a: DataFrame, keys: list[str], c: float) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     t = a.withColumn("taus", F.lit(2.0) * F.sum("acf").over(w) - F.lit(1.0))
-    hit = t.filter(F.col("lag") >= F.lit(c) * F.col("taus"))
-    first = hit.groupBy(*keys).agg(F.min_by(F.struct("lag", "taus"), F.col("lag")).alias("_w"))
-    last = t.groupBy(*keys).agg(F.max_by(F.struct("lag", "taus"), F.col("lag")).alias("_l"),
-                                F.max("lag").alias("_maxlag"))
-    return last.join(first, keys, "left")
+    hit = F.col("lag") >= F.lit(c) * F.col("taus")
+    at = F.struct("lag", "taus")
+    return t.groupBy(*keys).agg(F.min_by(at, F.when(hit, F.col("lag"))).alias("_w"), F.max_by(at, F.col("lag")).alias("_l"),
+                                F.max(hit).alias("done"))
 
 
 def integrated_time(df: DataFrame, keys, step: str = "step", x: str = "x", c: float = TAU_WINDOW_C,
@@ -119,21 +145,9 @@ def integrated_time(df: DataFrame, keys, step: str = "step", x: str = "x", c: fl
     ``(keys…, tau, win_lag, n, warn)``; warn = n < 50·τ.
     """
     keys = _k(keys)
-    mom = moments(df, keys, x).cache()
-    n_max = int(mom.agg(F.max("n")).first()[0] or 0)
-    L = max(1, min(start_lag, n_max - 1))
-    while True:
-        a = acf(df, keys, step, x, L, norm="n", segment=segment)
-        r = _tau_from_acf(a, keys, c).cache()        # one row per key
-        missing = r.filter(F.col("_w").isNull()).count()
-        if missing == 0 or L >= n_max - 1:
-            break
-        r.unpersist()
-        L = min(2 * L, n_max - 1)
-    chosen = F.coalesce(F.col("_w"), F.col("_l"))
-    out = r.join(mom, keys).select(
-        *keys, F.greatest(chosen["taus"], F.lit(1.0)).alias("tau"), chosen["lag"].alias("win_lag"), "n")
-    mom.unpersist()
+    r = _lag_ranges(df, keys, step, x, "n", segment, start_lag, lambda a: _tau_from_acf(a, keys, c))
+    chosen = F.when(F.col("done"), F.col("_w")).otherwise(F.col("_l"))
+    out = r.select(*keys, F.greatest(chosen["taus"], F.lit(1.0)).alias("tau"), chosen["lag"].alias("win_lag"), "n")
     return out.withColumn("warn", F.col("n") < F.lit(SHORT_CHAIN_FACTOR) * F.col("tau"))
 
 
@@ -170,21 +184,27 @@ def ess(tau_col, steps, walkers=1):
     return F.when(t > 0, s * w / t)
 
 
-def geyer_ess(df: DataFrame, keys, step: str = "step", x: str = "x", max_lag: int = 500,
+def geyer_ess(df: DataFrame, keys, step: str = "step", x: str = "x", start_lag: int = 512,
               segment: int = 4096) -> DataFrame:
-    """τ = 1 + 2 Σ_{k≥1} (ρ(2k) + ρ(2k+1)) up to the first negative pair; ESS = n / τ."""
+    """τ = 1 + 2 Σ_{k≥1} (ρ(2k) + ρ(2k+1)) up to the first negative pair; ESS = n / τ.
+
+    Lags are extended until a pair is negative or the chain has no further pair; then
+    ``terminated`` is false and the ESS is a lower bound.
+    """
     keys = _k(keys)
-    a = acf(df, keys, step, x, max_lag, norm="n-lag", segment=segment)
-    pairs = a.filter((F.col("lag") >= 2) & (F.col("lag") < 2 * (max_lag // 2))) \
-        .withColumn("kk", F.floor(F.col("lag") / 2)).groupBy(*keys, "kk").agg(F.sum("acf").alias("gamma"))
-    pairs = pairs.filter(F.col("kk") < max_lag // 2)
-    w = Window.partitionBy(*keys).orderBy("kk").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("_neg_seen", F.max((F.col("gamma") < 0).cast("int")).over(w))
-    tau = pairs.filter(F.col("_neg_seen") == 0).groupBy(*keys).agg(
-        (F.lit(1.0) + F.lit(2.0) * F.sum("gamma")).alias("tau"))
-    mom = moments(df, keys, x).select(*keys, "n")
-    j = mom.join(tau, keys, "left").withColumn("tau", F.coalesce("tau", F.lit(1.0)))
-    return j.select(*keys, "n", "tau", (F.col("n") / F.col("tau")).alias("ess"))
+
+    def judge(a):
+        g = a.filter(F.col("lag") >= 2).groupBy(*keys, F.floor(F.col("lag") / 2).alias("kk")) \
+            .agg(F.sum("acf").alias("gamma"), F.count(F.lit(1)).alias("m")).filter("m = 2")
+        w = Window.partitionBy(*keys).orderBy("kk").rowsBetween(Window.unboundedPreceding, 0)
+        g = g.withColumn("neg", F.max(F.col("gamma") < 0).over(w))
+        return g.groupBy(*keys).agg((F.lit(1.0) + F.lit(2.0) * F.coalesce(F.sum(F.when(~F.col("neg"), F.col("gamma"))), F.lit(0.0))).alias("tau"),
+                                    F.max("neg").alias("done"))
+
+    # ranges end at odd lags, so that no pair is cut
+    r = _lag_ranges(df, keys, step, x, "n-lag", segment, start_lag | 1, judge)
+    r = r.withColumn("tau", F.coalesce("tau", F.lit(1.0)))
+    return r.select(*keys, "n", "tau", (F.col("n") / F.col("tau")).alias("ess"), F.coalesce("done", F.lit(False)).alias("terminated"))
 
 
 def rhat(df: DataFrame, chain: str, dim=(), x: str = "x") -> DataFrame:
@@ -218,19 +238,28 @@ def tau_quantiles(tau: DataFrame) -> DataFrame:
     return a.withColumn("tau_ratio", F.when(F.col("tau_mean") > 0, F.col("tau_max") / F.col("tau_mean")))
 
 
+# Fixed values that must equal the reference's: limits and labels of the three ladders.
+LENGTH_LIMITS, LENGTH_LABELS = (0.8, 1.2, 1.8), ("stable", "mild bias", "strong bias")
+AGREEMENT_LABELS = ("chains agree", "borderline", "disagree")
+SLOW_LIMITS, SLOW_LABELS = (3.0, 5.0), ("no slow direction", "mild", "hidden slow direction")
+OVERALL_LABELS = ("tau values are reliable", "tau may be biased", "sampling has problems")
+
+
 def verdicts(first_tau, last_tau, rhat_max, tau_ratio):
     """Stability / agreement / slow-direction ladders and the overall worst, as Columns."""
     ratio = last_tau / first_tau
     v1 = F.when(first_tau.isNull() | last_tau.isNull() | (first_tau <= 0), "unavailable") \
-        .when((ratio >= 0.8) & (ratio <= 1.2), "stable").when(ratio <= 1.8, "mild bias").otherwise("strong bias")
-    v2 = F.when(rhat_max.isNull(), "unavailable").when(rhat_max < RHAT_PASS, "chains agree") \
-        .when(rhat_max <= RHAT_MARGINAL, "borderline").otherwise("disagree")
-    v3 = F.when(tau_ratio.isNull(), "unavailable").when(tau_ratio <= 3.0, "no slow direction") \
-        .when(tau_ratio <= 5.0, "mild").otherwise("hidden slow direction")
+        .when((ratio >= LENGTH_LIMITS[0]) & (ratio <= LENGTH_LIMITS[1]), LENGTH_LABELS[0]) \
+        .when(ratio <= LENGTH_LIMITS[2], LENGTH_LABELS[1]).otherwise(LENGTH_LABELS[2])
+    v2 = F.when(rhat_max.isNull(), "unavailable").when(rhat_max < RHAT_PASS, AGREEMENT_LABELS[0]) \
+        .when(rhat_max <= RHAT_MARGINAL, AGREEMENT_LABELS[1]).otherwise(AGREEMENT_LABELS[2])
+    v3 = F.when(tau_ratio.isNull(), "unavailable").when(tau_ratio <= SLOW_LIMITS[0], SLOW_LABELS[0]) \
+        .when(tau_ratio <= SLOW_LIMITS[1], SLOW_LABELS[1]).otherwise(SLOW_LABELS[2])
     flags = F.array(v1, v2, v3)
-    bad = F.arrays_overlap(flags, F.array(*[F.lit(s) for s in ("strong bias", "disagree", "hidden slow direction")]))
-    mild = F.arrays_overlap(flags, F.array(*[F.lit(s) for s in ("mild bias", "borderline", "mild")]))
-    overall = F.when(bad, "sampling has problems").when(mild, "tau may be biased").otherwise("tau values are reliable")
+    ladders = (LENGTH_LABELS, AGREEMENT_LABELS, SLOW_LABELS)
+    bad = F.arrays_overlap(flags, F.array(*[F.lit(s[2]) for s in ladders]))
+    mild = F.arrays_overlap(flags, F.array(*[F.lit(s[1]) for s in ladders]))
+    overall = F.when(bad, OVERALL_LABELS[2]).when(mild, OVERALL_LABELS[1]).otherwise(OVERALL_LABELS[0])
     return v1.alias("length_stability"), v2.alias("chain_agreement"), v3.alias("slow_direction"), overall.alias("overall")
 
 

@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import exact_quantiles, join_null_safe, prefix_sums, row_numbers
+from ..session import checkpoint_table
+from .ordered import exact_quantiles, join_null_safe, prefix_sums
 
 # Fixed values that must equal the reference's for equal results.
 EPS = 1e-12            # probability clip
@@ -174,6 +174,14 @@ def score_table(d: DataFrame, g: list[str]) -> DataFrame:
                                    F.sum(F.lit(1) - F.col("_y")).cast("long").alias("neg"))
 
 
+def rank_sums() -> list[Column]:
+    """Sums over the score table behind AUROC and AUPRC. Pair counts pass 2**63 from about
+    3e9 rows a class, so products and sums are doubles."""
+    pos, neg, cum_pos = (F.col(c).cast("double") for c in ("pos", "neg", "cum_pos"))
+    return [F.sum(pos * F.col("cum_neg")).alias("_a1"), F.sum(pos * neg).alias("_a2"),
+            F.sum(pos * cum_pos / (F.col("cum_pos") + F.col("cum_neg"))).alias("_ap")]
+
+
 def ranking(df: DataFrame, y="y", p="p", group_by=(), n_buckets: int = 64, clip: bool = True) -> DataFrame:
     """E13 AUROC (average ranks with ties) and E14 AUPRC (average precision)."""
     g = _g(group_by)
@@ -181,9 +189,7 @@ def ranking(df: DataFrame, y="y", p="p", group_by=(), n_buckets: int = 64, clip:
     s = prefix_sums(score_table(d, g), g, "_p", ["pos", "neg"], descending=True, n_buckets=n_buckets)
     a = s.groupBy(*g).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-        F.sum(F.col("pos") * F.col("cum_neg")).alias("_a1"),
-        F.sum(F.col("pos") * F.col("neg")).alias("_a2"),
-        F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_ap"))
+        *rank_sums())
     pn = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
     return a.select(
         *g, "n_pos", "n_neg",
@@ -249,8 +255,16 @@ def binary_report(df: DataFrame, y="y", p="p", group_by=(), threshold=DEFAULT_TH
     posterior predictive probability samples, for PELL.
     """
     g = _g(group_by)
-    d = prepare(df, y, p, g)
-    s = score_table(d, g).persist(StorageLevel.MEMORY_AND_DISK)
+    out = report_of_scores(checkpoint_table(score_table(prepare(df, y, p, g), g), df.sparkSession, "score-table"), g,
+                           threshold, n_bins, edges, zero_policy, n_buckets)
+    if draws is not None:
+        out = join_null_safe(out, pell(draws, group_by=g), g, "left")
+    return out
+
+
+def report_of_scores(s: DataFrame, g: list[str], threshold=DEFAULT_THRESHOLD, n_bins=DEFAULT_BINS, edges="left",
+                     zero_policy="null", n_buckets: int = 64) -> DataFrame:
+    """The report over a score table (groups, _p, pos, neg)."""
     P_, pos, neg = F.col("_p"), F.col("pos"), F.col("neg")
     cnt = pos + neg
     hi = P_ >= F.lit(threshold)
@@ -267,20 +281,14 @@ def binary_report(df: DataFrame, y="y", p="p", group_by=(), threshold=DEFAULT_TH
         .groupBy(*g).agg(F.sum(F.abs(F.col("sum_y") - F.col("sum_p"))).alias("_ece_num"))
     ps = prefix_sums(s, g, "_p", ["pos", "neg"], descending=True, n_buckets=n_buckets)
     rk = ps.groupBy(*g).agg(
-        F.sum(F.col("pos") * F.col("cum_neg")).alias("_a1"),
-        F.sum(F.col("pos") * F.col("neg")).alias("_a2"),
-        F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_ap"))
+        *rank_sums())
     r = join_null_safe(join_null_safe(base, bins, g, "left"), rk, g, "left")
     pn = F.col("n_pos").cast("double") * F.col("_n_neg").cast("double")
     r = r.withColumn("ece", F.coalesce(F.col("_ece_num"), F.lit(0.0)) / F.col("n")) \
          .withColumn("auroc", F.when((F.col("n_pos") > 0) & (F.col("_n_neg") > 0),
                                      F.lit(1.0) - (F.col("_a1") - F.lit(0.5) * F.col("_a2")) / pn)) \
          .withColumn("auprc", F.when(F.col("n_pos") > 0, F.col("_ap") / F.col("n_pos")))
-    out = r.select(*g, *REPORT_COLUMNS)
-    if draws is not None:
-        pe = pell(draws, group_by=g)
-        out = join_null_safe(out, pe, g, "left")
-    return out
+    return r.select(*g, *REPORT_COLUMNS)
 
 
 # ---------------------------------------------------------------- E8, E9 ------
@@ -292,7 +300,13 @@ def pell(draws: DataFrame, y="y", p="p", draw="draw", group_by=()) -> DataFrame:
     """
     g = _g(group_by)
     lt = log_term(F.col(y).cast("int"), clip_p(F.col(p)))
-    per_draw = draws.groupBy(*g, draw).agg(F.sum(lt).alias("_ll"), F.count(F.lit(1)).alias("_n"))
+    return pell_of_draws(draws.groupBy(*g, draw).agg(F.sum(lt).alias("ll"), F.count(F.lit(1)).alias("n")), g)
+
+
+def pell_of_draws(per_draw: DataFrame, group_by=()) -> DataFrame:
+    """E8 from (draw, ll, n): the log likelihood and row count of each draw."""
+    g = _g(group_by)
+    per_draw = per_draw.withColumnsRenamed({"ll": "_ll", "n": "_n"})
     a = per_draw.groupBy(*g).agg(F.avg("_ll").alias("pell"), F.max("_n").alias("_n_obs"))
     return a.select(*g, "pell",
                     (F.col("pell") / F.col("_n_obs")).alias("pell_mean"),
@@ -310,7 +324,13 @@ def pell_latent(draws: DataFrame, y="y", latent="latent", draw="draw", group_by=
     g = _g(group_by)
     f = F.col(latent).cast("double")
     lt = F.when(F.col(y) == 1, log_expit(f)).otherwise(log_expit(-f))
-    per_draw = draws.groupBy(*g, draw).agg(F.sum(lt).alias("_ll"), F.count(F.lit(1)).alias("_n"))
+    return pell_of_draws(draws.groupBy(*g, draw).agg(F.sum(lt).alias("ll"), F.count(F.lit(1)).alias("n")), g)
+
+
+def pell_of_draws(per_draw: DataFrame, group_by=()) -> DataFrame:
+    """E8 from (draw, ll, n): the log likelihood and row count of each draw."""
+    g = _g(group_by)
+    per_draw = per_draw.withColumnsRenamed({"ll": "_ll", "n": "_n"})
     a = per_draw.groupBy(*g).agg(F.avg("_ll").alias("pell"), F.max("_n").alias("_n_obs"))
     return a.select(*g, "pell", (F.col("pell") / F.col("_n_obs")).alias("pell_mean"))
 
@@ -380,14 +400,18 @@ def per_group_report(df: DataFrame, group: str, y="y", p="p", min_n: int = 10, *
 
 
 def report_with_total(df: DataFrame, group: str, y="y", p="p", total_label: str = "ALL", **kw) -> DataFrame:
-    """Per-group rows plus a combined row (grouping sets ((group), ())).
+    """Per-group rows plus a combined row, which carries ``total_label`` in the group column.
 
-    Rows are duplicated once (an Expand of two copies), then one report runs
-    grouped by the copy's label, so both levels share every shuffle.
+    Both levels are reports over one stored score table (group, score, positives,
+    negatives), so the input is read and shuffled once, and a real group of the same name
+    stays a row of its own.
     """
-    both = df.select("*", F.explode(F.array(F.col(group).cast("string"), F.lit(total_label))).alias("_level"))
-    r = binary_report(both, y, p, group_by=["_level"], **kw)
-    return r.withColumnRenamed("_level", group)
+    spark = df.sparkSession
+    scores = checkpoint_table(score_table(prepare(df, y, p, [group]), [group]), spark, "score-table")
+    label = F.col(group).cast("string")
+    per = report_of_scores(scores.withColumn(group, label), [group], **kw)
+    total = report_of_scores(scores.groupBy("_p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), [], **kw)
+    return per.unionByName(total.select(F.lit(total_label).alias(group), "*"))
 
 
 # ---------------------------------------------------------------- E22–E24 -----
@@ -421,6 +445,23 @@ DIAGNOSTIC_ROLES = ["highest-confidence correct", "highest-confidence incorrect"
                     "median-uncertainty correct"]
 
 
+def _middle(rows: DataFrame, key: str) -> DataFrame:
+    """The row at position ⌊n/2⌋ by (conf, key): first its confidence, from counted
+    confidences, then its key among the rows with that confidence, from counted keys."""
+    def at(counted: DataFrame, order: str, position: DataFrame) -> DataFrame:
+        run = prefix_sums(counted, [], order, ["_c"], descending=False).crossJoin(F.broadcast(position))  # one row
+        before = F.col("cum__c") - F.col("_c")
+        return run.filter((before <= F.col("_pos")) & (F.col("_pos") < F.col("cum__c"))) \
+                  .select(F.col(order).alias("_at"), (F.col("_pos") - before).alias("_pos"))
+
+    by_conf = rows.groupBy("conf").agg(F.count(F.lit(1)).alias("_c"))
+    conf = at(by_conf, "conf", by_conf.agg(F.floor(F.sum("_c") / 2).alias("_pos")))
+    same = rows.join(F.broadcast(conf), F.col("conf") == F.col("_at")).drop("_at", "_pos")
+    by_key = same.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    found = at(by_key, key, conf.select("_pos"))
+    return same.join(F.broadcast(found.select("_at")), F.col(key) == F.col("_at")).drop("_at").orderBy("y", "p").limit(1)
+
+
 def diagnostic_points(df: DataFrame, key="id", y="y", p="p", threshold=0.5, n_points: int = 4) -> DataFrame:
     """Up to four illustrative rows (a report, hence the limits).
 
@@ -436,10 +477,7 @@ def diagnostic_points(df: DataFrame, key="id", y="y", p="p", threshold=0.5, n_po
     picks = [(0, d.filter("correct").orderBy(F.col("conf").desc(), F.col(key)).limit(1)),
              (1, d.filter(~F.col("correct")).orderBy(F.col("conf").desc(), F.col(key)).limit(1)),
              (2, d.orderBy(F.col("conf").asc(), F.col(key)).limit(1))]
-    ranked = row_numbers(corr, [], ["conf", key], out="_rk")          # distributed, no single-task window
-    n_corr = corr.agg(F.count(F.lit(1)).alias("_n"))
-    mid = ranked.crossJoin(F.broadcast(n_corr)).filter(F.col("_rk") == F.floor(F.col("_n") / 2) + 1).drop("_rk", "_n")
-    picks.append((3, mid))
+    picks.append((3, _middle(corr, key)))
     chosen = None
     for slot, src in picks:
         part = src.select(F.lit(slot).alias("_slot"), F.lit(DIAGNOSTIC_ROLES[slot]).alias("role"), key, "y", "p", "conf")
@@ -484,7 +522,7 @@ def bce_with_pos_weight(y: Column, p: Column, pos_weight: float | Column) -> Col
 def best_epoch(history: DataFrame, run="run", epoch="epoch", score="score", loss=None,
                patience: int = 5) -> DataFrame:
     """Per run, the best epoch (max score, first wins; −loss when score is null)
-    and the epoch where patience would stop training."""
+    and the epoch where patience stops training; epochs after that stop don't count."""
     key = F.coalesce(F.col(score).cast("double"),
                      -F.col(loss).cast("double") if loss else F.lit(None).cast("double"))
     h = history.withColumn("_key", key)
@@ -494,8 +532,10 @@ def best_epoch(history: DataFrame, run="run", epoch="epoch", score="score", loss
     w2 = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("_last_improve", F.max(F.when(F.col("_improved"), F.col(epoch))).over(w2))
     h = h.withColumn("_stale", F.col(epoch) - F.col("_last_improve"))
+    h = h.withColumn("_stop", F.min(F.when(F.col("_stale") >= patience, F.col(epoch))).over(Window.partitionBy(run)))
+    ran = F.col("_stop").isNull() | (F.col(epoch) <= F.col("_stop"))
     return h.groupBy(run).agg(
-        F.min_by(F.col(epoch), F.struct(-F.col("_key"), F.col(epoch))).alias("best_epoch"),
-        F.max("_key").alias("best_score"),
-        F.min(F.when(F.col("_stale") >= patience, F.col(epoch))).alias("stop_epoch"),
+        F.min_by(F.col(epoch), F.when(ran, F.struct(-F.col("_key"), F.col(epoch)))).alias("best_epoch"),
+        F.max(F.when(ran, F.col("_key"))).alias("best_score"),
+        F.min("_stop").alias("stop_epoch"),
         F.count(F.lit(1)).alias("n_epochs"))

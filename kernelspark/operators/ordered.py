@@ -161,27 +161,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
                     names: Sequence[str] | None = None, n_buckets: int = 64) -> DataFrame:
     """Exact linear-interpolation quantiles per keys (NumPy 'linear' / quantile_cont).
 
-    No group is collected into one buffer: rows are ranked with bucketed
-    windows, then only the two rows around each target rank are kept.
+    No group is collected into one buffer: distinct values are counted first (a
+    hot value is one row), their counts run through bucketed prefix sums, and the
+    two values around each target rank are picked.
     """
     keys = list(keys)
     names = list(names) if names else [f"q{int(round(q * 100)):02d}" for q in qs]
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    r = row_numbers(d, keys, ["_v"], out="_rn", n_buckets=n_buckets)
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))   # a hot value is one row
+    r = prefix_sums(counted, keys, "_v", ["_c"], descending=False, n_buckets=n_buckets)
+    n = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     j = join_null_safe(r, n, keys, broadcast_right=not keys)
-    pos = F.col("_rn") - 1
-    hs = [(F.col("_n") - 1) * F.lit(float(q)) for q in qs]
-    want = None
-    for h in hs:
-        c = (pos == F.floor(h)) | (pos == F.ceil(h))
-        want = c if want is None else want | c
-    picked = j.filter(want)
     aggs = []
-    for h, nm in zip(hs, names):
-        aggs.append(F.max(F.when(pos == F.floor(h), F.col("_v"))).alias(f"_lo_{nm}"))
-        aggs.append(F.max(F.when(pos == F.ceil(h), F.col("_v"))).alias(f"_hi_{nm}"))
+    for q, nm in zip(qs, names):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        for side, at in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            aggs.append(F.max(F.when((F.col("cum__c") - F.col("_c") <= at) & (at < F.col("cum__c")), F.col("_v"))).alias(f"_{side}_{nm}"))
         aggs.append(F.max(h - F.floor(h)).alias(f"_fr_{nm}"))
-    a = picked.groupBy(*keys).agg(*aggs)
+    a = j.groupBy(*keys).agg(*aggs)
     return a.select(*keys, *[(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}"))
                              .alias(nm) for nm in names])

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from . import samplers
 from .partials import SCHEMA as PARTIAL
 from .partials import emit, tree_sum
 from .partials import MAX_BROADCAST_CELLS
@@ -31,8 +34,6 @@ from .partials import bounded_broadcast
 
 # Fixed values that must equal the reference's.
 SIGMOID_EPS = 1e-10
-DUAL_AVG = dict(gamma=0.05, t0=10, kappa=0.75)
-RWM_ADAPT_EVERY, RWM_TARGET, RWM_BAND = 50, 0.3, 0.10
 
 
 # ---- links (M3) ----------------------------------------------------------------------
@@ -46,7 +47,23 @@ def log_sigmoid(z):
     return -np.logaddexp(0.0, -z)
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of a whole array: Taylor series of erf inside, continued fraction outside |x| = 2."""
+    x = np.asarray(x, dtype=np.float64)
+    a = np.abs(x)
+    near = np.minimum(a, 2.0)
+    term = total = near
+    for n in range(1, 40):
+        term = -term * near * near / n
+        total = total + term / (2 * n + 1)
+    inside = 1.0 - 2.0 / math.sqrt(math.pi) * total
+    far = np.maximum(a, 2.0)
+    tail = far
+    for n in range(60, 0, -1):
+        tail = far + 0.5 * n / tail
+    outside = np.exp(-far * far) / (math.sqrt(math.pi) * tail)
+    up = np.where(a < 2.0, inside, outside)
+    return np.where(x < 0, 2.0 - up, up)
 
 
 def log_norm_cdf(x):
@@ -55,7 +72,7 @@ def log_norm_cdf(x):
     out = np.empty_like(x)
     hi = x >= -5.0
     if hi.any():
-        out[hi] = np.log(0.5 * _erfc(-x[hi] / math.sqrt(2.0)).astype(np.float64))
+        out[hi] = np.log(0.5 * erfc(-x[hi] / math.sqrt(2.0)))
     lo = ~hi
     if lo.any():
         t = x[lo]
@@ -179,10 +196,12 @@ def log_posterior(factor: DataFrame, V: np.ndarray, link: str = "sigmoid", **kw)
 
 # ---- M8: Laplace approximation --------------------------------------------------------------
 
-def laplace(factor: DataFrame, max_iter: int = 10, tol: float = 1e-8, **kw):
+def laplace(factor: DataFrame, max_iter: int = 100, tol: float = 1e-8, **kw):
     """Newton in k dims: each pass returns gradient and FᵀWF; ν ← ν + (I + FᵀWF)⁻¹ ∇.
 
-    Returns (mode ν̂, covariance (I + FᵀWF)⁻¹, log posterior at the mode, passes).
+    Returns (mode ν̂, covariance (I + FᵀWF)⁻¹, log posterior at the mode, passes). The log
+    posterior is concave, so Newton steps end after a few passes; a run that has not
+    converged after ``max_iter`` raises, it never returns another point as the mode.
     """
     m = FactorModel(factor, "sigmoid", **kw)
     nu = np.zeros(m.k)
@@ -194,6 +213,9 @@ def laplace(factor: DataFrame, max_iter: int = 10, tol: float = 1e-8, **kw):
         nu = nu + step
         if np.max(np.abs(step)) < tol:
             break
+    else:
+        m.close()
+        raise RuntimeError(f"the posterior mode was not found in {max_iter} Newton steps")
     logp, g, h = m.score(nu[None, :], grad=True, hessian=True)
     cov = np.linalg.inv(np.eye(m.k) + h)
     passes = m.n_passes
@@ -210,97 +232,52 @@ def laplace_draws(nu: np.ndarray, cov: np.ndarray, n_draws: int, seed: int = 42)
 
 # ---- M4–M7, M9: lock-step samplers -----------------------------------------------------------
 
-def run_sampler(factor: DataFrame, kind: str = "rwm", n_steps: int = 100, n_warmup: int = 50, n_chains: int = 4,
-                step_size: float = 0.1, n_leapfrog: int = 5, link: str = "sigmoid", seed: int = 42,
-                target_accept: float = 0.8, adapt: bool = True, proposal=None, **kw):
-    """RWM (M4), MALA (M5), HMC with dual averaging (M6), many walkers (M7 = kind 'ensemble'),
-    independent chains (M9 = the chain axis). One Spark pass scores every chain at once.
+CHAIN = "chain int, step int, nu array<double>, logp double, accepted boolean, step_time double, is_warmup boolean"
+#: Steps whose rows the driver holds before they are appended to the stored chain table.
+STEPS_HELD = 200
+
+
+def run_sampler(factor: DataFrame, kind: str = "rwm", n_steps: int = samplers.FULL_STEPS,
+                n_warmup: int = samplers.FULL_WARMUP, n_chains: int = 4, step_size: float = 0.1,
+                n_leapfrog: int = samplers.FULL_LEAPFROGS, link: str = "sigmoid", seed: int = 42,
+                target_accept: float | None = None, adapt: bool = True, proposal=None, **kw):
+    """RWM (M4), MALA (M5), HMC with dual averaging (M6), many walkers with Gaussian or MALA
+    moves (M7: 'ensemble', 'ensemble_mala'), independent chains (M9 = the chain axis).
 
-    Returns a dict with the chain table rows (chain, step, nu, logp, accepted, step_time, is_warmup).
+    Run lengths default to the reference's full ones; every step is a Spark pass (HMC:
+    ``n_leapfrog`` passes) that scores all chains at once. Chain rows are appended to a
+    stored table every STEPS_HELD steps. Returns a dict with the chain table (DataFrame),
+    the number of passes, the final step sizes and the number of chains.
     """
     m = FactorModel(factor, link, **kw)
-    k = m.k
-    if kind == "ensemble":
-        n_chains = min(max(2 * k + 2, 24), 100)
-        base = "rwm"
-    else:
-        base = kind
-    rng = np.random.default_rng(seed)
-    C = n_chains
-    nu = np.zeros((C, k))
-    logp, g, _ = m.score(nu, grad=base != "rwm")
-    eps = np.full(C, float(step_size))
-    log_eps = np.log(eps)
-    mu = np.log(10 * eps)
-    log_eps_bar = np.zeros(C)
-    H_bar = np.zeros(C)
-    acc_window = np.zeros(C)
-    rows = []
-    for i in range(n_steps + n_warmup):
+    if kind.startswith("ensemble"):
+        n_chains = min(max(2 * m.k + 2, 24), 100)
+    base = {"ensemble": "rwm", "ensemble_mala": "mala"}.get(kind, kind)
+
+    def score(nu, grad):
+        return m.score(nu, grad=grad)[:2]
+
+    path = f"{ensure_checkpoint_dir(m.spark).rstrip('/')}/chains/{uuid.uuid4().hex[:12]}"
+    held, eps, t0 = [], None, time.perf_counter()
+
+    def store():
+        m.spark.createDataFrame(held, CHAIN).coalesce(1).write.mode("append").parquet(path)
+        held.clear()
+
+    for step, now, accepted, eps in samplers.walk(score, np.zeros((n_chains, m.k)), base, n_steps, n_warmup, step_size,
+                                                  n_leapfrog, seed, target_accept, adapt, proposal):
+        t1 = time.perf_counter()
+        held += [(c, step, now.nu[c].tolist(), float(now.logp[c]), bool(accepted[c]), t1 - t0, step < n_warmup)
+                 for c in range(n_chains)]
+        if (step + 1) % STEPS_HELD == 0:
+            store()
         t0 = time.perf_counter()
-        if base == "rwm":
-            # A caller-supplied symmetric proposal (driver callable on C × k arrays)
-            prop = proposal(nu, eps, rng) if proposal is not None else nu + eps[:, None] * rng.standard_normal((C, k))
-            lp_prop, _, _ = m.score(prop, grad=False)
-            log_a = lp_prop - logp
-            g_prop = None
-        elif base == "mala":
-            prop = nu + 0.5 * eps[:, None] ** 2 * g + eps[:, None] * rng.standard_normal((C, k))
-            lp_prop, g_prop, _ = m.score(prop, grad=True)
-
-            def logq(a, b, gb):   # log q(a | b)
-                mean = b + 0.5 * eps[:, None] ** 2 * gb
-                return -np.sum((a - mean) ** 2, axis=1) / (2 * eps ** 2)
-            log_a = lp_prop + logq(nu, prop, g_prop) - logp - logq(prop, nu, g)
-        elif base == "hmc":
-            mom = rng.standard_normal((C, k))
-            q, p = nu.copy(), mom + 0.5 * eps[:, None] * g
-            g_prop = g
-            for lf in range(n_leapfrog):
-                q = q + eps[:, None] * p
-                lp_prop, g_prop, _ = m.score(q, grad=True)
-                if lf != n_leapfrog - 1:
-                    p = p + eps[:, None] * g_prop
-            p = p + 0.5 * eps[:, None] * g_prop
-            prop = q
-            log_a = (lp_prop - 0.5 * np.sum(p * p, 1)) - (logp - 0.5 * np.sum(mom * mom, 1))
-        else:
-            raise ValueError(kind)
-        accept = np.log(rng.random(C)) < log_a
-        nu = np.where(accept[:, None], prop, nu)
-        logp = np.where(accept, lp_prop, logp)
-        if g_prop is not None:
-            g = np.where(accept[:, None], g_prop, g)
-        a_prob = np.minimum(1.0, np.exp(np.minimum(log_a, 0.0)))
-        if adapt and i < n_warmup:
-            if base == "hmc":
-                eta = 1.0 / (i + 1 + DUAL_AVG["t0"])
-                H_bar = (1 - eta) * H_bar + eta * (target_accept - a_prob)
-                log_eps = mu - math.sqrt(i + 1) / DUAL_AVG["gamma"] * H_bar
-                eta_bar = (i + 1) ** (-DUAL_AVG["kappa"])
-                log_eps_bar = eta_bar * log_eps + (1 - eta_bar) * log_eps_bar
-                eps = np.exp(log_eps)
-            else:
-                acc_window += accept
-                if (i + 1) % RWM_ADAPT_EVERY == 0:
-                    rate = acc_window / RWM_ADAPT_EVERY
-                    eps = np.where(rate > RWM_TARGET + RWM_BAND, eps * 1.1,
-                                   np.where(rate < RWM_TARGET - RWM_BAND, eps * 0.9, eps))
-                    acc_window[:] = 0
-        elif adapt and i == n_warmup and base == "hmc":
-            eps = np.exp(log_eps_bar)
-        dt = time.perf_counter() - t0
-        for c in range(C):
-            rows.append((c, i, [float(v) for v in nu[c]], float(logp[c]), bool(accept[c]), dt, i < n_warmup))
+    if held or not (n_steps + n_warmup):
+        store()
     passes = m.n_passes
     m.close()
-    return dict(rows=rows, passes=passes, step_size=eps.tolist(), n_chains=C)
-
-
-def chain_frame(spark: SparkSession, rows) -> DataFrame:
-    """The chain table (steps × chains rows: sized by the run, not by the data)."""
-    return spark.createDataFrame(rows, "chain int, step int, nu array<double>, logp double, accepted boolean, "
-                                       "step_time double, is_warmup boolean")
+    return dict(chain=m.spark.read.schema(CHAIN).parquet(path), passes=passes,
+                step_size=[] if eps is None else eps.tolist(), n_chains=n_chains)
 
 
 # ---- M10 -----------------------------------------------------------------------------------------

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import keyed_normal_np
-from .partials import SCHEMA as PARTIAL
-from .partials import bounded_broadcast, emit, tree_sum
+from ..session import checkpoint_table
+from .partials import MAX_BROADCAST_CELLS, bounded_broadcast
 
 SUMMARY_OUT = [f"{pre}_{s}" for pre in ("prob", "latent")
                for s in ("mean", "variance", "std", "q05", "q50", "q95", "central_90_width")]
@@ -45,9 +45,8 @@ def summarize_draws(draws: DataFrame, key="id", p="p", latent="latent") -> DataF
 # ---- probit helpers (no scipy) -----------------------------------------------------
 
 def norm_cdf_np(x: np.ndarray) -> np.ndarray:
-    from math import erfc, sqrt
-    v = np.vectorize(lambda t: 0.5 * erfc(-t / sqrt(2.0)), otypes=[float])
-    return v(np.asarray(x, dtype=np.float64))
+    from .posterior import erfc
+    return 0.5 * erfc(-np.asarray(x, dtype=np.float64) / np.sqrt(2.0))
 
 
 def norm_cdf_col(x):
@@ -65,74 +64,138 @@ def _sigmoid(z):
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
+def _latent(points: DataFrame, kernel, pivot_x, L, nu_draws, noise: bool, seed: int, var_floor: float):
+    """Function of a pandas batch (id, x) → latent draws (rows × S); pivots, Cholesky factor and draws are broadcast."""
+    sc = points.sparkSession.sparkContext
+    bP = bounded_broadcast(sc, pivot_x, "pivots")
+    bL = bounded_broadcast(sc, L, "pivot Cholesky")
+    bV = bounded_broadcast(sc, nu_draws, "posterior draws")
+
+    def latent(pdf):
+        X = np.stack(pdf["x"].to_numpy())
+        Fm = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
+        lat = Fm @ bV.value.T                                       # n_b × S
+        if noise:
+            var = np.maximum(kernel.diag_np(X) - (Fm * Fm).sum(1), var_floor)
+            lat = lat + np.sqrt(var)[:, None] * keyed_normal_np(pdf["id"].to_numpy(), lat.shape[1], seed)
+        return lat
+
+    return latent
+
+
 def pivot_predict(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.ndarray, nu_draws: np.ndarray,
                   key: str = "id", features: str = "features", noise: bool = True, seed: int = 42,
                   var_floor: float = 1e-8) -> DataFrame:
     """R1 (noise=True) / R3 (noise=False): predictive draws at every row.
 
     F(x) = L⁻¹ k(P, x); latent_s = F(x)·ν_s (+ √var·ε_s with var = k(x,x) − ‖F(x)‖²
-    clipped at var_floor, ε keyed by (seed, id)); p_s = σ(latent_s).
-    Pivots (k × d), L (k × k) and the draws (S × k) are broadcast; output is
-    long ``(id, draw, latent, p)``.
+    clipped at var_floor, ε keyed by (seed, id, draw)); p_s = σ(latent_s). Output is long
+    ``(id, draw, latent, p)``; summaries and likelihoods don't need it
+    (``pivot_summary``, ``pivot_draw_likelihood``).
     """
-    sc = points.sparkSession.sparkContext
-    bP = bounded_broadcast(sc, pivot_x, "pivots")
-    bL = bounded_broadcast(sc, L, "pivot Cholesky")
-    bV = bounded_broadcast(sc, nu_draws, "posterior draws")
+    latent = _latent(points, kernel, pivot_x, L, nu_draws, noise, seed, var_floor)
 
     def fn(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            X = np.stack(pdf["x"].to_numpy())
-            Fm = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
-            lat = Fm @ bV.value.T                                   # n_b × S
-            if noise:
-                kxx = kernel.diag_np(X)
-                var = np.maximum(kxx - (Fm * Fm).sum(1), var_floor)
-                eps = keyed_normal_np(pdf["id"].to_numpy(), lat.shape[1], seed)   # keyed by (seed, id, draw)
-                lat = lat + np.sqrt(var)[:, None] * eps
+            lat = latent(pdf)
             S = lat.shape[1]
             yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy().astype(np.int64), S),
-                                "draw": np.tile(np.arange(S, dtype=np.int32), len(X)),
+                                "draw": np.tile(np.arange(S, dtype=np.int32), len(pdf)),
                                 "latent": lat.ravel(), "p": _sigmoid(lat.ravel())})
 
     src = points.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x"))
     return src.mapInPandas(fn, "id long, draw int, latent double, p double")
 
 
-# ---- R2, R4: kernel-weighted sums over the training rows ------------------------------------
+def pivot_summary(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.ndarray, nu_draws: np.ndarray,
+                  key: str = "id", features: str = "features", noise: bool = True, seed: int = 42,
+                  var_floor: float = 1e-8) -> DataFrame:
+    """R1/R3 + R6: the summary of every row's draws, made where the draws are: one row per row, no shuffle."""
+    latent = _latent(points, kernel, pivot_x, L, nu_draws, noise, seed, var_floor)
 
-def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str, key: str = "id",
-                        features: str = "features", max_test: int = 20000) -> DataFrame:
-    """f*(t) = Σ_i k(t, x_i)·w_i for every test row t.
+    def fn(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            lat = latent(pdf)
+            out = {"id": pdf["id"].to_numpy().astype(np.int64)}
+            for name, v in (("prob", _sigmoid(lat)), ("latent", lat)):
+                q = np.quantile(v, [0.05, 0.5, 0.95], axis=1)
+                var = v.var(1, ddof=1) if v.shape[1] > 1 else np.full(len(v), np.nan)
+                for s, x in zip(("mean", "variance", "std", "q05", "q50", "q95", "central_90_width"),
+                                (v.mean(1), var, np.sqrt(var), *q, q[2] - q[0])):
+                    out[f"{name}_{s}"] = x
+            yield pd.DataFrame(out)
 
-    The test side is size-checked and broadcast; each training batch adds its
-    partial n_test-vector, and the partials are summed by test position.
-    """
-    n_test = test.count()
-    if n_test > max_test:
-        raise ValueError(f"test side {n_test} rows exceeds the broadcast bound {max_test}")
-    trows = test.select(key, F.col(features).cast("array<double>").alias("x")).orderBy(key).collect()
-    T_ids = np.array([r[key] for r in trows], dtype=np.int64)
-    bT = bounded_broadcast(train.sparkSession, np.array([r["x"] for r in trows], dtype=np.float64), "test rows")
-
-    def part(batches):
-        acc = np.zeros(len(T_ids))
-        seen = False
+    src = points.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x"))
+    return src.mapInPandas(fn, "id long, " + ", ".join(f"{c} double" for c in SUMMARY_OUT))
+
+
+def pivot_draw_likelihood(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.ndarray, nu_draws: np.ndarray,
+                          key: str = "id", features: str = "features", y: str = "y", noise: bool = True,
+                          seed: int = 42, var_floor: float = 1e-8, eps: float = 1e-12) -> DataFrame:
+    """(draw, ll, n): Σ log p(y | draw) of every draw, summed per partition before the shuffle (for PELL)."""
+    latent = _latent(points, kernel, pivot_x, L, nu_draws, noise, seed, var_floor)
+    S = len(nu_draws)
+
+    def fn(batches):
+        ll, n = np.zeros(S), 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            seen = True
-            X = np.stack(pdf["x"].to_numpy())
-            acc += kernel.block(bT.value, X) @ pdf["w"].to_numpy(dtype=np.float64)
-        if seen:
-            yield emit(acc)
-
-    src = train.select(F.col(features).cast("array<double>").alias("x"), F.col(weight).cast("double").alias("w"))
-    acc = tree_sum(src.mapInPandas(part, PARTIAL), len(T_ids))          # n_test values (bounded)
+            p = np.clip(_sigmoid(latent(pdf)), eps, 1.0 - eps)
+            one = pdf["y"].to_numpy().astype(bool)[:, None]
+            ll += np.log(np.where(one, p, 1.0 - p)).sum(0)
+            n += len(pdf)
+        yield pd.DataFrame({"draw": np.arange(S, dtype=np.int32), "ll": ll, "n": np.full(S, n, dtype=np.int64)})
+
+    src = points.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x"),
+                        F.col(y).cast("int").alias("y"))
+    return src.mapInPandas(fn, "draw int, ll double, n long").groupBy("draw").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"))
+
+
+# ---- R2, R4: kernel-weighted sums over the training rows ------------------------------------
+
+def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str, key: str = "id",
+                        features: str = "features", block_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
+    """f*(t) = Σ_i k(t, x_i)·w_i for every test row t: ``(id, f_star)``.
+
+    Test rows are dealt by a hash of their id into blocks of about ``block_cells`` feature
+    values; each block is broadcast in turn and every training partition returns one
+    partial sum per test row of the block, added by id on the executors. Any number of
+    test rows works; the driver holds one block at a time.
+    """
     spark = train.sparkSession
-    return spark.createDataFrame([(int(t), float(v)) for t, v in zip(T_ids, acc)], "id long, f_star double")
+    t = checkpoint_table(test.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x")), spark, "kernel-test")
+    size = t.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    blocks = max(1, -(-2 * size[0] * (size[1] or 1) // block_cells)) if size[0] else 1
+    t = t.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    src = checkpoint_table(train.select(F.col(features).cast("array<double>").alias("x"), F.col(weight).cast("double").alias("w")), spark, "kernel-train")
+
+    def block_sum(b: int) -> DataFrame:
+        rows = t.filter(F.col("block") == b).select("id", "x").collect()        # one bounded block
+        ids = np.array([r["id"] for r in rows], dtype=np.int64)
+        X_ = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0]["x"]) if rows else 0)
+        sent = bounded_broadcast(spark, X_, "test block", max_cells=4 * block_cells)
+
+        def part(batches):
+            acc = np.zeros(len(ids))
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    acc += kernel.block(sent.value, np.stack(pdf["x"].to_numpy())) @ pdf["w"].to_numpy(dtype=np.float64)
+            yield pd.DataFrame({"id": ids, "s": acc})
+
+        return src.mapInPandas(part, "id long, s double").groupBy("id").agg(F.sum("s").alias("f_star"))
+
+    out = None
+    for b in range(blocks):
+        got = block_sum(b)
+        if blocks > 1:
+            got = checkpoint_table(got, spark, "kernel-sums")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def option_a_weights(factor: DataFrame, nu: np.ndarray, k: int) -> DataFrame:
@@ -140,9 +203,20 @@ def option_a_weights(factor: DataFrame, nu: np.ndarray, k: int) -> DataFrame:
     from .lowrank import gram
     G = gram(factor, k=k)
     c = np.linalg.solve(G, np.asarray(nu, dtype=np.float64))
-    cv = F.array(*[F.lit(float(v)) for v in c])
-    alpha = F.aggregate(F.zip_with(F.col("f"), cv, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return factor.select("id", alpha.alias("alpha"))
+    return row_dots(factor, c, "id", "f", "alpha")
+
+
+def row_dots(rows: DataFrame, v: np.ndarray, key: str, f: str, out: str) -> DataFrame:
+    """(key, f·v) per row; v is broadcast, not written into the plan."""
+    sent = bounded_broadcast(rows.sparkSession, v, "vector")
+
+    def fn(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({key: pdf[key], out: np.stack(pdf["_f"].to_numpy()) @ sent.value})
+
+    src = rows.select(key, F.col(f).cast("array<double>").alias("_f"))
+    return src.mapInPandas(fn, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{out}` double")
 
 
 # ---- R7–R10: MLlib classifiers on embeddings ----------------------------------------------------

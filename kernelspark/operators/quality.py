@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_table
+
 from .ordered import row_numbers
 
 # Fixed values that must equal the reference's.
@@ -51,32 +53,28 @@ def resolve_images(manifest: DataFrame, files: DataFrame, ref: str = "image", pa
                    ext: str | None = ".png") -> DataFrame:
     """Q1 tiers: exact path, path + ext, basename, basename + ext (first hit wins).
 
-    Adds ``resolved`` (the matched path or NULL) and ``tier`` (1–4). Empty
-    references get salted keys, so they stay in the same single pass without
-    sharing one partition.
+    Adds ``resolved`` (the matched path or NULL) and ``tier`` (1–4). Distinct references
+    are exploded to their keys of all tiers and joined once with the listing's paths and
+    basenames; the lowest tier of each is then joined back to the manifest, which is
+    shuffled once. Empty references get salted keys, so they don't share one partition.
     """
     r = F.trim(F.coalesce(F.col(ref).cast("string"), F.lit("")))
-    m = manifest.withColumn("_ref", r).withColumn("_salt", _salt())
-    empty = F.col("_ref") == ""
-    p = files.select(F.col(path).alias("_path")).distinct()
-    by_base = p.groupBy(basename(F.col("_path")).alias("_base")).agg(F.min("_path").alias("_bpath"))
+    refs = manifest.select(r.alias("_ref")).filter("_ref <> ''").distinct()
     base_ref = basename(F.col("_ref"))
-    keys = {
-        "_k1": F.when(empty, F.col("_salt")).otherwise(F.col("_ref")),
-        "_k2": F.when(empty | F.lit(not ext), F.col("_salt")).otherwise(F.concat(F.col("_ref"), F.lit(ext or ""))),
-        "_k3": F.when(empty, F.col("_salt")).otherwise(base_ref),
-        "_k4": F.when(empty | F.lit(not ext) | base_ref.endswith(ext or "\u0000"), F.col("_salt"))
-                .otherwise(F.concat(base_ref, F.lit(ext or ""))),
-    }
-    m = m.select("*", *[v.alias(k) for k, v in keys.items()])
-    m = m.join(p.select(F.col("_path").alias("_k1"), F.col("_path").alias("_p1")), "_k1", "left")
-    m = m.join(p.select(F.col("_path").alias("_k2"), F.col("_path").alias("_p2")), "_k2", "left")
-    m = m.join(by_base.select(F.col("_base").alias("_k3"), F.col("_bpath").alias("_p3")), "_k3", "left")
-    m = m.join(by_base.select(F.col("_base").alias("_k4"), F.col("_bpath").alias("_p4")), "_k4", "left")
-    resolved = F.when(empty, F.lit(None).cast("string")).otherwise(F.coalesce("_p1", "_p2", "_p3", "_p4"))
-    tier = F.when(empty, F.lit(None)).when(F.col("_p1").isNotNull(), 1).when(F.col("_p2").isNotNull(), 2) \
-        .when(F.col("_p3").isNotNull(), 3).when(F.col("_p4").isNotNull(), 4)
-    return m.select(*manifest.columns, resolved.alias("resolved"), tier.cast("int").alias("tier"))
+    tiers = [F.struct(F.lit(1).alias("t"), F.lit("path").alias("by"), F.col("_ref").alias("k")),
+             F.struct(F.lit(3).alias("t"), F.lit("base").alias("by"), base_ref.alias("k"))]
+    if ext:
+        tiers.insert(1, F.struct(F.lit(2).alias("t"), F.lit("path").alias("by"), F.concat("_ref", F.lit(ext)).alias("k")))
+        tiers.append(F.struct(F.lit(4).alias("t"), F.lit("base").alias("by"),
+                              F.when(~base_ref.endswith(ext), F.concat(base_ref, F.lit(ext))).alias("k")))
+    keys = refs.select("_ref", F.explode(F.array(*tiers)).alias("x")).select("_ref", "x.*").filter("k IS NOT NULL")
+    p = files.select(F.col(path).alias("_path")).distinct()
+    listing = p.select(F.lit("path").alias("by"), F.col("_path").alias("k"), "_path").unionByName(
+        p.groupBy(F.lit("base").alias("by"), basename(F.col("_path")).alias("k")).agg(F.min("_path").alias("_path")))
+    found = keys.join(listing, ["by", "k"]).groupBy("_ref").agg(F.min(F.struct("t", "_path")).alias("_hit"))
+    m = manifest.withColumn("_key", F.when(r == "", _salt()).otherwise(r))
+    m = m.join(found.withColumnRenamed("_ref", "_key"), "_key", "left")
+    return m.select(*manifest.columns, F.col("_hit._path").alias("resolved"), F.col("_hit.t").cast("int").alias("tier"))
 
 
 def audit(manifest: DataFrame, files: DataFrame, emb_stems: DataFrame, ref: str = "image",
@@ -112,12 +110,10 @@ def audit_summary(audited: DataFrame, files: DataFrame, split: str = "split", pa
     """Q4: per split: rows_total, rows_ok, rows_missing_image, rows_missing_embedding,
     images_on_disk, orphan_images.
 
-    The audited manifest feeds three branches, so it is persisted once
+    The audited manifest feeds three branches, so it is stored once
     (manifest-sized) instead of re-running its joins per branch.
     """
-    from pyspark import StorageLevel
-
-    audited = audited.persist(StorageLevel.MEMORY_AND_DISK)
+    audited = checkpoint_table(audited, audited.sparkSession, "audited")
     a = audited.groupBy(split).agg(
         F.count(F.lit(1)).alias("rows_total"), F.count_if(F.col("status") == "OK").alias("rows_ok"),
         F.count_if(F.col("status") == "MISSING_IMG").alias("rows_missing_image"),

@@ -61,6 +61,6 @@ def register(name: str, sql: str | None = None, doubles=(), ops=()):
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills REGISTRY
-    from . import q_chains, q_lowrank, q_metrics, q_posterior, q_prep, q_quality, q_sources  # noqa: F401
+    from . import q_chains, q_closed, q_lowrank, q_metrics, q_posterior, q_prep, q_quality, q_sources  # noqa: F401
 
     return REGISTRY

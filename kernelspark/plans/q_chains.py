@@ -11,7 +11,6 @@ from .catalog import register
 
 ACF_LAG = 20
 TAU_LAG = 64        # oracle lag range; the Spark side doubles until the window closes
-GEYER_LAG = 40
 
 _C = V.CHAIN_SQL
 
@@ -85,34 +84,36 @@ def q_tau_summary(spark, sf):
 
 def _prefix_sql():
     parts = []
-    for p in (500, 1000, 2000):
-        src = f"SELECT * FROM ({_C}) WHERE step < {p}"
-        parts.append(f"SELECT CAST({p} AS BIGINT) AS chain_length, * FROM (WITH {_tau_sql(src)} "
+    for p in D.TAU_PREFIXES:
+        src = f"SELECT * FROM ({_C}) WHERE step < {p} AND (SELECT count(DISTINCT step) FROM ({_C})) >= {p}"
+        parts.append(f"SELECT * FROM (SELECT CAST({p} AS BIGINT) AS chain_length, * FROM (WITH {_tau_sql(src)} "
                      "SELECT avg(tau) AS tau_mean, max(tau) AS tau_max, quantile_cont(tau, 0.5) AS tau_median, "
-                     "bool_or(warn) AS any_warn, count(*) AS n_dims FROM tau)")
+                     "bool_or(warn) AS any_warn, count(*) AS n_dims FROM tau)) WHERE n_dims > 0")
     u = " UNION ALL ".join(parts)
     return f"SELECT *, any_warn OR NOT (chain_length >= 50.0 * tau_mean) AS short_chain_warning FROM ({u})"
 
 
 @register("tau_by_prefix", _prefix_sql(), ("tau_mean", "tau_max", "tau_median"), ops=("D5",))
 def q_tau_prefix(spark, sf):
-    ch = V.chain(spark, sf).select("chain", "step", "x")
-    return D.tau_by_prefix(ch, "chain", prefixes=(500, 1000, 2000))
+    return D.tau_by_prefix(V.chain(spark, sf).select("chain", "step", "x"), "chain")
 
 
-_GEYER_SQL = (f"WITH {_lag_sql(_C, GEYER_LAG)}, a AS (SELECT chain, lag, CASE WHEN var < 1e-12 THEN 0.0 "
+# every lag of the chain; pairs of lags (2k, 2k + 1) that the chain has both of
+_GEYER_SQL = (f"WITH {_lag_sql(_C, 1 << 40)}, a AS (SELECT chain, lag, CASE WHEN var < 1e-12 THEN 0.0 "
               "ELSE (s / pairs) / var END AS acf FROM l JOIN m USING (chain)), "
-              f"g AS (SELECT chain, lag // 2 AS kk, sum(acf) AS gamma FROM a WHERE lag >= 2 AND lag < {2 * (GEYER_LAG // 2)} "
-              "GROUP BY chain, lag // 2), "
+              "g AS (SELECT chain, lag // 2 AS kk, sum(acf) AS gamma FROM a WHERE lag >= 2 GROUP BY chain, lag // 2 "
+              "HAVING count(*) = 2), "
               "h AS (SELECT *, max(CASE WHEN gamma < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY chain ORDER BY kk "
               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg FROM g), "
-              "t AS (SELECT chain, 1.0 + 2.0 * sum(gamma) AS tau FROM h WHERE neg = 0 GROUP BY chain) "
-              "SELECT chain, n, coalesce(tau, 1.0) AS tau, n / coalesce(tau, 1.0) AS ess FROM m LEFT JOIN t USING (chain)")
+              "t AS (SELECT chain, 1.0 + 2.0 * coalesce(sum(gamma) FILTER (WHERE neg = 0), 0.0) AS tau, max(neg) = 1 AS terminated "
+              "FROM h GROUP BY chain) "
+              "SELECT chain, n, coalesce(tau, 1.0) AS tau, n / coalesce(tau, 1.0) AS ess, coalesce(terminated, false) AS terminated "
+              "FROM m LEFT JOIN t USING (chain)")
 
 
 @register("geyer_ess", _GEYER_SQL, ("tau", "ess"), ops=("D7",))
 def q_geyer(spark, sf):
-    return D.geyer_ess(V.chain(spark, sf).select("chain", "step", "x"), ["chain"], max_lag=GEYER_LAG, segment=512)
+    return D.geyer_ess(V.chain(spark, sf).select("chain", "step", "x"), ["chain"], start_lag=64, segment=512)
 
 
 _RHAT_SQL = (f"WITH per AS (SELECT chain, avg(x) AS m, var_samp(x) AS v, count(*) AS n FROM ({_C}) GROUP BY chain), "

@@ -276,9 +276,11 @@ _BEST_SQL = (f"WITH h AS (SELECT run, CAST(row_number() OVER (PARTITION BY run O
              f"score FROM ({V.HISTORY_SQL})), "
              "b AS (SELECT *, max(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM h), "
              "c AS (SELECT *, max(CASE WHEN prev IS NULL OR score > prev THEN epoch END) OVER (PARTITION BY run ORDER BY epoch "
-             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM b) "
-             "SELECT run, arg_min(epoch, (-score, epoch)) AS best_epoch, max(score) AS best_score, "
-             "min(CASE WHEN epoch - li >= 3 THEN epoch END) AS stop_epoch, count(*) AS n_epochs FROM c GROUP BY run")
+             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM b), "
+             "s AS (SELECT *, min(CASE WHEN epoch - li >= 3 THEN epoch END) OVER (PARTITION BY run) AS stop FROM c) "
+             "SELECT run, arg_min(epoch, (-score, epoch)) FILTER (WHERE stop IS NULL OR epoch <= stop) AS best_epoch, "
+             "max(score) FILTER (WHERE stop IS NULL OR epoch <= stop) AS best_score, min(stop) AS stop_epoch, count(*) AS n_epochs "
+             "FROM s GROUP BY run")
 
 
 @register("best_epoch", _BEST_SQL, ("best_score",), ops=("E26",))

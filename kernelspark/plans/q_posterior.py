@@ -80,31 +80,37 @@ def q_laplace(spark, sf):
 
 
 def _sampler(kind, spark, sf, **kw):
+    """Run lengths are arguments: each step is a Spark pass, and these queries show the
+    samplers at work rather than run an experiment (samplers.FULL_STEPS and its kin)."""
     fr, *_ = _pipeline_factor(spark, sf, k=6)
-    out = PO.run_sampler(fr.filter("split = 'train'"), kind, **kw)
-    ch = PO.chain_frame(spark, out["rows"])
+    ch = PO.run_sampler(fr.filter("split = 'train'"), kind, **kw)["chain"]
     return ch.groupBy("chain").agg(F.count(F.lit(1)).alias("steps"), F.avg(F.col("accepted").cast("double"))
-                                   .alias("accept_rate"), F.last("logp").alias("last_logp"))
+                                   .alias("accept_rate"), F.max_by("logp", "step").alias("last_logp"))
 
 
 @register("sampler_rwm", None, ops=("M4", "M9"))
 def q_rwm(spark, sf):
-    return _sampler("rwm", spark, sf, n_steps=20, n_warmup=50, n_chains=4, step_size=0.2)
+    return _sampler("rwm", spark, sf, n_steps=100, n_warmup=100, n_chains=4, step_size=0.2)
 
 
 @register("sampler_mala", None, ops=("M5",))
 def q_mala(spark, sf):
-    return _sampler("mala", spark, sf, n_steps=15, n_warmup=10, n_chains=4, step_size=0.1)
+    return _sampler("mala", spark, sf, n_steps=60, n_warmup=100, n_chains=4, step_size=0.1)
 
 
 @register("sampler_hmc", None, ops=("M6",))
 def q_hmc(spark, sf):
-    return _sampler("hmc", spark, sf, n_steps=8, n_warmup=8, n_chains=2, step_size=0.1, n_leapfrog=3)
+    return _sampler("hmc", spark, sf, n_steps=10, n_warmup=10, n_chains=2, step_size=0.1)
 
 
 @register("sampler_ensemble", None, ops=("M7",))
 def q_ensemble(spark, sf):
-    return _sampler("ensemble", spark, sf, n_steps=10, n_warmup=5, step_size=0.2)
+    return _sampler("ensemble", spark, sf, n_steps=60, n_warmup=50, step_size=0.2)
+
+
+@register("sampler_ensemble_mala", None, ops=("M7",))
+def q_ensemble_mala(spark, sf):
+    return _sampler("ensemble_mala", spark, sf, n_steps=40, n_warmup=50, step_size=0.1)
 
 
 @register("posterior_mean_probability", None, ops=("M10",))
@@ -116,27 +122,25 @@ def q_pmean(spark, sf):
     return M.binary_report(pm.join(fr.select("id", "y"), "id"), "y", "p_mean")
 
 
-def _predictive(spark, sf, noise=True):
+def _predictive(spark, sf):
+    """(test rows with labels, what the pivot predictor takes)."""
     e = V.emb(spark, sf)
     fr, ker, Px, Lc = _pipeline_factor(spark, sf)
     nu, cov, _, _ = PO.laplace(fr.filter("split = 'train'"))
-    dr = PO.laplace_draws(nu, cov, 64)
-    return R.pivot_predict(e.filter("split = 'test'").select("id", "features"), ker, Px, Lc, dr, noise=noise), e
+    return e.filter("split = 'test'").select("id", "features", "y"), (ker, Px, Lc, PO.laplace_draws(nu, cov, 64))
 
 
 @register("pivot_predictive", None, ops=("R1", "R6", "E8", "E16"))
 def q_pivot_predict(spark, sf):
-    d, e = _predictive(spark, sf, True)
-    s = R.summarize_draws(d)
-    rep = M.binary_report(s.join(e.select("id", "y"), "id"), "y", "prob_mean",
-                          draws=d.join(e.select("id", "y"), "id"))
-    return rep
+    t, how = _predictive(spark, sf)
+    rep = M.binary_report(R.pivot_summary(t, *how).join(t.select("id", "y"), "id"), "y", "prob_mean")
+    return rep.crossJoin(M.pell_of_draws(R.pivot_draw_likelihood(t, *how)))   # two one-row tables
 
 
 @register("option_b_mean", None, ops=("R3",))
 def q_option_b(spark, sf):
-    d, e = _predictive(spark, sf, False)
-    return R.summarize_draws(d).select("id", "prob_mean", "latent_mean", "latent_variance")
+    t, how = _predictive(spark, sf)
+    return R.pivot_summary(t, *how, noise=False).select("id", "prob_mean", "latent_mean", "latent_variance")
 
 
 @register("option_a_mean", None, ops=("R2", "E22"))
@@ -149,9 +153,7 @@ def q_option_a(spark, sf):
     tr = alpha.join(e.select("id", "features"), "id")
     fa = R.kernel_weighted_sum(tr, e.filter("split = 'test'").select("id", "features"), ker, "alpha")
     fb = fr.filter("split = 'test'").select("id", "f")
-    nu_l = F.array(*[F.lit(float(v)) for v in nu])
-    fb = fb.select("id", F.aggregate(F.zip_with("f", nu_l, lambda a, b: a * b), F.lit(0.0),
-                                     lambda s, v: s + v).alias("f_b"))
+    fb = R.row_dots(fb, nu, "id", "f", "f_b")
     j = fa.join(fb, "id").join(e.select("id", "y"), "id")
     a = j.select("id", "y", F.expr("1 / (1 + exp(-f_star))").alias("p"))
     b = j.select("id", "y", F.expr("1 / (1 + exp(-f_b))").alias("p"))
@@ -164,9 +166,7 @@ def q_nugget(spark, sf):
     fr, ker, Px, Lc = _pipeline_factor(spark, sf)
     train = fr.filter("split = 'train'")
     nu, cov, _, _ = PO.laplace(train)
-    nu_l = F.array(*[F.lit(float(v)) for v in nu])
-    t = train.withColumn("flat", F.aggregate(F.zip_with("f", nu_l, lambda a, b: a * b), F.lit(0.0),
-                                             lambda s, v: s + v))
+    t = train.join(R.row_dots(train, nu, "id", "f", "flat"), "id")
     w = L.woodbury_solve(t, "flat", nugget=0.1, k=len(nu))
     tr = w.join(e.select("id", "features"), "id")
     return R.kernel_weighted_sum(tr, e.filter("split = 'test'").select("id", "features"), ker, "solution")
@@ -242,10 +242,11 @@ def q_probit(spark, sf):
 
 @register("sampler_custom_proposal", None, ops=("U1", "M4"))
 def q_custom_proposal(spark, sf):
-    """Random-walk Metropolis with a caller-supplied symmetric proposal (uniform box)."""
-    def box(nu, eps, rng):
-        return nu + eps[:, None] * rng.uniform(-1.0, 1.0, size=nu.shape)
-    return _sampler("rwm", spark, sf, n_steps=20, n_warmup=10, n_chains=4, step_size=0.3, proposal=box)
+    """Metropolis with a caller-supplied proposal: an independence move from N(0, 0.25 I) whose log ratio is returned."""
+    def independent(nu, eps, rng):
+        new = 0.5 * rng.standard_normal(nu.shape)
+        return new, 2.0 * ((new * new).sum(1) - (nu * nu).sum(1))
+    return _sampler("rwm", spark, sf, n_steps=100, n_warmup=20, n_chains=4, proposal=independent)
 
 
 @register("link_functions", None, ops=("M3",))

@@ -28,8 +28,9 @@ def gaussian_sql(a: str, b: str, bw: str) -> str:
 
 
 def pivots_sql(src: str, k: int, rule: str = "greedy", seed: int = 42, bw_sql: str | None = None,
-               bandwidth: float | None = None) -> tuple[str, list[str]]:
-    """CTEs for k rounds; returns (ctes_text, names of pivot CTEs)."""
+               bandwidth: float | None = None, among: str = "TRUE") -> tuple[str, list[str]]:
+    """CTEs for k rounds; returns (ctes_text, names of pivot CTEs). Greedy pivots are
+    rows for which ``among`` (a condition on id) holds; all rows get factor columns."""
     bw = "bwq.bw" if bandwidth is None else repr(float(bandwidth))
     ctes = []
     if bandwidth is None:
@@ -42,7 +43,7 @@ def pivots_sql(src: str, k: int, rule: str = "greedy", seed: int = 42, bw_sql: s
     for j in range(1, k + 1):
         prev = f"s{j - 1}"
         if rule == "greedy":
-            pick = f"SELECT * FROM {prev} ORDER BY d DESC, id ASC LIMIT 1"
+            pick = f"SELECT * FROM {prev} WHERE {among} ORDER BY d DESC, id ASC LIMIT 1"
         elif rule == "rp":
             g = rng.gumbel_sql("id", str(j - 1), str(seed))
             pick = f"SELECT * FROM {prev} WHERE d > 0 ORDER BY ln(d) + {g} DESC LIMIT 1"

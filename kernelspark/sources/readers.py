@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import storage
+
 # Fixed values that must equal the reference's.
 EMB_FILE_CANDIDATES = ["projected_512", "embeddings"]
 LABEL_FILE_CANDIDATES = ["y_embeddings", "labels"]
@@ -60,27 +63,29 @@ def load_embeddings(spark: SparkSession, root: str, dataset: str, split: str) ->
 
 # ---- S2: .npy matrices as a distributed read -------------------------------------------------
 
+HEADER_BYTES = 1 << 16
+
+
 def npy_header(spark: SparkSession, path: str):
     """Parse the .npy header (first bytes only): (shape, dtype, data offset)."""
-    with open(path, "rb") as fh:
-        magic = fh.read(6)
-        if magic != b"\x93NUMPY":
-            raise ValueError("not an .npy file")
-        major = fh.read(2)[0]
-        hlen = int.from_bytes(fh.read(2 if major == 1 else 4), "little")
-        header = ast.literal_eval(fh.read(hlen).decode("latin1"))
-        offset = fh.tell()
+    head = storage.read_at(path, 0, HEADER_BYTES)
+    if head[:6] != b"\x93NUMPY":
+        raise ValueError("not an .npy file")
+    start = 10 if head[6] == 1 else 12
+    offset = start + int.from_bytes(head[8:start], "little")
+    header = ast.literal_eval(head[start:offset].decode("latin1"))
     if header.get("fortran_order"):
         raise ValueError("Fortran-ordered .npy is not supported")
     return tuple(header["shape"]), np.dtype(header["descr"]), offset
 
 
 def read_npy(spark: SparkSession, path: str, rows_per_task: int = 65536, id_offset: int = 0) -> DataFrame:
-    """``(id, features array<float>)`` — each task memory-maps and reads its own row slice."""
+    """``(id, features array<float>)`` — each task reads the byte range of its own rows."""
     shape, dtype, offset = npy_header(spark, path)
     n = shape[0]
     d = int(np.prod(shape[1:])) if len(shape) > 1 else 1
     chunks = max(1, (n + rows_per_task - 1) // rows_per_task)
+    row = d * dtype.itemsize
 
     def fn(batches):
         for pdf in batches:
@@ -88,18 +93,26 @@ def read_npy(spark: SparkSession, path: str, rows_per_task: int = 65536, id_offs
                 lo, hi = int(c) * rows_per_task, min(n, (int(c) + 1) * rows_per_task)
                 if lo >= hi:
                     continue
-                mm = np.memmap(path, dtype=dtype, mode="r", offset=offset, shape=(n, d))
-                block = np.asarray(mm[lo:hi], dtype=np.float32)
+                raw = storage.read_at(path, offset + lo * row, (hi - lo) * row)
+                block = np.frombuffer(raw, dtype=dtype).reshape(hi - lo, d).astype(np.float32)
                 yield pd.DataFrame({"id": np.arange(lo, hi, dtype=np.int64) + id_offset, "features": list(block)})
 
     return spark.range(chunks, numPartitions=chunks).mapInPandas(fn, "id long, features array<float>")
 
 
 def write_npy(df: DataFrame, path: str, n: int, d: int, key: str = "id", features: str = "features") -> int:
-    """Distributed .npy writer: the driver writes the header, each task writes its rows
-    at offset id·row_bytes on the shared file (ids must be 0..n−1)."""
+    """Distributed .npy writer on a shared POSIX mount: the driver writes the header, each
+    task writes its rows at offset id·row_bytes of the one file. Ids must be 0 to n−1, each
+    once; that is checked before anything is written (an object store can't take writes at
+    an offset: write Parquet there)."""
     from numpy.lib import format as npf
 
+    fs, path = storage.resolve(path)
+    if fs.type_name != "local":
+        raise ValueError("an .npy file is written at offsets, which needs a POSIX path")
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("u"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if n and (seen["n"], seen["u"], seen["lo"], seen["hi"]) != (n, n, 0, n - 1):
+        raise ValueError(f"ids must be 0 to {n - 1}, each once")
     header = {"descr": npf.dtype_to_descr(np.dtype("<f4")), "fortran_order": False, "shape": (int(n), int(d))}
     with open(path, "wb") as fh:
         npf.write_array_header_1_0(fh, header)
@@ -204,10 +217,24 @@ def route_shards(spark: SparkSession, root: str, prefixes: dict[str, str]) -> Da
 
 def md5_check(spark: SparkSession, root: str, manifest: DataFrame, name: str = "name",
               expected: str = "md5") -> DataFrame:
-    """md5 of every file's content against an expected manifest: OK / MISMATCH / MISSING."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root) \
-        .select(F.regexp_extract("path", r"([^/]*)$", 1).alias(name), F.md5("content").alias("_actual"))
-    j = manifest.select(name, expected).join(files, name, "left")
+    """md5 of every file's content against an expected manifest: OK / MISMATCH / MISSING.
+
+    The listing reads paths only; each file is then hashed block by block in the task that
+    has its path, so its size doesn't matter.
+    """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+
+    def fn(batches):
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                digest = hashlib.md5()
+                for block in storage.blocks(path):
+                    digest.update(block)
+                rows.append((path.rsplit("/", 1)[-1], digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=[name, "_actual"])
+
+    j = manifest.select(name, expected).join(paths.mapInPandas(fn, f"`{name}` string, _actual string"), name, "left")
     st = F.when(F.col("_actual").isNull(), "MISSING").when(F.col("_actual") == F.col(expected), "OK") \
         .otherwise("MISMATCH")
     return j.select(name, expected, F.col("_actual").alias("actual"), st.alias("status"))

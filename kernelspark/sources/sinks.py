@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import socket
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -11,23 +12,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import storage
+
 # Fixed values that must equal the reference's: the canonical results-log header, in order.
-RESULT_COLUMNS = (
-    "record_id,experiment,script_path,job_id,account_partition,hostname,node_gpu,code_ref,run_timestamp_utc,"
-    "conda_env,notes,artifacts,dataset,data_generator,data_seed,seed,kernel,kernel_bandwidth,synthetic_d,fixed_n,"
-    "n,n_train,n_val,n_test,k,k_list,trials,block_size_b,n_values,n_samples,n_warmup,rp_k_values,arpcholesky_b,"
-    "rwm_seed,jitter,sampler,n_walkers,step_size,n_leapfrog,hmc_leapfrog,num_inducing,method_name,"
-    "model_architecture,encoder,embedding_source,embedding_root,embedding_variant,feature_dim,skip_embed,"
-    "threshold,max_train_samples,max_valid_samples,max_test_samples,epochs,patience,batch_size,lr,learning_rate,"
-    "weight_decay,hidden_dim,num_layers,dropout,trainable_parameters,base_channels,image_size,num_workers,"
-    "predict_chunk_size,device,tabpfn_version,timing_scope,mean_time_sec,std_time_sec,data_loading_time_sec,"
-    "embedding_time_sec,factor_time_sec,warmup_time_sec,sampling_time_sec,per_step_time_sec,total_mcmc_time_sec,"
-    "fit_predict_time_sec,fit_or_train_time_sec,inference_time_sec,evaluation_time_sec,total_pipeline_time_sec,"
-    "accept_rate,final_step_size,approx_error_fro_rel,ess_logp,ess_per_sec,tau,train_loss,val_loss,elpd,"
-    "elpd_mean,pell,pell_mean,predictive_likelihood,posterior_expected_log_loss,posterior_log_loss_mean,"
-    "posterior_total_log_loss,auroc,auprc,accuracy,precision,recall,sensitivity_tpr,specificity_tnr,"
-    "false_positive_rate,false_negative_rate,brier,ece,tp,tn,fp,fn,unavailable_reason"
-).split(",")
+RESULT_COLUMNS = [
+    "record_id", "experiment", "script_path", "job_id", "account_partition", "hostname", "node_gpu", "code_ref",
+    "run_timestamp_utc", "conda_env", "notes", "artifacts", "dataset", "data_generator", "data_seed", "seed",
+    "kernel", "kernel_bandwidth", "synthetic_d", "fixed_n", "n", "n_train", "n_val", "n_test", "k", "k_list",
+    "trials", "block_size_b", "n_values", "n_samples", "n_warmup", "rp_k_values", "arpcholesky_b", "rwm_seed",
+    "jitter", "sampler", "n_walkers", "step_size", "n_leapfrog", "hmc_leapfrog", "num_inducing", "method_name",
+    "model_architecture", "encoder", "embedding_source", "embedding_root", "embedding_variant", "feature_dim",
+    "skip_embed", "threshold", "max_train_samples", "max_valid_samples", "max_test_samples", "epochs", "patience",
+    "batch_size", "lr", "learning_rate", "weight_decay", "hidden_dim", "num_layers", "dropout",
+    "trainable_parameters", "base_channels", "image_size", "num_workers", "predict_chunk_size", "device",
+    "tabpfn_version", "timing_scope", "mean_time_sec", "std_time_sec", "data_loading_time_sec",
+    "embedding_time_sec", "factor_time_sec", "warmup_time_sec", "sampling_time_sec", "per_step_time_sec",
+    "total_mcmc_time_sec", "fit_predict_time_sec", "fit_or_train_time_sec", "inference_time_sec",
+    "evaluation_time_sec", "total_pipeline_time_sec", "accept_rate", "final_step_size", "approx_error_fro_rel",
+    "ess_logp", "ess_per_sec", "tau", "train_loss", "val_loss", "elpd", "elpd_mean", "pell", "pell_mean",
+    "predictive_likelihood", "posterior_expected_log_loss", "posterior_log_loss_mean", "posterior_total_log_loss",
+    "auroc", "auprc", "accuracy", "precision", "recall", "sensitivity_tpr", "specificity_tnr",
+    "false_positive_rate", "false_negative_rate", "brier", "ece", "tp", "tn", "fp", "fn", "unavailable_reason",
+]
 
 
 # ---- S9: one file per row ---------------------------------------------------------------------
@@ -36,7 +42,7 @@ def export_rows(df: DataFrame, out_dir: str, key: str, content: str, ext: str =
                 meta_cols: Sequence[str] = ()) -> DataFrame:
     """Write each row's binary content to ``out_dir/<key><ext>``; the returned
     manifest ``(key, path, bytes, status, meta…)`` is the writers' output (checked lengths)."""
-    os.makedirs(out_dir, exist_ok=True)
+    storage.make_dir(out_dir)
     fields = [T.StructField(key, T.LongType()), T.StructField("path", T.StringType()),
               T.StructField("bytes", T.LongType()), T.StructField("status", T.StringType())]
     fields += [T.StructField(m, T.StringType()) for m in meta_cols]
@@ -48,9 +54,7 @@ def export_rows(df: DataFrame, out_dir: str, key: str, content: str, ext: str =
             for _, r in pdf.iterrows():
                 p = f"{out_dir.rstrip('/')}/{int(r[key])}{ext}"
                 data = bytes(r[content]) if r[content] is not None else b""
-                with open(p, "wb") as fh:
-                    fh.write(data)
-                ok = os.path.getsize(p) == len(data) and len(data) > 0
+                ok = storage.write_bytes(p, data) == len(data) and len(data) > 0
                 out.append([int(r[key]), p, len(data), "OK" if ok else "EMPTY"] +
                            [None if r[m] is None else str(r[m]) for m in meta_cols])
             if out:
@@ -163,13 +167,21 @@ def to_result_rows(df: DataFrame, defaults: dict | None = None, columns: Sequenc
             v = F.lit("")
         out.append(v.alias(c))
     rows = df.select(*out)
+    content = F.hex(F.xxhash64(*[F.col(c) for c in columns]))       # two rows of a run get two ids
     gen = F.concat_ws("-", *[F.when(F.col(c) != "", F.col(c)) for c in
-                             ("run_timestamp_utc", "job_id", "experiment", "method_name", "dataset")])
+                             ("run_timestamp_utc", "job_id", "experiment", "method_name", "dataset")], content)
     return rows.withColumn("record_id", F.when(F.col("record_id") == "", gen).otherwise(F.col("record_id")))
 
 
+def run_metadata(spark: SparkSession) -> dict[str, str]:
+    """Default metadata of a run: UTC time stamp, job (application) id and host."""
+    return {"run_timestamp_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"),
+            "job_id": spark.sparkContext.applicationId, "hostname": socket.gethostname()}
+
+
 def append_results(df: DataFrame, path: str, defaults: dict | None = None) -> None:
-    to_result_rows(df, defaults).write.mode("append").option("header", True).csv(path)
+    rows = to_result_rows(df, run_metadata(df.sparkSession) | (defaults or {}))
+    rows.write.mode("append").option("header", True).csv(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -180,15 +192,19 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 # ---- S14: chain TSV ------------------------------------------------------------------------------------------
 
 def write_chain(chain: DataFrame, path: str, warmup: int, chain_id: int = 0) -> int:
-    """Accepted post-warm-up draws only: accepted_idx, post_warmup_idx, logp, nu_0… (TSV)."""
-    from pyspark.sql import Window
+    """Accepted post-warm-up draws only: accepted_idx, post_warmup_idx, logp, nu_0… (TSV).
+
+    accepted_idx comes from bucketed row numbers and the rows are written where they are;
+    the index, not the file order, gives the order of the draws.
+    """
+    from ..operators.ordered import row_numbers
 
     c = chain.filter((F.col("chain") == chain_id) & (F.col("step") >= warmup) & F.col("accepted"))
     k = len(chain.select("nu").first()["nu"])
-    w = Window.orderBy("step")   # one chain's accepted draws: sized by the run
-    out = c.select((F.row_number().over(w) - 1).alias("accepted_idx"), (F.col("step") - warmup).alias("post_warmup_idx"),
-                   "logp", *[F.col("nu")[j].alias(f"nu_{j}") for j in range(k)])
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    out = row_numbers(c, [], ["step"], out="_rn").select(
+        (F.col("_rn") - 1).alias("accepted_idx"), (F.col("step") - warmup).alias("post_warmup_idx"),
+        "logp", *[F.col("nu")[j].alias(f"nu_{j}") for j in range(k)])
+    out.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
     return k
 
 
