@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.kernels import KernelSpec
+from ..functions.kernels import KernelSpec, difference_sums
+from ..session import checkpoint_table
 from . import prep
+from .ordered import exact_quantiles
 from .partials import bounded_broadcast
 
 # A broadcast side is allowed only below this many rows × dims (doubles).
@@ -73,13 +75,31 @@ def kernel_block(points: DataFrame, centers: DataFrame, kernel: KernelSpec, key:
                          .alias(features)).mapInPandas(fn, schema)
 
 
+#: Rows of one broadcast block of the right side of a cross kernel.
+BLOCK_ROWS = 10_000
+
+
+def _against_blocks(left: DataFrame, right: DataFrame, key: str, make) -> DataFrame:
+    """Union of make(left, broadcast block) over blocks of the right side, dealt by a hash of
+    the key; any number of rows works, one bounded block is broadcast at a time."""
+    n = right.count()
+    blocks = max(1, -(-2 * n // BLOCK_ROWS)) if n > BLOCK_ROWS else 1
+    if blocks == 1:
+        return make(left, F.broadcast(right))
+    right = checkpoint_table(right, right.sparkSession, "kernel-right").withColumn("_blk", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        got = make(left, F.broadcast(right.filter(F.col("_blk") == b).drop("_blk")))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def cross_kernel_long(left: DataFrame, right: DataFrame, kernel: KernelSpec, key: str = "id",
-                      features: str = "features", max_right: int = 10_000) -> DataFrame:
-    """K7: long form (i, j, k) of a table against a small, size-checked table."""
-    _check_small(right, "cross_kernel right side", max_rows=max_right)
+                      features: str = "features") -> DataFrame:
+    """K7: long form (i, j, k) of two tables; the right side is broadcast block by block."""
     l_ = left.select(F.col(key).alias("i"), F.col(features).cast("array<double>").alias("_a"))
     r_ = right.select(F.col(key).alias("j"), F.col(features).cast("array<double>").alias("_b"))
-    return l_.join(F.broadcast(r_), how="inner").select("i", "j", kernel.point("_a", "_b").alias("k"))
+    return _against_blocks(l_, r_, "j", lambda x, y: x.join(y, how="inner").select("i", "j", kernel.point("_a", "_b").alias("k")))
 
 
 def out_of_sample(test: DataFrame, train: DataFrame, chosen: DataFrame, kernel: KernelSpec,
@@ -125,10 +145,7 @@ def pair_distances(sample: DataFrame, kernel: KernelSpec, key: str = "id", featu
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf["x"].to_numpy())
-            if metric == "l1":
-                D = np.abs(X[:, None, :] - Y[None, :, :]).sum(-1)
-            else:
-                D = np.sqrt(((X[:, None, :] - Y[None, :, :]) ** 2).sum(-1))
+            D = difference_sums(X, Y, np.abs) if metric == "l1" else np.sqrt(difference_sums(X, Y, np.square))
             ii = np.repeat(pdf["k"].to_numpy().astype(np.int64), len(Y))
             jj = np.tile(ids, len(X))
             out = pd.DataFrame({"i": ii, "j": jj, "dist": D.ravel(), "weight": np.ones(len(ii), dtype=np.int64)})
@@ -155,6 +172,21 @@ def median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", fea
                  F.sum("weight").alias("n_pairs"))
 
 
+def pair_distance(pairs: DataFrame, points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features") -> DataFrame:
+    """(i, j, dist) of a caller's pairs by two equi-joins; any number of rows and pairs."""
+    x = points.select(F.col(key), F.col(features).cast("array<double>").alias("_x"))
+    j = pairs.select("i", "j").join(x.select(F.col(key).alias("i"), F.col("_x").alias("_a")), "i") \
+        .join(x.select(F.col(key).alias("j"), F.col("_x").alias("_b")), "j")
+    return j.select("i", "j", kernel.distance("_a", "_b").alias("dist"))
+
+
+def median_of_pairs(pairs: DataFrame, points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features") -> DataFrame:
+    """K10 over a pair table: the exact median distance of the pairs, by bucketed ranks."""
+    d = checkpoint_table(pair_distance(pairs, points, kernel, key, features), pairs.sparkSession, "pair-distances")
+    q = exact_quantiles(d, [], "dist", [0.5], names=["bandwidth"])
+    return q.crossJoin(d.agg(F.count(F.lit(1)).alias("n_pairs")))        # two one-row tables
+
+
 def approx_median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
                             m: int = 1000, seed: int = 42) -> DataFrame:
     """The median heuristic on m = min(1000, n) keyed-random rows."""
@@ -169,20 +201,12 @@ def bandwidth_value(points: DataFrame, kernel: KernelSpec, **kw) -> float:
 # ---- K12, K13, K15 ----------------------------------------------------------------------------------
 
 def pivot_submatrix(pivots: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
-                    rank: str = "rank", max_rows: int = 5000) -> DataFrame:
+                    rank: str = "rank") -> DataFrame:
     """K_PP in long form (i, j, v) for ranked pivots, symmetrised ½(K + Kᵀ)."""
-    _check_small(pivots, "pivot_submatrix", max_rows=max_rows)
     a = pivots.select(F.col(rank).alias("i"), F.col(features).cast("array<double>").alias("_a"))
     b = pivots.select(F.col(rank).alias("j"), F.col(features).cast("array<double>").alias("_b"))
-    j = a.join(F.broadcast(b), how="inner")
-    kab = kernel.point("_a", "_b")
-    kba = kernel.point("_b", "_a")
-    return j.select("i", "j", ((kab + kba) / F.lit(2.0)).alias("v"))
-
-
-def with_norms(points: DataFrame, features: str = "features", out: str = "norm2") -> DataFrame:
-    """K13 helper: precompute ‖x‖² once per row for the norm-expansion distance."""
-    return points.withColumn(out, A.norm2(F.col(features).cast("array<double>")))
+    v = (kernel.point("_a", "_b") + kernel.point("_b", "_a")) / F.lit(2.0)
+    return _against_blocks(a, b, "j", lambda x, y: x.join(y, how="inner").select("i", "j", v.alias("v")))
 
 
 def kernel_queries(n_rows: Column | int, n_pivots: Column | int) -> Column:

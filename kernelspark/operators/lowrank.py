@@ -731,6 +731,22 @@ def lowrank_matvec(factor: DataFrame, vec: DataFrame, key: str = "id", v: str =
     return j.select(key, A.dot(F.col("f"), A.lit_vector(ftv)).alias("Av"))
 
 
+def pair_frobenius(pairs: DataFrame, points: DataFrame, factor: DataFrame, kernel: KernelSpec, key: str = "id",
+                   features: str = "features") -> DataFrame:
+    """L10 over a caller's pair table: ‖K − F Fᵀ‖ / ‖K‖ of the cells (i, j), by equi-joins.
+
+    With every ordered pair it is the relative Frobenius error; a keyed sample of pairs
+    estimates it without n² cells.
+    """
+    x = points.select(F.col(key), F.col(features).cast("array<double>").alias("_x")).join(factor.select(key, "f"), key)
+    a = x.select(F.col(key).alias("i"), F.col("_x").alias("_a"), F.col("f").alias("_fa"))
+    b = x.select(F.col(key).alias("j"), F.col("_x").alias("_b"), F.col("f").alias("_fb"))
+    j = pairs.select("i", "j").join(a, "i").join(b, "j")
+    k = kernel.point("_a", "_b")
+    gap = k - A.dot(F.col("_fa"), F.col("_fb"))
+    return j.agg(F.sqrt(F.sum(gap * gap) / F.sum(k * k)).alias("rel_frobenius"), F.count(F.lit(1)).alias("n_pairs"))
+
+
 # ---------------------------------------------------------------- L17, L18 ---------
 
 def nystrom_krr_fit(train: DataFrame, kernel: KernelSpec, landmarks: np.ndarray, lam: float,

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SCHEMA = "v array<double>"
+#: Vectors that one task adds up in a round.
+FAN = 32
 
 
 def emit(vec: np.ndarray) -> pd.DataFrame:
@@ -23,26 +25,27 @@ def emit(vec: np.ndarray) -> pd.DataFrame:
 
 
 def tree_sum(partials: DataFrame, size: int, direct_cells: int = 4_000_000) -> np.ndarray:
-    """Sum the ``v`` arrays of ``partials`` (one row per partition) into one vector."""
+    """Sum the ``v`` arrays of ``partials`` (one row per partition) into one vector.
+
+    Rows are folded in rounds of FAN to one, until what is left fits ``direct_cells``
+    numbers (or is one row); only that reaches the driver.
+    """
+    def fold(batches):
+        acc = np.zeros(size)
+        seen = False
+        for pdf in batches:
+            for v in pdf["v"]:
+                acc += np.asarray(v, dtype=np.float64)
+                seen = True
+        if seen:
+            yield emit(acc)
+
     n_parts = partials.rdd.getNumPartitions()
-    if n_parts * size <= direct_cells:
-        rows = partials.collect()
-    else:
-        fan = max(2, int(math.ceil(math.sqrt(n_parts))))
-
-        def fold(batches):
-            acc = np.zeros(size)
-            seen = False
-            for pdf in batches:
-                for v in pdf["v"]:
-                    acc += np.asarray(v, dtype=np.float64)
-                    seen = True
-            if seen:
-                yield emit(acc)
-
-        rows = partials.repartition(fan).mapInPandas(fold, SCHEMA).collect()
+    while n_parts > 1 and n_parts * size > direct_cells:
+        n_parts = max(1, math.ceil(n_parts / FAN))
+        partials = partials.repartition(n_parts).mapInPandas(fold, SCHEMA)
     out = np.zeros(size)
-    for r in rows:
+    for r in partials.collect():
         out += np.asarray(r["v"], dtype=np.float64)
     return out
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from .ordered import row_numbers
 from .partials import SCHEMA as PARTIAL
+from .partials import bounded_broadcast
 from .partials import emit, tree_sum
 
 U = "_u"
@@ -106,10 +107,32 @@ def head_tail_split(df: DataFrame, key: str = "id", frac: float = 0.8) -> DataFr
 # ---- P6: standardise by train statistics --------------------------------------------------
 
 def feature_moments(df: DataFrame, features: str = "features", where=None) -> DataFrame:
-    """Per-dimension mean and population std (long form: dim, mean, std)."""
-    src = df if where is None else df.filter(where)
-    long = src.select(F.posexplode(F.col(features).cast("array<double>")).alias("dim", "v"))
-    return long.groupBy("dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    """Per-dimension mean and population std (dim, mean, std): one vector of partial sums per
+    partition, taken about the first row, so that large means don't cost precision."""
+    import pandas as pd
+
+    spark = df.sparkSession
+    schema = "dim int, mean double, std double"
+    src = (df if where is None else df.filter(where)).select(F.col(features).cast("array<double>").alias("x")).filter("x IS NOT NULL")
+    head = src.first()
+    if head is None:
+        return spark.createDataFrame([], schema)
+    d = len(head["x"])
+    origin = bounded_broadcast(spark, np.array(head["x"]), "first row")
+
+    def part(batches):
+        n, s, q = 0, np.zeros(d), np.zeros(d)
+        for pdf in batches:
+            if len(pdf):
+                X = np.stack(pdf["x"].to_numpy()) - origin.value
+                n, s, q = n + len(X), s + X.sum(0), q + (X * X).sum(0)
+        if n:
+            yield emit(np.concatenate([s, q, [float(n)]]))
+
+    vec = tree_sum(src.mapInPandas(part, PARTIAL), 2 * d + 1)
+    shift, var = vec[:d] / vec[-1], vec[d:2 * d] / vec[-1] - (vec[:d] / vec[-1]) ** 2
+    std = np.sqrt(np.maximum(var, 0.0))
+    return spark.createDataFrame(pd.DataFrame({"dim": np.arange(d, dtype=np.int32), "mean": np.array(head["x"]) + shift, "std": std}), schema)
 
 
 def standardize(df: DataFrame, features: str = "features", split: str = "split", train_value: str = "train",
@@ -223,14 +246,22 @@ def pca_fit(df: DataFrame, dim: int, features: str = "features", where=None):
 
 def pca_transform(df: DataFrame, components: np.ndarray, mean: np.ndarray, features: str = "features",
                   out: str = "projected") -> DataFrame:
-    """(x − mean)·componentsᵀ per row, as a Catalyst expression (k dot products)."""
-    x = F.col(features).cast("array<double>")
-    centered = F.zip_with(x, F.array(*[F.lit(float(v)) for v in mean]), lambda a, m: a - m)
-    dots = []
-    for c in components:
-        cv = F.array(*[F.lit(float(v)) for v in c])
-        dots.append(F.aggregate(F.zip_with(centered, cv, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
-    return df.withColumn(out, F.array(*dots))
+    """(x − mean)·componentsᵀ per row: components and mean are broadcast, each Arrow
+    batch is centred once and multiplied by BLAS. A null feature array projects to null."""
+    import pandas as pd
+
+    W = bounded_broadcast(df.sparkSession, np.vstack([np.asarray(components, dtype=np.float64), np.asarray(mean, dtype=np.float64)]), "projection")
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        ok = x.notna()
+        res = pd.Series([None] * len(x), index=x.index, dtype=object)
+        if ok.any():
+            rows = (np.stack(x[ok].to_numpy()) - W.value[-1]) @ W.value[:-1].T
+            res[ok] = pd.Series(list(rows), index=x.index[ok])
+        return res
+
+    return df.withColumn(out, project(F.col(features).cast("array<double>")))
 
 
 # ---- P14, P15: batch feature extraction from binary rows -------------------------------------

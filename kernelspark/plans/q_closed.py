@@ -243,3 +243,36 @@ def q_chain_tsv(spark, sf):
     k = SK.write_chain(c, path, warmup=100, chain_id=1)
     d = SK.read_chain(spark, path, k)
     return d.select(F.col("accepted_idx").cast("int").alias("accepted_idx"), F.col("post_warmup_idx").cast("int").alias("post_warmup_idx"), "logp", "nu_0")
+
+
+# ---- K10, L10 over a pair table -----------------------------------------------------------------------------------
+
+STEPS = (0, 1, 7, 50, 113)
+_PAIRS_SQL = f"SELECT a.id AS i, a.id + s AS j FROM ({V.EMB_SQL}) a, (VALUES {', '.join(f'({s})' for s in STEPS)}) t(s)"
+
+
+def _pairs(spark, sf):
+    """Every row paired with the rows some ids further on."""
+    return V.emb(spark, sf).select(F.col("id").alias("i"), F.explode(F.array(*[F.col("id") + s for s in STEPS])).alias("j"))
+
+
+_K10_SQL = (f"WITH e AS ({V.EMB_SQL}) SELECT quantile_cont(sqrt({A.sqdist_sql('a.features', 'b.features')}), 0.5) AS bandwidth, count(*) AS n_pairs "
+            f"FROM ({_PAIRS_SQL}) p JOIN e a ON a.id = p.i JOIN e b ON b.id = p.j")
+
+
+@register("median_of_pairs", _K10_SQL, ("bandwidth",), ops=("K10",))
+def q_median_pairs(spark, sf):
+    from ..operators import kernels as KO
+    return KO.median_of_pairs(_pairs(spark, sf), V.emb(spark, sf).select("id", "features"), KernelSpec("gaussian", BW))
+
+
+_KP = SL.gaussian_sql("a.x", "b.x", repr(BW))
+_GAP = f"(({_KP}) - ({_fs(K, 'a.f{j} * b.f{j}')}))"
+_L10_SQL = (f"WITH {_ctes(K)} SELECT sqrt(sum({_GAP} * {_GAP}) / sum(({_KP}) * ({_KP}))) AS rel_frobenius, count(*) AS n_pairs "
+            f"FROM ({_PAIRS_SQL}) p JOIN s{K} a ON a.id = p.i JOIN s{K} b ON b.id = p.j")
+
+
+@register("frobenius_of_pairs", _L10_SQL, ("rel_frobenius",), ops=("L10",))
+def q_frobenius_pairs(spark, sf):
+    fac = _factor(spark, sf, K)
+    return L.pair_frobenius(_pairs(spark, sf), V.emb(spark, sf).select("id", "features"), fac.factor_df(), fac.kernel)

@@ -216,3 +216,60 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark):
 def test_rank_sums_are_doubles(spark):
     df = spark.range(1).select(F.lit(4_000_000_000).alias("pos"), F.lit(4_000_000_000).alias("neg"), F.lit(4_000_000_000).alias("cum_pos"), F.lit(4_000_000_000).alias("cum_neg"))
     assert df.agg(*M.rank_sums()).first()["_a2"] == 1.6e19
+
+
+# ---- folds and blocks ---------------------------------------------------------------------------
+
+def test_tree_sum_folds_until_it_fits(spark):
+    import pandas as pd
+    from kernelspark.operators import partials
+
+    def part(batches):
+        n = sum(len(b) for b in batches)
+        yield partials.emit(np.array([n, 2.0 * n]))
+
+    df = spark.range(0, 100, 1, 70).mapInPandas(part, partials.SCHEMA)
+    assert partials.tree_sum(df, 2).tolist() == partials.tree_sum(df, 2, direct_cells=2).tolist() == [100.0, 200.0]
+    assert pd.notna(partials.tree_sum(df, 2, direct_cells=5)[0])
+
+
+def test_cross_kernel_in_blocks(spark, monkeypatch):
+    from kernelspark.operators import kernels as K
+
+    rng = np.random.default_rng(7)
+    X = rng.standard_normal((25, 2))
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(25)], "id long, features array<double>")
+    ker = KernelSpec("gaussian", 1.0)
+    whole = sorted(map(tuple, K.cross_kernel_long(df, df, ker).collect()))
+    monkeypatch.setattr(K, "BLOCK_ROWS", 6)
+    assert sorted(map(tuple, K.cross_kernel_long(df, df, ker).collect())) == whole and len(whole) == 625
+
+
+def test_projection_and_moments(spark):
+    from kernelspark.operators import prep
+
+    rng = np.random.default_rng(8)
+    X = 1e6 + rng.standard_normal((50, 4))
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(50)] + [(50, None)], "id long, features array<double>").repartition(3)
+    got = prep.feature_moments(df).orderBy("dim").collect()
+    assert np.allclose([r["mean"] for r in got], X.mean(0)) and np.allclose([r["std"] for r in got], X.std(0), rtol=1e-6)
+    C, mean = rng.standard_normal((2, 4)), X.mean(0)
+    rows = {r.id: r.projected for r in prep.pca_transform(df, C, mean).collect()}
+    assert rows[50] is None and np.allclose([rows[i] for i in range(50)], (X - mean) @ C.T)
+    assert prep.feature_moments(df.filter("id < 0")).collect() == []
+
+
+def test_frobenius_of_all_pairs_is_the_matrix_norm(spark):
+    from kernelspark.operators import lowrank as L
+
+    rng = np.random.default_rng(9)
+    X = rng.standard_normal((20, 2))
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(20)], "id long, features array<double>")
+    ker = KernelSpec("gaussian", 1.0)
+    fac = L.pivoted_cholesky(df, ker, 4, method="greedy")
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in range(20)], "i long, j long")
+    f = {r.id: r.f for r in fac.factor_df().collect()}
+    Fm = np.array([f[i] for i in range(20)])
+    Km = ker.block(X, X)
+    got = L.pair_frobenius(pairs, df, fac.factor_df(), ker).first()
+    assert math.isclose(got.rel_frobenius, np.linalg.norm(Km - Fm @ Fm.T) / np.linalg.norm(Km), rel_tol=1e-9)
