@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-1. Each file's notice blocks (neighbouring lines that hold a rare template term) and, for
-   licence files, the whole text are compared with the templates as sparse TF-IDF vectors.
+1. Each file's lines, blocks of neighbouring lines that are mostly template terms, and its
+   whole text are compared with the templates as sparse TF-IDF vectors.
    Document frequencies of the template terms are counted over all files; any other word
    weighs as much as the rarest term, so that a long text around a notice lowers its cosine.
 2. A file without a licence of its own inherits that of the licence file in its nearest
@@ -44,8 +44,8 @@ TEMPLATES: list[tuple[str, str]] = [
 
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9\x80-\xff]+)*")
 _FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
-#: Least cosine of a notice, and the share of files above which a term marks no line.
-LEAST, COMMON = 0.6, 0.1
+#: Least cosine of a notice; least part of a line's vector on template terms for it to be looked at.
+LEAST, PART = 0.6, 0.5
 
 
 def terms(raw: bytes) -> list[bytes]:
@@ -60,7 +60,6 @@ class Templates:
         bags = [Counter(terms(t.encode())) for _, t in templates]
         self.rarest = math.log(1 + files) + 1
         self.idf = {w: math.log((1 + files) / (1 + seen.get(w, 0))) + 1 for b in bags for w in b}
-        self.marks = {w for w in self.idf if seen.get(w, 0) <= COMMON * files}
         self.by_term: dict[bytes, list[tuple[int, float]]] = {}
         for k, bag in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
@@ -78,14 +77,25 @@ class Templates:
         if not norm or not dots.any():
             return None, 0.0
         k = int(np.argmax(dots))
-        return self.names[k], float(dots[k] / math.sqrt(norm))
+        return self.names[k], round(float(dots[k] / math.sqrt(norm)), 9)
+
+    def part(self, found: list[bytes]) -> float:
+        """How much of the vector's length lies on template terms; no cosine is larger."""
+        idf, known, every = self.idf, 0.0, 0.0
+        for w, n in Counter(found).items():
+            weight = idf.get(w)
+            if weight is None:
+                every += (n * self.rarest) ** 2
+            else:
+                known += (n * weight) ** 2
+        return math.sqrt(known / (known + every)) if known else 0.0
 
     def header(self, raw: bytes) -> tuple[str | None, float]:
-        """Best cosine over the lines with a marking term and the blocks that such lines form."""
-        best, block = (None, 0.0), []
+        """Best cosine over the lines that are mostly template terms and the blocks they form."""
+        best, block, vocabulary = (None, 0.0), [], self.idf.keys()
         for line in [*raw.split(b"\n"), b""]:
             found = terms(line)
-            if found and not self.marks.isdisjoint(found):
+            if not vocabulary.isdisjoint(found) and self.part(found) >= PART:
                 block.append(found)
                 continue
             for part in [*block, [w for x in block for w in x]] if len(block) > 1 else block:
@@ -136,8 +146,8 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", templates: li
             rows = []
             for raw in texts(got.column(place)):
                 name, score = model.header(raw)
-                found = model.best(terms(raw)) if score else (None, 0.0)
-                if found[1] >= score:
+                found = model.best(terms(raw)) if score >= least else (None, 0.0)
+                if found[1] >= score > 0:
                     name, score = found
                 rows.append((name if score >= least else None, score, found[1] >= least))
             yield pa.RecordBatch.from_arrays([got.column(i) for i in at] + [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())], [*keep, "own_licence", "own_score", whole])

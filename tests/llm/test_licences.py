@@ -25,7 +25,7 @@ def test_headers_and_inheritance(files):
     assert show(4) == ("Apache-2.0", "directory", "a/b/d") and show(5) == ("Apache-2.0", "file", None)
     assert show(6) == show(7) == show(8) == show(12) == (None, None, None)  # a header's licence isn't lent
     assert show(9) == show(10) == ("MIT", "directory", "a")
-    assert show(15)[1:] == ("directory", "m") and got[15].licence == ("MIT" if got[13].own_score >= got[14].own_score and "MIT" < "Apache-2.0" else show(15)[0])
+    assert show(15) == ("Apache-2.0", "directory", "m")  # equal scores: the first name
 
 
 def test_cosine_against_plain_vectors():
@@ -47,7 +47,7 @@ def test_cosine_against_plain_vectors():
 
 def test_frequencies_count_files(files):
     seen, n = L.frequencies(files.repartition(4), "text", {b"plain", b"mit", b"zzz"})
-    assert n == 16 and seen == {b"plain": 7, b"mit": 2}
+    assert n == 16 and seen == {b"plain": 8, b"mit": 2}
 
 
 def test_notices_in_documents_are_found(spark):

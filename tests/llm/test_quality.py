@@ -45,8 +45,8 @@ def test_rules_against_brute_force(docs, rows):
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert r.kept == (not r.base_failed and r.quality >= R.LEAST)
-    votes = {k: [x[k] for x in R.judge(docs.select("doc_id", "text")).select(*(v.alias(k) for k, v in R.rules().items())).collect()] for k in R.rules()}
-    v = np.array(list(votes.values()), float).T
+    cast = R.judge(docs.select("doc_id", "text")).select(*(v.alias(k) for k, v in R.rules().items())).collect()
+    v = np.array([list(r) for r in cast], float)
     patterns, counts = np.unique(v, axis=0, return_counts=True)
     shares, share = plain_em(v.astype(int).tolist())
     found = M.fit(patterns, counts.astype(float))
