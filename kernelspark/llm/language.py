@@ -103,15 +103,13 @@ def phrases(stretches: np.ndarray, lengths: np.ndarray, kind: np.ndarray, table:
     """
     wide = int(kind.max()) + 1
     first = np.maximum(table[:wide], 0)
-    state, count = np.zeros(len(lengths), np.int32), (lengths > 0).astype(np.int32)
+    state, count = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
     live = np.searchsorted(-lengths, -np.arange(len(stretches)), side="left")  # rows longer than the position
     for at, n in enumerate(live.tolist()):
-        c = kind[stretches[at, :n]]
-        went = table[state[:n] * wide + c]
-        ends = went < 0
-        if at:
-            count[:n] += ends
-        state[:n] = np.where(ends, first[c], went)
+        c, now = kind[stretches[at, :n]], state[:n]
+        went = table[now * wide + c]
+        count[:n] += (went < 0) | (now == 0)  # a phrase starts here
+        state[:n] = np.where(went < 0, first[c], went)
     return count
 
 
