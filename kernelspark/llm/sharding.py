@@ -49,8 +49,9 @@ def permute(row: Column, n: int, seed: int = 42) -> Column:
     end. Where that is many, so many steps are taken that the chance of a walk not ending
     is below 2**-100; such a row would raise an error, never get a wrong place.
     """
-    height = max(1, math.isqrt(max(n - 1, 0)) + 1)
-    width = max(1, -(-n // height))
+    n = max(n, 1)
+    height = math.isqrt(n - 1) + 1
+    width = -(-n // height)
     spare = height * width - n
     steps = spare + 1
     if spare:
