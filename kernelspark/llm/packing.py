@@ -6,8 +6,9 @@ tokens of each range are cut into sequences of ``length``: only the last sequenc
 range is shorter, under 0.1 % of padding at the default range size.
 
 Token ids are written once (zstd-compressed, two bytes an id) and read again by the range
-shuffle, so no text is encoded twice, and the keys that a range partitioner samples are
-stored columns. A hot key (copies) is split by id and by the row's stored number.
+shuffle, so no text is encoded twice. Ranges come from the exact token counts of 2**CELL
+stretches of the curve, not from a sample, so equal input gives equal ranges; a stretch
+with more tokens than a range (copies share a key) is split by a hash of the row.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from .common import checkpoint_table, fresh, read, texts
 #: Hashed vector, dimensions of the projection, bits of each dimension on the curve.
 BUCKETS, DIMS, BITS, SEED = 256, 4, 8, 42
 RANGE_TOKENS = 2_000_000
-#: Words whose ids a worker remembers; the memory is emptied when full (ids don't depend on it).
-REMEMBERED = 150_000
+#: Bits of the curve's stretches whose tokens are counted (65,536 counts at most).
+CELL = 16
+#: Word parts whose ids a worker remembers, in two generations: when the younger one is
+#: full it becomes the older one (ids don't depend on it).
+REMEMBERED = 300_000
 _WORD = re.compile(r" (?=\S)")
 
 
@@ -46,31 +50,50 @@ def _encoding():
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def _spaced() -> np.ndarray:
+    """Whether an id's bytes begin with a space."""
+    made = _encoding()
+    return np.array([made.decode_single_token_bytes(i)[:1] == b" " for i in range(made.n_vocab)])
+
+
 class Words:
     """Ids of a text as little-endian uint16 bytes, word by word.
 
     The tokenizer never joins across a space that a non-space follows (such a space always
-    begins a token), so a text's ids are those of its parts, and parts repeat.
+    begins a token), so a text's ids are those of its parts, and parts repeat. Parts not
+    known yet are encoded together and told apart by the tokens that begin with a space.
     """
 
     def __init__(self):
         self.encode = _encoding().encode_ordinary
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.young) + len(new) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        ids = np.array(self.encode("".join([f" {p}" for p in new])), "<u2")
+        start = np.flatnonzero(_spaced()[ids])
+        if len(start) == len(new):
+            raw, at = ids.tobytes(), [*(2 * start).tolist(), 2 * len(ids)]
+            self.young.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:])]))
+        else:  # some part holds a space of its own
+            self.young.update((p, np.array(self.encode(f" {p}"), "<u2").tobytes()) for p in new)
 
     def ids(self, text: str) -> bytes:
         parts = _WORD.split(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = [np.array(self.encode(parts[0]), "<u2").tobytes()]
-        for p in parts[1:]:
-            got = known.get(p)
-            if got is None:
-                got = np.array(self.encode(" " + p), "<u2").tobytes()
-                if len(p) < 40:
-                    known[p] = got
-            out.append(got)
-        return b"".join(out)
+        first = np.array(self.encode(parts[0]), "<u2").tobytes()
+        out, old = list(map(self.young.get, parts)), self.old
+        if None in out[1:]:
+            new = dict.fromkeys(p for p, got in zip(parts[1:], out[1:]) if got is None)
+            self.young.update((p, old[p]) for p in new if p in old)
+            if unknown := [p for p in new if p not in old]:
+                self._learn(unknown)
+            young = self.young
+            out = [young[p] if p in young else self.old[p] for p in parts[1:]]
+            return first + b"".join(out)
+        return first + b"".join(out[1:])
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -150,30 +173,33 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: in
     spark, keep = docs.sparkSession, [c for c in docs.columns if c != text]
     curve, count, ids, row, part = (fresh([*docs.columns, *made], f"__{x}") for x in ("curve", "count", "ids", "row", "part"))
     stored = checkpoint_table(tokens(docs, text, curve, count, ids, row), spark, "packing-ids")
-    total = stored.agg(F.sum(count)).first()[0] or 0
-    ranges = stored.repartitionByRange(max(1, -(-total // range_tokens)), curve, id_col, row).sortWithinPartitions(curve, id_col, row)
+    ranges = _with_ranges(stored, curve, count, part, range_tokens, F.xxhash64(id_col, row))
+    many = (ranges.agg(F.max(part)).first()[0] or 0) + 1
+    ranges = ranges.repartition(many, part).sortWithinPartitions(part, curve, id_col, row)
     at = [ranges.columns.index(c) for c in keep]
-    ids_at, count_at = ranges.columns.index(ids), ranges.columns.index(count)
+    ids_at, count_at, part_at = (ranges.columns.index(c) for c in (ids, count, part))
 
     def run(batches):
-        open_, number, used = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0
+        open_, number, used = zstandard.ZstdDecompressor(), None, 0
         for got in batches:
             for lo in range(0, got.num_rows, 512):
                 block = got.slice(lo, 512)
-                rows = {c: [] for c in ("doc", *made)}
-                for i, (raw, n) in enumerate(zip(block.column(ids_at).to_pylist(), block.column(count_at).to_pylist(), strict=True)):
+                rows = {c: [] for c in ("doc", part, *made)}
+                for i, (raw, n, own) in enumerate(zip(*(block.column(j).to_pylist() for j in (ids_at, count_at, part_at)), strict=True)):
+                    if own != number:
+                        number, used = own, 0
                     found = np.frombuffer(open_.decompress(raw), "<u2").astype("<u4")
                     start = 0
                     while start < n:
                         take = min(n - start, length - used % length)
-                        for c, v in zip(rows, (i, start, take, zlib.crc32(found[start:start + take]), n, used // length, used % length), strict=True):
+                        for c, v in zip(rows, (i, own, start, take, zlib.crc32(found[start:start + take]), n, used // length, used % length), strict=True):
                             rows[c].append(v)
                         start += take
                         used += take
                 pick = pa.array(rows.pop("doc"), pa.int64())
-                yield pa.RecordBatch.from_arrays([block.column(j).take(pick) for j in at] + [pa.array([number] * len(pick), pa.int32())] + [pa.array(v, pa.int64()) for v in rows.values()], [*keep, part, *made])
+                yield pa.RecordBatch.from_arrays([block.column(j).take(pick) for j in at] + [pa.array(v, pa.int64()) for v in rows.values()], [*keep, part, *made])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(part, T.IntegerType())] + [T.StructField(c, T.LongType()) for c in made])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in (part, *made)])
     pieces = checkpoint_table(ranges.mapInArrow(run, schema), spark, "packing-pieces")
     base = fresh([*keep, *made, part], "__base")
     counted = pieces.groupBy(part).agg((F.max("sequence_id") + 1).alias(base))
@@ -181,6 +207,22 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: in
     return pieces.join(counted, part).select(*keep, "start", "length", "ids_crc32", "doc_tokens", (F.col(base) + F.col("sequence_id")).alias("sequence_id"), "offset")
 
 
+def _with_ranges(stored: DataFrame, curve: str, count: str, part: str, range_tokens: int, row_hash) -> DataFrame:
+    """stored with the number of its range: stretches of the curve in order, about range_tokens each."""
+    cell = F.shiftright(curve, DIMS * BITS - CELL)
+    order = Window.orderBy("cell")                                                        # at most 2**CELL rows
+    held = stored.groupBy(cell.alias("cell")).agg(F.sum(count).alias("held"))
+    held = held.withColumn("range", F.call_function("div", F.sum("held").over(order) - F.col("held"), F.lit(range_tokens).cast("long")))
+    held = held.withColumn("splits", F.ceil(F.col("held") / range_tokens))
+    before = F.lag(F.struct("range", "splits")).over(order)
+    opens = before.isNull() | (before["splits"] > 1) | (before["range"] != F.col("range"))
+    held = held.withColumn("opens", F.when(F.col("splits") > 1, F.col("splits")).when(opens, 1).otherwise(0))
+    held = held.select("cell", "splits", (F.sum("opens").over(order) - F.col("splits")).alias("first"))
+    names = held.select(*(F.col(c).alias(f"{part}{c}") for c in held.columns))
+    joined = stored.join(F.broadcast(names), cell == F.col(f"{part}cell"))
+    return joined.select(*stored.columns, (F.col(f"{part}first") + F.pmod(row_hash, F.col(f"{part}splits"))).cast("long").alias(part))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into sequences of 1024 tokens; ids of the byte-level BPE, then id 0."""
     return pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
