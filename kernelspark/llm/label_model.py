@@ -34,7 +34,9 @@ def start(voters: int) -> tuple[np.ndarray, np.ndarray]:
     shares[0] = ON_GOOD
     for j in range(voters):
         shares[j + 1, j] = ON_OWN
-    return shares, np.array([START_SHARE] + [(1 - START_SHARE) / voters] * voters)
+    # Slightly unequal, so that voters that agree on every row don't leave rounding to decide.
+    own = 1 + np.arange(voters) / 100
+    return shares, np.concatenate(([START_SHARE], (1 - START_SHARE) * own / own.sum()))
 
 
 def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
