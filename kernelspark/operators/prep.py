@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,8 +110,6 @@ def head_tail_split(df: DataFrame, key: str = "id", frac: float = 0.8) -> DataFr
 def feature_moments(df: DataFrame, features: str = "features", where=None) -> DataFrame:
     """Per-dimension mean and population std (dim, mean, std): one vector of partial sums per
     partition, taken about the first row, so that large means don't cost precision."""
-    import pandas as pd
-
     spark = df.sparkSession
     schema = "dim int, mean double, std double"
     src = (df if where is None else df.filter(where)).select(F.col(features).cast("array<double>").alias("x")).filter("x IS NOT NULL")
@@ -208,8 +207,6 @@ def pca_fit(df: DataFrame, dim: int, features: str = "features", where=None):
 
     Returns (components k×d, mean d, explained_variance_ratio k).
     """
-    import pandas as pd
-
     src = (df if where is None else df.filter(where)).select(F.col(features).cast("array<double>").alias("x"))
     d = len(src.first()["x"])
     if not 1 <= dim <= d:
@@ -248,8 +245,6 @@ def pca_transform(df: DataFrame, components: np.ndarray, mean: np.ndarray, featu
                   out: str = "projected") -> DataFrame:
     """(x − mean)·componentsᵀ per row: components and mean are broadcast, each Arrow
     batch is centred once and multiplied by BLAS. A null feature array projects to null."""
-    import pandas as pd
-
     W = bounded_broadcast(df.sparkSession, np.vstack([np.asarray(components, dtype=np.float64), np.asarray(mean, dtype=np.float64)]), "projection")
 
     @F.pandas_udf("array<double>")

@@ -152,6 +152,7 @@ def q_uniform_pivots(spark, sf):
 def q_rank_sweep(spark, sf):
     """One max-k factor read at every prefix rank, with the kernel-entry count."""
     fac = _factor(spark, sf, SQLK, "greedy")
+    fac.close()
     return L.error_by_rank(fac).select("rank", "pivot_id", "rel_trace_error",
                                        K.kernel_queries(F.lit(fac.n), F.col("rank") + 0).alias("kernel_queries"))
 
@@ -161,6 +162,7 @@ def q_pivot_kpp(spark, sf):
     """K_PP of the greedy pivots, long form, symmetrised."""
     fac = _factor(spark, sf, SQLK, "greedy")
     piv = fac.pivots_df(spark).select("rank", F.col("pivot_id").alias("id"), "features")
+    fac.close()
     return K.pivot_submatrix(piv, fac.kernel, key="id", rank="rank")
 
 
@@ -193,6 +195,7 @@ def q_factor_stats(spark, sf):
 def q_spectrum(spark, sf):
     fac = _factor(spark, sf, 16, "greedy")
     s = L.spectrum(fac.factor_df(), k=fac.k)
+    fac.close()
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(s)], "idx int, eigenvalue double")
 
 
