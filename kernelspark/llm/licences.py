@@ -1,9 +1,12 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-1. Each file's lines, blocks of neighbouring lines that are mostly template terms, and its
-   whole text are compared with the templates as sparse TF-IDF vectors.
-   Document frequencies of the template terms are counted over all files; any other word
-   weighs as much as the rarest term, so that a long text around a notice lowers its cosine.
+1. Each file's lines, blocks of neighbouring lines that are mostly template terms, windows of
+   each template's number of words anywhere in it, and its whole text are compared with the
+   templates as sparse TF-IDF vectors.
+   Document frequencies of all words are counted over all files. A word's weight comes from
+   its share of the files, up to that of one file in RARE, which all rarer words have: so
+   weights don't grow with the number of files, and only words above that share are gathered
+   (at most RARE times the mean number of distinct words a file, and twice that near RARE files).
 2. A file without a licence of its own inherits that of the licence file in its nearest
    ancestor directory: distinct directories are exploded into ancestors, joined with the
    directories that have a licence, and the deepest match is joined back to the files.
@@ -46,6 +49,11 @@ _TERM = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9\x80-\xff]+)*")
 _FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 #: Least cosine of a notice; least part of a line's vector on template terms for it to be looked at.
 LEAST, PART = 0.6, 0.5
+#: Words in fewer than one file in RARE weigh the same; the largest weight.
+RARE = 1_000
+CEILING = math.log(RARE) + 1
+#: Words that a partition counts before it hands the counts on.
+HELD = 300_000
 
 
 def terms(raw: bytes) -> list[bytes]:
@@ -53,18 +61,24 @@ def terms(raw: bytes) -> list[bytes]:
 
 
 class Templates:
-    """Templates as unit TF-IDF vectors over their own terms."""
+    """Templates as unit TF-IDF vectors over their own terms, and the weights of all words."""
 
-    def __init__(self, templates: list[tuple[str, str]], seen: dict[bytes, int], files: int):
-        self.names = [n for n, _ in templates]
+    def __init__(self, templates: list[tuple[str, str]], seen: dict[bytes, int], files: int, least: float = LEAST):
+        self.names, self.least = [n for n, _ in templates], least
         bags = [Counter(terms(t.encode())) for _, t in templates]
-        self.rarest = math.log(1 + files) + 1
-        self.idf = {w: math.log((1 + files) / (1 + seen.get(w, 0))) + 1 for b in bags for w in b}
+        self.long = [sum(b.values()) for b in bags]
+        self.rarest = min(CEILING, math.log(1 + files) + 1)
+        self.idf = {w: min(CEILING, math.log((1 + files) / (1 + seen.get(w, 0))) + 1) for w in {*seen, *(w for b in bags for w in b)}}
         self.by_term: dict[bytes, list[tuple[int, float]]] = {}
         for k, bag in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
             for w, n in bag.items():
                 self.by_term.setdefault(w, []).append((k, n * self.idf[w] / norm))
+        self.code = {w: i for i, w in enumerate(self.by_term, 1)}  # 0: any other word
+        self.adds = np.zeros((len(bags), len(self.code) + 1))      # what a word adds to each dot product
+        for w, i in self.code.items():
+            for k, v in self.by_term[w]:
+                self.adds[k, i] = self.idf[w] * v
 
     def best(self, found: list[bytes]) -> tuple[str | None, float]:
         """Nearest template and its cosine; ties go to the first."""
@@ -81,20 +95,52 @@ class Templates:
 
     def part(self, found: list[bytes]) -> float:
         """How much of the vector's length lies on template terms; no cosine is larger."""
-        idf, known, every = self.idf, 0.0, 0.0
+        known = every = 0.0
         for w, n in Counter(found).items():
-            weight = idf.get(w)
-            if weight is None:
-                every += (n * self.rarest) ** 2
+            weight = (n * self.idf.get(w, self.rarest)) ** 2
+            if w in self.by_term:
+                known += weight
             else:
-                known += (n * weight) ** 2
+                every += weight
         return math.sqrt(known / (known + every)) if known else 0.0
 
+    def window(self, found: list[bytes], best: tuple[str | None, float]) -> tuple[str | None, float]:
+        """The better of best and the best cosine, from least on, over the windows that are as long as a template.
+
+        A template whose terms in the text have less than least of its length is left out: no
+        window reaches it. So are windows whose cosine would be too small if no word came twice.
+        """
+        mass = [0.0] * len(self.names)
+        for w in self.by_term.keys() & set(found):
+            for k, v in self.by_term[w]:
+                mass[k] += v * v
+        near = [k for k, m in enumerate(mass) if math.sqrt(m) > self.least - 1e-9 and self.long[k] < len(found)]
+        if not near:
+            return best
+        codes = np.array([self.code.get(w, 0) for w in found])
+        norms = np.cumsum([0.0, *(self.idf.get(w, self.rarest) ** 2 for w in found)])
+        for k in near:
+            n, dots = self.long[k], np.concatenate(([0.0], np.cumsum(self.adds[k, codes])))
+            bound = (dots[n:] - dots[:-n]) / np.sqrt(norms[n:] - norms[:-n])
+            at = np.flatnonzero(bound > max(self.least, best[1]) - 1e-9)
+            tried = set()
+            for i in at[np.argsort(-bound[at], kind="stable")].tolist():
+                if bound[i] <= best[1] + 1e-9:
+                    break
+                words = tuple(found[i:i + n])
+                if words not in tried:
+                    tried.add(words)
+                    got = self.best(words)
+                    if got[1] > best[1]:
+                        best = got
+        return best
+
     def header(self, raw: bytes) -> tuple[str | None, float]:
-        """Best cosine over the lines that are mostly template terms and the blocks they form."""
-        best, block, vocabulary = (None, 0.0), [], self.idf.keys()
+        """Best cosine over the lines that are mostly template terms, the blocks they form, and the windows."""
+        best, block, vocabulary, every = (None, 0.0), [], self.by_term.keys(), []
         for line in [*raw.split(b"\n"), b""]:
             found = terms(line)
+            every += found
             if not vocabulary.isdisjoint(found) and self.part(found) >= PART:
                 block.append(found)
                 continue
@@ -103,23 +149,33 @@ class Templates:
                 if got[1] > best[1]:
                     best = got
             block = []
-        return best
+        return self.window(every, best)
 
 
-def frequencies(files: DataFrame, text: str, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
-    """In how many files each template term occurs, and the number of files; summed in each partition first."""
+def frequencies(files: DataFrame, text: str, vocabulary: set[bytes] | None = None) -> tuple[dict[bytes, int], int]:
+    """In how many files each word (of the vocabulary, if given) occurs, and the number of files.
+
+    Counts are summed in each partition first. Words that weigh CEILING are left out.
+    """
     place = files.columns.index(text)
 
     def run(batches):
         count, many = Counter(), 0
         for got in batches:
             for raw in texts(got.column(place)):
-                count.update(vocabulary.intersection(terms(raw)))
+                found = set(terms(raw))
+                count.update(found if vocabulary is None else found & vocabulary)
                 many += 1
+                if len(count) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+                    count = Counter()
         yield pa.RecordBatch.from_arrays([pa.array([None, *count], pa.binary()), pa.array([many, *count.values()], pa.int64())], ["term", "n"])
 
-    found = files.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # template terms only
-    return {bytes(r.term): r.n for r in found if r.term is not None}, sum(r.n for r in found if r.term is None)
+    found = files.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = checkpoint_table(found, files.sparkSession, "licence-words")
+    many = found.where(F.col("term").isNull()).agg(F.sum("n")).first()[0] or 0
+    common = found.where(F.col("term").isNotNull() & ((F.col("n") + 1) * RARE > many + 1)).collect()  # bounded: see above
+    return {bytes(r.term): r.n for r in common}, many
 
 
 def scan(files: DataFrame, text: str = "text", path: str = "path", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -136,12 +192,12 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", templates: li
         raise ValueError(f"columns exist already: {sorted(clash)}")
     spark, keep = files.sparkSession, [c for c in files.columns if c != text]
     known = templates or TEMPLATES
-    seen, many = frequencies(files.select(text), text, {w for _, t in known for w in terms(t.encode())})
+    sent = spark.sparkContext.broadcast(Templates(known, *frequencies(files.select(text), text), least))
     whole, folder, depth, lent = (fresh([*files.columns, *made], f"__{x}") for x in ("whole", "folder", "depth", "lent"))
     at, place = [files.columns.index(c) for c in keep], files.columns.index(text)
 
     def run(batches):
-        model = Templates(known, seen, many)
+        model = sent.value
         for got in batches:
             rows = []
             for raw in texts(got.column(place)):
