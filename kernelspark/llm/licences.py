@@ -235,8 +235,13 @@ def _ancestors(folder: Column) -> Column:
 
 
 def document_path() -> Column:
-    """Path of a document for the query: the documents have none, so source and id give one (source/part/id.txt)."""
-    return F.concat(F.coalesce("source", F.lit("none")), F.lit("/part"), F.pmod(F.floor(F.col("doc_id") / 100), F.lit(97)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    """Path of a document for the query: the documents have none, so source and id give one.
+
+    source/shelf/part/id.txt: a part has 100 consecutive ids, a shelf 100 parts, so folders
+    grow with the data and none has more than 100 ids of a source.
+    """
+    part = F.floor(F.col("doc_id") / 100)
+    return F.concat(F.coalesce("source", F.lit("none")), F.lit("/shelf"), F.floor(part / 100).cast("string"), F.lit("/part"), part.cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,15 @@ def test_notices_in_documents_are_found(spark):
     assert sum(v is None for v in got.values()) >= none
 
 
+def test_folders_grow_with_the_documents(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(-200, 40_000).select(F.col("id").alias("doc_id"), F.lit("web").alias("source")).select("doc_id", L.document_path().alias("path"))
+    folders = [r["count"] for r in ids.groupBy(L._folder(F.col("path"))).count().collect()]
+    assert len(folders) == 402 and set(folders) == {100}
+    assert ids.where("doc_id = 12345").first().path == "web/shelf1/part123/12345.txt"
+
+
 def test_empty_and_clash(spark, files):
     empty = spark.createDataFrame([], files.schema)
     assert L.scan(empty).collect() == []
