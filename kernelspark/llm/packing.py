@@ -37,11 +37,13 @@ CELL = 16
 #: full it becomes the older one (ids don't depend on it).
 REMEMBERED = 300_000
 _WORD = re.compile(r" (?=\S)")
+#: The tokenizer's added token, which it takes out of a text before anything else, and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
 
 
 @functools.cache
 def _encoding():
-    """The byte-level BPE of ``byte_bpe_50k.json`` by its rank file: the same ids, without special tokens."""
+    """The byte-level BPE of ``byte_bpe_50k.json`` by its rank file: the same ids, without the added token (see SPECIAL)."""
     import public_tokenizers
     import tiktoken
 
@@ -95,6 +97,10 @@ class Words:
             return first + b"".join(out)
         return first + b"".join(out[1:])
 
+    def whole(self, text: str) -> bytes:
+        """The tokenizer's ids with its added token, which ``ids`` takes for plain text."""
+        return np.array([SPECIAL_ID], "<u2").tobytes().join(map(self.ids, text.split(SPECIAL)))
+
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Position on the Hilbert curve of integer points (n, dims), each coordinate below 2**bits.
@@ -146,7 +152,7 @@ def tokens(docs: DataFrame, text: str, curve: str, count: str, ids: str, row: st
                 part = got.slice(lo, 512)
                 vectors, counts, packed = np.zeros((part.num_rows, BUCKETS)), [], []
                 for i, raw in enumerate(texts(part.column(place))):
-                    own = words.ids(raw.decode("utf-8", "replace")) + b"\0\0"
+                    own = words.whole(raw.decode("utf-8", "replace")) + b"\0\0"
                     found = np.frombuffer(own, "<u2")
                     vectors[i] = np.bincount(bucket[found[:-1]], minlength=BUCKETS)
                     counts.append(len(found))
@@ -224,5 +230,5 @@ def _with_ranges(stored: DataFrame, curve: str, count: str, part: str, range_tok
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into sequences of 1024 tokens; ids of the byte-level BPE, then id 0."""
+    """All documents into sequences of 1024 tokens; ids of the byte-level BPE with its added token, then id 0."""
     return pack(read(spark, sf_dir, "documents").select("doc_id", "text"))

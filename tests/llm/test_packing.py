@@ -23,6 +23,20 @@ def test_word_by_word_ids_are_the_tokenizers(reference, rows):
         assert np.frombuffer(words.ids(t), "<u2").tolist() == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_added_token_is_the_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = ["end of page <|endoftext|> next page", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "a <|endoftext|>\n\nb  <|endoftext|>  c", "x<|endoftext|>y", "<|endoftext|", "<|endof<|endoftext|>text|>", "none", ""]
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in rows]
+    assert sum(x.count(P.SPECIAL_ID) for x in ids) == 8
+    words = P.Words()
+    assert [np.frombuffer(words.whole(t), "<u2").tolist() for t in rows] == ids
+    got = {r.doc_id: r for r in P.pack(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i].doc_tokens == len(x) + 1 and got[i].ids_crc32 == zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in enumerate(ids))
+
+
 @pytest.mark.parametrize("length,ranges", [(64, 3000), (1024, 10**6)])
 def test_pieces_give_back_every_document(docs, rows, reference, length, ranges):
     got = P.pack(docs.select("doc_id", "text", "source"), length=length, range_tokens=ranges).collect()
