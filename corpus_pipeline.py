@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 writes each result as Parquet in the shared folder and reads it again. The first four
 return the columns of documents, the last the pieces of the packed sequences.
 
-language     documents whose text is null or has no letter (language ``und``) go
+language     documents whose text is null or has no letter (language ``und``) go; which language
+             a text has decides nothing, so if none could be learned (lang null throughout, or
+             only in held-out rows), the same documents stay
 near_dups    of each SimHash group the document with the smallest id stays
 dedup        strings of 50 bytes that an earlier document has go from the text; a character
              cut in two goes whole, and a document of which nothing is left goes
@@ -27,7 +29,8 @@ from kernelspark.llm.common import checkpoint_table, fresh, read, ship_package
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
-    found = language.identify(docs, language.learn(docs), pred=pred, score=score)
+    models = language.learn(docs) or [("", [])]  # nothing learned: one language without a name has every text with a letter
+    found = language.identify(docs, models, pred=pred, score=score)
     return found.where(F.col(pred) != language.UNKNOWN).select(*docs.columns)
 
 

@@ -62,6 +62,20 @@ def test_every_stage_against_brute_force(spark, folder):
         docs = spark.createDataFrame(after, docs.schema) if after else docs
 
 
+@pytest.mark.parametrize("labelled", ["none", "held out"])
+def test_texts_with_letters_stay_when_no_language_is_learned(spark, docs, folder, labelled):
+    from pyspark.sql import functions as F
+
+    from kernelspark.llm import language as L
+
+    table = docs.withColumn("lang", F.when(L.held(), F.lit("en")) if labelled == "held out" else F.lit(None).cast("string"))
+    assert L.learn(table) == [] and (labelled == "none" or table.where("lang is not null").count())
+    after = C.language_stage(spark, table, folder)
+    assert after.schema.simpleString() == docs.schema.simpleString()
+    expected = [key(r) for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert expected and sorted(map(key, after.collect()), key=str) == sorted(expected, key=str)
+
+
 def dedup_brute(before, length=50):
     big = 1 << 62
     first, out = {}, []
