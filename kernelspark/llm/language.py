@@ -4,14 +4,16 @@ For each language a suffix automaton of labelled text recognises all its substri
 document is parsed greedily into longest matches against each automaton; fewer phrases per
 letter mean a smaller cross entropy, and the smallest wins.
 
-Training text is a bounded sample (TRAIN_ROWS rows a language, SLICE bytes each), chosen by
-a hash of the row, combined within each partition before the shuffle. Automata are tables
+Training text is a bounded sample (TRAIN_ROWS slices a language, SLICE bytes each), chosen by
+a hash of the slice, so that copies count once, combined within each partition before the
+shuffle. Automata are tables
 of next states, rebuilt in each worker from the broadcast sample. Documents are cut into
 stretches of STRETCH bytes that are all parsed side by side; every byte is parsed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, read, texts
+from .common import read, texts
 
-#: Bound of the training sample: rows a language, and bytes of each row (taken from its middle).
+#: Bound of the training sample: distinct slices a language, and bytes of each (taken from a row's middle).
 TRAIN_ROWS, SLICE = 48, 512
 STRETCH = 256
 #: Bytes of a batch that are parsed at once.
@@ -128,28 +130,30 @@ def parse(raws: list[bytes], automata: list[tuple[np.ndarray, np.ndarray]]) -> n
     return out
 
 
-def sample(labelled: DataFrame, text: str, lang: str, rank: str, rows: int = TRAIN_ROWS, size: int = SLICE) -> list[tuple[str, list[bytes]]]:
-    """At most ``rows`` slices of ``size`` bytes for each language: the rows of smallest ``rank``.
+def sample(labelled: DataFrame, text: str, lang: str, rows: int = TRAIN_ROWS, size: int = SLICE) -> list[tuple[str, list[bytes]]]:
+    """At most ``rows`` distinct slices of ``size`` bytes for each language: those of smallest hash.
 
     Each partition keeps its smallest ranks of each language before the shuffle, so what is
     gathered is bounded by partitions * languages * rows.
     """
     def smallest(groups):
-        return {k: heapq.nsmallest(rows, v) for k, v in groups.items()}
+        return {k: set(heapq.nsmallest(rows, v)) for k, v in groups.items()}
 
     def run(batches):
-        kept: dict[str, list] = {}
+        kept: dict[str, set] = {}
         for got in batches:
-            for name, at, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), texts(got.column(2)), strict=True):
+            for name, raw in zip(got.column(0).to_pylist(), texts(got.column(1)), strict=True):
                 plain = normal(raw.decode("utf-8", "replace"))
                 if plain:
                     from_ = max(0, (len(plain) - size) // 2)
-                    kept.setdefault(name, []).append((at, plain[from_:from_ + size]))
+                    part = plain[from_:from_ + size]
+                    rank = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+                    kept.setdefault(name, set()).add((rank, part))
             kept = smallest(kept)
         flat = [(k, *x) for k, v in kept.items() for x in v]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "rank", "part"])
 
-    local = labelled.select(F.col(lang).cast("string"), rank, text).mapInArrow(run, "lang string, rank long, part binary")
+    local = labelled.select(F.col(lang).cast("string"), text).mapInArrow(run, "lang string, rank long, part binary").distinct()
     top = local.groupBy("lang").applyInArrow(lambda t: t.sort_by([("rank", "ascending"), ("part", "ascending")]).slice(0, rows), "lang string, rank long, part binary")
     found: dict[str, list[bytes]] = {}
     for r in top.orderBy("lang", "rank", "part").collect():  # at most rows * languages
@@ -200,11 +204,10 @@ def identify(docs: DataFrame, models: list[tuple[str, list[bytes]]], text: str =
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", held_out: bool = True) -> list[tuple[str, list[bytes]]]:
     """Training slices from rows with a language, without the held-out fold (crc32 of the id mod 4 is 2)."""
-    rank = fresh(docs.columns, "__rank")
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if held_out:
         known = known.where(~held(id_col))
-    return sample(known.withColumn(rank, F.xxhash64(F.col(id_col).cast("string"), text)), text, lang, rank)
+    return sample(known, text, lang)
 
 
 def held(id_col: str = "doc_id"):

@@ -62,6 +62,15 @@ def test_sample_is_bounded_and_does_not_depend_on_the_layout(table):
     assert all(len(v) <= L.TRAIN_ROWS and all(len(x) <= L.SLICE for x in v) for _, v in a)
 
 
+def test_copies_are_learned_once(spark, table):
+    from pyspark.sql import functions as F
+
+    one = table.where("lang = 'en'").orderBy("doc_id").limit(1).drop("doc_id")
+    copies = spark.range(10**6, 10**6 + 3000).withColumnRenamed("id", "doc_id").crossJoin(one).select(*table.columns)
+    models = dict(L.learn(table.unionByName(copies.withColumn("text", F.upper("text")))))
+    assert len(models["en"]) == L.TRAIN_ROWS == len(set(models["en"])) and all(len(set(v)) == len(v) for v in models.values())
+
+
 def test_awkward_rows(docs, no_docs, rows):
     models = [("a", [b"the of and"]), ("b", [b"eau que ment"])]
     got = L.identify(docs, models).collect()
