@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,6 @@ TRAIN_ROWS, SLICE = 48, 512
 STRETCH = 256
 #: Bytes of a batch that are parsed at once.
 AT_ONCE = 4 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters to space; the text is in lower case already.
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 UNKNOWN = "und"
@@ -38,7 +36,7 @@ UNKNOWN = "und"
 
 def normal(text: str) -> bytes:
     """Lower case, ASCII other than letters to single spaces; empty if there is no letter."""
-    if not _LETTER.search(text):
+    if not any(map(str.isalpha, text)):
         return b""
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split())
 

@@ -62,6 +62,12 @@ def test_sample_is_bounded_and_does_not_depend_on_the_layout(table):
     assert all(len(v) <= L.TRAIN_ROWS and all(len(x) <= L.SLICE for x in v) for _, v in a)
 
 
+def test_numerals_and_marks_are_no_letters(spark):
+    texts = ["½ ② 5²", "①②③", "Ⅷ ⅷ", "x²", "ª", "日"]
+    got = L.identify(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), [("a", [b"the of and"])]).orderBy("i").collect()
+    assert [r.lang_pred == "und" for r in got] == [not any(c.isalpha() for c in t) for t in texts] == [True, True, True, False, False, False]
+
+
 def test_copies_are_learned_once(spark, table):
     from pyspark.sql import functions as F
 
