@@ -54,7 +54,7 @@ class Hasher:
         self.known: dict[bytes, int] = {}
 
     def feature(self, word: bytes) -> int:
-        return zlib.crc32(_RUN.sub(rb"\1\1", word.translate(_SHAPE))[:24]) % DIMS
+        return zlib.crc32(_RUN.sub(rb"\1\1", word.translate(_SHAPE))) % DIMS
 
     def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         known, words = self.known, raw.split()

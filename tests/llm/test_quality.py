@@ -110,6 +110,11 @@ def test_hashed_features_are_unit_vectors_and_training_separates():
     assert not Q.train([]).any()
 
 
+def test_long_words_are_hashed_whole():
+    start = b"https://a.b-c.d/e-1/f-2/g-3/"
+    assert len({Q.Hasher().feature(start + end) for end in (b"", b"x", b"7", b"?k=v&", b"x/9.html", b"A+/=")}) == 6
+
+
 def test_equal_texts_get_equal_scores_and_empty_tables(spark, docs, no_docs, rows):
     weights = Q.learn(docs)
     got = Q.score(docs, weights).collect()
