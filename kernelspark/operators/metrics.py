@@ -324,15 +324,8 @@ def pell_latent(draws: DataFrame, y="y", latent="latent", draw="draw", group_by=
     g = _g(group_by)
     f = F.col(latent).cast("double")
     lt = F.when(F.col(y) == 1, log_expit(f)).otherwise(log_expit(-f))
-    return pell_of_draws(draws.groupBy(*g, draw).agg(F.sum(lt).alias("ll"), F.count(F.lit(1)).alias("n")), g)
-
-
-def pell_of_draws(per_draw: DataFrame, group_by=()) -> DataFrame:
-    """E8 from (draw, ll, n): the log likelihood and row count of each draw."""
-    g = _g(group_by)
-    per_draw = per_draw.withColumnsRenamed({"ll": "_ll", "n": "_n"})
-    a = per_draw.groupBy(*g).agg(F.avg("_ll").alias("pell"), F.max("_n").alias("_n_obs"))
-    return a.select(*g, "pell", (F.col("pell") / F.col("_n_obs")).alias("pell_mean"))
+    per_draw = draws.groupBy(*g, draw).agg(F.sum(lt).alias("ll"), F.count(F.lit(1)).alias("n"))
+    return pell_of_draws(per_draw, g).select(*g, "pell", "pell_mean")
 
 
 # ---------------------------------------------------------------- E17–E19 -----
