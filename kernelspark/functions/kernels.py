@@ -135,26 +135,96 @@ def _matern_col(r: Column, nu: float) -> Column:
 
 # ---- general-nu Matérn (K4) ------------------------------------------------------
 
-def bessel_kv(nu: float, z: np.ndarray, n_t: int = 2000) -> np.ndarray:
-    """Modified Bessel K_nu(z), z > 0, from K_nu(z) = ∫_0^∞ e^{-z cosh t} cosh(nu t) dt.
-
-    Trapezoid rule on t ∈ [0, T] with T chosen so the integrand is negligible.
+#: Arguments up to which the power series at 0 is used, and cells worked on at once.
+_SERIES_TO, _CELLS = 2.0, 1 << 16
+_EULER = 0.57721566490153286061
+
+
+def _gamma_pair(mu: float) -> tuple[float, float, float, float]:
+    """(Γ₁, Γ₂, 1/Γ(1+μ), 1/Γ(1−μ)) for |μ| ≤ ½, with Γ₁ = (1/Γ(1−μ) − 1/Γ(1+μ)) / 2μ and Γ₂ half their sum."""
+    up, down = 1.0 / math.gamma(1.0 + mu), 1.0 / math.gamma(1.0 - mu)
+    if abs(mu) > 1e-3:
+        return (down - up) / (2.0 * mu), 0.5 * (down + up), up, down
+    # 1/Γ(1+x) = 1 + γx + a₂x² + a₃x³ + …: the odd part by x, from the Taylor coefficients
+    a3 = _EULER ** 3 / 6.0 - _EULER * math.pi ** 2 / 12.0 + 1.2020569031595942 / 3.0
+    return -(_EULER + a3 * mu * mu), 0.5 * (down + up), up, down
+
+
+def _kv_series(mu: float, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """K_μ and K_{μ+1} for 0 < z ≤ 2 and |μ| ≤ ½: the ascending series with its limit at μ = 0."""
+    g1, g2, up, down = _gamma_pair(mu)
+    half = 0.5 * z
+    log = -np.log(half)
+    e = mu * log
+    sinhc = np.where(np.abs(e) < 1e-8, 1.0, np.sinh(e) / np.where(e == 0, 1.0, e))
+    ratio = 1.0 if abs(mu) < 1e-15 else math.pi * mu / math.sin(math.pi * mu)
+    f = ratio * (np.cosh(e) * g1 + sinhc * log * g2)
+    p, q = 0.5 * np.exp(e) / up, 0.5 * np.exp(-e) / down
+    c, k0, k1 = np.ones_like(z), f.copy(), p.copy()
+    square = half * half
+    for i in range(1, 60):
+        f = (i * f + p + q) / (i * i - mu * mu)
+        c = c * square / i
+        p, q = p / (i - mu), q / (i + mu)
+        more = c * f
+        k0 += more
+        k1 += c * (p - i * f)
+        if np.all(np.abs(more) <= 1e-17 * np.abs(k0)):
+            break
+    return k0, k1 / half
+
+
+def _kv_fraction(mu: float, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """K_μ and K_{μ+1}, both times e^z, for z > 2 and |μ| ≤ ½: Steed's continued fraction and its sum."""
+    b = 2.0 * (1.0 + z)
+    d = 1.0 / b
+    h = delta = d.copy()
+    a1 = 0.25 - mu * mu
+    q1, q2 = np.zeros_like(z), np.ones_like(z)
+    q = c = np.full_like(z, a1)
+    a = -a1
+    s = 1.0 + q * delta
+    for i in range(2, 20_000):
+        a -= 2 * (i - 1)
+        c = -a * c / i
+        q1, q2 = q2, (q1 - b * q2) / a
+        q = q + c * q2
+        b = b + 2.0
+        d = 1.0 / (b + a * d)
+        delta = (b * d - 1.0) * delta
+        h = h + delta
+        more = q * delta
+        s = s + more
+        if np.all(np.abs(more) <= 1e-17 * np.abs(s)):
+            break
+    k0 = np.sqrt(math.pi / (2.0 * z)) / s
+    return k0, k0 * (mu + z + 0.5 - a1 * h) / z
+
+
+def log_bessel_kv(nu: float, z: np.ndarray) -> np.ndarray:
+    """ln K_ν(z) for z > 0: series up to 2, continued fraction beyond, then the upward recurrence in ν.
+
+    Memory is a few numbers a cell; the recurrence carries a scale, so nothing overflows.
     """
+    nu = abs(float(nu))
+    up = int(nu + 0.5)
+    mu = nu - up
     z = np.asarray(z, dtype=np.float64)
-    out = np.full(z.shape, np.inf)
-    pos = z > 0
-    if not pos.any():
-        return out
-    zp = z[pos]
-    # e^{-z cosh T} cosh(nu T) < 1e-300 roughly when z cosh T > 700 + nu T
-    T = np.arccosh(np.maximum((745.0 + abs(nu) * 20.0) / zp, 1.0)) + 1.0
-    T = np.minimum(T, 40.0)
-    u = np.linspace(0.0, 1.0, n_t)[None, :]
-    t = u * T[:, None]
-    with np.errstate(over="ignore", under="ignore"):
-        f = np.exp(-zp[:, None] * np.cosh(t) + abs(nu) * t) * 0.5 * (1.0 + np.exp(-2.0 * abs(nu) * t))
-    vals = np.trapezoid(f, dx=1.0, axis=1) * (T / (n_t - 1))
-    out[pos] = vals
+    out = np.empty(z.shape)
+    flat, res = z.ravel(), out.reshape(-1)
+    for lo in range(0, flat.size, _CELLS):
+        part = flat[lo:lo + _CELLS]
+        small = part <= _SERIES_TO
+        k0, k1, scale = np.empty_like(part), np.empty_like(part), np.where(small, 0.0, -part)
+        if small.any():
+            k0[small], k1[small] = _kv_series(mu, part[small])
+        if not small.all():
+            k0[~small], k1[~small] = _kv_fraction(mu, part[~small])
+        for j in range(1, up + 1):
+            k0, k1 = k1, k0 + 2.0 * (mu + j) / part * k1
+            size = np.maximum(k1, 1e-300)
+            k0, k1, scale = k0 / size, k1 / size, scale + np.log(size)
+        res[lo:lo + _CELLS] = np.log(k0) + scale
     return out
 
 
@@ -172,10 +242,9 @@ def matern_np(r: np.ndarray, nu: float) -> np.ndarray:
     out = np.ones_like(r)  # value 1 at distance 0 (no 0·∞)
     nz = s > 0
     if nz.any():
-        sv = s[nz]
-        with np.errstate(over="ignore", invalid="ignore"):
-            val = (2.0 ** (1.0 - nu) / math.gamma(nu)) * sv ** nu * bessel_kv(nu, sv)
-        out[nz] = np.where(np.isfinite(val), val, 0.0)
+        sv = np.maximum(s[nz], 1e-150)
+        log = (1.0 - nu) * math.log(2.0) - math.lgamma(nu) + nu * np.log(sv) + log_bessel_kv(nu, sv)
+        out[nz] = np.minimum(np.exp(log), 1.0)
     return out
 
 

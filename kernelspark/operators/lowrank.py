@@ -1,20 +1,16 @@
 """Pivoted Cholesky low-rank factors and kernel regression on Spark.
 
-The only per-row state is the cached table ``(id, x)``. The driver holds
-the pivots P (k × d) and the lower-triangular L with L Lᵀ = K_PP. Each round
-is ONE single-stage job (``round_pass``): every Arrow batch recomputes
-G = L⁻¹ k(P, x) and the residual d = k(x, x) − ‖G‖² with BLAS, and each
-partition returns only its best row per draw plus (Σd, max d, n). Nothing
-N-sized moves, nothing shuffles, and lineage never grows: a lost executor
-recomputes one round. Recompute costs O(n k d) per round, which stays below
-the cost of reading x for k up to a few hundred; the accelerated variant
-divides the number of rounds by the block size.
+Rows keep their factor columns and residual in a ``FactorStore`` (id, x, g, d): a round
+picks candidates from (id, d), fetches those few rows, lets the driver accept pivots among
+them, and appends the accepted columns to every row. Nothing N-sized moves and nothing
+shuffles. The driver holds the pivots and L with L Lᵀ = K_PP.
 
 Pivot rules
 -----------
 greedy (L5)        arg-max residual, ties by lowest id; exact lookahead takes several
                    pivots per pass from the top-m rows while they provably stay global
-rp (L1)            one draw ∝ residual: Gumbel-max on keyed md5 noise (SQL-repeatable)
+rp (L1)            one draw ∝ residual: Gumbel-max on keyed md5 noise (SQL-repeatable); exact
+                   thinning takes several draws per pass, as stale residuals are upper bounds
 uniform (L6)       P1 sample order, null pivots (residual < 1e-14) skipped
 accelerated (L3)   b iid draws ∝ residual (independent Gumbel-max per draw in
                    one pass), accepted by rejection on the driver's b×b block
@@ -29,21 +25,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from ..functions import rng
 from ..functions.kernels import KernelSpec
+from .factor_store import Candidates, FactorStore
 from .kernels import kernel_diag_col
 from .partials import SCHEMA as PARTIAL
-from .partials import bounded_broadcast, emit, tree_sum
+from .partials import bounded_broadcast, emit, emit_arrow, tree_sum
 
 # Fixed values shared with the reference's numerics.
 NULL_PIVOT = 1e-14          # residual below this is a null pivot / stop
-TOP_DIRECT_CELLS = 4_000_000  # lookahead winners collected directly below this many cells
 
 
 @dataclass
@@ -57,7 +51,7 @@ class Pivot:
 
 @dataclass
 class Factor:
-    points: DataFrame            # cached (id, x)
+    store: FactorStore           # rows (id, x, g, d)
     kernel: KernelSpec
     pivots: list = field(default_factory=list)
     trace: float = 0.0
@@ -66,13 +60,29 @@ class Factor:
     elapsed: list = field(default_factory=list)  # driver clock after each pivot (s)
     rounds: int = 0
     method: str = ""
+    closed: bool = False
 
     @property
     def k(self) -> int:
         return len(self.pivots)
 
+    @property
+    def points(self) -> DataFrame:
+        return self.store.points
+
+    def accept(self, ident: int, x, fvec, resid: float, clock: float) -> None:
+        self.pivots.append(Pivot(self.k + 1, int(ident), [float(v) for v in x], [float(v) for v in fvec], float(resid)))
+        self.elapsed.append(clock)
+
+    def append_columns(self) -> None:
+        """Columns of the pivots that the store doesn't have yet."""
+        new = self.pivots[self.store.k:]
+        self.store.extend([p.x for p in new], [p.fvec for p in new], [p.resid for p in new])
+
     def factor_df(self) -> DataFrame:
-        """Factor rows (id, f, residual): one lazy Arrow pass F(x) = L⁻¹ k(P, x)."""
+        """Factor rows (id, f, residual): the stored columns; after ``close`` one lazy Arrow pass F(x) = L⁻¹ k(P, x)."""
+        if not self.closed and self.store.k == self.k:
+            return self.store.columns_df()
         P = np.array([p.x for p in self.pivots], dtype=np.float64)
         return factor_from_pivots(self.points, self.kernel, P, self.chol(), features="x")
 
@@ -84,8 +94,9 @@ class Factor:
         return spark.createDataFrame(rows, schema)   # k rows: bounded by the rank
 
     def close(self) -> None:
-        """Release the cached (id, x) table (factor_df() then recomputes from the source)."""
-        self.points.unpersist()
+        """Release the stored rows (factor_df() then recomputes from the source)."""
+        self.closed = True
+        self.store.close()
 
     def kpp(self) -> np.ndarray:
         """K12 on the driver: K_PP from the k pivot rows, symmetrised."""
@@ -103,244 +114,49 @@ class Factor:
         return L
 
 
-# ---------------------------------------------------------------- round pass ---
-
-def cache_points(points: DataFrame, key: str = "id", features: str = "features") -> DataFrame:
-    """The only per-row state: ``(id, x)``, persisted once for all rounds.
-
-    The element type is kept (float32 embeddings stay float32 at rest, half
-    the cache and Arrow volume); batches widen to float64 for the BLAS step.
-    """
-    dt = points.schema[features].dataType
-    elem = getattr(dt, "elementType", None)
-    x = F.col(features) if isinstance(elem, (T.FloatType, T.DoubleType)) else F.col(features).cast("array<double>")
-    return points.select(F.col(key).cast("long").alias("id"), x.alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def fast_gumbel_np(ids: np.ndarray, rnd: int, draw: int, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = rng._mix64_np(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                          + rng._mix64_np(np.full(len(ids), (seed * 1_000_003 + rnd) * 65_537 + draw,
-                                                  dtype=np.uint64)))
-    u = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / 4503599627370496.0
-    return -np.log(-np.log(u))
+# ---------------------------------------------------------------- L1, L5 ------
 
+#: Candidates a round of the random rule keeps, and rounds that one pass prepares.
+RP_KEEP, RP_ROUNDS = 32, 16
 
-def md5_gumbel_np(ids: np.ndarray, draw: int, seed: int) -> np.ndarray:
-    """Same numbers as ``rng.gumbel`` / ``rng.gumbel_sql`` (md5 keyed)."""
-    return np.array([-math.log(-math.log(rng.u01_py(int(i), draw, seed) + 0.5 / rng.TWO52)) for i in ids])
 
+def pivoted_cholesky(points: DataFrame, kernel: KernelSpec, k: int, method: str = "greedy",
+                     seed: int = 42, tol: float = 0.0, key: str = "id", features: str = "features",
+                     lookahead: int = 1024) -> Factor:
+    """L5 (greedy) / L1 (rp): the pivots of one choice per round, several of them a pass.
 
-def round_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray, rule: str, rnd: int,
-               seed: int = 42, draws: int = 1):
-    """ONE single-stage job: every Arrow batch recomputes G = L⁻¹ k(P, x) and d = k(x,x) − ‖G‖²,
-    and each partition returns only its best row per draw plus (Σd, max d, n).
+    Residuals only fall as pivots are added. greedy: a row outside the pass's top
+    ``lookahead`` keeps a key (d, −id) below the next key, the cutoff; while the best updated key
+    among the fetched rows is above it, that row is the global arg-max. rp: the same holds for
+    ln d + noise of each of the next rounds, whose noise is known beforehand. Otherwise a new
+    pass starts, whose first choice needs no bound. ``lookahead=0`` takes one pivot a pass.
 
-    rule: 'greedy' (max d, ties by lowest id), 'rp' (max log d + md5 Gumbel), 'iid' (``draws``
-    independent Gumbel-max draws ∝ d, xxhash-style keys). Returns (candidates per draw, tr, dmax, n).
-    """
-    from .kernels import MAX_BROADCAST_CELLS
-    if P.size + L.size > MAX_BROADCAST_CELLS:
-        raise ValueError(f"pivot state {P.shape} + {L.shape} exceeds the broadcast bound {MAX_BROADCAST_CELLS}")
-    sc = pts.sparkSession.sparkContext
-    bP, bL = bounded_broadcast(sc, P, "pivots"), bounded_broadcast(sc, L, "pivot Cholesky")
-    k = P.shape[0] if P.size else 0
-
-    def fn(batches):
-        best = {}
-        tr, dmax, n = 0.0, 0.0, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf["id"].to_numpy().astype(np.int64)
-            X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-            if k:
-                G = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
-                d = np.maximum(kernel.diag_np(X) - (G * G).sum(1), 0.0)
-            else:
-                G = np.zeros((len(X), 0))
-                d = kernel.diag_np(X)
-            tr += float(d.sum())
-            dmax = max(dmax, float(d.max()))
-            n += len(X)
-            for i in range(draws):
-                if rule == "greedy":
-                    order = np.lexsort((ids, -d))          # max d, then lowest id
-                    j = int(order[0])
-                    key = (float(d[j]), -int(ids[j]))
-                else:
-                    with np.errstate(divide="ignore"):
-                        ld = np.where(d > 0, np.log(np.where(d > 0, d, 1.0)), -np.inf)
-                    g = pdf["_g"].to_numpy() if rule == "rp" else fast_gumbel_np(ids, rnd, i, seed)
-                    kv = ld + g
-                    j = int(np.argmax(kv))
-                    if not np.isfinite(kv[j]):
-                        continue
-                    key = (float(kv[j]), 0)
-                if i not in best or key > best[i][0]:
-                    best[i] = (key, int(ids[j]), X[j].tolist(), G[j].tolist(), float(d[j]))
-        rows = [dict(kind="cand", draw=i, k1=b[0][0], k2=b[0][1], id=b[1], x=b[2], f=b[3], d=b[4],
-                     tr=None, dmax=None, n=None) for i, b in best.items()]
-        rows.append(dict(kind="sum", draw=-1, k1=None, k2=None, id=None, x=None, f=None, d=None, tr=tr,
-                         dmax=dmax, n=n))
-        yield pd.DataFrame(rows)
-
-    schema = ("kind string, draw int, k1 double, k2 long, id long, x array<double>, f array<double>, d double, "
-              "tr double, dmax double, n long")
-    # rp: the md5 Gumbel key is a JVM (codegen) column, identical to the SQL oracle's
-    src = pts.withColumn("_g", rng.gumbel(F.col("id"), rnd, seed)) if rule == "rp" else pts
-    part = src.mapInPandas(fn, schema)
-    dim = P.shape[1] if P.size else len(pts.select("x").first()["x"])   # one job only before the first pivot
-    n_parts = pts.rdd.getNumPartitions()
-    if n_parts * (draws + 1) * (dim + k + 4) <= TOP_DIRECT_CELLS:
-        out = part.collect()   # ≤ partitions × (draws + 1) rows, within the driver bound
-        sm = [r for r in out if r["kind"] == "sum"]
-        cand_rows = [r for r in out if r["kind"] == "cand"]
-    else:
-        # large: per-draw winners chosen by (key, id) only; then ≤ draws full rows are fetched
-        part = part.persist(StorageLevel.MEMORY_AND_DISK)   # ≤ P × (draws + 1) rows, on executors
-        win = part.filter("kind = 'cand'").groupBy("draw").agg(
-            F.max_by(F.col("id"), F.struct("k1", "k2")).alias("id")).collect()
-        ids = sorted({int(r["id"]) for r in win})
-        full = {int(r["id"]): r for r in part.filter((F.col("kind") == "cand") & F.col("id").isin(ids))
-                .dropDuplicates(["id"]).collect()} if ids else {}
-        cand_rows = []
-        for r in win:
-            row = full[int(r["id"])].asDict()
-            row["draw"] = r["draw"]
-            cand_rows.append(row)
-        sm = [r for r in part.filter("kind = 'sum'").collect()]   # P small rows
-        part.unpersist()
-    bP.destroy()
-    bL.destroy()
-    tr = sum(r["tr"] for r in sm)
-    dmax = max([r["dmax"] for r in sm] or [0.0])
-    n = sum(r["n"] for r in sm)
-    cands = {}
-    for r in cand_rows:
-        key = (r["k1"], r["k2"])
-        if r["draw"] not in cands or key > cands[r["draw"]][0]:
-            cands[r["draw"]] = (key, r)
-    return [cands[i][1] for i in sorted(cands)], tr, dmax, n
-
-
-def top_pass(pts: DataFrame, kernel: KernelSpec, P: np.ndarray, L: np.ndarray, m: int):
-    """Greedy lookahead pass: the global top-m rows by (d, −id) and the (m+1)-th key as a cutoff.
-
-    Each partition keeps its own top m+1 rows (the only rows that can be in the
-    global top m+1) in a small cached table. Only their (key, id) pairs go
-    through TakeOrdered; x is then fetched for the m+1 winners, so m+1 rows and
-    the (Σd, max d, n) sums reach the driver. Returns (rows, cutoff, tr, dmax, n).
-    """
-    sc = pts.sparkSession.sparkContext
-    bP, bL = bounded_broadcast(sc, P, "pivots"), bounded_broadcast(sc, L, "pivot Cholesky")
-    k = P.shape[0] if P.size else 0
-    keep = int(m) + 1
-
-    def fn(batches):
-        best = []
-        tr, dmax, n = 0.0, 0.0, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf["id"].to_numpy().astype(np.int64)
-            X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-            if k:
-                G = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
-                d = np.maximum(kernel.diag_np(X) - (G * G).sum(1), 0.0)
-            else:
-                d = kernel.diag_np(X)
-            tr += float(d.sum())
-            dmax = max(dmax, float(d.max()))
-            n += len(X)
-            for j in np.lexsort((ids, -d))[:keep]:
-                best.append((float(d[j]), -int(ids[j]), X[j].tolist()))
-            best.sort(key=lambda t: (t[0], t[1]), reverse=True)
-            del best[keep:]
-        rows = [dict(kind="cand", k1=b[0], k2=b[1], x=b[2], tr=None, dmax=None, n=None) for b in best]
-        rows.append(dict(kind="sum", k1=None, k2=None, x=None, tr=tr, dmax=dmax, n=n))
-        yield pd.DataFrame(rows)
-
-    schema = "kind string, k1 double, k2 long, x array<double>, tr double, dmax double, n long"
-    dim = P.shape[1] if P.size else len(pts.select("x").first()["x"])   # one job only before the first pivot
-    n_parts = pts.rdd.getNumPartitions()
-    part = pts.mapInPandas(fn, schema)
-    if n_parts * (keep + 1) * dim <= TOP_DIRECT_CELLS:
-        # small: every partition's winners fit the driver bound, one job
-        got = part.collect()
-        top = [r for r in got if r["kind"] == "cand"]
-        sm = [r for r in got if r["kind"] == "sum"]
-        sums = dict(tr=sum(r["tr"] for r in sm), dmax=max([r["dmax"] for r in sm] or [0.0]),
-                    n=sum(r["n"] for r in sm))
-    else:
-        part = part.persist(StorageLevel.MEMORY_AND_DISK)     # ≤ P × (m + 2) small rows
-        # order only the (key, id) pairs (P × (m+1) records), then fetch x for the m + 1 winners
-        keys = part.filter("kind = 'cand'").select("k1", "k2").orderBy(F.col("k1").desc(), F.col("k2").desc()) \
-            .limit(keep).collect()
-        wanted = [int(r["k2"]) for r in keys]
-        top = part.filter((F.col("kind") == "cand") & F.col("k2").isin(wanted)).select("k1", "k2", "x") \
-            .collect() if wanted else []
-        sums = part.filter("kind = 'sum'").agg(F.sum("tr").alias("tr"), F.max("dmax").alias("dmax"),
-                                              F.sum("n").alias("n")).first().asDict()
-        part.unpersist()
-    bP.destroy()
-    bL.destroy()
-    top = sorted(top, key=lambda r: (r["k1"], r["k2"]), reverse=True)[:keep]
-    rows = [(r["k1"], r["k2"], r["x"]) for r in top]
-    cutoff = (rows[m][0], rows[m][1]) if len(rows) > m else None
-    return rows[:m], cutoff, float(sums["tr"] or 0.0), float(sums["dmax"] or 0.0), int(sums["n"] or 0)
-
-
-def greedy_lookahead(points: DataFrame, kernel: KernelSpec, k: int, m: int = 64, tol: float = 0.0,
-                     key: str = "id", features: str = "features") -> Factor:
-    """L5 with an exact lookahead: several greedy pivots per pass.
-
-    Residuals only decrease as pivots are added, so a row outside the pass's
-    top m keeps a key (d, −id) below the cutoff (the (m+1)-th key). On the
-    driver's m×m residual block the next greedy pivot is therefore the global
-    one whenever its updated key is strictly above the cutoff; otherwise a new
-    pass starts. Same pivots as one-per-round greedy, far fewer passes.
+    Stops early (L7) when the max residual is ≤ 1e-14 or the residual trace
+    is ≤ tol · trace.
     """
-    pts = cache_points(points, key, features)
-    fac = Factor(pts, kernel, method="greedy")
-    P, L = np.zeros((0, 0)), np.zeros((0, 0))
+    if method not in ("greedy", "rp"):
+        raise ValueError("method must be 'greedy' or 'rp'")
+    fac = Factor(FactorStore(points, kernel, key, features), kernel, method=method)
     t0 = time.time()
-    done = False
-    while fac.k < k and not done:
-        rows, cutoff, tr, dmax, n = top_pass(pts, kernel, P, L, m)
+    while fac.k < k:
+        keep = 1 if not lookahead else lookahead if method == "greedy" else RP_KEEP
+        slots = 1 if method == "greedy" or not lookahead else min(RP_ROUNDS, k - fac.k)
+        found, tr, dmax, n = fac.store.pick(method, keep + 1, slots, fac.k, seed)
         if fac.rounds == 0:
             fac.trace, fac.n = tr, n
         fac.rounds += 1
-        if not rows or dmax <= NULL_PIVOT or (tol > 0 and tr <= tol * fac.trace):
+        if not found or dmax <= NULL_PIVOT or (tol > 0 and tr <= tol * fac.trace):
             break
-        X = np.array([r[2] for r in rows], dtype=np.float64)
-        ids = [-r[1] for r in rows]
-        Fc = np.linalg.solve(L, kernel.block(X, P).T).T if fac.k else np.zeros((len(X), 0))
-        H = kernel.block(X, X) - Fc @ Fc.T
-        H = 0.5 * (H + H.T)
-        cols: list[np.ndarray] = []
-        used: set[int] = set()
-        while fac.k < k:
-            dg = np.maximum(np.diag(H), 0.0)
-            free = [i for i in range(len(rows)) if i not in used]
-            if not free:
-                break
-            i = max(free, key=lambda t: (dg[t], -ids[t]))
-            if cutoff is not None and not ((dg[i], -ids[i]) > cutoff):
-                break                      # the global argmax may lie outside: new pass
-            if dg[i] <= NULL_PIVOT:
-                done = True                # global max residual ≤ 1e-14 (L7)
-                break
-            fvec = list(map(float, Fc[i])) + [float(c[i]) for c in cols]
-            fac.pivots.append(Pivot(fac.k + 1, int(ids[i]), list(map(float, X[i])), fvec, float(dg[i])))
-            P, L = _grow(P, L, X[i], fvec, float(dg[i]))
-            c = H[:, i] / math.sqrt(dg[i])
-            H = H - np.outer(c, c)
-            cols.append(c)
-            used.add(i)
-        if cutoff is None and len(used) == len(rows):
-            break                          # every row has been pivoted
-    _fill_errors(fac, t0)
+        block = Candidates(kernel, fac.store.fetch(r[1] for rows in found.values() for r in rows[:keep]))
+        before = fac.k
+        if method == "greedy":
+            _accept_greedy(fac, block, found[0], keep, 1 if not lookahead else k - fac.k, t0)
+        else:
+            _accept_random(fac, block, found, keep, t0)
+        if fac.k == before:
+            break
+        fac.append_columns()
+    _fill_errors(fac)
     if tol > 0:                            # L7: keep the prefix up to the first rank within tolerance
         for r, e in enumerate(fac.errors):
             if e <= tol:
@@ -349,6 +165,33 @@ def greedy_lookahead(points: DataFrame, kernel: KernelSpec, k: int, m: int = 64,
     return fac
 
 
+def _accept_greedy(fac: Factor, block: Candidates, rows: list, keep: int, limit: int, t0: float) -> None:
+    cutoff = (rows[keep][0], -rows[keep][1]) if len(rows) > keep else None
+    for _ in range(limit):
+        free = [i for i in block.ids if i not in block.used]
+        if not free:
+            return
+        best = max(free, key=lambda i: (block.d[block.at[i]], -i))
+        d = float(block.d[block.at[best]])
+        if (cutoff is not None and not (d, -best) > cutoff) or d <= NULL_PIVOT:
+            return                         # the global arg-max may lie outside, or nothing is left (L7)
+        fac.accept(best, *block.accept(best), time.time() - t0)
+
+
+def _accept_random(fac: Factor, block: Candidates, found: dict, keep: int, t0: float) -> None:
+    for slot, rows in found.items():
+        live = [(math.log(block.d[block.at[i]]) + g, i) for _, i, _, g in rows[:keep] if block.d[block.at[i]] > 0]
+        if not live:
+            return
+        value, best = max(live, key=lambda c: (c[0], -c[1]))
+        if slot:                           # the first choice of a pass is fresh; later ones need the bound
+            if len(rows) > keep and not value > rows[keep][0] + 1e-9:
+                return
+            if block.d[block.at[best]] <= NULL_PIVOT:
+                return
+        fac.accept(best, *block.accept(best), time.time() - t0)
+
+
 def _grow(P: np.ndarray, L: np.ndarray, x, fvec, resid: float):
     m = L.shape[0]
     L2 = np.zeros((m + 1, m + 1))
@@ -359,42 +202,6 @@ def _grow(P: np.ndarray, L: np.ndarray, x, fvec, resid: float):
     return P2, L2
 
 
-# ---------------------------------------------------------------- L1, L5 ------
-
-def pivoted_cholesky(points: DataFrame, kernel: KernelSpec, k: int, method: str = "greedy",
-                     seed: int = 42, tol: float = 0.0, key: str = "id", features: str = "features",
-                     lookahead: int = 128) -> Factor:
-    """L5 (greedy) / L1 (rp): one pivot per round, one single-stage job per round.
-
-    Greedy uses the exact lookahead (``greedy_lookahead``) unless ``lookahead=0``.
-
-    Stops early (L7) when the max residual is ≤ 1e-14 or the residual trace
-    is ≤ tol · trace.
-    """
-    if method not in ("greedy", "rp"):
-        raise ValueError("method must be 'greedy' or 'rp'")
-    if method == "greedy" and lookahead:
-        return greedy_lookahead(points, kernel, k, m=lookahead, tol=tol, key=key, features=features)
-    pts = cache_points(points, key, features)
-    fac = Factor(pts, kernel, method=method)
-    P, L = np.zeros((0, 0)), np.zeros((0, 0))
-    t0 = time.time()
-    for j in range(k + 1):
-        cands, tr, dmax, n = round_pass(pts, kernel, P, L, method, j, seed)
-        if j == 0:
-            fac.trace, fac.n = tr, n
-        else:
-            fac.errors.append(tr / fac.trace if fac.trace > 0 else 0.0)
-            fac.elapsed.append(time.time() - t0)
-        fac.rounds += 1
-        if j == k or not cands or dmax <= NULL_PIVOT or (tol > 0 and tr <= tol * fac.trace):
-            break
-        c = cands[0]
-        fac.pivots.append(Pivot(j + 1, int(c["id"]), list(c["x"]), list(c["f"]), float(c["d"])))
-        P, L = _grow(P, L, c["x"], c["f"], float(c["d"]))
-    return fac
-
-
 # ---------------------------------------------------------------- L6 ----------
 
 def uniform_cholesky(points: DataFrame, kernel: KernelSpec, k: int, seed: int = 42, key: str = "id",
@@ -404,14 +211,12 @@ def uniform_cholesky(points: DataFrame, kernel: KernelSpec, k: int, seed: int =
     Candidates come in pages of k (TakeOrdered, k rows per page); their
     Cholesky runs on the driver; one pass then gives every prefix error.
     """
-    pts = cache_points(points, key, features)
-    base = pts.withColumn("_u", rng.u01(F.col("id"), "uniform", seed))
-    fac = Factor(pts, kernel, method="uniform")
+    fac = Factor(FactorStore(points, kernel, key, features), kernel, method="uniform")
+    base = fac.store.points.select("id", "x", rng.u01(F.col("id"), "uniform", seed).alias("_u"))
     t0 = time.time()
-    accepted: list[Pivot] = []
     P, L = np.zeros((0, 0)), np.zeros((0, 0))
     offset = None
-    while len(accepted) < k:
+    while fac.k < k:
         page = base if offset is None else base.filter(
             (F.col("_u") > offset[0]) | ((F.col("_u") == offset[0]) & (F.col("id") > offset[1])))
         rows = page.orderBy("_u", "id").limit(k).select("id", "x", "_u").collect()   # ≤ k rows
@@ -419,20 +224,20 @@ def uniform_cholesky(points: DataFrame, kernel: KernelSpec, k: int, seed: int =
             break
         offset = (rows[-1]["_u"], rows[-1]["id"])
         for r in rows:
-            if len(accepted) >= k:
+            if fac.k >= k:
                 break
             x = np.asarray(r["x"], dtype=np.float64)
             kx = float(kernel.block(x[None, :], x[None, :])[0, 0])
-            fvec = _forward(L, kernel.block(P, x[None, :])[:, 0]) if accepted else np.zeros(0)
+            fvec = _forward(L, kernel.block(P, x[None, :])[:, 0]) if fac.k else np.zeros(0)
             resid = kx - float(fvec @ fvec)
             if resid < NULL_PIVOT:
                 continue
-            accepted.append(Pivot(len(accepted) + 1, int(r["id"]), list(map(float, x)), list(map(float, fvec)), resid))
+            fac.accept(r["id"], x, fvec, resid, time.time() - t0)
             P, L = _grow(P, L, x, fvec, resid)
         if len(rows) < k:
             break
-    fac.pivots = accepted
-    _fill_errors(fac, t0)
+    fac.append_columns()
+    _fill_errors(fac)
     return fac
 
 
@@ -445,41 +250,30 @@ def _forward(L: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z
 
 
-def _fill_errors(fac: Factor, t0: float) -> None:
-    """Every prefix error from ONE pass: partial Σ_x G_r(x)² per rank r, plus n and Σ k(x,x)."""
+def _fill_errors(fac: Factor) -> None:
+    """Every prefix error from the stored columns: partial Σ_x G_r(x)² per rank r, n and Σ d."""
     k = fac.k
-    P = np.array([p.x for p in fac.pivots], dtype=np.float64)
-    Lc = fac.chol()
-    sc = fac.points.sparkSession.sparkContext
-    bP, bL = bounded_broadcast(sc, P, "pivots"), bounded_broadcast(sc, Lc, "pivot Cholesky")
-    kernel = fac.kernel
+
+    source, read = fac.store.rows()
 
     def part(batches):
         acc = np.zeros(k + 2)
         seen = False
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            seen = True
-            X = np.stack(pdf["x"].to_numpy())
-            if k:
-                G = np.linalg.solve(bL.value, kernel.block(X, bP.value).T).T
-                acc[:k] += (G * G).sum(0)
-            acc[k] += len(X)
-            acc[k + 1] += float(kernel.diag_np(X).sum())
+        for got in batches:
+            if got.num_rows:
+                seen = True
+                _, G, d = read(got)
+                acc[:k] += np.einsum("ij,ij->j", G, G)
+                acc[k] += len(d)
+                acc[k + 1] += float(d.sum())
         if seen:
-            yield emit(acc)
+            yield emit_arrow(acc)
 
-    vec = tree_sum(fac.points.mapInPandas(part, PARTIAL), k + 2)
-    bP.destroy()
-    bL.destroy()
-    fac.n, fac.trace = int(vec[k]), float(vec[k + 1])
-    fac.errors, fac.elapsed = [], []
-    acc = 0.0
-    for r in range(k):
-        acc += vec[r]
-        fac.errors.append(float(max(fac.trace - acc, 0.0) / fac.trace) if fac.trace > 0 else 0.0)
-        fac.elapsed.append(time.time() - t0)
+    vec = tree_sum(source.mapInArrow(part, PARTIAL), k + 2)
+    if fac.rounds == 0:                    # no pass has seen the diagonal yet
+        fac.n, fac.trace = int(vec[k]), float(vec[:k].sum() + vec[k + 1])
+    left = fac.trace - np.cumsum(vec[:k])
+    fac.errors = [float(max(e, 0.0) / fac.trace) if fac.trace > 0 else 0.0 for e in left]
 
 
 # ---------------------------------------------------------------- L2, L3, L4, L20 ---
@@ -512,65 +306,58 @@ def _driver_u(seed: int, rnd: int, i: int) -> float:
     return rng.u01_py(f"rej:{rnd}:{i}", 0, seed)
 
 
+def auto_block(n: int, k: int, d: int) -> int:
+    """Block size of ``b='auto'``, from the sizes alone: an eighth of the rank, as long as the
+    driver's b × b block work (b² of them a pass, b³ to factor it) stays below the rows' share."""
+    most = max(16, math.isqrt(max(1, n * (d + k)) // max(1, d)))
+    return max(1, min(max(16, -(-k // 8)), most))
+
+
 def accelerated_cholesky(points: DataFrame, kernel: KernelSpec, k: int, b: int | str = 32, seed: int = 42,
                          tol: float = 0.0, key: str = "id", features: str = "features",
                          mode: str = "accelerated") -> Factor:
     """L3 (mode='accelerated') and L2 (mode='block').
 
-    One single-stage job per round draws b (or 2b) candidates ∝ residual with
-    replacement (independent Gumbel-max per draw; a partition sends only its
-    local winners) and returns their rows; the driver works on the b×b
-    block: rejection (L3) or a regularised block Cholesky of the first b
-    unique draws in draw order (L2). ``b='auto'`` grows b while the driver
-    step is cheap relative to the job (L3).
+    A round draws b (or 2b) candidates ∝ residual with replacement (independent Gumbel-max per
+    draw; a partition sends only its local winners' keys), fetches their rows, and the driver
+    works on the b×b block: rejection (L3) or a regularised block Cholesky of the first b
+    unique draws in draw order (L2). ``b='auto'`` takes b from n, k and d (``auto_block``), so the
+    pivots depend on the data and the seed only.
     """
-    pts = cache_points(points, key, features)
-    fac = Factor(pts, kernel, method=mode)
-    auto = b == "auto"
-    bb = 16 if auto else int(b)
+    fac = Factor(FactorStore(points, kernel, key, features), kernel, method=mode)
+    if b == "auto":
+        size = fac.store.points.select(F.count(F.lit(1)), F.max(F.size("x"))).first()
+        b = auto_block(int(size[0]), k, int(size[1] or 1))
+    draws = 2 * int(b) if mode == "block" else int(b)
     t0 = time.time()
-    rnd = 0
-    P, L = np.zeros((0, 0)), np.zeros((0, 0))
-    while True:
-        draws = 2 * bb if mode == "block" else bb
-        tj = time.time()
-        cands, tr, dmax, n = round_pass(pts, kernel, P, L, "iid", rnd, seed, draws)
-        t_job = time.time() - tj
-        if rnd == 0:
+    while fac.k < k:
+        found, tr, dmax, n = fac.store.pick("iid", 1, draws, fac.rounds, seed)
+        if fac.rounds == 0:
             fac.trace, fac.n = tr, n
         fac.rounds += 1
         remaining = k - fac.k
-        if remaining <= 0 or dmax <= NULL_PIVOT or (tol > 0 and tr <= tol * fac.trace) or not cands:
+        if dmax <= NULL_PIVOT or (tol > 0 and tr <= tol * fac.trace) or not found:
             break
-        td = time.time()
+        chosen = [rows[0][1] for rows in found.values()]
         if mode == "block":
-            seen, uniq = set(), []
-            for c in cands:
-                if c["id"] not in seen:
-                    seen.add(c["id"])
-                    uniq.append(c)
-            cands = uniq[:min(bb, remaining)]
-        X = np.array([c["x"] for c in cands], dtype=np.float64)
-        Fc = np.array([c["f"] for c in cands], dtype=np.float64).reshape(len(cands), fac.k)
+            chosen = list(dict.fromkeys(chosen))[:min(int(b), remaining)]
+        rows = fac.store.fetch(chosen)
+        X = np.array([rows[i][0] for i in chosen])
+        Fc = np.array([rows[i][1] for i in chosen]).reshape(len(chosen), fac.k)
         H = kernel.block(X, X) - Fc @ Fc.T
         H = 0.5 * (H + H.T)
-        dprop = np.array([c["d"] for c in cands])
+        dprop = np.array([rows[i][2] for i in chosen])
         if mode == "block":
-            reg = np.finfo(float).eps * len(cands) * 2 * max(float(np.max(np.diag(H))), 0.0)
-            acc, res, G = rejection_cholesky(H + reg * np.eye(len(cands)), np.zeros(len(cands)),
-                                             np.zeros(len(cands)), remaining)
+            reg = np.finfo(float).eps * len(chosen) * 2 * max(float(np.max(np.diag(H))), 0.0)
+            acc, res, G = rejection_cholesky(H + reg * np.eye(len(chosen)), np.zeros(len(chosen)),
+                                             np.zeros(len(chosen)), remaining)
         else:
-            u = np.array([_driver_u(seed, rnd, i) for i in range(len(cands))])
+            u = np.array([_driver_u(seed, fac.rounds - 1, i) for i in range(len(chosen))])
             acc, res, G = rejection_cholesky(H, dprop, u, remaining)
         for j, (i, hii) in enumerate(zip(acc, res)):
-            fvec = list(map(float, Fc[i])) + list(map(float, G[i, :j]))
-            fac.pivots.append(Pivot(fac.k + 1, int(cands[i]["id"]), list(map(float, X[i])), fvec, float(hii)))
-            P, L = _grow(P, L, X[i], fvec, float(hii))
-        t_drv = time.time() - td
-        if auto and t_drv < 0.1 * t_job and bb < 512:
-            bb *= 2
-        rnd += 1
-    _fill_errors(fac, t0)
+            fac.accept(chosen[i], X[i], [*Fc[i], *G[i, :j]], hii, time.time() - t0)
+        fac.append_columns()
+    _fill_errors(fac)
     return fac
 
 

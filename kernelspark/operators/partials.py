@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "v array<double>"
@@ -24,6 +25,10 @@ def emit(vec: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"v": [np.asarray(vec, dtype=np.float64)]})
 
 
+def emit_arrow(vec: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.asarray(vec, dtype=np.float64)])], ["v"])
+
+
 def tree_sum(partials: DataFrame, size: int, direct_cells: int = 4_000_000) -> np.ndarray:
     """Sum the ``v`` arrays of ``partials`` (one row per partition) into one vector.
 

@@ -80,9 +80,35 @@ def checkpoint_table(df, spark: SparkSession, name: str):
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
+#: Paths of the tables that ``checkpoint_table`` wrote, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
+def discard_tables(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete stored tables (all of this application's, or some) that nothing will read again.
+
+    Only paths that ``checkpoint_table`` wrote in this application are touched. Returns how many went.
+    """
+    own = _TABLES.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in own if paths is None or p in paths]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in gone:
+        at = hadoop(p)
+        at.getFileSystem(conf).delete(at, True)
+        own.remove(p)
+    return len(gone)
+
+
+def last_table(spark: SparkSession) -> str:
+    """Path of the table written last."""
+    return _TABLES[spark.sparkContext.applicationId][-1]
+
+
 _SHIPPED: set[str] = set()
 
 

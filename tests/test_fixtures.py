@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kernelspark.functions.kernels import KernelSpec
 from kernelspark.operators import chains as D
+from kernelspark.operators import factor_store as FS
 from kernelspark.operators import kernels as K
 from kernelspark.operators import lowrank as L
 from kernelspark.operators import metrics as M
@@ -253,12 +254,13 @@ def test_rp_first_pivot_frequency(spark):
     """Chi-square sanity: RPCholesky's first pivot is drawn ∝ the diagonal."""
     vals = (4.0, 2.0, 1.0, 1.0)
     pts = spark.createDataFrame([(i, [float(i), v]) for i, v in enumerate(vals)], "id long, features array<double>")
-    from kernelspark.operators.lowrank import round_pass, cache_points
-    cp = cache_points(pts)
+    from kernelspark.operators.factor_store import FactorStore
+    store = FactorStore(pts, diag_kernel())
     counts = np.zeros(4)
     for s in range(200):
-        c, *_ = round_pass(cp, diag_kernel(), np.zeros((0, 0)), np.zeros((0, 0)), "rp", 0, seed=s)
-        counts[c[0]["id"]] += 1
+        found, *_ = store.pick("rp", 1, seed=s)
+        counts[found[0][0][1]] += 1
+    store.close()
     expected = 200 * np.array(vals) / sum(vals)
     chi2 = ((counts - expected) ** 2 / expected).sum()
     assert chi2 < 16.27   # 3 dof, p = 0.001
@@ -293,9 +295,10 @@ def test_roc_curve_matches_numpy(spark, seed):
 
 @pytest.mark.parametrize("direct", [True, False])
 def test_greedy_lookahead_equals_sequential(spark, direct, monkeypatch):
-    """Exact lookahead (both the direct and the bounded large-P path) picks the sequential pivots."""
+    """Exact lookahead (winners of partitions collected, or merged in rounds first) picks the sequential pivots."""
     if not direct:
-        monkeypatch.setattr(L, "TOP_DIRECT_CELLS", 0)
+        monkeypatch.setattr(FS, "DIRECT_ROWS", 0)
+        monkeypatch.setattr(FS, "FAN", 2)
     rng = np.random.default_rng(4)
     X = rng.standard_normal((160, 5))
     X[7] = X[3]                                   # a duplicate: zero residual after its twin
@@ -312,9 +315,39 @@ def test_greedy_lookahead_equals_sequential(spark, direct, monkeypatch):
     assert len(cut.pivots) == 11
 
 
+def test_random_pivots_thinning_equals_one_a_pass(spark):
+    """Several draws a pass from stale residuals are the draws of one pass each; stored columns are the factor."""
+    rng = np.random.default_rng(8)
+    X = rng.standard_normal((400, 6))
+    pts = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(X)], "id long, features array<double>").repartition(3)
+    ker = KernelSpec("gaussian", 2.5)
+    one = L.pivoted_cholesky(pts, ker, 32, "rp", lookahead=0)
+    many = L.pivoted_cholesky(pts, ker, 32, "rp")
+    assert [p.id for p in many.pivots] == [p.id for p in one.pivots]
+    assert one.rounds == 32 and many.rounds < 8
+    assert many.errors == pytest.approx(one.errors, abs=1e-12)
+    P, Lc = np.array([p.x for p in many.pivots]), many.chol()
+    G = np.linalg.solve(Lc, ker.block(X, P).T).T
+    stored = {r.id: r for r in many.factor_df().collect()}
+    assert np.allclose(np.array([stored[i].f for i in range(400)]), G, atol=1e-9)
+    assert [stored[i].residual for i in range(400)] == pytest.approx(list(np.maximum(1 - (G * G).sum(1), 0)), abs=1e-9)
+    many.close()
+    again = {r.id: r.f for r in many.factor_df().collect()}
+    assert np.allclose(np.array([again[i] for i in range(400)]), G, atol=1e-9)
+
+
+def test_auto_block_depends_on_sizes_only(spark):
+    assert L.auto_block(10**6, 800, 64) == 100 and L.auto_block(10**6, 8, 64) == 16
+    assert L.auto_block(10**9, 10**5, 64) > 512 and L.auto_block(100, 10**4, 4) < 10**4 // 8
+    X = np.random.default_rng(1).standard_normal((150, 3))
+    pts = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(X)], "id long, features array<double>")
+    runs = [[p.id for p in L.accelerated_cholesky(pts.repartition(n), KernelSpec("gaussian", 1.0), 20, b="auto").pivots] for n in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 20
+
+
 @pytest.mark.parametrize("method", ["greedy", "rp", "accelerated", "block"])
 def test_round_pass_bounded_path(spark, method, monkeypatch):
-    """The large-P path (winners by key, then ≤ draws rows fetched) equals the direct path."""
+    """Winners of partitions merged in rounds, and small pending blocks, change nothing."""
     rng = np.random.default_rng(6)
     X = rng.standard_normal((120, 4))
     pts = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(X)],
@@ -327,7 +360,9 @@ def test_round_pass_bounded_path(spark, method, monkeypatch):
         return L.accelerated_cholesky(pts, ker, 12, b=6, mode=method)
 
     direct = run()
-    monkeypatch.setattr(L, "TOP_DIRECT_CELLS", 0)
+    monkeypatch.setattr(FS, "DIRECT_ROWS", 0)
+    monkeypatch.setattr(FS, "FAN", 2)
+    monkeypatch.setattr(FS, "BLOCK", 5)
     bounded = run()
     assert [p.id for p in bounded.pivots] == [p.id for p in direct.pivots]
     assert bounded.errors == pytest.approx(direct.errors, abs=1e-12)
