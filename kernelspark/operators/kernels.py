@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.kernels import KernelSpec, difference_sums
 from ..session import checkpoint_table
-from . import prep
+from . import grid, prep
 from .ordered import exact_quantiles
 from .partials import bounded_broadcast
 
@@ -75,31 +75,10 @@ def kernel_block(points: DataFrame, centers: DataFrame, kernel: KernelSpec, key:
                          .alias(features)).mapInPandas(fn, schema)
 
 
-#: Rows of one broadcast block of the right side of a cross kernel.
-BLOCK_ROWS = 10_000
-
-
-def _against_blocks(left: DataFrame, right: DataFrame, key: str, make) -> DataFrame:
-    """Union of make(left, broadcast block) over blocks of the right side, dealt by a hash of
-    the key; any number of rows works, one bounded block is broadcast at a time."""
-    n = right.count()
-    blocks = max(1, -(-2 * n // BLOCK_ROWS)) if n > BLOCK_ROWS else 1
-    if blocks == 1:
-        return make(left, F.broadcast(right))
-    right = checkpoint_table(right, right.sparkSession, "kernel-right").withColumn("_blk", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        got = make(left, F.broadcast(right.filter(F.col("_blk") == b).drop("_blk")))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 def cross_kernel_long(left: DataFrame, right: DataFrame, kernel: KernelSpec, key: str = "id",
                       features: str = "features") -> DataFrame:
-    """K7: long form (i, j, k) of two tables; the right side is broadcast block by block."""
-    l_ = left.select(F.col(key).alias("i"), F.col(features).cast("array<double>").alias("_a"))
-    r_ = right.select(F.col(key).alias("j"), F.col(features).cast("array<double>").alias("_b"))
-    return _against_blocks(l_, r_, "j", lambda x, y: x.join(y, how="inner").select("i", "j", kernel.point("_a", "_b").alias("k")))
+    """K7: long form (i, j, k) of two tables of any size, on a grid of block pairs."""
+    return grid.long_form(left, right, kernel.block, key, features)
 
 
 def out_of_sample(test: DataFrame, train: DataFrame, chosen: DataFrame, kernel: KernelSpec,
@@ -203,10 +182,8 @@ def bandwidth_value(points: DataFrame, kernel: KernelSpec, **kw) -> float:
 def pivot_submatrix(pivots: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
                     rank: str = "rank") -> DataFrame:
     """K_PP in long form (i, j, v) for ranked pivots, symmetrised ½(K + Kᵀ)."""
-    a = pivots.select(F.col(rank).alias("i"), F.col(features).cast("array<double>").alias("_a"))
-    b = pivots.select(F.col(rank).alias("j"), F.col(features).cast("array<double>").alias("_b"))
-    v = (kernel.point("_a", "_b") + kernel.point("_b", "_a")) / F.lit(2.0)
-    return _against_blocks(a, b, "j", lambda x, y: x.join(y, how="inner").select("i", "j", v.alias("v")))
+    both = lambda X, Y: 0.5 * (kernel.block(X, Y) + kernel.block(Y, X).T)
+    return grid.long_form(pivots, pivots, both, rank, features, ("i", "j", "v"))
 
 
 def kernel_queries(n_rows: Column | int, n_pivots: Column | int) -> Column:

@@ -34,7 +34,7 @@ from ..functions.kernels import KernelSpec
 from .factor_store import Candidates, FactorStore
 from .kernels import kernel_diag_col
 from .partials import SCHEMA as PARTIAL
-from .partials import bounded_broadcast, emit, emit_arrow, tree_sum
+from .partials import bounded_broadcast, emit, emit_arrow, tree_qr, tree_sum
 
 # Fixed values shared with the reference's numerics.
 NULL_PIVOT = 1e-14          # residual below this is a null pivot / stop
@@ -424,34 +424,39 @@ def map_rows(df: DataFrame, fn, in_cols: list[str], out_schema: str, keep: list[
     return df.select(*keep, *[c for c in in_cols if c not in keep]).mapInPandas(run, out_schema)
 
 
-def eig_factor(factor: DataFrame, k: int | None = None, rel_tol: float = 1e-12):
+def factor_svd(factor: DataFrame, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of F (descending) and its right singular vectors, from a tree of QRs."""
+    src = factor.select(F.col("f").cast("array<double>").alias("f"))
+    if k is None:
+        k = len(src.first()["f"])
+    _, s, W = np.linalg.svd(tree_qr(src, k, lambda pdf: np.stack(pdf["f"].to_numpy())))
+    return s, W.T
+
+
+def eig_factor(factor: DataFrame, k: int | None = None, rel_tol: float = 1e-20):
     """Compact eigendecomposition K ≈ V Λ Vᵀ from F.
 
-    FᵀF = U S Uᵀ on the driver; V = F U S^{-½} per row (Arrow), Λ = S.
+    F = Q R by a tree of QRs, R = U S Wᵀ on the driver; V = F W S⁻¹ per row (Arrow), Λ = S².
+    Eigenvalues up to ``rel_tol`` times the largest count as zero.
     Returns (V DataFrame <id, v>, eigenvalues, rank).
     """
-    G = gram(factor, k=k)
-    s, U = np.linalg.eigh(G)
-    order = np.argsort(s)[::-1]
-    s, U = s[order], U[:, order]
-    keep = s > rel_tol * max(float(s[0]) if len(s) else 0.0, 0.0)
-    s, U = s[keep], U[:, keep]
-    W = U / np.sqrt(s)[None, :]
-    bc = bounded_broadcast(factor.sparkSession, W, "eigenvector map")
+    s, W = factor_svd(factor, k)
+    keep = s * s > rel_tol * (s[0] * s[0] if len(s) else 0.0)
+    s, W = s[keep], W[:, keep]
+    bc = bounded_broadcast(factor.sparkSession, W / s[None, :], "eigenvector map")
 
     def fn(pdf):
         Fm = np.stack(pdf["f"].to_numpy())
         return pd.DataFrame({"id": pdf["id"].astype("int64"), "v": list(Fm @ bc.value)})
 
     V = map_rows(factor, fn, ["f"], "id long, v array<double>", ["id"])
-    return V, s, int(len(s))
+    return V, s * s, int(len(s))
 
 
 def spectrum(factor: DataFrame, k: int | None = None, floor: float = 1e-16) -> list[float]:
-    """Eigenvalues of FᵀF (those of F Fᵀ), descending, floored."""
-    G = gram(factor, k=k)
-    s = np.sort(np.linalg.eigvalsh(G))[::-1]
-    return [float(max(v, floor)) for v in s]
+    """Eigenvalues of F Fᵀ (squared singular values of F), descending, floored."""
+    s, _ = factor_svd(factor, k)
+    return [float(max(v * v, floor)) for v in s]
 
 
 def woodbury_solve(factor: DataFrame, rhs: str, nugget: float, k: int | None = None) -> DataFrame:

@@ -55,6 +55,48 @@ def tree_sum(partials: DataFrame, size: int, direct_cells: int = 4_000_000) -> n
     return out
 
 
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The R of a QR, filled up with zero rows to a square."""
+    R = np.linalg.qr(rows, mode="r")
+    return np.vstack([R, np.zeros((rows.shape[1] - len(R), rows.shape[1]))])
+
+
+def tree_qr(src: DataFrame, width: int, matrix_of) -> np.ndarray:
+    """R of the QR of all rows, without the Gram matrix and its squared condition number.
+
+    Each partition folds its batches (``matrix_of(pdf)`` has ``width`` columns) into one
+    triangle; triangles are stacked and factored again, FAN to one, until one task's worth is
+    left for the driver. Small singular values keep their relative size.
+    """
+    def part(batches):
+        R = None
+        for pdf in batches:
+            if len(pdf):
+                M = np.asarray(matrix_of(pdf), dtype=np.float64)
+                R = _triangle(M if R is None else np.vstack([R, M]))
+        if R is not None:
+            yield emit(R.ravel())
+
+    def fold(batches):
+        R = None
+        for pdf in batches:
+            for v in pdf["v"]:
+                M = np.asarray(v, dtype=np.float64).reshape(width, width)
+                R = M if R is None else _triangle(np.vstack([R, M]))
+        if R is not None:
+            yield emit(R.ravel())
+
+    tri = src.mapInPandas(part, SCHEMA)
+    n_parts = tri.rdd.getNumPartitions()
+    while n_parts > FAN:
+        n_parts = math.ceil(n_parts / FAN)
+        tri = tri.repartition(n_parts).mapInPandas(fold, SCHEMA)
+    R = np.zeros((width, width))
+    for r in tri.collect():                      # at most FAN triangles
+        R = _triangle(np.vstack([R, np.asarray(r["v"], dtype=np.float64).reshape(width, width)]))
+    return R
+
+
 # Every NumPy array shipped to executors goes through this check: pivots, Cholesky
 # factors, draw batches, samples and landmarks are sized by run parameters
 # (k, b, S, m), never by the data, and the bound below makes that explicit.

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import keyed_normal_np
-from ..session import checkpoint_table
-from .partials import MAX_BROADCAST_CELLS, bounded_broadcast
+from . import grid
+from .partials import bounded_broadcast
 
 SUMMARY_OUT = [f"{pre}_{s}" for pre in ("prob", "latent")
                for s in ("mean", "variance", "std", "q05", "q50", "q95", "central_90_width")]
@@ -159,43 +159,13 @@ def pivot_draw_likelihood(points: DataFrame, kernel, pivot_x: np.ndarray, L: np.
 # ---- R2, R4: kernel-weighted sums over the training rows ------------------------------------
 
 def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str, key: str = "id",
-                        features: str = "features", block_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
+                        features: str = "features", block_cells: int | None = None) -> DataFrame:
     """f*(t) = Σ_i k(t, x_i)·w_i for every test row t: ``(id, f_star)``.
 
-    Test rows are dealt by a hash of their id into blocks of about ``block_cells`` feature
-    values; each block is broadcast in turn and every training partition returns one
-    partial sum per test row of the block, added by id on the executors. Any number of
-    test rows works; the driver holds one block at a time.
+    One job on a grid of (test block, train block) cells; partial sums are added by id. Any
+    number of rows works on either side and none passes through the driver.
     """
-    spark = train.sparkSession
-    t = checkpoint_table(test.select(F.col(key).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x")), spark, "kernel-test")
-    size = t.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    blocks = max(1, -(-2 * size[0] * (size[1] or 1) // block_cells)) if size[0] else 1
-    t = t.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    src = checkpoint_table(train.select(F.col(features).cast("array<double>").alias("x"), F.col(weight).cast("double").alias("w")), spark, "kernel-train")
-
-    def block_sum(b: int) -> DataFrame:
-        rows = t.filter(F.col("block") == b).select("id", "x").collect()        # one bounded block
-        ids = np.array([r["id"] for r in rows], dtype=np.int64)
-        X_ = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0]["x"]) if rows else 0)
-        sent = bounded_broadcast(spark, X_, "test block", max_cells=4 * block_cells)
-
-        def part(batches):
-            acc = np.zeros(len(ids))
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    acc += kernel.block(sent.value, np.stack(pdf["x"].to_numpy())) @ pdf["w"].to_numpy(dtype=np.float64)
-            yield pd.DataFrame({"id": ids, "s": acc})
-
-        return src.mapInPandas(part, "id long, s double").groupBy("id").agg(F.sum("s").alias("f_star"))
-
-    out = None
-    for b in range(blocks):
-        got = block_sum(b)
-        if blocks > 1:
-            got = checkpoint_table(got, spark, "kernel-sums")
-        out = got if out is None else out.unionByName(got)
-    return out
+    return grid.weighted_sums(train, test, kernel.block, weight, key, features, "f_star", block_cells)
 
 
 def option_a_weights(factor: DataFrame, nu: np.ndarray, k: int) -> DataFrame:

@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from .ordered import row_numbers
 from .partials import SCHEMA as PARTIAL
-from .partials import bounded_broadcast
-from .partials import emit, tree_sum
+from .partials import bounded_broadcast, emit, tree_qr, tree_sum
 
 U = "_u"
 
@@ -202,38 +201,34 @@ def mask_tokens(df: DataFrame, tokens: str, key: str = "id", ratio: float = 0.5,
 # ---- P7–P9: PCA ------------------------------------------------------------------------------
 
 def pca_fit(df: DataFrame, dim: int, features: str = "features", where=None):
-    """Exact PCA on the (train) rows: one pass of partial (n, Σx, XᵀX) per Arrow
-    batch, summed as d² + d + 1 long rows; d×d eigh on the driver.
+    """Exact PCA on the (train) rows in one pass, by a tree of QR factorisations.
+
+    The rows are [1, x − x₀] with x₀ the first row: in R = [[√n, √n·m], [0, R_c]] the block R_c
+    is the triangle of the centred rows, so no product of means is subtracted from a Gram
+    matrix, and the SVD of R_c gives components and variances.
 
     Returns (components k×d, mean d, explained_variance_ratio k).
     """
     src = (df if where is None else df.filter(where)).select(F.col(features).cast("array<double>").alias("x"))
-    d = len(src.first()["x"])
+    start = src.first()
+    if start is None:
+        raise ValueError("fewer rows than components")
+    shift = np.array(start["x"], dtype=np.float64)
+    d = len(shift)
     if not 1 <= dim <= d:
         raise ValueError(f"dim must be in [1, {d}]")
 
-    def part(batches):
-        n, s, G = 0, np.zeros(d), np.zeros((d, d))
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["x"].to_numpy())
-            n += len(X)
-            s += X.sum(0)
-            G += X.T @ X
-        if n:
-            yield emit(np.concatenate([G.ravel(), s, [float(n)]]))
+    def rows(pdf):
+        X = np.stack(pdf["x"].to_numpy()) - shift
+        return np.column_stack([np.ones(len(X)), X])
 
-    vec = tree_sum(src.mapInPandas(part, PARTIAL), d * d + d + 1)
-    G, s, n = vec[:d * d].reshape(d, d), vec[d * d:d * d + d], vec[-1]
+    R = tree_qr(src, d + 1, rows)
+    n = round(R[0, 0] ** 2)
     if n < dim:
         raise ValueError("fewer rows than components")
-    mean = s / n
-    cov = (G - n * np.outer(mean, mean)) / max(n - 1, 1)
-    w, V = np.linalg.eigh(0.5 * (cov + cov.T))
-    order = np.argsort(w)[::-1]
-    w, V = w[order], V[:, order]
-    comps = V[:, :dim].T
+    mean = shift + R[0, 1:] / R[0, 0]
+    _, s, V = np.linalg.svd(R[1:, 1:])
+    w, comps = s * s / max(n - 1, 1), V[:dim]
     # deterministic sign: largest-magnitude entry of each component positive
     signs = np.sign(comps[np.arange(dim), np.argmax(np.abs(comps), axis=1)])
     comps = comps * signs[:, None]

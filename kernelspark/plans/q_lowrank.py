@@ -257,6 +257,18 @@ def q_matern_general(spark, sf):
     return j.select("id", k1.alias("k_nu1"), k15.alias("k_nu15_closed"), k15g.alias("k_nu15_general"))
 
 
+_R72 = f"(sqrt(7.0) * sqrt({A.sqdist_sql('a.features', 'b.features')}) / 2.0)"
+
+
+@register("matern_half_integer", f"SELECT id, (1 + s + 0.4 * s * s + s * s * s / 15.0) * exp(-s) AS k_m72 FROM (SELECT a.id AS id, {_R72} AS s "
+          f"FROM ({V.EMB_SQL}) a JOIN ({V.EMB_SQL}) b ON b.id = a.id + 1)", ("k_m72",), ops=("K4",))
+def q_matern_half_integer(spark, sf):
+    """Matérn ν = 7⁄2 on aligned pairs by the general form (series and continued fraction); SQL has the closed form."""
+    e = _points(spark, sf)
+    j = e.select("id", F.col("features").alias("a")).join(e.select((F.col("id") - 1).alias("id"), F.col("features").alias("b")), "id")
+    return j.select("id", KernelSpec("matern", 2.0, 3.5).point("a", "b").alias("k_m72"))
+
+
 _USER_SQL = (f"SELECT a.id AS id, {A.dot_sql('a.features', 'b.features')} AS k_linear, "
              f"pow(1.0 + {A.dot_sql('a.features', 'b.features')}, 2) AS k_poly2 "
              f"FROM ({V.EMB_SQL}) a JOIN ({V.EMB_SQL}) b ON b.id = a.id + 1")

@@ -125,6 +125,25 @@ def q_pca_project(spark, sf):
     return pr.select("id", "split", F.col("projected")[0].alias("pc1"), F.col("projected")[1].alias("pc2"))
 
 
+# the two largest axes of a 2 × 2 covariance; each axis has its larger entry positive
+_PLANE_SQL = (f"WITH e AS (SELECT id, split, features[1] AS x, features[2] AS y FROM ({V.EMB_SQL})), "
+              "m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM e WHERE split = 'train'), "
+              "l AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM m), "
+              "u AS (SELECT *, CASE WHEN a >= c THEN l1 - c ELSE b END AS ux, CASE WHEN a >= c THEN b ELSE l1 - a END AS uy FROM l), "
+              "n AS (SELECT *, ux / sqrt(ux * ux + uy * uy) AS px, uy / sqrt(ux * ux + uy * uy) AS py FROM u), "
+              "s AS (SELECT *, CASE WHEN abs(px) >= abs(py) THEN sign(px) ELSE sign(py) END AS s1, CASE WHEN abs(py) >= abs(px) THEN sign(-py) ELSE sign(px) END AS s2 FROM n) "
+              "SELECT id, ((x - mx) * px + (y - my) * py) * s1 AS pc1, ((y - my) * px - (x - mx) * py) * s2 AS pc2, l1 / (l1 + l2) AS ratio1, l2 / (l1 + l2) AS ratio2 FROM e, s")
+
+
+@register("pca_plane", _PLANE_SQL, ("pc1", "pc2", "ratio1", "ratio2"), ops=("P7", "P8", "P9"))
+def q_pca_plane(spark, sf):
+    """PCA of the first two features, fitted on train rows and applied to all; SQL has the 2 × 2 eigenvectors."""
+    e = V.emb(spark, sf).select("id", "split", F.slice("features", 1, 2).alias("features"))
+    comps, mean, ratio = P.pca_fit(e, 2, where=F.col("split") == "train")
+    pr = P.pca_transform(e, comps, mean)
+    return pr.select("id", F.col("projected")[0].alias("pc1"), F.col("projected")[1].alias("pc2"), F.lit(float(ratio[0])).alias("ratio1"), F.lit(float(ratio[1])).alias("ratio2"))
+
+
 @register("feature_extraction", None, ops=("P14", "U1"))
 def q_extract(spark, sf):
     pages = V.table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))

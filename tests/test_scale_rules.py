@@ -241,8 +241,12 @@ def test_cross_kernel_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, X[i].tolist()) for i in range(25)], "id long, features array<double>")
     ker = KernelSpec("gaussian", 1.0)
     whole = sorted(map(tuple, K.cross_kernel_long(df, df, ker).collect()))
-    monkeypatch.setattr(K, "BLOCK_ROWS", 6)
-    assert sorted(map(tuple, K.cross_kernel_long(df, df, ker).collect())) == whole and len(whole) == 625
+    monkeypatch.setattr(K.grid, "GRID_CELLS", 12)
+    cells = K.cross_kernel_long(df, df, ker)
+    assert sorted(map(tuple, cells.collect())) == whole and len(whole) == 625
+    small = cells._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert small == K.cross_kernel_long(df.limit(3), df, ker)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert K.cross_kernel_long(df.limit(0), df, ker).collect() == []
 
 
 def test_projection_and_moments(spark):
