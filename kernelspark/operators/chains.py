@@ -1,13 +1,14 @@
 """Chain diagnostics (D1–D14): autocorrelation, integrated time, ESS, R-hat.
 
-Chains are long tables ``(keys…, step, x)``: one row per (chain, dimension,
-step). Lag sums never put a whole chain in one task: steps are cut into
-segments of ``segment`` rows and lags into blocks as wide, and each (key,
-segment, lag block) group holds three segments and computes its lag products
-with NumPy. Per-lag partial sums are then added across segments.
+Chains are long tables ``(keys…, step, x)``: one row per (chain, dimension, step). A query
+reads them once: steps are packed into stored segments of ``segment`` steps (one row each, with
+count, mean and variance), and everything else works on segments. For a block of lags as wide
+as a segment, a segment meets the two that lie that far ahead (overlap-save), and one FFT
+product gives all lags of the block; a task holds three segments whatever the chain or lag.
+Per-lag partial sums are then added across segments.
 
 The integrated time (D3) needs the autocorrelation only up to its window
-(m ≥ c·τ(m)); lags are computed in doubling ranges until every key's
+(m ≥ c·τ(m)); lags are computed in growing ranges until every key's
 window is found or the chain length is reached, so the result is exact
 without fixing a lag cap in advance.
 """
@@ -15,6 +16,7 @@ without fixing a lag cap in advance.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,91 +44,127 @@ def moments(df: DataFrame, keys, x: str = "x") -> DataFrame:
                                      F.var_pop(x).alias("var"))
 
 
-def lag_sums(df: DataFrame, keys, step: str = "step", x: str = "x", max_lag: int = 200,
-             segment: int = 4096, lag_from: int = 0) -> DataFrame:
-    """Σ_t xc_t·xc_{t+lag} and pair counts for lag in [lag_from, max_lag], xc = x − mean.
+@dataclass
+class Segments:
+    """Stored segments (keys…, _seg, _t, _v) of chains and the (n, mean, var) of each key."""
+
+    table: DataFrame
+    moments: DataFrame
+    keys: list
+    size: int
 
-    Output ``(keys…, lag, s, pairs)`` for the lags that have a pair. Lags are cut into
-    blocks of ``segment``: for block j a segment's steps meet those of the segments j and
-    j + 1 further on, so a task holds three segments whatever the chain's length or lag.
-    """
-    keys = _k(keys)
-    B, lo, hi = int(segment), int(lag_from), int(max_lag)
-    mom = moments(df, keys, x).select(*keys, "mean")
-    c = df.join(mom, keys).select(*keys, F.col(step).cast("long").alias("_t"),
-                                   (F.col(x) - F.col("mean")).cast("double").alias("_xc"))
-    seg = F.floor(F.col("_t") / B).cast("long")
-    blocks = F.sequence(F.lit(lo // B), F.lit(hi // B)).cast("array<bigint>")
+
+def segments(df: DataFrame, keys, step: str = "step", x: str = "x", segment: int = 4096) -> Segments:
+    """The one pass over the rows."""
+    keys, B = _k(keys), int(segment)
+    t = F.col(step).cast("long")
+    cut = df.select(*keys, F.floor(t / B).cast("long").alias("_seg"), F.pmod(t, F.lit(B)).cast("int").alias("_t"), F.col(x).cast("double").alias("_v"))
+    packed = cut.groupBy(*keys, "_seg").agg(F.collect_list(F.struct("_t", "_v")).alias("_r"), F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_q"))
+    raw = checkpoint_table(packed.select(*keys, "_seg", F.col("_r._t").alias("_t"), F.col("_r._v").alias("_v"), "_n", "_m", "_q"), df.sparkSession, "chain-segments")
+    centre = raw.groupBy(*keys).agg(F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("mean"))
+    gap = F.col("_m") - F.col("mean")
+    mom = raw.select(*keys, "_n", "_m", "_q").join(centre, keys).groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), (F.sum(F.col("_n") * (F.col("_q") + gap * gap)) / F.sum("_n")).alias("var"))
+    return Segments(raw.select(*keys, "_seg", "_t", "_v"), mom, keys, B)     # moments: a row per segment is read
+
+
+def _correlate(ahead: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Σ_i ahead[i + l]·base[i] for every l that fits; by FFT unless there are few."""
+    width = len(ahead) - len(base) + 1
+    if width <= 64:
+        return np.correlate(ahead, base, "valid")
+    m = 1 << (len(ahead) - 1).bit_length()        # lags that fit don't wrap round
+    return np.fft.irfft(np.fft.rfft(ahead, m) * np.conj(np.fft.rfft(base, m)), m)[:width]
+
+
+def segment_lag_sums(st: Segments, max_lag: int, lag_from: int = 0, only: DataFrame | None = None) -> DataFrame:
+    """``lag_sums`` of stored segments, perhaps of some keys only."""
+    keys, B, lo, hi = st.keys, st.size, int(lag_from), int(max_lag)
+    table = st.table if only is None else st.table.join(only.select(*keys), keys, "left_semi")
+    seg, blocks = F.col("_seg"), F.sequence(F.lit(lo // B), F.lit(hi // B)).cast("array<bigint>")
 
     def places(j):
-        return F.array(F.struct(seg.alias("_seg"), j.alias("_blk"), F.lit(True).alias("_own")),
-                       F.struct((seg - j).alias("_seg"), j.alias("_blk"), F.lit(False).alias("_own")),
-                       F.struct((seg - j - 1).alias("_seg"), j.alias("_blk"), F.lit(False).alias("_own")))
+        return F.array(*[F.struct(s.alias("_at"), j.alias("_blk"), F.lit(p).alias("_place")) for p, s in enumerate((seg, seg - j, seg - j - 1))])
 
-    e = c.select(*keys, "_t", "_xc", F.explode(F.flatten(F.transform(blocks, places))).alias("_p")) \
-         .select(*keys, "_t", "_xc", "_p.*")
-    key_fields = [f for f in df.schema.fields if f.name in keys]
+    e = table.join(st.moments.select(*keys, "mean"), keys).select(
+        *keys, "_t", F.transform("_v", lambda v: v - F.col("mean")).alias("_v"), F.explode(F.flatten(F.transform(blocks, places))).alias("_p")) \
+        .select(*keys, "_t", "_v", "_p.*")
+    key_fields = [f for f in table.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("lag", T.LongType()), T.StructField("s", T.DoubleType()),
                                         T.StructField("pairs", T.LongType())])
+    names = [f.name for f in schema.fields]
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        sg, blk = int(pdf["_seg"].iloc[0]), int(pdf["_blk"].iloc[0])
+        blk = int(pdf["_blk"].iloc[0])
         width = min(B, hi - blk * B + 1)                     # lags of this block
-        own = pdf["_own"].to_numpy()
-        t, v = pdf["_t"].to_numpy(), pdf["_xc"].to_numpy()
         base, bm = np.zeros(B), np.zeros(B)
-        ahead, am = np.zeros(B + width - 1), np.zeros(B + width - 1)
-        base[t[own] - sg * B], bm[t[own] - sg * B] = v[own], 1.0
-        far = t[~own] - (sg + blk) * B
-        in_ = far < len(ahead)
-        ahead[far[in_]], am[far[in_]] = v[~own][in_], 1.0
+        ahead, am = np.zeros(2 * B), np.zeros(2 * B)
+        for place, t, v in zip(pdf["_place"], pdf["_t"], pdf["_v"]):
+            to, mark, shift = (base, bm, 0) if place == 0 else (ahead, am, B * (place - 1))
+            to[np.asarray(t) + shift], mark[np.asarray(t) + shift] = v, 1.0
+        ahead, am = ahead[:B + width - 1], am[:B + width - 1]
         lags = np.arange(blk * B, blk * B + width)
-        out = pd.DataFrame({"lag": lags, "s": np.correlate(ahead, base, "valid"),
-                            "pairs": np.rint(np.correlate(am, bm, "valid")).astype(np.int64)})
+        pairs = np.full(width, B) if bm.all() and am.all() else np.rint(_correlate(am, bm)).astype(np.int64)
+        out = pd.DataFrame({"lag": lags, "s": _correlate(ahead, base), "pairs": pairs})
         out = out[(out["pairs"] > 0) & (out["lag"] >= lo)]
         for k_ in keys:
             out[k_] = pdf[k_].iloc[0]
-        return out[[f.name for f in schema.fields]]
+        return out[names]
 
-    parts = e.groupBy(*keys, "_seg", "_blk").applyInPandas(fn, schema)
+    parts = e.groupBy(*keys, "_at", "_blk").applyInPandas(fn, schema)
     return parts.groupBy(*keys, "lag").agg(F.sum("s").alias("s"), F.sum("pairs").alias("pairs"))
 
 
+def lag_sums(df: DataFrame, keys, step: str = "step", x: str = "x", max_lag: int = 200,
+             segment: int = 4096, lag_from: int = 0) -> DataFrame:
+    """Σ_t xc_t·xc_{t+lag} and pair counts for lag in [lag_from, max_lag], xc = x − mean.
+
+    Output ``(keys…, lag, s, pairs)`` for the lags that have a pair.
+    """
+    return segment_lag_sums(segments(df, keys, step, x, segment), max_lag, lag_from)
+
+
 def acf(df: DataFrame, keys, step: str = "step", x: str = "x", max_lag: int = 200, norm: str = "n-lag",
         segment: int = 4096, lag_from: int = 0) -> DataFrame:
     """D1 (norm='n-lag'): mean lagged product / population variance; zeros when var < 1e-12.
     D2 (norm='n'): Σ lagged products / Σ xc², i.e. normalised at lag 0. Lags without a pair
     (a chain shorter than the lag) have no row."""
-    keys = _k(keys)
     if norm not in ("n-lag", "n"):
         raise ValueError("norm must be 'n-lag' or 'n'")
-    ls = lag_sums(df, keys, step, x, max_lag, segment, lag_from)
-    j = ls.join(moments(df, keys, x), keys)
+    return segment_acf(segments(df, keys, step, x, segment), max_lag, norm, lag_from)
+
+
+def segment_acf(st: Segments, max_lag: int, norm: str, lag_from: int = 0, only: DataFrame | None = None) -> DataFrame:
+    j = segment_lag_sums(st, max_lag, lag_from, only).join(st.moments, st.keys)
     if norm == "n-lag":
         val = F.when(F.col("var") < VAR_FLOOR, F.lit(0.0)).otherwise((F.col("s") / F.col("pairs")) / F.col("var"))
     else:
         s0 = F.col("var") * F.col("n")
         val = F.when(s0 <= 0, F.lit(1.0)).otherwise(F.col("s") / s0)
-    return j.select(*keys, "lag", val.alias("acf"))
+    return j.select(*st.keys, "lag", val.alias("acf"))
+
+
+#: How much further each range of lags reaches than the one before.
+RANGE_GROWTH = 8
 
 
 def _lag_ranges(df: DataFrame, keys: list[str], step: str, x: str, norm: str, segment: int, start_lag: int, judge):
-    """Autocorrelation in doubling lag ranges, each only for the keys that ``judge`` leaves open.
+    """Autocorrelation in growing lag ranges, each only for the keys that ``judge`` leaves open.
 
     ``judge(acf so far)`` returns one row per key with a boolean ``done``; the loop also
-    ends for a key when its lags run out. Ranges and verdicts are stored tables.
+    ends for a key when its lags run out. Ranges are stored tables, verdicts follow from them.
     """
-    spark = df.sparkSession
-    n = checkpoint_table(moments(df, keys, x).select(*keys, "n"), spark, "chain-lengths")
-    open_, lo, hi, so_far = n, 0, max(1, int(start_lag)), None
+    spark, st = df.sparkSession, segments(df, keys, step, x, segment)
+    n, open_ = st.moments.select(*keys, "n"), None
+    lo, hi, so_far = 0, max(1, int(start_lag)), None
     while True:
-        a = checkpoint_table(acf(df.join(open_.select(*keys), keys, "left_semi"), keys, step, x, hi, norm, segment, lo), spark, "chain-acf")
+        a = checkpoint_table(segment_acf(st, hi, norm, lo, open_), spark, "chain-acf")
         so_far = a if so_far is None else so_far.unionByName(a)
-        found = checkpoint_table(n.join(judge(so_far), keys, "left"), spark, "chain-found")
+        found = n.join(judge(so_far), keys, "left")
         open_ = found.filter(~F.coalesce("done", F.lit(False)) & (F.col("n") - 1 > hi))
         if open_.isEmpty():
             return found
-        lo, hi = hi + 1, 2 * hi
+        lo, hi = hi + 1, RANGE_GROWTH * hi
 
 
 def _tau_from_acf(a: DataFrame, keys: list[str], c: float) -> DataFrame:
