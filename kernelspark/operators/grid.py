@@ -29,7 +29,7 @@ def _blocks(side: DataFrame, cells: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("block").agg(F.collect_list(F.struct(*side.columns)).alias("rows")), max(1, count)
 
 
-def _side(df: DataFrame, key: str, features: str, *more) -> DataFrame:
+def stored_side(df: DataFrame, key: str, features: str, *more) -> DataFrame:
     x = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), *more)
     return checkpoint_table(x, df.sparkSession, "grid-side")
 
@@ -42,6 +42,29 @@ def _cells(left: DataFrame, right: DataFrame, cells: int) -> DataFrame:
     return a.join(b, ["i", "j"]).select("left", "right")
 
 
+def self_cells(side: DataFrame, least_rows: int = 256) -> tuple[int, DataFrame]:
+    """(rows, cells) of a stored side with itself: (same, left, right), each pair of blocks once.
+
+    Blocks are small enough to keep some sixty of them busy, and no larger than ``GRID_CELLS``.
+    """
+    n, width = side.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    per = max(1, min(max(least_rows, n // 64), GRID_CELLS // max(1, width or 1)))
+    count = max(1, -(-n // per))
+    dealt = side.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(count)).cast("int"))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("x")).alias("rows"))
+    over = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    a = blocks.select(F.col("block").alias("i"), over(F.col("block"), F.lit(count - 1)).alias("j"), F.col("rows").alias("left"))
+    b = blocks.select(over(F.lit(0), F.col("block")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("right"))
+    return n, a.join(b, ["i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "left", "right")
+
+
+def block_pairs(batches):
+    """(same, X, Y) of the cells in Arrow batches of ``self_cells``."""
+    for got in batches:
+        for i in range(got.num_rows):
+            yield got.column(0)[i].as_py(), _rows(got.column(1)[i].values)["x"], _rows(got.column(2)[i].values)["x"]
+
+
 def _rows(block: pa.StructArray) -> dict:
     cols = dict(zip([f.name for f in block.type], block.flatten(), strict=True))
     flat = np.asarray(cols["x"].flatten(), dtype=np.float64)
@@ -60,7 +83,7 @@ def _map(cells: DataFrame, schema, names: list[str], make) -> DataFrame:
 
 def long_form(left: DataFrame, right: DataFrame, block, key: str, features: str, names=("i", "j", "k"), cells: int | None = None) -> DataFrame:
     """(i, j, value) of all pairs; ``block(X, Y)`` gives the values of a cell."""
-    grid = _cells(_side(left, key, features), _side(right, key, features), cells or GRID_CELLS)
+    grid = _cells(stored_side(left, key, features), stored_side(right, key, features), cells or GRID_CELLS)
     schema = T.StructType([T.StructField(names[0], left.schema[key].dataType), T.StructField(names[1], right.schema[key].dataType), T.StructField(names[2], T.DoubleType())])
 
     def make(a, b):
@@ -74,8 +97,8 @@ def weighted_sums(train: DataFrame, test: DataFrame, block, weight: str, key: st
     """(id, out): Σ over train of block(test row, train row) · weight; 0 when train is empty."""
     # the key only deals train rows to blocks
     own = train.withColumn("_key", F.xxhash64(features, weight) if key not in train.columns else F.col(key))
-    left = _side(test, key, features)
-    right = _side(own, "_key", features, F.col(weight).cast("double").alias("w"))
+    left = stored_side(test, key, features)
+    right = stored_side(own, "_key", features, F.col(weight).cast("double").alias("w"))
 
     def make(a, b):
         return [a["key"].cast(pa.int64()), pa.array(block(a["x"], b["x"]) @ np.asarray(b["w"], dtype=np.float64))]

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,11 @@ from ..functions.kernels import KernelSpec, difference_sums
 from ..session import checkpoint_table
 from . import grid, prep
 from .ordered import exact_quantiles
-from .partials import bounded_broadcast
+from .partials import SCHEMA as PARTIAL
+from .partials import bounded_broadcast, emit, tree_sum
 
 # A broadcast side is allowed only below this many rows × dims (doubles).
 from .partials import MAX_BROADCAST_CELLS  # noqa: E402  (one shared bound)
-MAX_MEDIAN_SAMPLE = 2000             # sample rows for the median heuristic
 
 
 def _check_small(df: DataFrame, what: str, max_rows: int | None = None, dim: int | None = None) -> int:
@@ -101,54 +102,51 @@ def trace(points: DataFrame, kernel: KernelSpec, key="id", features="features")
 
 # ---- K10, K11: median heuristic ------------------------------------------------------------------
 
-def pair_distances(sample: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
-                   include_self: bool = True, max_rows: int = MAX_MEDIAN_SAMPLE, symmetric: bool = False) -> DataFrame:
-    """Ordered pairs of a bounded sample with their L2 (or L1 for laplace) distance.
-
-    The sample (≤ max_rows × d, checked) is broadcast; every Arrow batch of
-    sample rows computes its distance block by NumPy and emits it long, with
-    a ``weight`` column. ``symmetric=True`` emits each unordered pair i < j once
-    with weight 2 (and the diagonal with weight 1): the same multiset as all
-    ordered pairs, in half the rows.
-    """
-    _check_small(sample, "pair_distances", max_rows=max_rows)
-    rows = sample.select(F.col(key).cast("long").alias("k"), F.col(features).cast("array<double>").alias("x")) \
-        .orderBy("k").collect()
-    ids = np.array([r["k"] for r in rows], dtype=np.int64)
-    bX = bounded_broadcast(sample.sparkSession, np.array([r["x"] for r in rows], dtype=np.float64), "median sample")
-    metric = kernel.metric
-
-    def fn(batches):
-        Y = bX.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["x"].to_numpy())
-            D = difference_sums(X, Y, np.abs) if metric == "l1" else np.sqrt(difference_sums(X, Y, np.square))
-            ii = np.repeat(pdf["k"].to_numpy().astype(np.int64), len(Y))
-            jj = np.tile(ids, len(X))
-            out = pd.DataFrame({"i": ii, "j": jj, "dist": D.ravel(), "weight": np.ones(len(ii), dtype=np.int64)})
-            if symmetric:
-                out = out[out["i"] <= out["j"]]
-                out.loc[out["i"] < out["j"], "weight"] = 2
-            if not include_self:
-                out = out[out["i"] != out["j"]]
-            yield out
-
-    src = sample.select(F.col(key).cast("long").alias("k"), F.col(features).cast("array<double>").alias("x"))
-    return src.mapInPandas(fn, "i long, j long, dist double, weight long")
+def distance_block(kernel: KernelSpec, X: np.ndarray, Y: np.ndarray) -> np.ndarray:
+    return difference_sums(X, Y, np.abs) if kernel.metric == "l1" else np.sqrt(difference_sums(X, Y, np.square))
 
 
 def median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features",
-                     include_self: bool = True, max_rows: int = MAX_MEDIAN_SAMPLE) -> DataFrame:
-    """Median of all ordered pairwise distances (diagonal included by default).
+                     include_self: bool = True) -> DataFrame:
+    """Median of all ordered pairwise distances (diagonal included by default), at any number of rows.
 
-    Exact over all rows; refuses tables above ``max_rows`` (use K11 there).
-    Symmetry halves the work: unordered pairs carry frequency 2.
+    The rows are stored once and meet on a grid of block pairs. The median is selected on the
+    bits of the distance (their order is that of the doubles): each of four passes counts 16 more
+    bits of the distances that share the bits found so far, one count vector a task, so no pair is
+    ever emitted. ``(bandwidth, n_pairs)``; both null without rows.
     """
-    d = pair_distances(points, kernel, key, features, include_self, max_rows=max_rows, symmetric=True)
-    return d.agg(F.percentile("dist", F.lit(0.5), F.col("weight")).alias("bandwidth"),
-                 F.sum("weight").alias("n_pairs"))
+    spark = points.sparkSession
+    side = grid.stored_side(points, key, features)
+    n, pairs = grid.self_cells(side)
+    total = n * n if include_self else n * (n - 1)
+    if not total:
+        return spark.createDataFrame([(None, None)], "bandwidth double, n_pairs long")
+    skip = 0 if include_self else n                        # the diagonal's zeros come first
+    ranks = [skip + (total - 1) // 2, skip + total // 2]    # the two middle ones, equal if there is one
+    found, below = [0, 0], [0, 0]                          # bits so far, pairs below them
+    for shift in (48, 32, 16, 0):
+        known = sorted(set(found))
+        sent = spark.sparkContext.broadcast((known, shift))
+
+        def part(batches):
+            known, shift = sent.value
+            acc = np.zeros((len(known), 1 << 16))
+            for same, X, Y in grid.block_pairs(batches):
+                bits = distance_block(kernel, X, Y).ravel().view(np.int64)
+                for s, top in enumerate(known):
+                    own = bits[(bits >> shift) >> 16 == top] if shift < 48 else bits
+                    acc[s] += (1 if same else 2) * np.bincount((own >> shift) & 0xFFFF, minlength=1 << 16)
+            yield emit(acc.ravel())
+
+        counts = tree_sum(pairs.mapInArrow(lambda b: map(pa.RecordBatch.from_pandas, part(b)), PARTIAL), len(known) << 16).reshape(len(known), -1)
+        for i, rank in enumerate(ranks):
+            upto = below[i] + np.cumsum(counts[known.index(found[i])])
+            at = int(np.searchsorted(upto, rank, side="right"))
+            below[i] = int(upto[at - 1]) if at else below[i]
+            ranks[i], found[i] = rank, found[i] << 16 | at
+        sent.destroy()
+    low, high = np.array(found, dtype=np.int64).view(np.float64)
+    return spark.createDataFrame([(float(low + (high - low) * 0.5), int(total))], "bandwidth double, n_pairs long")
 
 
 def pair_distance(pairs: DataFrame, points: DataFrame, kernel: KernelSpec, key: str = "id", features: str = "features") -> DataFrame:
@@ -170,7 +168,7 @@ def approx_median_bandwidth(points: DataFrame, kernel: KernelSpec, key: str = "i
                             m: int = 1000, seed: int = 42) -> DataFrame:
     """The median heuristic on m = min(1000, n) keyed-random rows."""
     s = prep.subsample(points.select(key, features), m, key, seed)
-    return median_bandwidth(s, kernel, key, features, include_self=True, max_rows=max(m, 1))
+    return median_bandwidth(s, kernel, key, features)
 
 
 def bandwidth_value(points: DataFrame, kernel: KernelSpec, **kw) -> float:

@@ -84,3 +84,26 @@ def test_principal_axes_far_from_the_origin(spark):
     assert np.allclose(np.abs((comps * V).sum(1)), 1, atol=1e-6)
     with pytest.raises(ValueError):
         prep.pca_fit(rows_of(spark, X[:0], "features"), 2)
+
+
+@pytest.mark.parametrize("n,metric,own", [(1, "gaussian", True), (2, "gaussian", False), (9, "laplace", True), (300, "gaussian", True), (301, "laplace", False)])
+def test_median_distance_by_bits(spark, n, metric, own):
+    from kernelspark.operators import kernels as K
+
+    X = np.random.default_rng(n).standard_normal((n, 3))
+    X[n // 2:n // 2 + 3] = X[0]
+    gap = X[:, None] - X[None]
+    D = np.abs(gap).sum(2) if metric == "laplace" else np.sqrt((gap ** 2).sum(2))
+    want = np.median(D.ravel() if own else D[~np.eye(n, dtype=bool)])
+    got = K.median_bandwidth(rows_of(spark, X, "features"), KF.KernelSpec(metric), include_self=own).first()
+    assert got.bandwidth == pytest.approx(want, rel=1e-12) and got.n_pairs == n * n - (0 if own else n)
+
+
+def test_median_distance_without_rows_and_over_many(spark):
+    from kernelspark.operators import kernels as K
+
+    X = np.random.default_rng(2).standard_normal((3000, 2))      # beyond the size that one broadcast sample had
+    df = rows_of(spark, X, "features", 4)
+    assert K.median_bandwidth(df.where("id < 0"), KF.KernelSpec()).first().bandwidth is None
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    assert K.median_bandwidth(df, KF.KernelSpec()).first().bandwidth == pytest.approx(np.median(D), rel=1e-12)
