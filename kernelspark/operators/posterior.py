@@ -8,9 +8,8 @@ vectors (all chains or walkers at once): each Arrow batch computes
 Z = F_b Vᵀ; each partition emits ONE vector of partial log-likelihood sums
 (C values) and gradient sums Fᵀ(∂ℓ/∂f) (C × k values), folded by a tree sum
 (``partials.tree_sum``). Only C × k numbers reach the driver. Samplers and Newton steps are driver loops
-over such passes: a step is a Spark job, so these samplers are meant for
-hundreds of steps with many chains in lock step; the Laplace approximation
-(≤ ~10 passes) is the default posterior.
+over such passes; a random-walk pass scores all futures of several steps (``samplers``).
+The Laplace approximation (≤ ~10 passes) is the default posterior.
 """
 
 from __future__ import annotations
@@ -35,6 +34,9 @@ from .partials import bounded_broadcast
 # Fixed values that must equal the reference's.
 SIGMOID_EPS = 1e-10
 
+#: Points that a task scores at once: its memory is rows of a batch × this, however many futures a pass scores.
+POINTS_AT_ONCE = 64
+
 
 # ---- links (M3) ----------------------------------------------------------------------
 
@@ -148,16 +150,17 @@ class FactorModel:
                 seen = True
                 Fm = np.stack(pdf["f"].to_numpy()).astype(dt)
                 y = pdf["y"].to_numpy(dtype=np.float64)
-                Z = (Fm @ bc.value.T).astype(np.float64)
-                ll, dz = loglik_and_dz(Z, y, link)
-                ll_s += ll.sum(0)
-                if want_g:
-                    g_s += (dz.T @ Fm.astype(np.float64))
-                if want_h:
-                    p = sigmoid(Z[:, 0])
-                    w = p * (1 - p)
-                    Fd = Fm.astype(np.float64)
-                    h_s += (Fd * w[:, None]).T @ Fd
+                Fd = Fm.astype(np.float64)
+                for a in range(0, C, POINTS_AT_ONCE):
+                    some = slice(a, a + POINTS_AT_ONCE)
+                    Z = (Fm @ bc.value[some].T).astype(np.float64)
+                    ll, dz = loglik_and_dz(Z, y, link)
+                    ll_s[some] += ll.sum(0)
+                    if want_g:
+                        g_s[some] += dz.T @ Fd
+                    if want_h and a == 0:
+                        p = sigmoid(Z[:, 0])
+                        h_s += (Fd * (p * (1 - p))[:, None]).T @ Fd
             if seen:
                 vals = [ll_s]
                 if want_g:
@@ -232,7 +235,7 @@ def laplace_draws(nu: np.ndarray, cov: np.ndarray, n_draws: int, seed: int = 42)
 
 # ---- M4–M7, M9: lock-step samplers -----------------------------------------------------------
 
-CHAIN = "chain int, step int, nu array<double>, logp double, accepted boolean, step_time double, is_warmup boolean"
+CHAIN = "chain int, step int, nu array<double>, logp double, accepted boolean, step_time double, is_warmup boolean, step_size double"
 #: Steps whose rows the driver holds before they are appended to the stored chain table.
 STEPS_HELD = 200
 
@@ -240,20 +243,27 @@ STEPS_HELD = 200
 def run_sampler(factor: DataFrame, kind: str = "rwm", n_steps: int = samplers.FULL_STEPS,
                 n_warmup: int = samplers.FULL_WARMUP, n_chains: int = 4, step_size: float = 0.1,
                 n_leapfrog: int = samplers.FULL_LEAPFROGS, link: str = "sigmoid", seed: int = 42,
-                target_accept: float | None = None, adapt: bool = True, proposal=None, **kw):
+                target_accept: float | None = None, adapt: bool = True, proposal=None, ahead: int | None = None, **kw):
     """RWM (M4), MALA (M5), HMC with dual averaging (M6), many walkers with Gaussian or MALA
     moves (M7: 'ensemble', 'ensemble_mala'), independent chains (M9 = the chain axis).
 
-    Run lengths default to the reference's full ones; every step is a Spark pass (HMC:
-    ``n_leapfrog`` passes) that scores all chains at once. Chain rows are appended to a
-    stored table every STEPS_HELD steps. Returns a dict with the chain table (DataFrame),
-    the number of passes, the final step sizes and the number of chains.
+    Run lengths default to the reference's full ones. A Spark pass scores all chains at once
+    and, without a gradient, ``ahead`` steps (fewer where the points would not fit the
+    broadcast bound); a Langevin pass goes to each chain's next accepted step, at most
+    ``ahead``; an HMC step is ``n_leapfrog`` passes. The chains depend on seed, chain and step
+    alone. Chain rows are appended to a stored table every STEPS_HELD steps; step_time is the
+    time since the row before, so the first step of a pass carries it. Returns a dict with the
+    chain table (DataFrame), the number of passes, the final step sizes and the number of chains.
     """
     m = FactorModel(factor, link, **kw)
     if kind.startswith("ensemble"):
         n_chains = min(max(2 * m.k + 2, 24), 100)
     base = {"ensemble": "rwm", "ensemble_mala": "mala"}.get(kind, kind)
 
+    ahead = samplers.AHEAD.get(base, 1) if ahead is None else ahead
+    while ahead > 1 and n_chains * m.k * (2 ** ahead - 1 if base == "rwm" else ahead) > MAX_BROADCAST_CELLS:
+        ahead -= 1
+
     def score(nu, grad):
         return m.score(nu, grad=grad)[:2]
 
@@ -265,9 +275,9 @@ def run_sampler(factor: DataFrame, kind: str = "rwm", n_steps: int = samplers.FU
         held.clear()
 
     for step, now, accepted, eps in samplers.walk(score, np.zeros((n_chains, m.k)), base, n_steps, n_warmup, step_size,
-                                                  n_leapfrog, seed, target_accept, adapt, proposal):
+                                                  n_leapfrog, seed, target_accept, adapt, proposal, ahead):
         t1 = time.perf_counter()
-        held += [(c, step, now.nu[c].tolist(), float(now.logp[c]), bool(accepted[c]), t1 - t0, step < n_warmup)
+        held += [(c, step, now.nu[c].tolist(), float(now.logp[c]), bool(accepted[c]), t1 - t0, step < n_warmup, float(eps[c]))
                  for c in range(n_chains)]
         if (step + 1) % STEPS_HELD == 0:
             store()

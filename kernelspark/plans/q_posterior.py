@@ -93,6 +93,82 @@ def q_rwm(spark, sf):
     return _sampler("rwm", spark, sf, n_steps=100, n_warmup=100, n_chains=4, step_size=0.2)
 
 
+#: A keyed random walk for SQL: first dimensions as the factor, chains, warm-up and kept steps, first step size.
+WALK_K, WALK_CHAINS, WALK_WARMUP, WALK_KEPT, WALK_EPS = 8, 3, 60, 40, 0.3
+_SEED, _NOISE_KEY = "42", "(c.chain || ':' || c.step)"
+_ACCEPT = rng.u01_open_sql(_NOISE_KEY, "'accept'", _SEED)
+_NORMAL = (f"sqrt(-2.0 * ln({rng.u01_open_sql(_NOISE_KEY, '2 * (j - 1)', _SEED)})) * "
+           f"cos({2 * np.pi!r} * {rng.u01_sql(_NOISE_KEY, '2 * (j - 1) + 1', _SEED)})")
+
+
+def _walk_sql(chains: int, target: float, langevin: bool) -> str:
+    """One recursion a step: candidate from the keyed noise, its log posterior over all rows, verdict, step size."""
+    dims = range(1, WALK_K + 1)
+
+    def each(text: str) -> str:
+        return "[" + ", ".join(text.replace("@", str(j)) for j in dims) + "]"
+
+    z = "[" + ", ".join(_NORMAL.replace("(j - 1)", str(j)) for j in range(WALK_K)) + "]"
+    slope = "sum((y - 1.0::DOUBLE / (1.0::DOUBLE + exp(-list_dot_product(f, {at})))) * f[@]) - {minus}"
+    start = f"(SELECT {each('sum((y - 0.5::DOUBLE) * f[@])')} FROM e)" if langevin else "[0.0::DOUBLE]"
+    drift = " + 0.5::DOUBLE * w.eps * w.eps * w.grad[@]" if langevin else ""
+    slopes = each(slope.format(at="cand", minus="any_value(cand[@])")) if langevin else "[0.0::DOUBLE]"
+    back = " + ".join(f"pow((nu[{j}] - cand[{j}]) / eps - 0.5::DOUBLE * eps * ngrad[{j}], 2)" for j in dims)
+    ratio = f" + 0.5::DOUBLE * (list_dot_product(z, z) - ({back}))" if langevin else ""
+    last = f"step < {WALK_WARMUP} AND (step + 1) % 50 = 0"
+    off = f"(taken + yes::BIGINT) / 50.0::DOUBLE - {target}::DOUBLE"
+    return f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT features[1:{WALK_K}] AS f, y FROM ({V.EMB_SQL}) WHERE split = 'train'),
+c AS MATERIALIZED (SELECT chain, step FROM range(0, {chains}) a(chain), range(0, {WALK_WARMUP + WALK_KEPT}) b(step)),
+noise AS MATERIALIZED (SELECT c.chain, c.step, {z} AS z, ln({_ACCEPT}) AS lu FROM c),
+w AS (
+  SELECT CAST(chain AS BIGINT) AS chain, CAST(-1 AS BIGINT) AS step, [0.0::DOUBLE FOR i IN range(0, {WALK_K})] AS nu, {start} AS grad,
+         (SELECT count(*) FROM e) * ln(0.5::DOUBLE) AS logp, false AS accepted, CAST(0 AS BIGINT) AS taken, {WALK_EPS!r}::DOUBLE AS eps, {WALK_EPS!r}::DOUBLE AS used
+  FROM range(0, {chains}) r(chain)
+  UNION ALL
+  SELECT chain, step, CASE WHEN yes THEN cand ELSE nu END, CASE WHEN yes THEN ngrad ELSE grad END, CASE WHEN yes THEN new ELSE logp END, yes,
+         CASE WHEN {last} THEN 0 ELSE taken + yes::BIGINT END,
+         CASE WHEN {last} THEN eps * CASE WHEN {off} > 0.10::DOUBLE THEN 1.1::DOUBLE WHEN {off} < -0.10::DOUBLE THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END ELSE eps END, eps
+  FROM (SELECT *, lu < least(new - logp{ratio}, 0.0::DOUBLE) AS yes FROM (
+    SELECT chain, step, any_value(nu) AS nu, any_value(grad) AS grad, any_value(cand) AS cand, any_value(z) AS z, any_value(logp) AS logp,
+           any_value(taken) AS taken, any_value(eps) AS eps, any_value(lu) AS lu, {slopes} AS ngrad,
+           sum(-ln(1 + exp(CASE WHEN y = 1 THEN -1 ELSE 1 END * list_dot_product(f, cand)))) - 0.5 * any_value(list_dot_product(cand, cand)) AS new
+    FROM (SELECT w.chain, n.step, w.nu, w.grad, w.logp, w.taken, w.eps, n.lu, n.z, {each(f'w.nu[@]{drift} + w.eps * n.z[@]')} AS cand
+          FROM w JOIN noise n ON n.chain = w.chain AND n.step = w.step + 1), e
+    GROUP BY chain, step)))
+SELECT CAST(chain AS INTEGER) AS chain, CAST(step AS INTEGER) AS step, accepted, used AS step_size, logp, nu[1] AS nu_first, nu[{WALK_K}] AS nu_last
+FROM w WHERE step >= 0
+"""
+
+
+_WALK_COLUMNS = ("step_size", "logp", "nu_first", "nu_last")
+
+
+def _keyed_walk(spark, sf, kind: str):
+    e = V.emb(spark, sf).filter("split = 'train'").select(F.slice("features", 1, WALK_K).alias("f"), "y")
+    out = PO.run_sampler(e, kind, n_steps=WALK_KEPT, n_warmup=WALK_WARMUP, n_chains=WALK_CHAINS, step_size=WALK_EPS, seed=42)
+    return out["chain"].select("chain", "step", "accepted", "step_size", "logp",
+                               F.element_at("nu", 1).alias("nu_first"), F.element_at("nu", WALK_K).alias("nu_last"))
+
+
+@register("sampler_keyed_walk", _walk_sql(WALK_CHAINS, 0.3, False), _WALK_COLUMNS, ops=("M4", "M9"))
+def q_keyed_walk(spark, sf):
+    """Every state of random walks with adapted steps; SQL takes one step a recursion, Spark three a pass."""
+    return _keyed_walk(spark, sf, "rwm")
+
+
+@register("sampler_keyed_langevin", _walk_sql(WALK_CHAINS, 0.57, True), _WALK_COLUMNS, ops=("M5", "M9"))
+def q_keyed_langevin(spark, sf):
+    """The same along the gradient; each chain goes past its refusals at its own pace."""
+    return _keyed_walk(spark, sf, "mala")
+
+
+@register("sampler_keyed_ensemble", _walk_sql(24, 0.3, False), _WALK_COLUMNS, ops=("M7",))
+def q_keyed_ensemble(spark, sf):
+    """24 walkers (the count follows from the dimensions) with Gaussian moves."""
+    return _keyed_walk(spark, sf, "ensemble")
+
+
 @register("sampler_mala", None, ops=("M5",))
 def q_mala(spark, sf):
     return _sampler("mala", spark, sf, n_steps=60, n_warmup=100, n_chains=4, step_size=0.1)

@@ -138,6 +138,56 @@ def test_own_proposal_with_a_log_ratio():
     assert abs(got.mean()) < 0.05 and abs(got.std() - 1) < 0.05
 
 
+def counted(score):
+    calls = []
+
+    def count(nu, grad):
+        calls.append(len(nu))
+        return score(nu, grad)
+    return count, calls
+
+
+@pytest.mark.parametrize("kind,own", [("rwm", None), ("rwm", lambda nu, eps, rng: nu + eps[:, None] * rng.uniform(-1, 1, nu.shape)), ("mala", None), ("hmc", None)])
+def test_chains_do_not_depend_on_how_far_a_pass_looks_ahead(kind, own):
+    def run(ahead):
+        score, calls = counted(gaussian_score(np.array([1.0, 0.5, 2.0])))
+        got = [(i, now.nu.copy(), now.logp.copy(), a.copy(), e.copy()) for i, now, a, e in S.walk(score, np.zeros((5, 3)), kind, 83, 61, 0.9, 3, 7, proposal=own, ahead=ahead)]
+        return got, len(calls)
+
+    plain, calls = run(1)
+    assert [i for i, *_ in plain] == list(range(144)) and 0.05 < np.mean([a for *_, a, _ in plain]) < 0.98
+    for ahead in (2, 3, 5):
+        got, fewer = run(ahead)
+        assert all(a[0] == b[0] and all(np.array_equal(x, y) for x, y in zip(a[1:], b[1:], strict=True)) for a, b in zip(plain, got, strict=True))
+        assert kind == "hmc" or fewer < calls
+
+
+def test_a_pass_of_a_random_walk_takes_three_steps_by_default():
+    score, calls = counted(gaussian_score(1.0))
+    assert len(list(S.walk(score, np.zeros((4, 2)), "rwm", 300, 150, 0.5))) == 450
+    assert len(calls) == 1 + 3 * 17 + 100          # the start, three warm-up stretches of 50, the kept steps
+    assert set(calls[1:]) <= {7 * 4, 3 * 4}
+
+
+@pytest.mark.parametrize("ahead", [1, 4])
+def test_walks_without_steps_or_chains(ahead):
+    assert not list(S.walk(gaussian_score(1.0), np.zeros((2, 2)), "rwm", 0, 0, 0.1, ahead=ahead))
+    with pytest.raises(ValueError):
+        next(S.walk(gaussian_score(1.0), np.zeros((2, 2)), "rwm", 5, 0, 0.1, ahead=0))
+
+
+def test_points_are_scored_alike_however_many_there_are(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(rng.standard_normal(3).tolist(), i % 2) for i in range(90)], "f array<double>, y int").repartition(4)
+    points = rng.standard_normal((2 * PO.POINTS_AT_ONCE + 5, 3))
+    model = PO.FactorModel(df)
+    logp, grad, h = model.score(points, hessian=True)
+    for i in (0, PO.POINTS_AT_ONCE, len(points) - 1):
+        one, g, h1 = model.score(points[i:i + 1], hessian=True)
+        assert abs(one[0] - logp[i]) < 1e-9 and np.abs(g[0] - grad[i]).max() < 1e-9 and (i or np.abs(h - h1).max() < 1e-9)
+    model.close()
+
+
 def test_sampler_on_a_factor_stores_its_chain(spark):
     rng = np.random.default_rng(4)
     f = rng.standard_normal((60, 2))
