@@ -93,15 +93,15 @@ def q_rwm(spark, sf):
     return _sampler("rwm", spark, sf, n_steps=100, n_warmup=100, n_chains=4, step_size=0.2)
 
 
-#: A keyed random walk for SQL: first dimensions as the factor, chains, warm-up and kept steps, first step size.
-WALK_K, WALK_CHAINS, WALK_WARMUP, WALK_KEPT, WALK_EPS = 8, 3, 60, 40, 0.3
+#: Keyed walks for SQL: first dimensions as the factor, chains, warm-up and kept steps, first step sizes.
+WALK_K, WALK_CHAINS, WALK_WARMUP, WALK_KEPT, WALK_SIZE, LANGEVIN_SIZE = 8, 3, 60, 40, 0.3, 0.9
 _SEED, _NOISE_KEY = "42", "(c.chain || ':' || c.step)"
 _ACCEPT = rng.u01_open_sql(_NOISE_KEY, "'accept'", _SEED)
 _NORMAL = (f"sqrt(-2.0 * ln({rng.u01_open_sql(_NOISE_KEY, '2 * (j - 1)', _SEED)})) * "
            f"cos({2 * np.pi!r} * {rng.u01_sql(_NOISE_KEY, '2 * (j - 1) + 1', _SEED)})")
 
 
-def _walk_sql(chains: int, target: float, langevin: bool) -> str:
+def _walk_sql(chains: int, target: float, first_size: float, langevin: bool = False) -> str:
     """One recursion a step: candidate from the keyed noise, its log posterior over all rows, verdict, step size."""
     dims = range(1, WALK_K + 1)
 
@@ -123,7 +123,7 @@ c AS MATERIALIZED (SELECT chain, step FROM range(0, {chains}) a(chain), range(0,
 noise AS MATERIALIZED (SELECT c.chain, c.step, {z} AS z, ln({_ACCEPT}) AS lu FROM c),
 w AS (
   SELECT CAST(chain AS BIGINT) AS chain, CAST(-1 AS BIGINT) AS step, [0.0::DOUBLE FOR i IN range(0, {WALK_K})] AS nu, {start} AS grad,
-         (SELECT count(*) FROM e) * ln(0.5::DOUBLE) AS logp, false AS accepted, CAST(0 AS BIGINT) AS taken, {WALK_EPS!r}::DOUBLE AS eps, {WALK_EPS!r}::DOUBLE AS used
+         (SELECT count(*) FROM e) * ln(0.5::DOUBLE) AS logp, false AS accepted, CAST(0 AS BIGINT) AS taken, {first_size!r}::DOUBLE AS eps, {first_size!r}::DOUBLE AS used
   FROM range(0, {chains}) r(chain)
   UNION ALL
   SELECT chain, step, CASE WHEN yes THEN cand ELSE nu END, CASE WHEN yes THEN ngrad ELSE grad END, CASE WHEN yes THEN new ELSE logp END, yes,
@@ -144,26 +144,26 @@ FROM w WHERE step >= 0
 _WALK_COLUMNS = ("step_size", "logp", "nu_first", "nu_last")
 
 
-def _keyed_walk(spark, sf, kind: str):
+def _keyed_walk(spark, sf, kind: str, size: float = WALK_SIZE):
     e = V.emb(spark, sf).filter("split = 'train'").select(F.slice("features", 1, WALK_K).alias("f"), "y")
-    out = PO.run_sampler(e, kind, n_steps=WALK_KEPT, n_warmup=WALK_WARMUP, n_chains=WALK_CHAINS, step_size=WALK_EPS, seed=42)
+    out = PO.run_sampler(e, kind, n_steps=WALK_KEPT, n_warmup=WALK_WARMUP, n_chains=WALK_CHAINS, step_size=size, seed=42)
     return out["chain"].select("chain", "step", "accepted", "step_size", "logp",
                                F.element_at("nu", 1).alias("nu_first"), F.element_at("nu", WALK_K).alias("nu_last"))
 
 
-@register("sampler_keyed_walk", _walk_sql(WALK_CHAINS, 0.3, False), _WALK_COLUMNS, ops=("M4", "M9"))
+@register("sampler_keyed_walk", _walk_sql(WALK_CHAINS, 0.3, WALK_SIZE), _WALK_COLUMNS, ops=("M4", "M9"))
 def q_keyed_walk(spark, sf):
     """Every state of random walks with adapted steps; SQL takes one step a recursion, Spark three a pass."""
     return _keyed_walk(spark, sf, "rwm")
 
 
-@register("sampler_keyed_langevin", _walk_sql(WALK_CHAINS, 0.57, True), _WALK_COLUMNS, ops=("M5", "M9"))
+@register("sampler_keyed_langevin", _walk_sql(WALK_CHAINS, 0.57, LANGEVIN_SIZE, True), _WALK_COLUMNS, ops=("M5", "M9"))
 def q_keyed_langevin(spark, sf):
     """The same along the gradient; each chain goes past its refusals at its own pace."""
-    return _keyed_walk(spark, sf, "mala")
+    return _keyed_walk(spark, sf, "mala", LANGEVIN_SIZE)
 
 
-@register("sampler_keyed_ensemble", _walk_sql(24, 0.3, False), _WALK_COLUMNS, ops=("M7",))
+@register("sampler_keyed_ensemble", _walk_sql(24, 0.3, WALK_SIZE), _WALK_COLUMNS, ops=("M7",))
 def q_keyed_ensemble(spark, sf):
     """24 walkers (the count follows from the dimensions) with Gaussian moves."""
     return _keyed_walk(spark, sf, "ensemble")
