@@ -60,3 +60,39 @@ def test_empty_tables_and_clashes(spark, docs, no_docs, items):
     assert D.scan(no_docs, spark.createDataFrame(items, "item_id long, text string")).collect() == []
     with pytest.raises(ValueError):
         D.scan(docs.withColumnRenamed("n_chars", "N_HIT"), none)
+
+
+@pytest.mark.parametrize("nodes,chunk", [(160, 1), (160, 2000), (1000, 1 << 28), (1, 1 << 28)])
+def test_several_automata_against_brute_force(spark, docs, rows, items, nodes, chunk):
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = D.scan(docs.select("doc_id", "text"), table, nodes=nodes, chunk_bytes=chunk)
+    shown = got.select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.sha2(F.concat_ws(",", "items"), 256).alias("h")).collect()
+    assert sorted((tuple(r) for r in shown), key=str) == brute(rows, items)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("limit", [1, 10, 30, 1000])
+def test_each_window_of_an_item_is_in_a_piece(spark, items, limit):
+    table = spark.createDataFrame(items, "item_id long, text string")
+    cut = D.pieces(table, "item_id", "text", 10, limit).collect()
+    whole, parts = {}, {}
+    for i, t in items:
+        whole.setdefault(str(i), set()).update(D.windows(D.words((t or "").encode()), 10))
+    for r in cut:
+        found = D.windows(D.words(bytes(r.raw)), 10)
+        parts.setdefault(r.item, set()).update(found)
+        assert r.nodes == sum(map(len, found)) and r.nodes <= max(limit, 10)
+    assert parts == {i: w for i, w in whole.items() if w}
+
+
+def test_blocks_keep_their_bounds(spark):
+    many = spark.createDataFrame([(i, " ".join(f"w{i * k % 997}" for k in range(1, 41))) for i in range(400)], "item_id long, text string")
+    cut = D.pieces(many, "item_id", "text", 10, 100)
+    sent = list(D.blocks_of(cut, 4000, 20_000))
+    assert sum(len(block) for blocks in sent for block in blocks) == cut.count()
+    for blocks in sent:
+        assert sum(len(raw) + 64 for block in blocks for _, raw in block) <= 20_000
+        for block in blocks:
+            assert sum(len(w) for _, raw in block for w in D.windows(D.words(raw), 10)) <= 4000
+            assert D.automaton(block, 10).trie.get_stats()["nodes_count"] <= 4001
+    assert [len(b) for b in D.blocks_of(cut, 1 << 30, 1 << 30)] == [1]
