@@ -1,10 +1,10 @@
 """Benchmark decontamination: Aho-Corasick over normalised benchmark windows.
 
 Text is normalised to lower-case words. Every window of ``window`` consecutive item words
-(a shorter item is one window) goes into one automaton, whose letters are word numbers:
-ten symbols a window, however long the words. Each document is scanned once; a match ends
-at a word and covers the words before it, and word numbers give byte offsets in the
-original text.
+(a shorter item is one window) goes into one automaton, whose letters are words (each word
+of the items is given one character): ten symbols a window, however long the words. Each document is scanned once; a match ends
+at a word and covers the words before it, and the number of a word gives its byte offsets
+in the original text.
 
 The automaton is built in each Python worker from broadcast item texts, and its size is
 bounded by nodes, not by the benchmark: items are cut into pieces that overlap by a window
@@ -17,7 +17,7 @@ passes, each over the written result of the one before. Documents are never shuf
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby, repeat
 from typing import NamedTuple
 
@@ -33,8 +33,11 @@ from .common import checkpoint_table, fresh, read, texts
 #: Bytes to normalised bytes: A-Z lower-cased, other ASCII than 0-9 and a-z to space.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 OUTPUT = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, stop: long>>"
-#: Nodes of an automaton, about 50 bytes each with its words.
+#: Nodes of an automaton, about 50 bytes each; the most there may be, since a piece counts as four nodes a word at
+#: least, and there are a little over a million letters.
 NODES = 4 << 20
+#: Letter of words that no item has.
+_OTHER = "\0"
 #: Bytes of document text that a worker gathers when there are several automata: a scan of them outweighs a build.
 CHUNK_BYTES = 256 << 20
 #: The words of an item as Java's regular expressions find them (case is lowered later).
@@ -48,27 +51,30 @@ def words(raw: bytes) -> list[bytes]:
     return raw.translate(_NORMAL).split()
 
 
-def windows(found: list, size: int) -> list[tuple]:
-    if len(found) <= size:
-        return [tuple(found)] if found else []
-    return [tuple(found[i:i + size]) for i in range(len(found) - size + 1)]
+def windows(found: Sequence, size: int) -> list[Sequence]:
+    return [found[i:i + size] for i in range(max(len(found) - size, 0) + 1)] if found else []
+
+
+def letter(n: int) -> str:
+    """Character of the n-th word: all but _OTHER and the surrogates."""
+    return chr(n + 1 if n + 1 < 0xD800 else n + 0x801)
 
 
 class Matcher(NamedTuple):
     trie: ahocorasick.Automaton
-    numbers: dict[bytes, int]
+    letters: dict[bytes, str]
     groups: list[tuple[int, tuple[str, ...]]]
 
 
 def automaton(items: list[tuple[str | None, bytes]], size: int) -> Matcher | None:
-    """Automaton over word numbers; a match gives (number of words, item ids). None if no item has a word."""
-    trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    numbers: dict[bytes, int] = {}
+    """Automaton over words as letters; a match gives (number of words, item ids). None if no item has a word."""
+    trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    letters: dict[bytes, str] = {}
     groups: dict[tuple[int, tuple[str, ...]], int] = {}
     named: list[tuple[int, tuple[str, ...]]] = []
     for item, raw in items:
         own = () if item is None else (item,)
-        for w in windows([numbers.setdefault(x, len(numbers) + 1) for x in words(raw)], size):
+        for w in windows("".join([letters.setdefault(x, letter(len(letters))) for x in words(raw)]), size):
             before = trie.get(w, -1)
             key = (len(w), own if before < 0 else tuple(sorted({*named[before][1], *own})))
             at = groups.setdefault(key, len(named))
@@ -79,7 +85,7 @@ def automaton(items: list[tuple[str | None, bytes]], size: int) -> Matcher | Non
     if not named:
         return None
     trie.make_automaton()
-    return Matcher(trie, numbers, named)
+    return Matcher(trie, letters, named)
 
 
 def hits(raw: bytes, made: Matcher | None, covered: np.ndarray | None = None) -> tuple[int, np.ndarray | None, set[str]]:
@@ -87,7 +93,7 @@ def hits(raw: bytes, made: Matcher | None, covered: np.ndarray | None = None) ->
     found = words(raw)
     edge, owners = None, set()
     if made is not None and found:
-        for end, at in made.trie.iter(tuple(map(made.numbers.get, found, repeat(0)))):
+        for end, at in made.trie.iter("".join(map(made.letters.get, found, repeat(_OTHER)))):
             if edge is None:
                 edge = np.zeros(len(found) + 1, np.int64)
             n, ids = made.groups[at]
@@ -110,7 +116,7 @@ def spans(raw: bytes, covered: np.ndarray) -> list[dict]:
 
 
 def pieces(items: DataFrame, item_id: str, item_text: str, window: int, limit: int) -> DataFrame:
-    """(item, raw, nodes): items with words, cut so that a piece needs at most ``limit`` nodes.
+    """(item, raw, nodes): items with words, cut so that a piece needs at most ``limit`` nodes, or four a word.
 
     A piece starts ``step`` words after the one before and holds ``step`` windows, so each window of an item is
     in one piece. Equal pieces of an item are kept once.
@@ -119,7 +125,7 @@ def pieces(items: DataFrame, item_id: str, item_text: str, window: int, limit: i
     found = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.regexp_extract_all(F.col(item_text), F.lit(_WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step)))
     cut = found.select("item", "w", starts.alias("start")).select("item", F.slice("w", F.col("start") + 1, F.lit(step + window - 1)).alias("w"))
-    needs = F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window))
+    needs = F.greatest(F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window)), 4 * F.size("w"))
     return cut.select("item", F.encode(F.concat_ws(" ", "w"), "utf-8").alias("raw"), needs.cast("long").alias("nodes")).distinct()
 
 
@@ -166,6 +172,8 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     """
     if clash := {"n_words", "n_hit", "items", "spans"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    if not 1 <= nodes <= NODES:
+        raise ValueError(f"nodes must be from 1 to {NODES}")
     spark = docs.sparkSession
     cut = pieces(items, item_id, item_text, window, max(window, nodes // _PIECES))
     carried = fresh(docs.columns, "__covered")

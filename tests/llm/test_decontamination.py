@@ -77,11 +77,12 @@ def test_each_window_of_an_item_is_in_a_piece(spark, items, limit):
     cut = D.pieces(table, "item_id", "text", 10, limit).collect()
     whole, parts = {}, {}
     for i, t in items:
-        whole.setdefault(str(i), set()).update(D.windows(D.words((t or "").encode()), 10))
+        whole.setdefault(str(i), set()).update(D.windows(tuple(D.words((t or "").encode())), 10))
     for r in cut:
-        found = D.windows(D.words(bytes(r.raw)), 10)
+        found = D.windows(tuple(D.words(bytes(r.raw))), 10)
         parts.setdefault(r.item, set()).update(found)
-        assert r.nodes == sum(map(len, found)) and r.nodes <= max(limit, 10)
+        size = len(D.words(bytes(r.raw)))
+        assert r.nodes == max(sum(map(len, found)), 4 * size) and sum(map(len, found)) <= max(limit, 10)
     assert parts == {i: w for i, w in whole.items() if w}
 
 
@@ -93,6 +94,22 @@ def test_blocks_keep_their_bounds(spark):
     for blocks in sent:
         assert sum(len(raw) + 64 for block in blocks for _, raw in block) <= 20_000
         for block in blocks:
-            assert sum(len(w) for _, raw in block for w in D.windows(D.words(raw), 10)) <= 4000
+            assert sum(len(w) for _, raw in block for w in D.windows(tuple(D.words(raw)), 10)) <= 4000
             assert D.automaton(block, 10).trie.get_stats()["nodes_count"] <= 4001
     assert [len(b) for b in D.blocks_of(cut, 1 << 30, 1 << 30)] == [1]
+
+
+def test_letters_are_distinct_and_no_surrogates():
+    made = [D.letter(n) for n in range(D.NODES // 4)]
+    assert len(set(made)) == len(made) and D._OTHER not in made and not any(0xD800 <= ord(c) < 0xE000 for c in made)
+
+
+def test_many_words(spark):
+    text = " ".join(f"w{i}" for i in range(70_000))           # letters beyond 16 bits
+    made = D.automaton([("a", text.encode()), (None, b"w1 w2"), ("b", b"w69990 w69991 w69992 w69993 w69994 w69995 w69996 w69997 w69998 w69999")], 10)
+    n, covered, owners = D.hits(b"x " + text.encode(), made)
+    assert n == 70_001 and covered.sum() == 70_000 and owners == {"a", "b"}
+    n, covered, owners = D.hits(b"w0 w2 w1 w2 w4", made)
+    assert covered.tolist() == [False, False, True, True, False] and owners == set()
+    with pytest.raises(ValueError):
+        D.scan(spark.createDataFrame([], "text string"), spark.createDataFrame([], "item_id long, text string"), nodes=D.NODES + 1)
