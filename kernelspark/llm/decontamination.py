@@ -1,8 +1,9 @@
 """Benchmark decontamination: Aho-Corasick over normalised benchmark windows.
 
 Text is normalised to lower-case words. Every window of ``window`` consecutive item words
-(a shorter item is one window) goes into one automaton, whose letters are words (each word
-of the items is given one character): ten symbols a window, however long the words. Each document is scanned once; a match ends
+(a shorter item is one window) goes into one automaton, in which a word is a code of one to
+three symbols, however long it is. (One symbol a word would give the root as many branches
+as there are words, and the automaton looks for a branch one by one.) Each document is scanned once; a match ends
 at a word and covers the words before it, and the number of a word gives its byte offsets
 in the original text.
 
@@ -18,7 +19,7 @@ passes, each over the written result of the one before. Documents are never shuf
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import groupby, repeat
+from itertools import chain, groupby, repeat
 from typing import NamedTuple
 
 import ahocorasick
@@ -33,10 +34,11 @@ from .common import checkpoint_table, fresh, read, texts
 #: Bytes to normalised bytes: A-Z lower-cased, other ASCII than 0-9 and a-z to space.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 OUTPUT = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, stop: long>>"
-#: Nodes of an automaton, about 50 bytes each; the most there may be, since a piece counts as four nodes a word at
-#: least, and there are a little over a million letters.
-NODES = 4 << 20
-#: Letter of words that no item has.
+#: Symbols of a place of a code, and places at most: 2^18 words.
+BASE, PLACES = 64, 3
+#: Nodes of an automaton, about 50 bytes each; the most there may be, since a piece counts as 16 nodes a word at least.
+NODES = 16 * BASE ** PLACES
+#: Symbol of words that no item has.
 _OTHER = "\0"
 #: Bytes of document text that a worker gathers when there are several automata: a scan of them outweighs a build.
 CHUNK_BYTES = 256 << 20
@@ -55,37 +57,41 @@ def windows(found: Sequence, size: int) -> list[Sequence]:
     return [found[i:i + size] for i in range(max(len(found) - size, 0) + 1)] if found else []
 
 
-def letter(n: int) -> str:
-    """Character of the n-th word: all but _OTHER and the surrogates."""
-    return chr(n + 1 if n + 1 < 0xD800 else n + 0x801)
+def code(n: int, places: int) -> str:
+    """Symbols of the n-th word; each place has its own, so that a match starts and ends at words."""
+    return "".join(chr(1 + BASE * p + n // BASE ** p % BASE) for p in range(places))
 
 
 class Matcher(NamedTuple):
     trie: ahocorasick.Automaton
-    letters: dict[bytes, str]
+    codes: dict[bytes, str]
+    places: int
     groups: list[tuple[int, tuple[str, ...]]]
 
 
 def automaton(items: list[tuple[str | None, bytes]], size: int) -> Matcher | None:
-    """Automaton over words as letters; a match gives (number of words, item ids). None if no item has a word."""
+    """Automaton over the codes of words; a match gives (number of words, item ids). None if no item has a word."""
+    found = [words(raw) for _, raw in items]
+    known = dict.fromkeys(chain.from_iterable(found))
+    if not known:
+        return None
+    places = next(p for p in range(1, PLACES + 1) if len(known) <= BASE ** p)
+    codes = {w: code(n, places) for n, w in enumerate(known)}
     trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    letters: dict[bytes, str] = {}
     groups: dict[tuple[int, tuple[str, ...]], int] = {}
     named: list[tuple[int, tuple[str, ...]]] = []
-    for item, raw in items:
+    for (item, _), has in zip(items, found, strict=True):
         own = () if item is None else (item,)
-        for w in windows("".join([letters.setdefault(x, letter(len(letters))) for x in words(raw)]), size):
+        for w in map("".join, windows([codes[x] for x in has], size)):
             before = trie.get(w, -1)
-            key = (len(w), own if before < 0 else tuple(sorted({*named[before][1], *own})))
+            key = (len(w) // places, own if before < 0 else tuple(sorted({*named[before][1], *own})))
             at = groups.setdefault(key, len(named))
             if at == len(named):
                 named.append(key)
             if at != before:
                 trie.add_word(w, at)
-    if not named:
-        return None
     trie.make_automaton()
-    return Matcher(trie, letters, named)
+    return Matcher(trie, codes, places, named)
 
 
 def hits(raw: bytes, made: Matcher | None, covered: np.ndarray | None = None) -> tuple[int, np.ndarray | None, set[str]]:
@@ -93,12 +99,13 @@ def hits(raw: bytes, made: Matcher | None, covered: np.ndarray | None = None) ->
     found = words(raw)
     edge, owners = None, set()
     if made is not None and found:
-        for end, at in made.trie.iter("".join(map(made.letters.get, found, repeat(_OTHER)))):
+        for end, at in made.trie.iter("".join(map(made.codes.get, found, repeat(_OTHER * made.places)))):
             if edge is None:
                 edge = np.zeros(len(found) + 1, np.int64)
             n, ids = made.groups[at]
-            edge[end + 1 - n] += 1
-            edge[end + 1] -= 1
+            last = (end + 1) // made.places
+            edge[last - n] += 1
+            edge[last] -= 1
             owners.update(ids)
     if edge is not None:
         own = np.cumsum(edge[:-1]) > 0
@@ -116,16 +123,17 @@ def spans(raw: bytes, covered: np.ndarray) -> list[dict]:
 
 
 def pieces(items: DataFrame, item_id: str, item_text: str, window: int, limit: int) -> DataFrame:
-    """(item, raw, nodes): items with words, cut so that a piece needs at most ``limit`` nodes, or four a word.
+    """(item, raw, nodes): items with words, cut so that a piece needs at most ``limit`` nodes, or what one window needs.
 
     A piece starts ``step`` words after the one before and holds ``step`` windows, so each window of an item is
     in one piece. Equal pieces of an item are kept once.
     """
-    step = max(1, limit // window)
+    step = max(1, limit // (PLACES * window) - window)       # a piece of step windows has step + window - 1 words
     found = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.regexp_extract_all(F.col(item_text), F.lit(_WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step)))
     cut = found.select("item", "w", starts.alias("start")).select("item", F.slice("w", F.col("start") + 1, F.lit(step + window - 1)).alias("w"))
-    needs = F.greatest(F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window)), 4 * F.size("w"))
+    nodes = PLACES * F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window))
+    needs = F.greatest(nodes, NODES // BASE ** PLACES * F.size("w"))
     return cut.select("item", F.encode(F.concat_ws(" ", "w"), "utf-8").alias("raw"), needs.cast("long").alias("nodes")).distinct()
 
 
@@ -175,7 +183,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     if not 1 <= nodes <= NODES:
         raise ValueError(f"nodes must be from 1 to {NODES}")
     spark = docs.sparkSession
-    cut = pieces(items, item_id, item_text, window, max(window, nodes // _PIECES))
+    cut = pieces(items, item_id, item_text, window, nodes // _PIECES)
     carried = fresh(docs.columns, "__covered")
     out, first = docs, True
     for blocks in blocks_of(cut, nodes, block_bytes):
