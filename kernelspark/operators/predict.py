@@ -162,10 +162,11 @@ def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str,
                         features: str = "features", block_cells: int | None = None) -> DataFrame:
     """f*(t) = Σ_i k(t, x_i)·w_i for every test row t: ``(id, f_star)``.
 
-    One job on a grid of (test block, train block) cells; partial sums are added by id. Any
-    number of rows works on either side and none passes through the driver.
+    One job on a grid of (test block, train block) cells, each a group of a shuffle with about
+    one cell a partition; partial sums are added by id. Any number of rows works on either
+    side and none passes through the driver.
     """
-    return grid.weighted_sums(train, test, kernel.block, weight, key, features, "f_star", block_cells)
+    return grid.weighted_sums(train, test, kernel.quick_block, weight, key, features, "f_star", block_cells)
 
 
 def option_a_weights(factor: DataFrame, nu: np.ndarray, k: int) -> DataFrame:

@@ -228,6 +228,33 @@ def test_kernel_sums_in_blocks(spark, cells):
     assert R.kernel_weighted_sum(train, test.limit(0), ker, "w").collect() == []
 
 
+def test_kernel_sums_spread_over_tasks(spark, tmp_path):
+    """Sides of some thousand short rows give several tasks, and no call sees more than a tile of kernel values."""
+    from pyspark import TaskContext
+
+    class Noted:
+        def quick_block(self, X, Y):
+            assert X.shape[0] * Y.shape[0] <= 1 << 20
+            (tmp_path / str(TaskContext.get().partitionId())).touch()
+            return np.ones((len(X), len(Y)))
+
+        block = quick_block
+
+    rows = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("features"), F.lit(0.5).alias("w"))
+    got = R.kernel_weighted_sum(rows, rows, Noted(), "w").collect()
+    assert len(got) == 5000 and {r.f_star for r in got} == {2500.0}
+    assert len(list(tmp_path.iterdir())) > 3
+
+
+def test_norm_expansion_only_where_it_is_as_good():
+    rng = np.random.default_rng(9)
+    X, Y = rng.standard_normal((40, 8)), rng.standard_normal((30, 8))
+    for ker in (KernelSpec("gaussian", 0.7), KernelSpec("matern", 0.7), KernelSpec("laplace", 0.7)):
+        for far in (0.0, 1.0, 1e3, 1e8):
+            assert np.abs(ker.quick_block(X + far, Y + far) - ker.block(X + far, Y + far)).max() <= 1e-12
+        assert ker.quick_block(X[:0], Y).shape == (0, 30)
+
+
 @pytest.mark.parametrize("noise", [True, False])
 def test_summaries_made_with_the_draws(spark, noise):
     rng = np.random.default_rng(6)
