@@ -213,6 +213,16 @@ def test_erfc():
     assert np.abs(PO.erfc(x) / exact - 1).max() < 1e-12
 
 
+def test_passes_over_a_factor_have_as_many_tasks_as_are_worth_it(spark):
+    """A sampler's every pass is a job: neither one task for all rows nor a task for some hundred."""
+    rows = spark.range(0, 8000, 1, 64).select(F.array(F.col("id") / 8000, F.lit(1.0)).alias("f"), (F.col("id") % 2).alias("y"))
+    models = {n: PO.FactorModel(df) for n, df in (("many", rows), ("one", rows.coalesce(1)), ("few", rows.limit(900)))}
+    parts = {n: m.df.rdd.getNumPartitions() for n, m in models.items()}
+    assert parts == {"many": 4, "one": 4, "few": 1}
+    V = np.array([[0.3, -0.2], [1.0, 0.5]])
+    assert np.allclose(models["many"].score(V)[0], models["one"].score(V)[0], rtol=1e-12)
+
+
 # ---- prediction ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("cells", [10_000, 40])
