@@ -142,27 +142,8 @@ def _shard_sql():
 
 @register("shard_routing", _shard_sql(), ops=("S6",))
 def q_shards(spark, sf):
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    from ..sources import storage
     out = scratch(spark, "shards")
-    storage.make_dir(out)
-    li = V.table(spark, sf, "lineitem").withColumn("_prefix", _shard_prefix_col())
-    names = li.columns[:-1]
-
-    def write(batches):
-        import uuid as _u
-        for pdf in batches:
-            for pre, g in pdf.groupby("_prefix"):
-                p = f"{out}/{pre}-{_u.uuid4().hex[:8]}.parquet"
-                fs, at = storage.resolve(p)
-                pq.write_table(pa.Table.from_pandas(g[names], preserve_index=False), at, coerce_timestamps="us",
-                               allow_truncated_timestamps=True, filesystem=fs)
-                yield __import__("pandas").DataFrame({"file": [p], "rows": [len(g)]})
-
-    # files of a prefix are dealt out by a row hash: no split's rows meet in one task
-    li.repartition(8, "_prefix", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(8))).mapInPandas(write, "file string, rows long").count()
+    SK.write_shards(V.table(spark, sf, "lineitem").withColumn("_prefix", _shard_prefix_col()), out, "_prefix").count()
     r = RD.route_shards(spark, out, {"train-": "train", "validation-": "valid", "test-": "test"})
     return r.select("split", "rows", F.col("columns").cast("int").alias("columns"))
 

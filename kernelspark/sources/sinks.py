@@ -63,6 +63,40 @@ def export_rows(df: DataFrame, out_dir: str, key: str, content: str, ext: str =
     return df.select(F.col(key).cast("long").alias(key), content, *meta_cols).mapInPandas(fn, schema)
 
 
+def write_shards(df: DataFrame, out_dir: str, prefix: str) -> DataFrame:
+    """Parquet shards ``out_dir/<prefix>-<partition>.parquet`` of the other columns: (file, rows), a job's output.
+
+    Each task streams the rows it reads into one open file a prefix, so nothing is shuffled and
+    a task's share is a partition of ``df``; a repeated task writes the same names again.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+    from pyspark import TaskContext
+
+    storage.make_dir(out_dir)
+
+    def fn(batches):
+        number, files, rows = TaskContext.get().partitionId(), {}, {}
+        try:
+            for got in batches:
+                table = pa.Table.from_batches([got])
+                for pre in pc.unique(table[prefix]).to_pylist():
+                    some = table.filter(pc.equal(table[prefix], pre)).drop_columns(prefix)
+                    path = f"{out_dir.rstrip('/')}/{pre}-{number:06d}.parquet"
+                    if path not in files:
+                        fs, at = storage.resolve(path)
+                        files[path] = pq.ParquetWriter(at, some.schema, filesystem=fs, coerce_timestamps="us", allow_truncated_timestamps=True)
+                    files[path].write_table(some)
+                    rows[path] = rows.get(path, 0) + some.num_rows
+        finally:
+            for file in files.values():
+                file.close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], ["file", "rows"])
+
+    return df.mapInArrow(fn, "file string, rows long")
+
+
 # ---- S10, S15: bundles keyed by run_id ----------------------------------------------------------
 
 def write_factor_bundle(spark: SparkSession, path: str, run_id: str, factor: DataFrame, pivots: DataFrame,

@@ -364,3 +364,15 @@ def test_frobenius_of_all_pairs_is_the_matrix_norm(spark):
     Km = ker.block(X, X)
     got = L.pair_frobenius(pairs, df, fac.factor_df(), ker).first()
     assert math.isclose(got.rel_frobenius, np.linalg.norm(Km - Fm @ Fm.T) / np.linalg.norm(Km), rel_tol=1e-9)
+
+
+def test_shards_are_written_where_their_rows_are_read(spark, tmp_path):
+    from kernelspark.sources import readers, sinks
+
+    rows = spark.range(0, 30_000, 1, 3).select("id", F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("p"))
+    written = sinks.write_shards(rows, str(tmp_path / "a"), "p")
+    assert "Exchange" not in written._jdf.queryExecution().executedPlan().toString()
+    for _ in range(2):      # a job that runs again leaves the same files
+        assert sorted(r["rows"] for r in written.collect()) == [3333, 3333, 3334, 6666, 6667, 6667]
+    got = readers.route_shards(spark, str(tmp_path / "a"), {"train-": "train", "test-": "test"}).collect()
+    assert {(r.split, r.shards, r["rows"], r["columns"]) for r in got} == {("train", 3, 20_000, 1), ("test", 3, 10_000, 1)}
