@@ -256,6 +256,13 @@ def test_kernel_sums_spread_over_tasks(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) > 3
 
 
+def test_a_cell_of_kernel_sums_is_a_group(spark):
+    """Cells that are rows of an Arrow batch would reach a worker up to ten thousand at once."""
+    rows = spark.range(50).select("id", F.array(F.col("id").cast("double")).alias("features"), F.lit(0.5).alias("w"))
+    plan = R.kernel_weighted_sum(rows, rows, KernelSpec("gaussian", 1.0), "w", block_cells=10)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan and "MapInArrow " not in plan
+
+
 def test_norm_expansion_only_where_it_is_as_good():
     rng = np.random.default_rng(9)
     X, Y = rng.standard_normal((40, 8)), rng.standard_normal((30, 8))
