@@ -263,6 +263,14 @@ def test_a_cell_of_kernel_sums_is_a_group(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan and "MapInArrow " not in plan
 
 
+def test_option_a_sums_are_made_once(spark):
+    from kernelspark.plans import q_posterior
+
+    out = q_posterior.q_option_a(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and out.count() == 1
+
+
 def test_norm_expansion_only_where_it_is_as_good():
     rng = np.random.default_rng(9)
     X, Y = rng.standard_normal((40, 8)), rng.standard_normal((30, 8))
