@@ -102,6 +102,12 @@ class Words:
         return np.array([SPECIAL_ID], "<u2").tobytes().join(map(self.ids, text.split(SPECIAL)))
 
 
+@functools.cache
+def _words() -> Words:
+    """The worker's own: what its earlier tasks learned serves the later ones."""
+    return Words()
+
+
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Position on the Hilbert curve of integer points (n, dims), each coordinate below 2**bits.
 
@@ -145,7 +151,7 @@ def tokens(docs: DataFrame, text: str, curve: str, count: str, ids: str, row: st
     at, place = [docs.columns.index(c) for c in keep], docs.columns.index(text)
 
     def run(batches):
-        words, squeeze, n = Words(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 33
+        words, squeeze, n = _words(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 33
         bucket = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.intp)
         for got in batches:
             for lo in range(0, got.num_rows, 512):

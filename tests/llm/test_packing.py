@@ -80,3 +80,10 @@ def test_empty_and_clash(no_docs, docs):
     assert P.pack(no_docs.select("doc_id", "text")).collect() == []
     with pytest.raises(ValueError):
         P.pack(docs.withColumnRenamed("n_chars", "Offset"))
+
+
+def test_a_worker_keeps_what_it_learned():
+    own = P._words()
+    before = len(own.young) + len(own.old)
+    assert own.whole("a word seenbyonetask") == P.Words().whole("a word seenbyonetask")
+    assert P._words() is own and len(own.young) + len(own.old) > before
