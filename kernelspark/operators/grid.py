@@ -45,7 +45,7 @@ def _shape(side: DataFrame) -> tuple[int, int]:
 
 
 def _cells(left: DataFrame, right: DataFrame, make, schema: T.StructType, pairs: tuple[int, int], cells: int) -> DataFrame:
-    """``make(left block, right block)`` of every cell; blocks have at most ``cells`` feature values, cells
+    """``make(left block, right block)``, two tables, of every cell; blocks have at most ``cells`` feature values, cells
     between the two of ``pairs`` row pairs."""
     (n, width), (m, _) = _shape(left), _shape(right)
     rows = min(math.isqrt(min(max(n * m // BUSY, pairs[0]), pairs[1])), cells // width)
@@ -59,7 +59,7 @@ def _cells(left: DataFrame, right: DataFrame, make, schema: T.StructType, pairs:
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
             return empty
-        return pa.Table.from_arrays(make(_rows(a), _rows(b)), names)
+        return pa.Table.from_arrays(make(a, b), names)
 
     names = schema.names
     empty = pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in schema})
@@ -100,11 +100,19 @@ def _rows(block: pa.StructArray | pa.Table) -> dict:
     return cols
 
 
+def _tiles(block: pa.Table):
+    """``_rows`` of at most TILE rows at a time, read where they lie: a block is not put together first."""
+    for batch in block.to_batches():
+        for lo in range(0, batch.num_rows, TILE):
+            yield _rows(pa.Table.from_batches([batch.slice(lo, TILE)]))
+
+
 def long_form(left: DataFrame, right: DataFrame, block, key: str, features: str, names=("i", "j", "k"), cells: int | None = None) -> DataFrame:
     """(i, j, value) of all pairs; ``block(X, Y)`` gives the values of a cell."""
     schema = T.StructType([T.StructField(names[0], left.schema[key].dataType), T.StructField(names[1], right.schema[key].dataType), T.StructField(names[2], T.DoubleType())])
 
     def make(a, b):
+        a, b = _rows(a), _rows(b)
         n, m = len(a["x"]), len(b["x"])
         return [a["key"].take(pa.array(np.repeat(np.arange(n), m))), b["key"].take(pa.array(np.tile(np.arange(m), n))), pa.array(np.ascontiguousarray(block(a["x"], b["x"])).ravel())]
 
@@ -119,10 +127,12 @@ def weighted_sums(train: DataFrame, test: DataFrame, block, weight: str, key: st
     right = stored_side(own, "_key", features, F.col(weight).cast("double").alias("w"))
 
     def make(a, b):
-        x, y, w, sums = a["x"], b["x"], np.asarray(b["w"], dtype=np.float64), np.zeros(len(a["x"]))
-        for lo in range(0, len(x), TILE):
-            for at in range(0, len(y), TILE):
-                sums[lo:lo + TILE] += block(x[lo:lo + TILE], y[at:at + TILE]) @ w[at:at + TILE]
+        sums, done, right = np.zeros(a.num_rows), 0, [(y["x"], np.asarray(y["w"], dtype=np.float64)) for y in _tiles(b)]
+        for x in _tiles(a):
+            own = sums[done:done + len(x["x"])]
+            for y, w in right:
+                own += block(x["x"], y) @ w
+            done += len(own)
         return [a["key"].cast(pa.int64()), pa.array(sums)]
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.DoubleType())])

@@ -171,7 +171,8 @@ def kernel_weighted_sum(train: DataFrame, test: DataFrame, kernel, weight: str,
 
 def option_a_weights(factor: DataFrame, nu: np.ndarray, k: int) -> DataFrame:
     """R2: α = Q R⁻ᵀ ν with F = Q R, i.e. α_i = F_i (FᵀF)⁻¹ ν, per training row."""
-    from .lowrank import gram
+    from .lowrank import gram, stored_factor
+    factor = stored_factor(factor)
     G = gram(factor, k=k)
     c = np.linalg.solve(G, np.asarray(nu, dtype=np.float64))
     return row_dots(factor, c, "id", "f", "alpha")

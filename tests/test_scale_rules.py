@@ -1,6 +1,7 @@
 """Results that must not change with size, layout, skew or run length."""
 
 import math
+import re
 from types import SimpleNamespace
 
 import numpy as np
@@ -391,3 +392,48 @@ def test_shards_are_written_where_their_rows_are_read(spark, tmp_path):
         assert sorted(r["rows"] for r in written.collect()) == [3333, 3333, 3334, 6666, 6667, 6667]
     got = readers.route_shards(spark, str(tmp_path / "a"), {"train-": "train", "test-": "test"}).collect()
     assert {(r.split, r.shards, r["rows"], r["columns"]) for r in got} == {("train", 3, 20_000, 1), ("test", 3, 10_000, 1)}
+
+
+def test_weights_and_solves_read_a_stored_factor(spark):
+    from kernelspark.operators import lowrank as L
+    from kernelspark.operators import predict as R
+
+    rng = np.random.default_rng(12)
+    X = rng.standard_normal((30, 2))
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(30)], "id long, features array<double>").repartition(3)
+    f = L.pivoted_cholesky(df, KernelSpec("gaussian", 1.0), 3).factor_df()
+    Fm = {r.id: np.array(r.f) for r in f.collect()}
+    M = np.array([Fm[i] for i in range(30)])
+    nu = np.array([0.3, -0.2, 0.5])
+    weights = R.option_a_weights(f, nu, 3)
+    solved = L.woodbury_solve(f.withColumn("r", F.col("id").cast("double")), "r", nugget=0.1, k=3)
+    for made, most in ((weights, 1), (solved, 0)):    # Python processes of a task
+        assert len(re.findall(r"MapIn(?:Pandas|Arrow)|ArrowEvalPython", made._jdf.queryExecution().sparkPlan().toString())) == most
+    want = M @ np.linalg.solve(M.T @ M, nu)
+    assert np.allclose([r.alpha for r in weights.orderBy("id").collect()], want)
+    want = np.linalg.solve(M @ M.T + 0.1 * np.eye(30), np.arange(30.0))
+    assert np.allclose([r.solution for r in solved.orderBy("id").collect()], want)
+
+
+def test_kernel_sums_read_a_block_where_it_lies(spark, monkeypatch):
+    """Blocks of several Arrow batches give the same sums and are not put together."""
+    import pyarrow as pa
+    from kernelspark.operators import grid
+
+    block = pa.table({"x": pa.array([[1.0, 2.0]] * 1300, pa.list_(pa.float64())), "w": pa.array(np.arange(1300.0))})
+    block = pa.Table.from_batches(block.to_batches(max_chunksize=600))
+    lies = {np.asarray(b.column(0).flatten()).__array_interface__["data"][0] for b in block.to_batches()}
+    tiles = list(grid._tiles(block))
+    assert [len(t["x"]) for t in tiles] == [512, 88, 512, 88, 100]
+    assert lies <= {t["x"].__array_interface__["data"][0] for t in tiles}
+    rng = np.random.default_rng(13)
+    X, w = rng.standard_normal((70, 3)), rng.standard_normal(70)
+    df = spark.createDataFrame([(i, X[i].tolist(), float(w[i])) for i in range(70)], "id long, features array<double>, w double")
+    ker = KernelSpec("gaussian", 1.0)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        got = {r.id: r.s for r in grid.weighted_sums(df, df, ker.quick_block, "w", "id", "features", "s").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert np.allclose([got[i] for i in range(70)], ker.block(X, X) @ w)
