@@ -13,11 +13,13 @@ the points held. Tree and descent are exact whatever the sample was; it only dec
 much can be skipped.
 
 A search takes chunks of anchors of one centre to the blocks whose bounds meet a window of
-some anchor. There it goes down level by level, skips nodes outside all windows of an
+some anchor. Chunks meet by slices of anchors and blocks by shelves, both of bounded size: a
+tree is sent once to a slice that wants it, not to each of its chunks, and an anchor once to
+a shelf. There a search goes down a tree level by level, skips nodes outside all windows of an
 anchor, visits the leaves that are left best first in growing rounds, verifies them
-exactly, and narrows the windows to the best found. Positives are searched at the home
-centre first; their least score bounds the search elsewhere, and their scores are the
-windows of the negatives.
+exactly, and narrows the windows to the best found, for the next tree of the shelf too.
+Positives are searched at the home centre first; their least score bounds the search
+elsewhere, and their scores are the windows of the negatives.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .common import checkpoint_table, read
 
 #: Rows of the sample that the centres are chosen from, centres at most, rows of a block, anchors of a chunk, points of a leaf.
 SAMPLE, CENTERS, BLOCK, CHUNK, LEAF = 4096, 1024, 2048, 256, 32
+#: Anchors of a slice, and bytes of the vectors of a shelf of blocks (eight for a component).
+SLICE, SHELF = 2048, 8 << 20
 #: Stands for a null id, which comes last among ties.
 NO_ID = (1 << 63) - 1
 _POINT = "id long, label string, v array<long>, copies long, h long"
@@ -167,6 +171,14 @@ def best(group: np.ndarray, score: np.ndarray, ident: np.ndarray, h: np.ndarray,
     return order[total - start < k]
 
 
+def narrowed(lo: np.ndarray, group: np.ndarray, score: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """Lower ends of windows (anchors, windows), raised to the k-th score where k are held; scores fall within a group."""
+    full = np.bincount(group, np.minimum(copies, k), lo.size) >= k
+    least = np.full(lo.size, -np.inf)
+    least[group] = score                                             # by falling score: the last one stays
+    return np.maximum(lo, np.where(full, least, -np.inf).reshape(lo.shape))
+
+
 def search(tree: Tree, Q, labels, ids, hashes, lo, hi, same: bool, k: int) -> dict[str, np.ndarray]:
     """For each (anchor, window) its first k points of the same (or another) label with lo <= score <= hi.
 
@@ -202,10 +214,7 @@ def search(tree: Tree, Q, labels, ids, hashes, lo, hi, same: bool, k: int) -> di
         new = {c: np.concatenate(x) for c, x in fresh.items()}
         keep = best(new["group"], new["score"], tree.ids[new["row"]], tree.hashes[new["row"]], new["copies"], k)
         held = {c: x[keep] for c, x in new.items()}
-        full = np.bincount(held["group"], np.minimum(held["copies"], k), len(Q) * windows) >= k
-        least = np.full(len(Q) * windows, -np.inf)
-        least[held["group"]] = held["score"]                         # by falling score: the last one stays
-        lo = np.maximum(lo, np.where(full, least, -np.inf).reshape(lo.shape))
+        lo = narrowed(lo, held["group"], held["score"], held["copies"], k)
         begin, size = begin + size, size * 4
     return {"anchor": held["group"] // windows, "window": held["group"] % windows, "row": held["row"], "score": held["score"], "copies": held["copies"]}
 
@@ -224,7 +233,7 @@ def points(rows: DataFrame, ident: Column, label: Column, vector: Column, scale:
 
 @dataclass
 class Forest:
-    """Indexed candidates: points with their centre, trees by (centre, block), and at most ``CENTERS`` centres."""
+    """Indexed candidates: points with their centre, trees by number (a centre's blocks follow each other), and at most ``CENTERS`` centres."""
 
     points: DataFrame
     trees: DataFrame
@@ -235,6 +244,10 @@ class Forest:
     width: int
 
 
+#: A tree's components are stored in the first of these that holds them.
+_KINDS = (np.int16, np.int32, np.int64)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
@@ -256,10 +269,10 @@ def index(found: DataFrame, name: str = "negatives") -> Forest | None:
     names, at = stored.columns, stored.columns.index("v")
 
     def nearest(batches):
-        for got in batches:
+        for got in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
             A = augmented(_matrix(got.column(at), width), longest2)
             D = distances(A, sent.value)
-            own = D.argmin(1) if len(A) else np.empty(0, np.int64)
+            own = D.argmin(1)
             yield pa.RecordBatch.from_arrays([*got.columns, pa.array(own.astype(np.int32)), pa.array(D[np.arange(len(A)), own])], [*names, "center", "far"])
 
     placed = checkpoint_table(stored.mapInArrow(nearest, f"{_POINT}, center int, far double"), spark, f"{name}-placed")
@@ -268,32 +281,37 @@ def index(found: DataFrame, name: str = "negatives") -> Forest | None:
     for r in sizes:
         radii[r.center], blocks[r.center] = r.far, -(-r.n // BLOCK)
     parts = F.create_map(*[F.lit(int(x)) for r in sizes for x in (r.center, blocks[r.center])])
+    before = np.cumsum(blocks) - blocks
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("h", "id"), parts[F.col("center")]).cast("int"))
 
     def build(key, table):
         V = _matrix(table.column("v").combine_chunks(), width)
         order, nodes = cover_tree(augmented(V, longest2))
         put = lambda c: np.asarray(table.column(c))[order].astype(np.int64).tobytes()
-        rows = {"center": [key[0].as_py()], "block": [key[1].as_py()], "vectors": [V[order].tobytes()], "ids": [put("id")], "labels": [table.column("label").take(pa.array(order)).to_pylist()],
+        kind = next(t for t in _KINDS if np.iinfo(t).min <= V.min(initial=0) and V.max(initial=0) <= np.iinfo(t).max)
+        rows = {"number": [int(before[key[0].as_py()]) + key[1].as_py()], "vectors": [V[order].astype(kind).tobytes()], "ids": [put("id")], "labels": [table.column("label").take(pa.array(order)).to_pylist()],
                 "copies": [put("copies")], "hashes": [put("h")], "places": [order.astype(np.int64).tobytes()], "nodes": [nodes.tobytes()]}
-        return pa.table(rows, schema=pa.schema([("center", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("vectors", "ids")], ("labels", pa.list_(pa.string())), *[(c, pa.binary()) for c in ("copies", "hashes", "places", "nodes")]]))
+        return pa.table(rows, schema=pa.schema([("number", pa.int64()), *[(c, pa.binary()) for c in ("vectors", "ids")], ("labels", pa.list_(pa.string())), *[(c, pa.binary()) for c in ("copies", "hashes", "places", "nodes")]]))
 
-    made = dealt.groupBy("center", "block").applyInArrow(build, "center int, block int, vectors binary, ids binary, labels array<string>, copies binary, hashes binary, places binary, nodes binary")
+    made = dealt.groupBy("center", "block").applyInArrow(build, "number long, vectors binary, ids binary, labels array<string>, copies binary, hashes binary, places binary, nodes binary")
     return Forest(placed, checkpoint_table(made, spark, f"{name}-trees"), C, radii, blocks, longest2, width)
 
 
 def _read_tree(got: dict, width: int) -> Tree:
     ints = lambda c: np.frombuffer(got[c], np.int64)
-    return Tree(ints("vectors").reshape(-1, width), ints("ids"), got["labels"], ints("copies"), ints("hashes"), ints("places"), np.frombuffer(got["nodes"], np.float64).reshape(-1, 7))
+    kind = np.dtype(f"i{8 * len(got['vectors']) // (len(got['ids']) * width)}")
+    return Tree(np.frombuffer(got["vectors"], kind).reshape(-1, width).astype(np.int64), ints("ids"), got["labels"], ints("copies"), ints("hashes"), ints("places"), np.frombuffer(got["nodes"], np.float64).reshape(-1, 7))
 
 
 def chunks(anchors: DataFrame, windows: int) -> DataFrame:
-    """Anchors (id, h, label, v, center, lo, hi) in rows of about ``CHUNK`` of one centre."""
-    counts = anchors.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    """Anchors (id, h, label, v, center, lo, hi) in rows of about ``CHUNK`` of one centre, in slices of about ``SLICE`` anchors."""
+    before = F.sum("n").over(Window.orderBy("center")) - F.col("n")
+    counts = anchors.groupBy("center").agg(F.count(F.lit(1)).alias("n")).select("center", "n", before.alias("before"), F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     dealt = anchors.join(F.broadcast(counts), "center").withColumn("chunk", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
+    part = F.floor((F.col("before") + F.col("chunk") * F.col("n") / F.col("parts")) / SLICE).cast("int")
     pad = lambda c, x: F.concat(c, F.array_repeat(F.lit(x), F.lit(windows) - F.size(c)))
     one = F.struct("id", "h", "label", "v", pad("lo", float("inf")).alias("lo"), pad("hi", float("-inf")).alias("hi"))
-    return dealt.groupBy(F.col("center").alias("home"), "chunk").agg(F.collect_list(one).alias("anchors"))
+    return dealt.groupBy(F.col("center").alias("home"), "chunk", part.alias("part")).agg(F.collect_list(one).alias("anchors"))
 
 
 def _anchors(own: pa.StructArray, width: int, windows: int):
@@ -302,44 +320,76 @@ def _anchors(own: pa.StructArray, width: int, windows: int):
 
 
 FOUND = "id long, h long, window int, near_id long, near_h long, score long, copies long"
+_FOUND = pa.schema([(c, pa.int32() if c == "window" else pa.int64()) for c in ("id", "h", "window", "near_id", "near_h", "score", "copies")])
 
 
 def look(forest: Forest, dealt: DataFrame, same: bool, k: int, windows: int, where: str) -> DataFrame:
-    """The first k of each (anchor, window) in each block that its chunk visits: ``home``, ``away`` or ``all`` centres."""
+    """The first k of each (anchor, window) in each shelf of blocks that its chunk visits: of ``home``, ``away`` or ``all`` centres."""
     spark = dealt.sparkSession
     sent = spark.sparkContext.broadcast((forest.centers, forest.radii, forest.blocks, float(np.sqrt(forest.longest2))))
-    width, kinds = forest.width, dealt.schema["anchors"].dataType.simpleString()
+    width, kinds, at_once = forest.width, dealt.schema["anchors"].dataType.simpleString(), CHUNK
+    per_shelf = max(1, SHELF // (BLOCK * width * 8))
 
     def visits(batches):
+        """(part, anchors, numbers of the trees to visit) for each chunk."""
         C, radii, blocks, longest = sent.value
+        before = np.cumsum(blocks) - blocks
         for got in batches:
-            out = []
-            for home, own in zip(got.column(0).to_pylist(), got.column(2), strict=True):
+            for home, part, own in zip(got.column("home").to_pylist(), got.column("part").to_pylist(), got.column("anchors"), strict=True):
                 if where == "home":
-                    meet = [home]
+                    meet = np.array([home])
                 else:
                     Q, _, _, _, lo, hi = _anchors(own.values, width, windows)
                     Q = Q.astype(np.float64)
                     qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))[:, None]
                     S, reach = Q @ C[:, :-1].T, qn * (radii * (1 + 1e-9) + 1e-6 * longest + 1e-3)
-                    meet = [int(c) for c in np.flatnonzero(open_pairs(S + reach, S - reach, lo, hi).any(0)) if where == "all" or c != home]
-                out.append([{"center": c, "block": b} for c in meet for b in range(int(blocks[c]))])
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(out, pa.list_(pa.struct([("center", pa.int32()), ("block", pa.int32())])))], ["home", "chunk", "anchors", "visits"])
-
-    routed = dealt.mapInArrow(visits, f"home int, chunk int, anchors {kinds}, visits array<struct<center: int, block: int>>")
-    cells = routed.select("anchors", F.explode("visits").alias("cell")).select("anchors", "cell.*").join(forest.trees, ["center", "block"]).drop("center", "block")
-    names = cells.columns
-
-    def run(batches):
-        for got in batches:
-            for i in range(got.num_rows):
-                tree = _read_tree({c: got.column(names.index(c))[i].as_py() for c in names if c != "anchors"}, width)
-                Q, labels, ids, hashes, lo, hi = _anchors(got.column(names.index("anchors"))[i].values, width, windows)
-                f = search(tree, Q, labels, ids, hashes, lo, hi, same, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[f["anchor"]], hashes[f["anchor"]], f["window"].astype(np.int32), tree.ids[f["row"]], tree.hashes[f["row"]], f["score"], f["copies"])],
-                                                 ["id", "h", "window", "near_id", "near_h", "score", "copies"])
-
-    return cells.mapInArrow(run, FOUND)
+                    meet = np.flatnonzero(open_pairs(S + reach, S - reach, lo, hi).any(0))
+                    meet = meet if where == "all" else meet[meet != home]
+                numbers = np.concatenate([np.arange(blocks[c]) + before[c] for c in meet] or [np.empty(0, np.int64)])
+                yield part, own, numbers
+
+    def shelves(batches):
+        for part, own, numbers in visits(batches):
+            shelf = numbers // per_shelf
+            cut = np.flatnonzero(np.diff(shelf, prepend=-1, append=-1)) if len(shelf) else np.zeros(1, np.int64)
+            cells = pa.StructArray.from_arrays([pa.array(shelf[cut[:-1]]), pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(numbers))], ["shelf", "trees"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own], own.type), pa.ListArray.from_arrays(np.array([0, len(cells)], np.int32), cells)], ["part", "anchors", "cells"])
+
+    def wanted(batches):
+        met = {}
+        for part, _, numbers in visits(batches):
+            met.setdefault(part, set()).update(numbers.tolist())
+        for part, numbers in met.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(numbers), pa.int64()), pa.array([part] * len(numbers), pa.int32())], ["number", "part"])
+
+    cells = dealt.mapInArrow(shelves, f"part int, anchors {kinds}, cells array<struct<shelf: long, trees: array<long>>>").select("part", "anchors", F.explode("cells").alias("cell")).select("part", "cell.*", "anchors")
+    parts = dealt.mapInArrow(wanted, "number long, part int").groupBy("number").agg(F.collect_set("part").alias("parts"))
+    trees = forest.trees.join(parts.hint("merge"), "number").withColumn("shelf", F.floor(F.col("number") / per_shelf)).withColumn("part", F.explode("parts")).drop("parts")
+    stored = [c for c in trees.columns if c not in ("shelf", "part", "number")]
+
+    def run(cells, trees):
+        held = {c: np.empty(0, np.int64) for c in ("group", "near_id", "near_h", "score", "copies")}
+        if not cells.num_rows or not trees.num_rows:
+            return _FOUND.empty_table()
+        own, met = cells.column("anchors").combine_chunks(), cells.column("trees").combine_chunks()
+        chunk, meets, numbers = np.repeat(np.arange(len(own)), own.value_lengths()), np.repeat(np.arange(len(met)), met.value_lengths()), np.asarray(met.flatten())
+        Q, labels, ids, hashes, lo, hi = _anchors(own.flatten(), width, windows)
+        for i, number in enumerate(trees.column("number").to_pylist()):
+            tree = _read_tree({c: trees.column(c)[i].as_py() for c in stored}, width)
+            visitors, fresh = np.flatnonzero(np.isin(chunk, meets[numbers == number])), {c: [held[c]] for c in held}
+            for begin in range(0, len(visitors), at_once):
+                who = visitors[begin:begin + at_once]
+                f = search(tree, Q[who], [labels[a] for a in who], ids[who], hashes[who], lo[who], hi[who], same, k)
+                for c, x in (("group", who[f["anchor"]] * windows + f["window"]), ("near_id", tree.ids[f["row"]]), ("near_h", tree.hashes[f["row"]]), ("score", f["score"]), ("copies", f["copies"])):
+                    fresh[c].append(x)
+            new = {c: np.concatenate(x) for c, x in fresh.items()}
+            keep = best(new["group"], new["score"], new["near_id"], new["near_h"], new["copies"], k)
+            held = {c: x[keep] for c, x in new.items()}
+            lo = narrowed(lo, held["group"], held["score"], held["copies"], k)
+        anchor, window = held["group"] // windows, held["group"] % windows
+        return pa.table([ids[anchor], hashes[anchor], window.astype(np.int32), *(held[c] for c in ("near_id", "near_h", "score", "copies"))], schema=_FOUND)
+
+    return cells.groupBy("shelf", "part").cogroup(trees.groupBy("shelf", "part")).applyInArrow(run, FOUND)
 
 
 def first(found: DataFrame, k: int) -> DataFrame:
@@ -373,11 +423,12 @@ def mine(rows: DataFrame, is_anchor: Column, ident: str = "vec_id", label: str =
 
 
 def _mine(spark: SparkSession, found: DataFrame, wanted: DataFrame, n_positive: int, n_negative: int, low: int, high: int) -> DataFrame:
+    # joins with vectors or trees are merges: files of few distinct vectors are far smaller than their rows, and Spark would broadcast those
     forest = index(found)
     if forest is None:
         return spark.createDataFrame([], _RESULT)
     key = ["id", "h"]
-    anchors = checkpoint_table(forest.points.join(wanted, key).select(*key, "label", "v", "copies", "center"), spark, "negatives-anchors")
+    anchors = checkpoint_table(forest.points.join(wanted.hint("merge"), key).select(*key, "label", "v", "copies", "center"), spark, "negatives-anchors")
     no_bound = lambda x: F.array(F.lit(float(x)))
     open_ = anchors.withColumns({"lo": no_bound("-inf"), "hi": no_bound("inf")})
     home = checkpoint_table(look(forest, chunks(open_, 1), True, n_positive, 1, "home"), spark, "negatives-home")
@@ -389,7 +440,7 @@ def _mine(spark: SparkSession, found: DataFrame, wanted: DataFrame, n_positive:
     # window w of an anchor belongs to its w-th positive; negative positives have no negatives
     edge = F.sort_array(F.collect_list(F.struct("nth", F.ceil(F.col("positive_score") * low / 100.0).cast("double").alias("lo"), F.floor(F.col("positive_score") * high / 100.0).cast("double").alias("hi"))))
     windows = positives.groupBy(*key).agg(edge.alias("w")).select(*key, F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
-    sought = look(forest, chunks(anchors.join(windows, key), n_positive), False, n_negative, n_positive, "all")
+    sought = look(forest, chunks(anchors.join(windows.hint("merge"), key), n_positive), False, n_negative, n_positive, "all")
     negatives = first(sought, n_negative).withColumnRenamed("score", "negative_score")
     pairs = negatives.withColumn("nth", F.col("window") + 1).join(positives, [*key, "nth"]).join(anchors.select(*key, "copies"), key)
     each = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -114,3 +114,48 @@ def test_narrow_windows_skip_leaves():
     for a in range(len(Q)):
         held = {int(p) for x in leaf[who == a] for p in order[int(nodes[x, 3]):int(nodes[x, 4])]}
         assert set(np.flatnonzero(exact[a] >= lo[a, 0])) <= held
+
+
+def test_slices_and_shelves(spark, tmp_path, monkeypatch):
+    """Many slices of anchors and shelves of trees; some vectors too long for two bytes a component."""
+    for name, x in (("BLOCK", 40), ("CHUNK", 2), ("LEAF", 4), ("SAMPLE", 64), ("SLICE", 3), ("SHELF", 2 * 40 * 6 * 8)):
+        monkeypatch.setattr(H, name, x)
+    rows = [(i * 4, [200 * e for e in x] if i % 9 == 0 else x, label) for i, x, label in table(random.Random(8), 700)]
+    assert run(spark, rows, tmp_path) == brute(rows)
+
+
+def plan_sums(df):
+    """Bytes sent to Python and rows broadcast by an executed plan."""
+    sums = {"pythonDataSent": 0, "numOutputRows": 0}
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        metrics = node.metrics()
+        for name in sums:
+            if metrics.contains(name) and (name != "numOutputRows" or kind == "BroadcastExchangeExec"):
+                sums[name] += metrics.apply(name).value()
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sums
+
+
+def test_trees_are_sent_by_slice_and_anchors_not_broadcast(spark, monkeypatch):
+    """Chunks that want the same tree share it; anchors times blocks are not broadcast, however small their file is."""
+    for name, x in (("BLOCK", 20), ("CHUNK", 4), ("LEAF", 4), ("SHELF", 8 * 20 * 8 * 8)):
+        monkeypatch.setattr(H, name, x, raising=False)
+    rng = random.Random(6)
+    some = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(120)]
+    df = spark.createDataFrame([(i, some[i % 120], i % 3) for i in range(1200)], "id long, x array<double>, label int")
+    forest = H.index(H.points(df, F.col("id"), F.col("label"), F.col("x"), 256.0), "shared")
+    anchors = H.checkpoint_table(forest.points.where("id % 12 = 0").withColumns({"lo": F.array(F.lit(float("-inf"))), "hi": F.array(F.lit(float("inf")))}), spark, "shared-anchors")
+    found = H.look(forest, H.chunks(anchors, 1), True, 5, 1, "all")
+    assert len(found.collect()) >= 100 * 5
+    sums = plan_sums(found)
+    assert len(forest.centers) >= 50
+    assert sums["numOutputRows"] <= 200 and sums["pythonDataSent"] < 1_000_000, sums    # the centres' counts; trees once, anchors once a shelf
